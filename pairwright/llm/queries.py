@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontaminate, language_id, line_dedup
-from .common import crc_of_id, table
+from . import bpe_transducer, decontaminate, language_id, line_dedup, token_store
+from .common import crc_of_id, fresh_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +30,12 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -94,7 +100,7 @@ FROM lines GROUP BY r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op5_bpe_transducer, op7_benchmark_decontamination, op8_language_id, op9_line_dedup]
+    own = [op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup]
     return {f.__name__: f for f in own}
 
 
