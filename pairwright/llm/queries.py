@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontaminate, language_id, line_dedup, token_store
+from . import bpe_transducer, decontaminate, language_id, line_dedup, ppm, rabitq, token_store
 from .common import crc_of_id, fresh_path, table
 
 
@@ -21,6 +21,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(crc_of_id(), F.lit(7)) == 2
+    scored = ppm.score(docs, ppm.count_words(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rabitq.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path("word_bpe_49k.json")
@@ -100,7 +112,7 @@ FROM lines GROUP BY r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup]
+    own = [op3_ppm_score, op4_rotated_codes, op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup]
     return {f.__name__: f for f in own}
 
 
