@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import settled, share
 
-ORDER = 6
+ORDER = 5
 SEP, END = 0x20, 0x0A
 FLUSH = 1_000_000
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +274,7 @@ class Scorer:
         self.seen.update(zip(words, range(first, first + len(words)), strict=True))
 
 
-def score(docs: DataFrame, words: DataFrame, max_nodes: int = 2_000_000, max_words: int = 300_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, words: DataFrame, max_nodes: int = 1_500_000, max_words: int = 300_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``; ``words`` has the training counts."""
     spark = docs.sparkSession
     words = settled(words)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import settled
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Documents of a shard, about.
 SHARD_DOCS = 50_000
 #: Chunks: the least and most ids of one, and the mask that makes cuts about 512 ids apart.
