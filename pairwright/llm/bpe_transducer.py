@@ -20,6 +20,7 @@ import struct
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of non-space characters that a worker remembers before it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: A word must be found so often by a task to be proposed for the lexicon; this bears on speed, never on results.
 PROPOSED = 2
 #: str.split() also splits at these, which are no white space to the pre-tokenizer.
@@ -53,47 +54,53 @@ class Merger:
         alphabet = byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
         self.final = [vocab[c + suffix] for c in alphabet]
-        self.rank: dict[int, tuple[int, int]] = {}
+        # pair of ids -> rank and merged id in one integer, so that the least comes first
+        self.rank: dict[int, int] = {}
         for k, m in enumerate(merges):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank.setdefault(vocab[a] << 20 | vocab[b], (k, vocab[a + b]))
+            self.rank.setdefault(vocab[a] << 20 | vocab[b], k << 20 | vocab[a + b])
 
     def ids(self, word: bytes) -> list[int]:
-        part = [self.inner[b] for b in word[:-1]]
-        part.append(self.final[word[-1]])
+        inner, get = self.inner, self.rank.get
+        part = [inner[b] for b in word]
+        part[-1] = self.final[word[-1]]
         if len(part) > 80:
             return self._long(part)
-        rank, none = self.rank, (1 << 60, 0)
-        while len(part) > 1:
-            best, at = none, -1
-            for i in range(len(part) - 1):
-                r = rank.get(part[i] << 20 | part[i + 1], none)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
+        none = 1 << 60
+        ranks = [get(a << 20 | b, none) for a, b in zip(part, part[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            part[at : at + 2] = [best[1]]
+            i = ranks.index(best)
+            new = best & 0xFFFFF
+            part[i : i + 2] = (new,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(part[i - 1] << 20 | new, none)
+            if i < len(ranks):
+                ranks[i] = get(new << 20 | part[i + 1], none)
         return part
 
     def _long(self, part: list[int]) -> list[int]:
         """The same with a heap, for words of any length."""
         n, rank = len(part), self.rank
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def push(i: int) -> None:
             j = after[i]
             if i >= 0 and j >= 0 and (r := rank.get(part[i] << 20 | part[j])):
-                heapq.heappush(heap, (r[0], i, part[i], part[j], r[1]))
+                heapq.heappush(heap, (r, i, part[i], part[j]))
 
         for i in range(n - 1):
             push(i)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j < 0 or part[i] != a or part[j] != b:
                 continue
-            part[i], alive[j], after[i] = new, False, after[j]
+            part[i], alive[j], after[i] = r & 0xFFFFF, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             push(i)
@@ -194,16 +201,13 @@ class BpeSpec:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in raw["added_tokens"]}
         self.merger = Merger(self.vocab, model["merges"], model["end_of_word_suffix"] or "")
-        names = self.vocab | self.special
-        self.token = [""] * (max(names.values()) + 1)
-        for k, v in names.items():
-            self.token[v] = k
 
-    def words(self, run: str) -> list[bytes]:
+    def words(self, run: str) -> list[str]:
         """The words of a run of non-space characters."""
-        if not run.isascii():
-            run = "".join(map(str.lower, unicodedata.normalize("NFC", run)))
-        return [w.encode() for w in self.pattern.findall(run.lower() if run.isascii() else run)]
+        if run.isascii():
+            run = run.lower()
+            return [run] if run.isalpha() else self.pattern.findall(run)
+        return self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", run))))
 
     def runs(self, text: str) -> list[str]:
         return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
@@ -215,19 +219,23 @@ class Encoder:
     def __init__(self, spec: BpeSpec, lexicon: Transducer | None) -> None:
         self.spec, self.lexicon = spec, lexicon
         self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.merged = self.looked_up = 0
 
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        ids = self.lexicon.ids(raw) if self.lexicon else None
+        if ids is None:
+            ids = self.spec.merger.ids(raw)
+            self.merged += 1
+        else:
+            self.looked_up += 1
+        got = self.words[word] = array("i", ids).tobytes()
+        return got
+
     def _run(self, run: str) -> bytes:
-        ids: list[int] = []
-        for w in self.spec.words(run):
-            got = self.lexicon.ids(w) if self.lexicon else None
-            if got is None:
-                got = self.spec.merger.ids(w)
-                self.merged += 1
-            else:
-                self.looked_up += 1
-            ids += got
-        return np.array(ids, np.int32).tobytes()
+        known = self.words.get
+        return b"".join([known(w) or self._word(w) for w in self.spec.words(run)])
 
     def _plain(self, text: str) -> bytes:
         runs, seen = self.spec.runs(text), self.seen
@@ -236,6 +244,7 @@ class Encoder:
         except KeyError:
             if len(seen) > REMEMBERED:
                 seen.clear()
+                self.words.clear()
             for r in runs:
                 if r not in seen:
                     seen[r] = self._run(r)
@@ -250,6 +259,25 @@ class Encoder:
         return self._plain(text)
 
 
+def token_texts(path: str) -> list[str]:
+    """Each id's token."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    names = raw["model"]["vocab"] | {x["content"]: x["id"] for x in raw["added_tokens"]}
+    out = [""] * (max(names.values()) + 1)
+    for k, v in names.items():
+        out[v] = k
+    return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that a worker holds little at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+_TOKENS: dict[str, list[str]] = {}
 _SPECS: dict[str, BpeSpec] = {}
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}
 
@@ -260,6 +288,12 @@ def spec_of(path: str) -> BpeSpec:
     return _SPECS[path]
 
 
+def tokens_of(path: str) -> list[str]:
+    if path not in _TOKENS:
+        _TOKENS[path] = token_texts(path)
+    return _TOKENS[path]
+
+
 def _encoder(path: str, lexicon: str | None) -> Encoder:
     if (path, lexicon) not in _ENCODERS:
         _ENCODERS.clear()
@@ -278,7 +312,7 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for r, n in runs.items():
                 if n >= PROPOSED:
                     for w in spec.words(r):
-                        words[w] += n
+                        words[w.encode()] += n
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
@@ -312,7 +346,7 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path, lexicon)
-        for batch in batches:
+        for batch in pieces(batches):
             coded = [own.encode(t) for t in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
@@ -328,11 +362,9 @@ def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at = coded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = spec_of(path).token
-        for batch in batches:
-            column = batch.column(at)
-            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [" ".join([token[i] for i in values[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        token = tokens_of(path)
+        for batch in pieces(batches):
+            texts = [" ".join([token[i] for i in ids]) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
