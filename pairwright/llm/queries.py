@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontaminate, language_id, line_dedup, pii, ppm, rabitq, token_store
+from . import bpe_transducer, decontaminate, language_id, line_dedup, ngram_join, pii, ppm, rabitq, token_store
 from .common import crc_of_id, fresh_path, table
 
 
@@ -117,8 +117,13 @@ FROM lines GROUP BY r
 """
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.jaccard_components(docs, percent=80, width=5).select("doc_id", "n_shingles", "component_id", "links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bootstrapped_pii, op3_ppm_score, op4_rotated_codes, op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup]
+    own = [op1_bootstrapped_pii, op3_ppm_score, op4_rotated_codes, op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup, op10_ngram_jaccard]
     return {f.__name__: f for f in own}
 
 
