@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, decontaminate, language_id, line_dedup, ngram_join, pii, ppm, rabitq, token_store
+from . import bpe_transducer, decontaminate, html_wrapper, language_id, line_dedup, ngram_join, pii, ppm, rabitq, token_store
 from .common import crc_of_id, fresh_path, table
 
 
@@ -27,6 +27,11 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_wrapper.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(crc_of_id(), F.lit(7)) == 2
@@ -123,7 +128,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bootstrapped_pii, op3_ppm_score, op4_rotated_codes, op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup, op10_ngram_jaccard]
+    own = [op1_bootstrapped_pii, op2_wrapper_induction, op3_ppm_score, op4_rotated_codes, op5_bpe_transducer, op6_token_store, op7_benchmark_decontamination, op8_language_id, op9_line_dedup, op10_ngram_jaccard]
     return {f.__name__: f for f in own}
 
 

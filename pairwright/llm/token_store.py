@@ -5,15 +5,20 @@ equal passages give equal chunks wherever they stand. A chunk's name is the SHA-
 A document's recipe lists its chunks, and the Merkle root over them; recipes lie in shards in ascending order of id, and a
 manifest gives each shard's place in the whole id stream and the Merkle root over its recipes.
 
-    <path>/chunks     chunk binary (its name), payload binary (ids as little-endian unsigned 16- or 32-bit integers)
-    <path>/recipes    shard int, pos long, doc_id, start_in_shard long, n_tokens long, chunks array<binary>, root binary
+    <path>/chunks/alone, <path>/chunks/several
+                      chunk binary (its name), payload binary (ids as little-endian unsigned 16- or 32-bit integers),
+                      row long and seq int (the place of a chunk that stands alone, one of the places of another)
+    <path>/recipes    shard int, pos long, row long, doc_id, start_in_shard long, n_tokens long, chunks array<binary>, root binary
     <path>/manifest   shard int, start long, n_docs long, n_tokens long, first_doc, last_doc, root binary
 
-Reading joins recipes to chunks and verifies every chunk's name, every recipe's root and every shard's root; what
-does not verify raises an error.
+Only payloads of chunks that stand in several places are shuffled to be stored once, and only they are joined by name on reading;
+all others go straight to the store, and from it to their document.
 
-Texts are encoded by the tokenizers library: what a space-bounded run encodes to is remembered, within a bound, for the byte-level
-pre-tokenizer always parts a word from the one before it at a single space.
+Reading verifies every chunk's name, every recipe's root and every shard's root; what does not verify raises an error.
+
+Texts are encoded by the tokenizers library's model, word by word of its byte-level pre-tokenizer, which always parts a word
+from the one before it at a single space; what a space-bounded run encodes to is remembered, within a bound. Texts with several
+spaces in a row, or with special tokens, go through the library whole.
 
 Defined results: null is the empty text, whose ids are the end id alone; repeated rows each have a recipe (rows of one id
 in the order of their chunks' names); an empty table gives an empty store that can be read.
@@ -23,18 +28,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
+from .bpe_transducer import byte_alphabet
+from .common import settled, share
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Fixed value: the words of the byte-level pre-tokenizer.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Names of shared chunks that are broadcast at most (32 bytes each); beyond it they are joined.
+MOST_SHARED = 1_000_000
 #: Documents of a shard, about.
 SHARD_DOCS = 50_000
 #: Chunks: the least and most ids of one, and the mask that makes cuts about 512 ids apart.
@@ -48,43 +60,53 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             self.special = [x["content"] for x in json.load(f)["added_tokens"]]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
-        self.seen: dict[str, bytes | None] = {}
-
-    def _fresh(self, runs: set[str]) -> None:
-        """Encode what is new. A run whose space is followed by white space, or by nothing, is marked None: it has no ids of its own."""
-        for r in [r for r in runs if r[:1] == " " and (len(r) == 1 or r[1].isspace())]:
-            self.seen[r] = None
-            runs.discard(r)
-        rest = list(runs)
-        for lo in range(0, len(rest), 4096):
-            part = rest[lo : lo + 4096]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[r] = np.array(e.ids, self.kind).tobytes()
+        self.code = "H" if self.kind is np.uint16 else "I"
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.seen: dict[str, bytes | str] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+        got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
+        return got
+
+    def _run(self, run: str) -> bytes | str:
+        """A run's ids. One whose space is followed by white space, or by nothing, has none of its own: it is marked by a str."""
+        if run[:1] == " " and (len(run) == 1 or run[1].isspace()):
+            return ""
+        known = self.words.get
+        words = [run] if (run[1:] if run[:1] == " " else run).isalpha() else PATTERN.findall(run)
+        return b"".join([known(w) or self._word(w) for w in words])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        runs_of = [t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else [" "] for t in texts]
-        seen = self.seen
-        fresh = set().union(*runs_of).difference(seen)
-        if len(seen) + len(fresh) > REMEMBERED:
-            seen.clear()
-            fresh = set().union(*runs_of)
-        self._fresh(fresh)
-        out = []
-        for t, runs in zip(texts, runs_of, strict=True):
-            try:
-                if any(s in t for s in self.special):
-                    raise TypeError
-                out.append(b"".join(map(seen.__getitem__, runs)))
-            except TypeError:  # spaces in a row, or special tokens
-                out.append(self._whole(t))
-        return out
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if "\x00" in text or any(s in text for s in self.special):
+            return self._whole(text)
+        runs, seen = text.replace(" ", "\x00 ").split("\x00"), self.seen
+        found = list(map(seen.get, runs))
+        if None in found:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+                self.words.clear()
+                found = [None] * len(runs)
+            for i, x in enumerate(found):
+                if x is None:
+                    r = runs[i]
+                    x = seen.get(r)
+                    if x is None:
+                        x = seen[r] = self._run(r)
+                    found[i] = x
+        try:
+            return b"".join(found)
+        except TypeError:
+            return self._whole(text)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -142,43 +164,67 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _encode_rows(path: str, end_id: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path)
-        end, sent = np.array([end_id], encoder.kind).tobytes(), set()
-        size = encoder.kind().itemsize
+        encoder, row = library_encoder(path), TaskContext.get().partitionId() << 40
+        end, size = np.array([end_id], encoder.kind).tobytes(), encoder.kind().itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 n_tokens, names, payloads = [], [], []
-                for coded in encoder.encode(part.column(1).to_pylist()):
-                    raw = coded + end
-                    ids = np.frombuffer(raw, encoder.kind)
-                    own_names, own, a = [], [], 0
-                    for b in cuts(ids):
-                        piece = raw[a * size : b * size]
+                for text in part.column(1).to_pylist():
+                    raw, own, a = encoder.encode(text) + end, [], 0
+                    for b in cuts(np.frombuffer(raw, encoder.kind)):
+                        own.append(raw[a * size : b * size])
                         a = b
-                        name = hashlib.sha256(piece).digest()
-                        own_names.append(name)
-                        own.append(None if name in sent else piece)
-                        sent.add(name)
-                    if len(sent) > 1_000_000:
-                        sent.clear()
-                    n_tokens.append(len(ids))
-                    names.append(own_names)
+                    n_tokens.append(len(raw) // size)
+                    names.append([hashlib.sha256(x).digest() for x in own])
                     payloads.append(own)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_tokens, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))], names=["doc_id", "n_tokens", "chunks", "payloads"])
+                rows = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + rows), pa.int64()), part.column(0), pa.array(n_tokens, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))], names=["row", "doc_id", "n_tokens", "chunks", "payloads"])
+                row += rows
 
     return run
 
 
+def _by_sharing(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks of one place, chunks of several, each with one of its places)."""
+    places = coded.select("row", F.posexplode("chunks").alias("seq", "chunk"))
+    several = settled(places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk"))
+    each = coded.select("row", F.posexplode(F.arrays_zip("chunks", "payloads")).alias("seq", "c")).select("row", "seq", F.col("c.chunks").alias("chunk"), F.col("c.payloads").alias("payload"))
+    if several.count() > MOST_SHARED:
+        marked = each.join(several.withColumn("shared", F.lit(True)), "chunk", "left")
+        return marked.where("shared is null").drop("shared"), marked.where("shared").drop("shared")
+    names = share(coded.sparkSession, frozenset(bytes(r.chunk) for r in several.toLocalIterator()))
+
+    def only(of_several: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = names.value
+            sent: set[bytes] = set()  # of several, a task hands each on once
+            for batch in batches:
+                take = []
+                for x in batch.column(2).to_pylist():
+                    ok = (x in known) == of_several and x not in sent
+                    if ok and of_several:
+                        sent.add(x)
+                    take.append(ok)
+                yield batch.filter(pa.array(take, pa.bool_()))
+
+        return run
+
+    schema = "row long, seq int, chunk binary, payload binary"
+    columns = each.select("row", "seq", "chunk", "payload")
+    return columns.mapInArrow(only(False), schema), columns.mapInArrow(only(True), schema)
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
     """Encode every text of ``docs`` and write the store."""
     kind = docs.schema[key].dataType.simpleString()
-    coded = settled(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode_rows(tokenizer, end_id), f"doc_id {kind}, n_tokens long, chunks array<binary>, payloads array<binary>"))
-    chunks = coded.select(F.explode(F.arrays_zip("chunks", "payloads")).alias("c")).where("c.payloads is not null").select(F.col("c.chunks").alias("chunk"), F.col("c.payloads").alias("payload"))
-    chunks.groupBy("chunk").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/chunks")
+    coded = settled(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode_rows(tokenizer, end_id), f"row long, doc_id {kind}, n_tokens long, chunks array<binary>, payloads array<binary>"))
+    alone, several = _by_sharing(coded)
+    alone.write.parquet(f"{path}/chunks/alone")
+    several.groupBy("chunk").agg(F.first("row").alias("row"), F.first("seq").alias("seq"), F.first("payload").alias("payload")).select("row", "seq", "chunk", "payload").write.parquet(f"{path}/chunks/several")
 
     shards = max(1, -(-coded.count() // SHARD_DOCS))
-    ordered = coded.select("doc_id", "n_tokens", "chunks").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "chunks")
+    ordered = coded.select("doc_id", "n_tokens", "chunks", "row").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "chunks", "row")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, pos = TaskContext.get().partitionId(), 0, 0
@@ -187,10 +233,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: s
             starts = start + np.cumsum(n) - n
             roots = [merkle_root(x) for x in batch.column(2).to_pylist()]
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * rows, pa.int32()), pa.array(np.arange(pos, pos + rows)), batch.column(0), pa.array(starts), batch.column(1), batch.column(2), pa.array(roots, pa.binary())], names=["shard", "pos", "doc_id", "start_in_shard", "n_tokens", "chunks", "root"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard] * rows, pa.int32()), pa.array(np.arange(pos, pos + rows)), batch.column(3), batch.column(0), pa.array(starts), batch.column(1), batch.column(2), pa.array(roots, pa.binary())],
+                names=["shard", "pos", "row", "doc_id", "start_in_shard", "n_tokens", "chunks", "root"],
+            )
             start, pos = start + int(n.sum()), pos + rows
 
-    schema = f"shard int, pos long, doc_id {kind}, start_in_shard long, n_tokens long, chunks array<binary>, root binary"
+    schema = f"shard int, pos long, row long, doc_id {kind}, start_in_shard long, n_tokens long, chunks array<binary>, root binary"
     ordered.mapInArrow(number, schema).write.parquet(f"{path}/recipes")
     _write_manifest(docs.sparkSession, path, schema)
 
@@ -221,7 +270,7 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
 
     wide: the payloads hold 32-bit ids rather than 16-bit ones.
     """
-    recipes, manifest, chunks = (spark.read.parquet(f"{path}/{x}") for x in ("recipes", "manifest", "chunks"))
+    recipes, manifest, alone, several = (spark.read.parquet(f"{path}/{x}") for x in ("recipes", "manifest", "chunks/alone", "chunks/several"))
     stored = np.uint32 if wide else np.uint16
 
     checked = manifest.join(_shard_roots(recipes), "shard", "left")
@@ -229,14 +278,14 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     if broken:
         raise ValueError(f"{path}: a shard's recipes do not match the manifest")
 
-    pieces = recipes.select("shard", "pos", F.posexplode("chunks").alias("seq", "chunk")).join(chunks, "chunk", "left")
-    gathered = pieces.groupBy("shard", "pos").agg(F.sort_array(F.collect_list(F.struct("seq", "chunk", F.coalesce("payload", F.lit(b"")).alias("payload")))).alias("parts"))
+    referred = recipes.select("row", F.posexplode("chunks").alias("seq", "chunk")).join(several.select("chunk", "payload"), "chunk").select("row", "seq", "chunk", "payload")
+    gathered = alone.unionByName(referred).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seq", "chunk", "payload"))).alias("parts"))
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    heads = recipes.select("shard", "pos", "doc_id", "start_in_shard", "n_tokens", "root").join(manifest.select("shard", "start"), "shard")
-    whole = heads.join(gathered, ["shard", "pos"], "left").select("doc_id", (F.col("start") + F.col("start_in_shard")).alias("start"), "n_tokens", "root", "parts")
+    heads = recipes.select("shard", "row", "doc_id", "start_in_shard", "n_tokens", "root").join(manifest.select("shard", "start"), "shard")
+    whole = heads.join(gathered, "row", "left").select("doc_id", (F.col("start") + F.col("start_in_shard")).alias("start"), "n_tokens", "root", "parts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             out = []
             for doc_id, n, root, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 parts = parts or []
