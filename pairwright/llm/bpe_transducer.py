@@ -31,8 +31,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memory
+
 #: Runs of non-space characters that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 220_000
 #: A word must be found so often by a task to be proposed for the lexicon; this bears on speed, never on results.
 PROPOSED = 2
 #: str.split() also splits at these, which are no white space to the pre-tokenizer.
@@ -177,17 +179,22 @@ class Transducer:
             at += 4 * n
         self.first, self.target, self.skip, self.at, self.out = parts
         self.labels_at, self.final_at = at, at + n_labels
+        self.out_bytes = self.out.cast("B")
 
-    def ids(self, word: bytes) -> list[int] | None:
-        """The word's ids, or None if the lexicon lacks it."""
+    def ids(self, word: bytes) -> bytes | None:
+        """The word's ids as 32-bit integers, or None if the lexicon lacks it."""
         state, rank, base, find = self.root, 0, self.labels_at, self.map.find
-        for i in range(len(word)):
-            edge = find(word[i : i + 1], base + self.first[state], base + self.first[state + 1]) - base
+        first, skip, target, one = self.first, self.skip, self.target, _ONE
+        for b in word:
+            edge = find(one[b], base + first[state], base + first[state + 1]) - base
             if edge < 0:
                 return None
-            rank += self.skip[edge]
-            state = self.target[edge]
-        return self.out[self.at[rank] : self.at[rank + 1]].tolist() if self.map[self.final_at + state] else None
+            rank += skip[edge]
+            state = target[edge]
+        return bytes(self.out_bytes[4 * self.at[rank] : 4 * self.at[rank + 1]]) if self.map[self.final_at + state] else None
+
+
+_ONE = [bytes([b]) for b in range(256)]
 
 
 class BpeSpec:
@@ -214,41 +221,29 @@ class BpeSpec:
 
 
 class Encoder:
-    """One worker's encoder: lexicon first, exact merging for the rest, and a bounded memory of runs."""
+    """One worker's encoder: lexicon first, exact merging for the rest, and a bounded memory of runs and words."""
 
     def __init__(self, spec: BpeSpec, lexicon: Transducer | None) -> None:
         self.spec, self.lexicon = spec, lexicon
-        self.seen: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(self._word, REMEMBERED // 2)
+        self.runs = Memory(self._run, REMEMBERED)
         self.merged = self.looked_up = 0
 
     def _word(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.ids(raw) if self.lexicon else None
         if ids is None:
-            ids = self.spec.merger.ids(raw)
             self.merged += 1
-        else:
-            self.looked_up += 1
-        got = self.words[word] = array("i", ids).tobytes()
-        return got
+            return array("i", self.spec.merger.ids(raw)).tobytes()
+        self.looked_up += 1
+        return ids
 
     def _run(self, run: str) -> bytes:
-        known = self.words.get
-        return b"".join([known(w) or self._word(w) for w in self.spec.words(run)])
+        words = self.spec.words(run)
+        return self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
-        runs, seen = self.spec.runs(text), self.seen
-        try:
-            return b"".join(map(seen.__getitem__, runs))
-        except KeyError:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-                self.words.clear()
-            for r in runs:
-                if r not in seen:
-                    seen[r] = self._run(r)
-            return b"".join(map(seen.__getitem__, runs))
+        return b"".join(map(self.runs.__getitem__, self.spec.runs(text)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -326,7 +321,7 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, path: str, size: int = 50_000, text: str = "text") -> str:
+def build_lexicon(docs: DataFrame, path: str, size: int = 200_000, text: str = "text") -> str:
     """Compile the ``size`` most frequent words, ship the file to every machine, and return its name there."""
     spec = spec_of(path)
     top = frequent_words(docs, path, text).orderBy(F.desc("n"), "word").limit(size)
@@ -339,9 +334,15 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 50_000, text: str = "t
     return name
 
 
-def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ids (array of int) and n_tokens. Columns of these names are replaced."""
-    docs = docs.drop("ids", "n_tokens")
+def decoded(token: list[str], ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts of id lists that lie one behind the other: tokens joined by a space, as a file without decoder asks for."""
+    return [" ".join(map(token.__getitem__, ids[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "text", and_decode: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus ids (array of int) and n_tokens; and_decode: also decoded, from the ids, as by ``decode``
+    but in the same worker. Columns of these names are replaced."""
+    docs = docs.drop("ids", "n_tokens", *["decoded"] * and_decode)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,23 +350,26 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "
         for batch in pieces(batches):
             coded = [own.encode(t) for t in batch.column(at).to_pylist()]
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends).astype(np.int64))], names=[*batch.schema.names, "ids", "n_tokens"])
+            flat = np.frombuffer(b"".join(coded), np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            texts = [pa.array(decoded(tokens_of(path), flat, ends), pa.string())] if and_decode else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends).astype(np.int64)), *texts], names=[*batch.schema.names, "ids", "n_tokens", *["decoded"] * and_decode])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, ", ".join(x for x in (schema, "ids array<int>, n_tokens long") if x))
+    return docs.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long" + ", decoded string" * and_decode)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns of ``coded`` plus decoded: the tokens' texts joined by a space, as a file without decoder asks for."""
+    """All columns of ``coded`` plus decoded, the text of its ids. A column of this name is replaced."""
     coded = coded.drop("decoded")
     at = coded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = tokens_of(path)
         for batch in pieces(batches):
-            texts = [" ".join([token[i] for i in ids]) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            column = batch.column(at)
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded(token, values, ends), pa.string())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInArrow(run, f"{schema}, decoded string")

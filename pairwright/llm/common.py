@@ -55,3 +55,22 @@ def in_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def share(spark: SparkSession, value: object):  # noqa: ANN201
     return spark.sparkContext.broadcast(value)
+
+
+class Memory(dict):
+    """Values worked out once for each key and remembered within a bound: at ``limit`` keys they become the older generation, of
+    which those met again are kept."""
+
+    def __init__(self, work_out: Callable, limit: int) -> None:
+        super().__init__()
+        self.work_out, self.limit, self.old = work_out, limit, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.old.get(key)
+        if value is None:
+            value = self.work_out(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -91,7 +91,7 @@ def _rebuild(batch: pa.RecordBatch, column: str, dropped) -> pa.RecordBatch:  #
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", broadcast_keys: int = 2_000_000) -> DataFrame:
     """All columns of ``docs`` plus kept_text, n_lines (before) and n_dropped. Columns of these names are replaced."""
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_own", "_gone")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept_text string, n_lines long, n_dropped long"])
     frequent = settled(frequent_lines(docs, min_docs, min_chars, text))
     if frequent.count() <= broadcast_keys:

@@ -164,7 +164,7 @@ def promoted(occurrences: DataFrame, rounds: int = 3, confident: float = 0.8, mi
 def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, confident: float = 0.8, min_seeds: int = 5) -> DataFrame:
     """All columns of ``docs`` but the text, plus base (the exact entities) and spans (with those found by pattern): arrays of
     struct<kind, start, end> in order of kind, then start; offsets are code points, ends exclusive."""
-    docs = docs.drop("base", "spans")
+    docs = docs.drop("base", "spans", "_row", "_found", "_added")
     at = docs.columns.index(text)
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     item = "struct<kind:string,start:int,end:int,surface:string,seed:boolean,patterns:array<string>>"

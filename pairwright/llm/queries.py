@@ -47,8 +47,7 @@ def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path("word_bpe_49k.json")
-    coded = bpe_transducer.encode(docs, path, bpe_transducer.build_lexicon(docs, path)).drop("text")
-    back = bpe_transducer.decode(coded, path)
+    back = bpe_transducer.encode(docs, path, bpe_transducer.build_lexicon(docs, path), and_decode=True)
     ids_text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return back.select("doc_id", "n_tokens", F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_alphabet
-from .common import settled, share
+from .common import Memory, settled, share
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Fixed value: the words of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Names of shared chunks that are broadcast at most (32 bytes each); beyond it they are joined.
@@ -66,21 +66,20 @@ class LibraryEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.seen: dict[str, bytes | str] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(self._word, REMEMBERED // 2)
+        self.runs = Memory(self._run, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-        got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
-        return got
+        return array(self.code, [t.id for t in tokens]).tobytes()
 
     def _run(self, run: str) -> bytes | str:
         """A run's ids. One whose space is followed by white space, or by nothing, has none of its own: it is marked by a str."""
         if run[:1] == " " and (len(run) == 1 or run[1].isspace()):
             return ""
-        known = self.words.get
-        words = [run] if (run[1:] if run[:1] == " " else run).isalpha() else PATTERN.findall(run)
-        return b"".join([known(w) or self._word(w) for w in words])
+        if (run[1:] if run[:1] == " " else run).isalpha():
+            return self.words[run]
+        return b"".join(map(self.words.__getitem__, PATTERN.findall(run)))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -89,22 +88,8 @@ class LibraryEncoder:
         text = text or ""
         if "\x00" in text or any(s in text for s in self.special):
             return self._whole(text)
-        runs, seen = text.replace(" ", "\x00 ").split("\x00"), self.seen
-        found = list(map(seen.get, runs))
-        if None in found:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-                self.words.clear()
-                found = [None] * len(runs)
-            for i, x in enumerate(found):
-                if x is None:
-                    r = runs[i]
-                    x = seen.get(r)
-                    if x is None:
-                        x = seen[r] = self._run(r)
-                    found[i] = x
         try:
-            return b"".join(found)
+            return b"".join(map(self.runs.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
         except TypeError:
             return self._whole(text)
 
