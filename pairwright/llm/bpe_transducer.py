@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Memory
 
 #: Runs of non-space characters that a worker remembers before it starts anew.
-REMEMBERED = 220_000
+REMEMBERED = 350_000
 #: A word must be found so often by a task to be proposed for the lexicon; this bears on speed, never on results.
 PROPOSED = 2
 #: str.split() also splits at these, which are no white space to the pre-tokenizer.

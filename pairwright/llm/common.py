@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,19 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends there, and every reader sees one result."""
     spark = df.sparkSession
     path = fresh_path(spark, "settled")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a table that ``settled`` wrote, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        if path.getName().startswith("settled-"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_of_id(name: str = "doc_id") -> Column:
     """crc32 of the id as text; what the contracts split documents by."""
     return F.crc32(F.col(name).cast("string").cast("binary"))
@@ -58,19 +68,16 @@ def share(spark: SparkSession, value: object):  # noqa: ANN201
 
 
 class Memory(dict):
-    """Values worked out once for each key and remembered within a bound: at ``limit`` keys they become the older generation, of
-    which those met again are kept."""
+    """Values worked out once for each key and remembered within a bound: at ``limit`` keys the older half goes."""
 
     def __init__(self, work_out: Callable, limit: int) -> None:
         super().__init__()
-        self.work_out, self.limit, self.old = work_out, limit, {}
+        self.work_out, self.limit = work_out, limit
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
-        value = self.old.get(key)
-        if value is None:
-            value = self.work_out(key)
+        value = self.work_out(key)
         if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+            for k in list(islice(self, self.limit // 2)):
+                del self[k]
         self[key] = value
         return value

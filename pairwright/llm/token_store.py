@@ -6,8 +6,8 @@ A document's recipe lists its chunks, and the Merkle root over them; recipes lie
 manifest gives each shard's place in the whole id stream and the Merkle root over its recipes.
 
     <path>/chunks/alone, <path>/chunks/several
-                      chunk binary (its name), payload binary (ids as little-endian unsigned 16- or 32-bit integers),
-                      row long and seq int (the place of a chunk that stands alone, one of the places of another)
+                      chunk binary (its name), payload binary (ids as little-endian unsigned 16- or 32-bit integers, compressed
+                      by zstd), row long and seq int (the place of a chunk that stands alone, one of the places of another)
     <path>/recipes    shard int, pos long, row long, doc_id, start_in_shard long, n_tokens long, chunks array<binary>, root binary
     <path>/manifest   shard int, start long, n_docs long, n_tokens long, first_doc, last_doc, root binary
 
@@ -34,15 +34,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_alphabet
-from .common import Memory, settled, share
+from .common import Memory, forget, settled, share
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Fixed value: the words of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Names of shared chunks that are broadcast at most (32 bytes each); beyond it they are joined.
@@ -151,6 +152,7 @@ def _encode_rows(path: str, end_id: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = library_encoder(path), TaskContext.get().partitionId() << 40
         end, size = np.array([end_id], encoder.kind).tobytes(), encoder.kind().itemsize
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -162,7 +164,7 @@ def _encode_rows(path: str, end_id: int):  # noqa: ANN202
                         a = b
                     n_tokens.append(len(raw) // size)
                     names.append([hashlib.sha256(x).digest() for x in own])
-                    payloads.append(own)
+                    payloads.append(list(map(compress, own)))
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(range(row, row + rows), pa.int64()), part.column(0), pa.array(n_tokens, pa.int64()), pa.array(names, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))], names=["row", "doc_id", "n_tokens", "chunks", "payloads"])
                 row += rows
@@ -226,6 +228,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: s
 
     schema = f"shard int, pos long, row long, doc_id {kind}, start_in_shard long, n_tokens long, chunks array<binary>, root binary"
     ordered.mapInArrow(number, schema).write.parquet(f"{path}/recipes")
+    forget(docs.sparkSession, coded)
     _write_manifest(docs.sparkSession, path, schema)
 
 
@@ -270,12 +273,14 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     whole = heads.join(gathered, "row", "left").select("doc_id", (F.col("start") + F.col("start_in_shard")).alias("start"), "n_tokens", "root", "parts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             out = []
             for doc_id, n, root, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 parts = parts or []
-                raw = b"".join(p["payload"] for p in parts)
-                if any(hashlib.sha256(p["payload"]).digest() != p["chunk"] for p in parts) or merkle_root([p["chunk"] for p in parts]) != root or len(raw) != n * stored().itemsize:
+                pieces = [expand(p["payload"]) for p in parts]
+                raw = b"".join(pieces)
+                if any(hashlib.sha256(x).digest() != p["chunk"] for x, p in zip(pieces, parts, strict=True)) or merkle_root([p["chunk"] for p in parts]) != root or len(raw) != n * stored().itemsize:
                     raise ValueError(f"document {doc_id} does not verify")
                 out.append(np.frombuffer(raw, stored).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_le"])
