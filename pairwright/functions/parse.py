@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 _TRAILING = re.compile(r",(\s*[}\]])")
@@ -44,7 +45,7 @@ def json_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(texts: pd.Series) -> pd.Series:
     return texts.map(json_object, na_action="ignore")
 

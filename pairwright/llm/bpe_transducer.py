@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory
+from .common import Memory, pieces
 
 #: Runs of non-space characters that a worker remembers before it starts anew.
 REMEMBERED = 350_000
@@ -265,13 +265,6 @@ def token_texts(path: str) -> list[str]:
     return out
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows, few at a time, so that a worker holds little at once."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
 _TOKENS: dict[str, list[str]] = {}
 _SPECS: dict[str, BpeSpec] = {}
 _ENCODERS: dict[tuple[str, str | None], Encoder] = {}

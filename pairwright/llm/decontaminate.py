@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import pieces, share
 
 #: Bytes that words are made of map to themselves (A-Z to lower case), all others to a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -119,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_slices = len(kept.value)
-        for batch in batches:
+        for batch in pieces(batches, 500 if n_slices == 1 else 10_000):
             texts = batch.column(at).to_pylist()
             many = [words_of(t) for t in texts]
             hits: list[np.ndarray | None] = [None] * len(many)

@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share
+from .common import pieces, share
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 MAX_WORD, MAX_PIECE = 40, 16
 #: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = 1e-7
 
@@ -104,8 +104,8 @@ class PieceModel:
         for k, w in enumerate(words):
             by_length[len(w)].append(k)
         for n, at in by_length.items():
-            for lo in range(0, len(at), 20_000):
-                part = at[lo : lo + 20_000]
+            for lo in range(0, len(at), 8_000):
+                part = at[lo : lo + 8_000]
                 alpha = np.zeros((n + 2, len(part), len(self.languages)))
                 alpha[0] = 1
                 for i, j, piece, known in self._pieces(_codes([MARK + words[k] for k in part])):
@@ -153,7 +153,7 @@ class PieceModel:
         new = sorted(fresh)
         first = len(self.seen)
         if first + len(new) > len(self.rows):
-            grown = np.zeros((2 * (first + len(new)), len(self.languages)))
+            grown = np.zeros((int(1.3 * (first + len(new))), len(self.languages)))
             grown[:first] = self.rows[:first]
             self.rows = grown
         parts, owner = [], []
@@ -166,9 +166,8 @@ class PieceModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        many = [WORD.findall(t.lower()) if t else [] for t in texts]
-        for lo in range(0, len(many), 512):
-            group = many[lo : lo + 512]
+        for lo in range(0, len(texts), 512):
+            group = [WORD.findall(t.lower()) if t else [] for t in texts[lo : lo + 512]]
             fresh = set().union(*group).difference(self.seen)
             if fresh:
                 fresh |= set().union(*group) if len(self.seen) + len(fresh) > REMEMBERED else set()
@@ -229,7 +228,7 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFram
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores = shared.value.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 

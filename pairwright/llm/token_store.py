@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_alphabet
-from .common import Memory, forget, settled, share
+from .common import Memory, forget, settled
 
 #: Runs that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: Fixed value: the words of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_MARKS = frozenset(".,;:!?")
 #: Names of shared chunks that are broadcast at most (32 bytes each); beyond it they are joined.
 MOST_SHARED = 1_000_000
 #: Documents of a shard, about.
@@ -71,15 +72,21 @@ class LibraryEncoder:
         self.runs = Memory(self._run, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-        return array(self.code, [t.id for t in tokens]).tobytes()
+        if word.isascii() and word.isprintable():
+            word = self.alphabet[32] + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _run(self, run: str) -> bytes | str:
         """A run's ids. One whose space is followed by white space, or by nothing, has none of its own: it is marked by a str."""
         if run[:1] == " " and (len(run) == 1 or run[1].isspace()):
             return ""
-        if (run[1:] if run[:1] == " " else run).isalpha():
+        letters = run[1:] if run[:1] == " " else run
+        if letters.isalpha():
             return self.words[run]
+        if letters[:-1].isalpha() and letters[-1] in _MARKS:
+            return self.words[run[:-1]] + self.words[run[-1]]
         return b"".join(map(self.words.__getitem__, PATTERN.findall(run)))
 
     def _whole(self, text: str) -> bytes:
@@ -177,29 +184,8 @@ def _by_sharing(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = coded.select("row", F.posexplode("chunks").alias("seq", "chunk"))
     several = settled(places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk"))
     each = coded.select("row", F.posexplode(F.arrays_zip("chunks", "payloads")).alias("seq", "c")).select("row", "seq", F.col("c.chunks").alias("chunk"), F.col("c.payloads").alias("payload"))
-    if several.count() > MOST_SHARED:
-        marked = each.join(several.withColumn("shared", F.lit(True)), "chunk", "left")
-        return marked.where("shared is null").drop("shared"), marked.where("shared").drop("shared")
-    names = share(coded.sparkSession, frozenset(bytes(r.chunk) for r in several.toLocalIterator()))
-
-    def only(of_several: bool):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = names.value
-            sent: set[bytes] = set()  # of several, a task hands each on once
-            for batch in batches:
-                take = []
-                for x in batch.column(2).to_pylist():
-                    ok = (x in known) == of_several and x not in sent
-                    if ok and of_several:
-                        sent.add(x)
-                    take.append(ok)
-                yield batch.filter(pa.array(take, pa.bool_()))
-
-        return run
-
-    schema = "row long, seq int, chunk binary, payload binary"
-    columns = each.select("row", "seq", "chunk", "payload")
-    return columns.mapInArrow(only(False), schema), columns.mapInArrow(only(True), schema)
+    few = F.broadcast(several) if several.count() <= MOST_SHARED else several
+    return each.join(few, "chunk", "left_anti"), each.join(few, "chunk", "left_semi")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
@@ -207,7 +193,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: s
     kind = docs.schema[key].dataType.simpleString()
     coded = settled(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_encode_rows(tokenizer, end_id), f"row long, doc_id {kind}, n_tokens long, chunks array<binary>, payloads array<binary>"))
     alone, several = _by_sharing(coded)
-    alone.write.parquet(f"{path}/chunks/alone")
+    alone.select("row", "seq", "chunk", "payload").write.parquet(f"{path}/chunks/alone")
     several.groupBy("chunk").agg(F.first("row").alias("row"), F.first("seq").alias("seq"), F.first("payload").alias("payload")).select("row", "seq", "chunk", "payload").write.parquet(f"{path}/chunks/several")
 
     shards = max(1, -(-coded.count() // SHARD_DOCS))

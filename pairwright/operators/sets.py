@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pairwright.functions.stats import ratio
@@ -16,16 +18,23 @@ from pairwright.functions.text import normalize_instruction
 REJECT_AT, TEXT_MAX, PIXEL_MAX = 0.60, 0.10, 0.05
 
 
-def pool_overlap(new: DataFrame, other: DataFrame, text: str, content: str, examples: int = 5) -> DataFrame:
-    """One row: distinct normalised texts and content hashes of both pools, how many they share, the shares of each, the first examples."""
-    texts = [d.select(normalize_instruction(F.col(text)).alias("v")).distinct() for d in (new, other)]
-    hashes = [d.select(F.sha1(F.col(content)).alias("v")).where("v is not null").distinct() for d in (new, other)]
-    parts = []
-    for name, (a, b) in (("text", texts), ("content", hashes)):
-        both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), "v", "full_outer")
-        shared = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-        parts.append(both.agg(F.count("_a").alias(f"{name}_new"), F.count("_b").alias(f"{name}_other"), F.count(F.when(shared, 1)).alias(f"{name}_shared")))
-    return parts[0].crossJoin(parts[1]).select("*", ratio(F.col("text_shared"), F.col("text_new")).alias("text_share"), ratio(F.col("content_shared"), F.col("content_new")).alias("content_share"))  # one row each
+def pool_overlap(new: DataFrame, other: DataFrame, text: str, content: str) -> DataFrame:
+    """One row: distinct normalised texts and content hashes of both pools, how many they share, the shares of the new one."""
+    sides = []
+    for name, value in (("text", normalize_instruction(F.col(text))), ("content", F.sha1(F.col(content)))):
+        sides += [d.select(F.lit(name).alias("kind"), value.alias("v"), F.lit(i).alias("side")) for i, d in enumerate((new, other))]
+    values = reduce(lambda a, b: a.unionByName(b), sides).where("v is not null").groupBy("kind", "v").agg(F.max((F.col("side") == 0).cast("int")).alias("a"), F.max("side").alias("b"))
+    counts = []
+    for kind in ("text", "content"):
+        own = F.col("kind") == kind
+        counts += [F.count(F.when(own & (F.col("a") == 1), 1)).alias(f"{kind}_new"), F.count(F.when(own & (F.col("b") == 1), 1)).alias(f"{kind}_other"), F.count(F.when(own & (F.col("a") == 1) & (F.col("b") == 1), 1)).alias(f"{kind}_shared")]
+    return values.agg(*counts).select("*", ratio(F.col("text_shared"), F.col("text_new")).alias("text_share"), ratio(F.col("content_shared"), F.col("content_new")).alias("content_share"))
+
+
+def overlap_examples(new: DataFrame, other: DataFrame, text: str, n: int = 5) -> DataFrame:
+    """The first n normalised texts that both pools hold, in order."""
+    a, b = (d.select(normalize_instruction(F.col(text)).alias("example")) for d in (new, other))
+    return a.intersect(b).where("example is not null").orderBy("example").limit(n)
 
 
 def verdict(text_share: Column, *pixel_shares: Column) -> Column:
@@ -72,9 +81,10 @@ def near_duplicates(sample: DataFrame, against: DataFrame, key: str, vector: str
     d = len(first[0]) if first else 1
     planes = np.random.default_rng(seed).standard_normal((tables, bits, d))
 
-    def buckets(v: Column) -> Column:
-        dot = lambda p: F.aggregate(F.zip_with(v, F.array(*map(F.lit, p.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.array(*[F.concat_ws("", F.lit(f"{t}:"), *[F.when(dot(p) > 0, "1").otherwise("0") for p in planes[t]]) for t in range(tables)])
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def buckets(vectors: pd.Series) -> pd.Series:
+        signs = np.einsum("nd,tbd->ntb", np.stack(vectors.to_list()), planes) > 0
+        return pd.Series([[f"{t}:{int(''.join('01'[int(x)] for x in row), 2)}" for t, row in enumerate(s)] for s in signs])
 
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     side = lambda df, n: df.select(F.col(key).alias(n), F.transform(vector, lambda x: x.cast("double")).alias(f"v_{n}")).withColumn("bucket", F.explode(buckets(F.col(f"v_{n}"))))

@@ -76,15 +76,20 @@ def pass_summary(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, digest: str, key: str) -> DataFrame:
-    """(digest, size, dup_group): groups of two rows and more, numbered by the place of their digest among all digests from 0."""
-    groups = df.groupBy(digest).agg(F.count("*").alias("size"), F.min(key).alias("first"))
-    return groups.withColumn("dup_group", F.row_number().over(W.orderBy(digest)) - 1).where("size > 1")
-
-
-def coverage_grid(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """Counts of every combination of the two columns' values, zeros too. Values are few; the grid is their product."""
-    a, b = df.select(rows).distinct().where(F.col(rows).isNotNull()), df.select(columns).distinct().where(F.col(columns).isNotNull())
+    """(digest, size, first, dup_group): groups of two rows and more, numbered by the place of their hexadecimal digest among all digests
+    from 0. Places come from counts by the first three digits, so no task ranks all digests."""
+    groups = df.groupBy(digest).agg(F.count("*").alias("size"), F.min(key).alias("first")).withColumn("_head", F.substring(digest, 1, 3))
+    heads = groups.groupBy("_head").agg(F.count("*").alias("_n"))  # 4096 rows at most
+    before = heads.select("_head", (F.sum("_n").over(W.orderBy("_head")) - F.col("_n")).alias("_before"))
+    placed = groups.join(before, "_head").withColumn("dup_group", (F.col("_before") + F.row_number().over(W.partitionBy("_head").orderBy(digest)) - 1).cast("long"))
+    return placed.where("size > 1").select(digest, "size", "first", "dup_group")
+
+
+def coverage_grid(df: DataFrame, rows: str, columns: str, most: int = 1000) -> DataFrame:
+    """Counts of every combination of the two columns' values, zeros too. The columns' values are few (an error over ``most``)."""
+    values = [r[0] for r in df.select(columns).distinct().where(F.col(columns).isNotNull()).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{columns} has more than {most} values")
+    grid = df.select(rows).distinct().where(F.col(rows).isNotNull()).select(rows, F.explode(F.array(*map(F.lit, sorted(values)))).alias(columns))
     counts = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
-    values = b.agg(F.sort_array(F.collect_set(columns)).alias("_v"))
-    grid = a.join(F.broadcast(values)).select(rows, F.explode("_v").alias(columns))  # one row is broadcast
     return grid.join(counts, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"))

@@ -219,8 +219,8 @@ def cue_summary(spark: SparkSession, d: str) -> DataFrame:
 def collection_drift(spark: SparkSession, d: str) -> DataFrame:
     """AGG32: a second collection (later half of the events): its control against the first one's baseline."""
     v = verdicts(spark, d)
-    half = v.agg(F.expr("percentile(ord, 0.5)").alias("h"))
-    tagged = v.join(F.broadcast(half)).withColumn("second", F.col("ord") > F.col("h"))  # one row is broadcast
+    half = v.agg(F.percentile("ord", F.lit(0.5))).first()[0]
+    tagged = v.withColumn("second", F.col("ord") > half)
     first = scoring.baseline_scores(tagged.where("not second"), "fine")
     control = scoring.cued_scores(tagged.where("second and cue = 'sham'"), "fine").groupBy("judge", "sample").agg(F.max_by("after", "ord").alias("after"))
     return _rounded(control.join(first, ["judge", "sample"]).withColumn("shift", F.col("after") - F.col("before")).groupBy("judge").agg(F.count("*").alias("n"), F.avg("shift").alias("drift")))

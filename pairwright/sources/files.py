@@ -24,13 +24,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, strict: bool = True) -> DataFrame:
     """One object a line by a declared schema, blank lines skipped. strict: any bad line is an error that names its file."""
     read = T.StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(read).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")).where(F.trim("value") != "")
+    rows = lines.withColumn("r", F.from_json("value", read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     if strict:
-        missing = reduce(lambda a, b: a | b, [F.col(f.name).isNull() for f in schema if not f.nullable], F.lit(False))
-        bad = df.withColumn("_file", F.col("_metadata.file_path")).where(F.col("_corrupt").isNotNull() | missing).select("_file", F.coalesce("_corrupt", F.lit("a required field is missing")).alias("line"))
-        if first := bad.head(1):
-            raise BadRows(f"{first[0]['_file']}: {first[0]['line'][:200]}")
-    return df.drop("_corrupt")
+        missing = reduce(lambda a, b: a | b, [F.col(f"r.{f.name}").isNull() for f in schema if not f.nullable], F.lit(False))
+        if first := rows.where(F.col("r._corrupt").isNotNull() | missing).select("_file", "value").head(1):
+            raise BadRows(f"{first[0]['_file']}: {first[0]['value'][:200]}")
+    return rows.select(*[F.col(f"r.{f.name}") for f in schema])
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
