@@ -2,7 +2,7 @@
 
 The corpus's frequent words are compiled into a shared-suffix automaton whose path gives each word its rank among the
 sorted words, and so its ids. The file is memory-mapped by every worker of a machine. Words that it lacks are merged
-exactly by the vocabulary's merge ranks. What a run of non-space characters encodes to is remembered, within a bound.
+exactly by the vocabulary's merge ranks. What a piece between spaces encodes to is remembered, within a bound.
 
 The result is that of the tokenizers library for the given file (special tokens in a text count as such, none are added);
 ``BpeSpec`` reads what it needs from the file. Defined results: null encodes as the empty text, to no ids; an empty table
@@ -26,20 +26,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, pieces
+from .common import CUT, Memory, by_pieces, has_any, pieces
 
-#: Runs of non-space characters that a worker remembers before it starts anew.
-REMEMBERED = 350_000
+#: Pieces that a worker remembers before it starts anew.
+REMEMBERED = 500_000
 #: A word must be found so often by a task to be proposed for the lexicon; this bears on speed, never on results.
 PROPOSED = 2
-#: str.split() also splits at these, which are no white space to the pre-tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACE = regex.compile(r"\s+")
 
 
 def byte_alphabet() -> list[str]:
@@ -210,22 +208,18 @@ class BpeSpec:
         self.merger = Merger(self.vocab, model["merges"], model["end_of_word_suffix"] or "")
 
     def words(self, run: str) -> list[str]:
-        """The words of a run of non-space characters."""
+        """The words of a piece of text; white space within it parts words and is dropped."""
         if run.isascii():
             run = run.lower()
             return [run] if run.isalpha() else self.pattern.findall(run)
         return self.pattern.findall("".join(map(str.lower, unicodedata.normalize("NFC", run))))
 
-    def runs(self, text: str) -> list[str]:
-        return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
-
 
 class Encoder:
     """One worker's encoder: lexicon first, exact merging for the rest, and a bounded memory of runs and words."""
 
     def __init__(self, spec: BpeSpec, lexicon: Transducer | None) -> None:
         self.spec, self.lexicon = spec, lexicon
-        self.words = Memory(self._word, REMEMBERED // 2)
         self.runs = Memory(self._run, REMEMBERED)
         self.merged = self.looked_up = 0
 
@@ -240,10 +234,10 @@ class Encoder:
 
     def _run(self, run: str) -> bytes:
         words = self.spec.words(run)
-        return self.words[words[0]] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self._word, words))
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, self.spec.runs(text)))
+        return b"".join(map(self.runs.__getitem__, text.split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -253,6 +247,20 @@ class Encoder:
             return b"".join(np.array([self.spec.special[p]], np.int32).tobytes() if p in self.spec.special else self._plain(p) for p in parts)
         return self._plain(text)
 
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, where each text's begin and end): each different piece between spaces is looked up once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if has_any(texts, [*self.spec.special, CUT]).any():
+            coded = [self.encode(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(coded), np.int32), np.cumsum([0, *(len(c) // 4 for c in coded)])
+        ids, ends, _, last = by_pieces(cut(texts), self.runs, np.int32)
+        return ids, np.concatenate([[0], ends[last - 1]]) if len(last) else np.zeros(1, np.int64)
+
+
+def cut(texts: pa.Array) -> pa.Array:
+    """Cuts at spaces and line ends, and between a letter and what is neither letter nor mark: words part there in any case."""
+    return pc.replace_substring_regex(pc.replace_substring_regex(texts, r"(\p{L})([^\p{L}\p{M} \n])", f"\\1{CUT}\\2"), "[ \n]", CUT)
+
 
 def token_texts(path: str) -> list[str]:
     """Each id's token."""
@@ -304,11 +312,12 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                runs.update(spec.runs(t or ""))
-                if len(runs) > REMEMBERED:
-                    yield emit()
+        for batch in pieces(batches, 2000):
+            found = pc.value_counts(pc.split_pattern(cut(batch.column(0).cast(pa.large_string()).fill_null("")), CUT).flatten())
+            for r, n in zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_numpy(zero_copy_only=False).tolist(), strict=True):
+                runs[r] += n
+            if len(runs) > REMEMBERED:
+                yield emit()
         yield emit()
 
     return docs.select(F.col(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -340,10 +349,9 @@ def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _encoder(path, lexicon)
-        for batch in pieces(batches):
-            coded = [own.encode(t) for t in batch.column(at).to_pylist()]
-            ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(coded), np.int32)
+        for batch in pieces(batches, 1000):
+            flat, ends = own.encode_many(batch.column(at))
+            ends = ends.astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             texts = [pa.array(decoded(tokens_of(path), flat, ends), pa.string())] if and_decode else []
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(ends).astype(np.int64)), *texts], names=[*batch.schema.names, "ids", "n_tokens", *["decoded"] * and_decode])

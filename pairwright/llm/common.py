@@ -7,7 +7,9 @@ import zlib
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,31 @@ class Memory(dict):
                 del self[k]
         self[key] = value
         return value
+
+
+#: Parts pieces of a text; a text that holds it goes another way.
+CUT = "\x01"
+
+
+def by_pieces(texts: pa.Array, codes: dict, kind: type) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """Texts cut at ``CUT``, each different piece coded once: (ids of all pieces one behind the other, where each piece's ids end, the
+    pieces, where each text's pieces end)."""
+    lists = pc.split_pattern(texts, CUT)
+    coded = lists.flatten().dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    found = list(map(codes.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    size = np.fromiter(map(len, found), np.int32, len(found)) // np.dtype(kind).itemsize
+    starts = np.cumsum(size, dtype=np.int32) - size
+    held = np.frombuffer(b"".join(found), kind)
+    n = size[which]
+    ends = np.cumsum(n, dtype=np.int32)
+    at = np.repeat(starts[which] - (ends - n), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return held[at], ends, coded, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+
+
+def has_any(texts: pa.Array, parts: list[str]) -> np.ndarray:
+    found = np.zeros(len(texts), bool)
+    for s in parts:
+        found |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    return found

@@ -16,9 +16,9 @@ all others go straight to the store, and from it to their document.
 
 Reading verifies every chunk's name, every recipe's root and every shard's root; what does not verify raises an error.
 
-Texts are encoded by the tokenizers library's model, word by word of its byte-level pre-tokenizer, which always parts a word
-from the one before it at a single space; what a space-bounded run encodes to is remembered, within a bound. Texts with several
-spaces in a row, or with special tokens, go through the library whole.
+Texts are encoded by the tokenizers library's model, word by word of its byte-level pre-tokenizer. Texts are first cut where that always parts
+words; what a piece encodes to is remembered, within a bound. Texts with several spaces in a row, or with special tokens, go through the
+library whole.
 
 Defined results: null is the empty text, whose ids are the end id alone; repeated rows each have a recipe (rows of one id
 in the order of their chunks' names); an empty table gives an empty store that can be read.
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -40,13 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_transducer import byte_alphabet
-from .common import Memory, forget, settled
+from .common import CUT, Memory, by_pieces, forget, has_any, settled
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 450_000
 #: Fixed value: the words of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_MARKS = frozenset(".,;:!?")
+#: A space before white space or the end: then the space does not belong to the next word.
+_ODD = r"^ ($|[\s\p{Z}\x0b\x1c-\x1f\x{85}])"
 #: Names of shared chunks that are broadcast at most (32 bytes each); beyond it they are joined.
 MOST_SHARED = 1_000_000
 #: Documents of a shard, about.
@@ -68,38 +70,43 @@ class LibraryEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.words = Memory(self._word, REMEMBERED // 2)
+        self.mark = self.alphabet[32]
         self.runs = Memory(self._run, REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():
-            word = self.alphabet[32] + word[1:] if word[0] == " " else word
+            word = self.mark + word[1:] if word[0] == " " else word
         else:
             word = word.encode().decode("latin-1").translate(self.alphabet)
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _run(self, run: str) -> bytes | str:
-        """A run's ids. One whose space is followed by white space, or by nothing, has none of its own: it is marked by a str."""
-        if run[:1] == " " and (len(run) == 1 or run[1].isspace()):
-            return ""
-        letters = run[1:] if run[:1] == " " else run
-        if letters.isalpha():
-            return self.words[run]
-        if letters[:-1].isalpha() and letters[-1] in _MARKS:
-            return self.words[run[:-1]] + self.words[run[-1]]
-        return b"".join(map(self.words.__getitem__, PATTERN.findall(run)))
+    def _run(self, run: str) -> bytes:
+        if (run[1:] if run[:1] == " " else run).isalpha():
+            return self._word(run)
+        return b"".join(map(self._word, PATTERN.findall(run)))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if "\x00" in text or any(s in text for s in self.special):
-            return self._whole(text)
-        try:
-            return b"".join(map(self.runs.__getitem__, text.replace(" ", "\x00 ").split("\x00")))
-        except TypeError:
-            return self._whole(text)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = has_any(texts, [*self.special, CUT])
+        ids, ends, pieces, last = by_pieces(cut(texts), self.runs, self.kind)
+        if not len(last):
+            return []
+        odd = pc.match_substring_regex(pieces.dictionary, _ODD).to_numpy(zero_copy_only=False)
+        if odd.any():
+            whole |= np.logical_or.reduceat(odd[pieces.indices.to_numpy(zero_copy_only=False)], np.concatenate([[0], last[:-1]]))
+        raw, size, stop = ids.tobytes(), self.kind().itemsize, ends[last - 1].tolist()
+        return [self._whole(texts[k].as_py()) if c else raw[a * size : b * size] for k, (a, b, c) in enumerate(zip([0, *stop[:-1]], stop, whole.tolist(), strict=True))]
+
+
+def cut(texts: pa.Array) -> pa.Array:
+    """Cuts before spaces, around a line end that stands between others and a letter, and between a letter and anything but a letter or space. The
+    pre-tokenizer parts words there in any case, but for spaces that white space follows: such texts are told by their pieces."""
+    lines = pc.replace_substring_regex(texts, r"(\S)\n(\p{L})", f"\\1{CUT}\n{CUT}\\2")
+    return pc.replace_substring(pc.replace_substring_regex(lines, rf"(\p{{L}})([^\p{{L}} {CUT}])", f"\\1{CUT}\\2"), " ", f"{CUT} ")
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -161,11 +168,11 @@ def _encode_rows(path: str, end_id: int):  # noqa: ANN202
         end, size = np.array([end_id], encoder.kind).tobytes(), encoder.kind().itemsize
         compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 n_tokens, names, payloads = [], [], []
-                for text in part.column(1).to_pylist():
-                    raw, own, a = encoder.encode(text) + end, [], 0
+                for coded in encoder.encode(part.column(1)):
+                    raw, own, a = coded + end, [], 0
                     for b in cuts(np.frombuffer(raw, encoder.kind)):
                         own.append(raw[a * size : b * size])
                         a = b
