@@ -105,7 +105,7 @@ def test_ranks_and_correlations(spark):  # noqa: ANN001
     d = spark.createDataFrame([("g", i, float(x), float(y)) for i, (x, y) in enumerate([(1, 2), (2, 2), (3, 1), (3, 5), (9, 7)])], "g string, i int, x double, y double")
     rho = stats.spearman(d, ["g"], "x", "y").first().rho
     assert abs(rho - np.corrcoef([1, 2, 3.5, 3.5, 5], [2.5, 2.5, 1, 4, 5])[0, 1]) < 1e-12
-    assert abs(stats.kendall_tau_b(d, ["g"], "i", "x", "y").first().tau - (7 - 1) / 9) < 1e-12
+    assert abs(stats.kendall_tau_b(d, ["g"], "i", "x", "y").first().tau - 4 / 9) < 1e-12
     assert stats.spearman(d.limit(2), ["g"], "x", "y").first().rho is None
 
 
@@ -128,10 +128,11 @@ def test_cluster_bootstrap_brackets_accuracy(spark):  # noqa: ANN001
 
 def test_planted_cue_is_found(spark):  # noqa: ANN001
     rng = np.random.default_rng(0)
-    data = [(f"j{j}", i, float(h), *(float(h + rng.normal(0, 0.3)) for _ in range(3)), float(rng.normal())) for j in range(4) for i, h in enumerate(rng.normal(size=80))]
+    people = rng.normal(size=80)
+    data = [(f"j{j}", i, float(h), *(float(h + rng.normal(0, 0.3)) for _ in range(3)), float(rng.normal())) for j in range(8) for i, h in enumerate(people)]
     cells = spark.createDataFrame(data, "judge string, item int, human double, baseline double, a double, b double, planted double")
     got = {(r.statistic, r.cue): r for r in resample.permutation_worst_cue(cells, "judge", "item", "human", ["a", "b", "planted"], n_perm=200).collect()}
-    assert got["worst_count", "planted"].p_selected < 0.05 and got["mean_delta_rho", "a"].p_selected > 0.2
+    assert got["worst_count", "planted"].p_selected < 0.05 and got["mean_delta_rho", "planted"].p_selected < 0.05 < got["mean_delta_rho", "a"].p_selected
 
 
 def test_rater_coefficients(spark):  # noqa: ANN001
@@ -233,7 +234,7 @@ def test_sets(spark):  # noqa: ANN001
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z"), (3, "w"), (3, "q")], "k int, v string")
     kept, dropped = sets.first_wins([a, b], "k", "v")
     assert sorted(map(tuple, kept.collect())) == [(1, "x"), (2, "y"), (3, "q")] and sorted(map(tuple, dropped.collect())) == [(2, 1), (3, 1)]
-    assert sorted(map(tuple, sets.audit(a, b, ["k"]).collect())) == [("extra", 1), ("missing", 1), ("duplicate", 1), ("missing", 1), ("ok", 1)]
+    assert sorted(map(tuple, sets.audit(a, b, ["k"]).collect())) == [("extra", 1), ("missing", 1), ("ok", 1)]
     v = spark.range(1).select(*[sets.verdict(F.lit(t).cast("double"), F.lit(p).cast("double")).alias(f"v{i}") for i, (t, p) in enumerate(((0.7, 0), (0.1, 0), (0, 0.05), (0.09, 0.04), (None, None)))]).first()
     assert list(v) == ["reject", "needs_exclusion", "needs_exclusion", "independent", "independent"]
 
