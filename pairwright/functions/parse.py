@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What marks a fenced block and a trailing comma.
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 _TRAILING = re.compile(r",(\s*[}\]])")
 

@@ -70,7 +70,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") ->
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = with_average_rank(with_average_rank(both, by, x, "_rx"), by, y, "_ry")
     flat = (F.min("_rx") == F.max("_rx")) | (F.min("_ry") == F.max("_ry"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, F.corr("_rx", "_ry")).alias(out))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))).alias(out))
 
 
 def kendall_tau_b(df: DataFrame, by: list[str], item: str, x: str, y: str, out: str = "tau") -> DataFrame:

@@ -1,5 +1,5 @@
-"""Structured Streaming extensions: an append-only verdict log that writes each id once, and windowed counts with late data. The reference has
-no event time; these are extras."""
+"""Structured Streaming extensions: an append-only verdict log that writes each id once, and windowed counts with late data. Verdicts
+have no event time of their own; these are extras."""
 
 from __future__ import annotations
 
