@@ -129,19 +129,21 @@ def _table() -> np.ndarray:
 _TABLE, _FACTOR = _table(), 0x9E6C63D0876A9A35
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    s = _TABLE[ids & 0xFFFF]
-    width = 1
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash asks for a cut, in one or several id streams that lie one behind the other (a window that
+    reaches into the stream before ends within a chunk's least length, where nothing is cut)."""
+    s, width = _TABLE[ids & 0xFFFF], 1
     while width < WINDOW:  # s: hash of the last ``width`` ids
         factor = np.uint64(pow(_FACTOR, width, 1 << 64))
-        s = np.concatenate([s[:width], s[width:] + s[:-width] * factor])
+        s[width:] += s[:-width].copy() * factor
         width *= 2
+    return np.flatnonzero((s >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+
+
+def cuts(n: int, wanted: list[int]) -> list[int]:
+    """Ends of the chunks of one stream of n ids, given the places where the hash asks for a cut."""
     ends, last = [], 0
-    for e in (np.flatnonzero((s >> np.uint64(40)) & np.uint64(MASK) == 0) + 1).tolist():
+    for e in wanted:
         while e - last > MOST:
             last += MOST
             ends.append(last)
@@ -171,9 +173,13 @@ def _encode_rows(path: str, end_id: int):  # noqa: ANN202
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n_tokens, names, payloads = [], [], []
-                for coded in encoder.encode(part.column(1)):
-                    raw, own, a = coded + end, [], 0
-                    for b in cuts(np.frombuffer(raw, encoder.kind)):
+                coded = [c + end for c in encoder.encode(part.column(1))]
+                ends = np.cumsum([0, *(len(c) // size for c in coded)])
+                wanted = marks(np.frombuffer(b"".join(coded), encoder.kind)) if coded else np.zeros(0, np.int64)
+                at = np.searchsorted(wanted, ends, "right").tolist()
+                for k, raw in enumerate(coded):
+                    own, a = [], 0
+                    for b in cuts(len(raw) // size, (wanted[at[k] : at[k + 1]] - ends[k]).tolist()):
                         own.append(raw[a * size : b * size])
                         a = b
                     n_tokens.append(len(raw) // size)
@@ -268,12 +274,13 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            out = []
-            for doc_id, n, root, parts in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                parts = parts or []
-                pieces = [expand(p["payload"]) for p in parts]
-                raw = b"".join(pieces)
-                if any(hashlib.sha256(x).digest() != p["chunk"] for x, p in zip(pieces, parts, strict=True)) or merkle_root([p["chunk"] for p in parts]) != root or len(raw) != n * stored().itemsize:
+            out, parts = [], batch.column(4)
+            held = parts.flatten()
+            names, payloads = held.field("chunk").to_pylist(), list(map(expand, held.field("payload").to_pylist()))
+            ends = np.cumsum([0, *pc.list_value_length(parts).fill_null(0).to_pylist()]).tolist()
+            for doc_id, n, root, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), ends[:-1], ends[1:], strict=True):
+                own, raw = names[a:b], b"".join(payloads[a:b])
+                if [hashlib.sha256(x).digest() for x in payloads[a:b]] != own or merkle_root(own) != root or len(raw) != n * stored().itemsize:
                     raise ValueError(f"document {doc_id} does not verify")
                 out.append(np.frombuffer(raw, stored).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_le"])
