@@ -44,7 +44,7 @@ from .bpe_transducer import byte_alphabet
 from .common import CUT, Memory, by_pieces, forget, has_any, settled
 
 #: Runs that a worker remembers before it starts anew.
-REMEMBERED = 450_000
+REMEMBERED = 420_000
 #: Fixed value: the words of the byte-level pre-tokenizer.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space before white space or the end: then the space does not belong to the next word.
