@@ -5,20 +5,19 @@ longest first, each escaping to the next:
 
 1. The two words before, as in the same text before (adaptive): the word that followed them last time. Its escape is estimated
    from how such predictions have fared so far in the text, by the number of successes in a row; on an escape that word is excluded.
-2. The whole word from its start (pretrained): the counts c of the corpus's most frequent words, as (c - d)/N with the
-   absolute discount d = n1/(n1 + 2 n2); what is discounted, and all rarer words, is the escape.
+2. The whole word from its start (pretrained): the counts c of all words of the corpus, as (c - d)/N with the
+   absolute discount d = n1/(n1 + 2 n2); what is discounted is the escape.
 3. The byte-context trie (pretrained on the distinct words, so as a model of new ones): up to ``ORDER`` bytes back to the space before
    the word. Escapes follow method D (a symbol seen c of n times has (2c-1)/2n, the escape q/2n for q distinct symbols),
    and symbols of a longer context are excluded from the shorter one; at last all bytes not yet excluded are equal.
 
-Contexts 2 and 3 depend on the word alone and are worked out once for each distinct word a worker meets.
+Contexts 2 and 3 depend on the word alone and are worked out once for each distinct word.
 
 Counting covers every training document: words are counted by a shuffle, and each distinct word counts in all nodes of
-the trie on its way. A node is one 64-bit key: its order, then context and symbol bytes. The trie that is broadcast holds the
-nodes of the largest counts, at most ``max_nodes`` of them (24 bytes each), which keeps suffixes whole.
-
-The unigram base needs the count of every token. The most frequent words, at most ``max_words``, are broadcast; all
-others go through a join on the word, exactly.
+the trie on its way. A node is one 64-bit key: its order, then context and symbol bytes. No node or word is left out, however many there are:
+the trie is parted by the two bytes before the symbol (orders 0 and 1, at most 65,792 nodes, go to every part), and each symbol of a
+distinct word is scored in its part. A text's score is a sum over its words, so words meet their counts and scores by a join;
+those of the most frequent words, at most ``max_words``, are broadcast, which bears on speed alone.
 
 Defined results: null is the empty text (one end token); repeated rows are scored each; an empty training set gives every
 symbol 1/256 and every token 1/(0+0+1); an empty table stays empty.
@@ -37,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import settled, share
 
-ORDER = 5
+ORDER = 6
 SEP, END = 0x20, 0x0A
 FLUSH = 1_000_000
 REMEMBERED = 250_000
+#: Rows of the parted trie that a task holds at once, beside the nodes of one part.
+HELD = 500_000
 
 
 def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,6 +74,16 @@ def node_counts(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.nda
         yield nodes, np.bincount(which, counts[word[at]]).astype(np.int64)
 
 
+def places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of the words: which word it is of, and the key of its longest context and itself."""
+    buf, word, start = _symbols(words)
+    place = np.zeros(len(buf), np.int64)
+    for _, at, key in _keys(buf, start):
+        place[at] = key
+    at = np.arange(len(buf)) != start
+    return word[at], place[at]
+
+
 class Trie:
     """Nodes sorted by key, and what escapes from each context cost."""
 
@@ -105,14 +116,14 @@ class Trie:
         bits = symbol_bits + 8 * (order - 1)
         return (order - 1) << (48 + symbol_bits) | key & ((np.int64(1) << bits) - 1)
 
-    def log10_symbols(self, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability; 0 at leading spaces."""
-        out, open_ = np.zeros(len(buf)), np.arange(len(buf)) != start
-        came = np.full(len(buf), -1, np.int64)  # the context escaped from
+    def log10_places(self, place: np.ndarray) -> np.ndarray:
+        """log10 of each symbol's probability, given by the key of its longest context."""
+        out, open_ = np.zeros(len(place)), np.ones(len(place), bool)
+        came = np.full(len(place), -1, np.int64)  # the context escaped from
         last, last_context = len(self.key), len(self.context)
-        for _, at, key in reversed(list(_keys(buf, start))):
-            use = open_[at]
-            at, key = at[use], key[use]
+        for d in range(ORDER, -1, -1):
+            at = np.flatnonzero(open_ & (place >> 56 >= d))
+            key = place[at] & ((np.int64(1) << 8 * (d + 1)) - 1) | d << 56
             if not last:
                 break
             node = np.minimum(np.searchsorted(self.key, key), last - 1)
@@ -131,12 +142,13 @@ class Trie:
         out[open_] -= np.log10(max(1, self.unseen))
         return out
 
-    def log10_words(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(words))
-        for lo in range(0, len(words), 50_000):
-            part = words[lo : lo + 50_000]
-            buf, word, start = _symbols(part)
-            out[lo : lo + len(part)] = np.bincount(word, self.log10_symbols(buf, start), len(part))
+    def log10_symbols(self, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """log10 of each symbol's probability; 0 at leading spaces."""
+        place = np.zeros(len(buf), np.int64)
+        for _, at, key in _keys(buf, start):
+            place[at] = key
+        out, at = np.zeros(len(buf)), np.flatnonzero(np.arange(len(buf)) != start)
+        out[at] = self.log10_places(place[at])
         return out
 
 
@@ -170,7 +182,7 @@ def count_nodes(words: DataFrame) -> DataFrame:
             words: list[bytes] = []
             for batch in batches:
                 words += batch.column(0).to_pylist()
-                if len(words) >= 400_000:
+                if len(words) >= 200_000:
                     yield words
                     words = []
             yield words
@@ -199,12 +211,13 @@ def largest(counted: DataFrame, most: int) -> Column:
 EXPECTED = ((0.3, 0.6), (1, 0.2), (2, 0.1), (3, 0.05), (3, 0.02))
 
 
-def adapted(at: np.ndarray, log_p: np.ndarray) -> float:
-    """log10 probability of the word sequence ``at`` with the text's own two-word contexts before the pretrained model's
-    probabilities, 10**log_p for each place."""
+def adapting(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """How the word sequence ``at`` is predicted by its own two-word contexts: the log10 of what they predict and of their escapes, where the
+    pretrained model predicts (true or false for each place), and the places whose words are excluded from it on an escape."""
     n = len(at) - 2
+    ours, none = np.ones(len(at), bool), np.zeros(0, np.int64)
     if n < 1:
-        return float(log_p.sum())
+        return 0.0, ours, none
     context = at[1:-1] * (1 << 31) + at[:-2]
     by = np.argsort(context, kind="stable")
     same = context[by][1:] == context[by][:-1]
@@ -212,7 +225,7 @@ def adapted(at: np.ndarray, log_p: np.ndarray) -> float:
     before[by[1:][same]] = by[:-1][same]
     places = np.flatnonzero(before >= 0)
     if not len(places):
-        return float(log_p.sum())
+        return 0.0, ours, none
     guessed = before[places] + 2
     hit = at[guessed] == at[places + 2]
     every = np.zeros(n, bool)
@@ -225,56 +238,72 @@ def adapted(at: np.ndarray, log_p: np.ndarray) -> float:
         of = streak == k
         h = hit[of]
         chance[of] = (np.cumsum(h) - h + won) / (np.arange(len(h)) + won + lost)
-    own = log_p[places + 2]
-    excluded = np.log10(np.maximum(1 - 10 ** log_p[guessed], 1e-12))
-    return float(log_p.sum() + np.where(hit, np.log10(chance) - own, np.log10(1 - chance) - excluded).sum())
-
-
-class Scorer:
-    """A worker's trie, frequent words' counts, and the words scored so far."""
-
-    def __init__(self, trie: Trie, frequent: dict[bytes, int], tokens: int, types: int, discount: float) -> None:
-        self.trie, self.frequent, self.tokens, self.types, self.discount = trie, frequent, tokens, types, discount
-        kept = sum(frequent.values()) - discount * len(frequent)
-        self.log_escape = np.log10(1 - kept / tokens) if tokens else 0.0
-        self._forget()
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "model", "base")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.model, self.base = np.zeros(1024), np.zeros(1024)
-
-    def log10_base(self, n: np.ndarray) -> np.ndarray:
-        return np.log10((n + 1) / (self.tokens + self.types + 1))
-
-    def log10_model(self, words: list[bytes], n: np.ndarray) -> np.ndarray:
-        """The pretrained model's log10 probabilities of words; n: frequent words' counts, else -1."""
-        spelled = self.log_escape + self.trie.log10_words(words)
-        known = np.where(n > 0, n - self.discount, 0) / max(self.tokens, 1)
-        return np.where(n > 0, np.log10(np.maximum(known + 10**spelled, 1e-300)), spelled)
-
-    def learn(self, wanted: set[bytes]) -> None:
-        fresh = wanted.difference(self.seen)
-        if len(self.seen) + len(fresh) > REMEMBERED:
-            self._forget()
-            fresh = wanted
-        words, first = list(fresh), len(self.seen)
-        if first + len(words) > len(self.model):
-            size = 2 * (first + len(words))
-            self.model, self.base = (np.concatenate([x[:first], np.zeros(size - first)]) for x in (self.model, self.base))
-        n = np.array([self.frequent.get(w, -1) for w in words], float)
-        self.model[first : first + len(words)] = self.log10_model(words, n)
-        self.base[first : first + len(words)] = np.where(n < 0, np.nan, self.log10_base(np.maximum(n, 0)))
-        self.seen.update(zip(words, range(first, first + len(words)), strict=True))
-
-
-def score(docs: DataFrame, words: DataFrame, max_nodes: int = 1_500_000, max_words: int = 300_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    ours[places[hit] + 2] = False
+    return float(np.log10(np.where(hit, chance, 1 - chance)).sum()), ours, guessed[~hit]
+
+
+def left_of(log_p: np.ndarray) -> np.ndarray:
+    """log10 of what a word of log10 probability ``log_p`` leaves to all others."""
+    return np.log10(np.maximum(1 - 10**log_p, 1e-12))
+
+
+def adapted(at: np.ndarray, log_p: np.ndarray) -> float:
+    """log10 probability of the word sequence ``at`` with the text's own two-word contexts before the pretrained model's
+    probabilities, 10**log_p for each place."""
+    own, ours, excluded = adapting(at)
+    return float(own + log_p[ours].sum() - left_of(log_p[excluded]).sum())
+
+
+def spelled(vocabulary: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, spelled): the trie's log10 probability of each of the words (id, word)."""
+    order = F.shiftright("key", 56)
+    low = nodes.where(order < 2).toArrow()
+    shared = share(vocabulary.sparkSession, (low.column("key").to_numpy(), low.column("n").to_numpy()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 50_000):
+                part = batch.slice(lo, 50_000)
+                word, place = places(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(word)), pa.array(place)], ["id", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        nodes, asked, size = [], [], 0
+
+        def scored() -> pa.RecordBatch:
+            trie = Trie(np.concatenate([keys, *(k for k, _ in nodes)]), np.concatenate([counts, *(n for _, n in nodes)]))
+            ids, place = (np.concatenate([x[i] for x in asked] or [np.zeros(0, np.int64)]) for i in (0, 1))
+            asked.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(trie.log10_places(place))], ["id", "log_p"])
+
+        for batch in batches:
+            # A part's nodes come before the symbols asked for, so all of these that are held can be scored; the last part's nodes stay.
+            group, key, is_node = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            n, ids = (batch.column(i).fill_null(0).to_numpy() for i in (2, 3))
+            if not len(group):
+                continue
+            nodes.append((key[is_node], n[is_node]))
+            asked.append((ids[~is_node], key[~is_node]))
+            size += len(group)
+            if size >= HELD:
+                yield scored()
+                last = int(group[-1])
+                mine = [(k[of], n[of]) for k, n in nodes for of in [(k >> 8 & 0xFFFF) == last]]
+                nodes = [(np.concatenate([k for k, _ in mine]), np.concatenate([n for _, n in mine]))]
+                size = 0
+        if asked:
+            yield scored()
+
+    group = F.when(order >= 2, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).otherwise(F.lit(0)).cast("int")
+    symbols = vocabulary.select("id", "word").mapInArrow(ask, "id long, key long")
+    deep = nodes.where(order >= 2).select(group.alias("group"), "key", "n", F.lit(None).cast("long").alias("id"))
+    both = deep.union(symbols.select(group.alias("group"), "key", F.lit(None).cast("long").alias("n"), "id"))
+    ordered = both.repartition("group").sortWithinPartitions("group", F.col("n").asc_nulls_last())
+    return ordered.mapInArrow(run, "id long, log_p double").groupBy("id").agg(F.sum("log_p").alias("spelled"))
+
+
+def score(docs: DataFrame, words: DataFrame, max_words: int = 300_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``; ``words`` has the training counts."""
     spark = docs.sparkSession
     words = settled(words)
@@ -282,50 +311,73 @@ def score(docs: DataFrame, words: DataFrame, max_nodes: int = 1_500_000, max_wor
     total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), once.alias("once"), twice.alias("twice")).first()
     tokens, types = int(total.tokens or 0), int(total.types)
     discount = min(0.9, max(0.1, total.once / max(1, total.once + 2 * total.twice)))
-    nodes = settled(count_nodes(words))
-    kept = nodes.where(largest(nodes, max_nodes)).toArrow()
-    trie = Trie(kept.column("key").to_numpy(), kept.column("n").to_numpy())
-    is_frequent = largest(words, max_words)
-    top = words.where(is_frequent).toArrow()
-    frequent = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    shared = share(spark, Scorer(trie, frequent, tokens, types, discount))
+    log_escape = float(np.log10(discount * types / tokens)) if tokens else 0.0
+    # Every distinct word of the texts, with its training count (null: none) and its log10 probabilities.
+    vocabulary = settled(count_words(docs, text).select("word").join(words, "word", "left").withColumn("id", F.monotonically_increasing_id()))
+    spelt = F.col("spelled") + F.lit(log_escape)
+    seen = F.log10(F.greatest((F.col("n") - F.lit(discount)) / F.lit(float(max(tokens, 1))) + F.pow(F.lit(10.0), spelt), F.lit(1e-300)))
+    base = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + types + 1)))
+    table = vocabulary.join(spelled(vocabulary, settled(count_nodes(words))), "id")
+    table = settled(table.select("word", "n", base.alias("base"), F.when(F.col("n").isNotNull(), seen).otherwise(spelt).alias("model")))
+    counted = table.where("n is not null")
+    is_frequent = largest(counted, max_words)
+    top = counted.where(is_frequent).toArrow()
+    shared = share(spark, (top.column("word").to_pylist(), top.column("base").to_numpy(), top.column("model").to_numpy()))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"row long, `{key}` {kind}, word binary, k long, n_tokens long, n_known long, base double, model double"
+    schema = f"row long, `{key}` {kind}, word binary, k long, used long, excluded long, n_tokens long, n_known long, base double, model double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row = shared.value, TaskContext.get().partitionId() << 40
+        (frequent, base, model), row = shared.value, TaskContext.get().partitionId() << 40
+        left, known = left_of(model), len(frequent)
+        index = dict(zip(frequent, range(known), strict=True))
+        rare: list[bytes] = []  # words beyond the frequent ones, by number
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 texts = [[*(raw or b"").lower().split(), b"\n"] for raw in part.column(1).to_pylist()]
-                own.learn(set().union(*texts))
+                wanted = set().union(*texts)
+                fresh = wanted.difference(index)
+                if len(rare) + len(fresh) > REMEMBERED:
+                    for w in rare:
+                        del index[w]
+                    rare = []
+                    fresh = wanted.difference(index)
+                index.update(zip(fresh, range(known + len(rare), known + len(rare) + len(fresh)), strict=True))
+                rare += fresh
                 heads: list[tuple] = []
                 rare_row, rare_word, rare_k = [], [], []
                 for i, t in enumerate(texts):
-                    at = np.fromiter(map(own.seen.__getitem__, t), np.int64, len(t))
-                    base = own.base[at]
-                    rare = np.isnan(base)
-                    if rare.any():
-                        for w, k in Counter([t[j] for j in np.flatnonzero(rare).tolist()]).items():
-                            rare_row.append(row + i)
-                            rare_word.append(w)
-                            rare_k.append(k)
-                    heads.append((len(t), int(len(t) - rare.sum()), float(base[~rare].sum()), adapted(at, own.model[at])))
+                    at = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
+                    log_p, ours, excluded = adapting(at)
+                    used, excluded = at[ours], at[excluded]
+                    here = at[at < known]
+                    log_p += model[used[used < known]].sum() - left[excluded[excluded < known]].sum()
+                    if len(here) < len(at):
+                        there, k = np.unique(at[at >= known], return_counts=True)
+                        n = [np.bincount(np.searchsorted(there, x[x >= known]), minlength=len(there)) for x in (used, excluded)]
+                        rare_row += [row + i] * len(there)
+                        rare_word += [rare[x] for x in (there - known).tolist()]
+                        rare_k.append(np.stack([k, *n]))
+                    heads.append((len(t), len(here), float(base[here].sum()), float(log_p)))
                 n, m = len(texts), len(rare_row)
                 none = [None] * m
                 columns = [*zip(*heads, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*range(row, row + n), *rare_row], pa.int64()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*(b" %d" % x for x in range(row, row + n)), *rare_word], pa.binary()), pa.array([0] * n + rare_k, pa.int64())]
+                    [pa.array([*range(row, row + n), *rare_row], pa.int64()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*(b" %d" % x for x in range(row, row + n)), *rare_word], pa.binary())]
+                    + [pa.array(x, pa.int64()) for x in np.concatenate([np.zeros((3, n), np.int64), *rare_k], axis=1)]
                     + [pa.array([*c, *none], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                    names=["row", key, "word", "k", "n_tokens", "n_known", "base", "model"],
+                    names=["row", key, "word", "k", "used", "excluded", "n_tokens", "n_known", "base", "model"],
                 )
                 row += n
 
     parts = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
     # A head's word starts with a space, so it meets no count; rare words are none of the broadcast ones.
-    joined = parts.join(words.where(~is_frequent).select("word", "n"), "word", "left")
-    known, logs = F.when(F.col("n").isNotNull(), F.col("k")), F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + types + 1)))
+    rest = table.where(~F.coalesce(is_frequent, F.lit(False))).select("word", "n", F.col("base").alias("_base"), F.col("model").alias("_model"))
+    joined = parts.join(rest, "word", "left")
+    known = F.when(F.col("n").isNotNull(), F.col("k"))
+    of_rare = F.col("used") * F.col("_model") - F.col("excluded") * F.log10(F.greatest(1 - F.pow(F.lit(10.0), F.col("_model")), F.lit(1e-12)))
+    plus = lambda head, c: F.sum(head) + F.coalesce(F.sum(c), F.lit(0))
     summed = joined.groupBy("row").agg(
-        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), (F.sum("n_known") + F.coalesce(F.sum(known), F.lit(0))).alias("n_known"), (F.sum("base") + F.sum(F.col("k") * logs)).alias("base_score"), F.sum("model").alias("score")
+        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), plus("n_known", known).alias("n_known"), plus("base", F.col("k") * F.col("_base")).alias("base_score"), plus("model", of_rare).alias("score")
     )
     return summed.select(key, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

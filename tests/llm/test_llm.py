@@ -273,6 +273,29 @@ def test_ppm_base_counts(spark, most):  # noqa: ANN001
     assert ppm.score(docs.limit(0), ppm.count_words(train)).collect() == []
 
 
+@pytest.mark.parametrize("most", [300_000, 3])
+def test_ppm_keeps_all_nodes_and_words(spark, most, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(ppm, "HELD", 300)
+    rng = np.random.default_rng(7)
+    spell = lambda: "".join(rng.choice(list("abcé"), int(rng.integers(1, 11))))
+    own = [spell() for _ in range(150)]
+    texts = [" ".join(str(w) for w in rng.choice(own[: 30 + 3 * i], 40)) + " " + spell() for i in range(40)]
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)])
+    words = [[*t.encode().split(), b"\n"] for t in texts]
+    n = Counter(w for t in words[:30] for w in t)
+    total, kinds = sum(n.values()), Counter(n.values())
+    d = min(0.9, max(0.1, kinds[1] / (kinds[1] + 2 * kinds[2])))
+    parts = list(ppm.node_counts(list(n), np.ones(len(n))))
+    trie = ppm.Trie(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    every = sorted({w for t in words for w in t})
+    of, place = ppm.places(every)
+    new = 10 ** np.bincount(of, trie.log10_places(place)) * d * len(n) / total
+    log_p = {w: np.log10(new[i] + (n[w] - d) / total * (w in n)) for i, w in enumerate(every)}
+    want = [ppm.adapted(np.array([every.index(w) for w in t]), np.array([log_p[w] for w in t])) for t in words]
+    got = {r.doc_id: r.score for r in ppm.score(docs, ppm.count_words(docs.where("doc_id < 30")), max_words=most).collect()}
+    assert np.allclose([got[i] for i in range(40)], want, atol=1e-4)
+
+
 # ---- nearest neighbours ----
 
 
