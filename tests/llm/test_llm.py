@@ -373,6 +373,25 @@ def test_ngram_join(spark, tile, monkeypatch):  # noqa: ANN001
     assert ngram_join.jaccard_components(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("tile", [1000, 7])
+def test_ngram_links_within_components(spark, tile, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(base + [f"y{k}" for k in range(2 * j)]) for j in range(16)]
+    rows = [(at, t) for at, t in enumerate(t for k, t in enumerate(texts) for _ in range(1 + k % 3))] + [(900, None), (901, "alone"), (902, "alone")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in rows}
+    want = {i: sum(i != j and 100 * len(s & u) >= 80 * len(s | u) > 0 for j, u in sets.items()) for i, s in sets.items()}
+    got = {r.doc_id: r.links for r in ngram_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == want and max(want.values()) > 30
+
+
+def test_common_ngrams_are_counted():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 9000, int(rng.integers(1, 400))).astype(np.uint64)) for _ in range(250)]
+    got = ngram_join.in_common(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, 250, 5) for j in range(250) if i != j)
+
+
 def test_connected_chain(spark):  # noqa: ANN001
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.component) for r in connected(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
