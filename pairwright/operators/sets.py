@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pairwright.functions.stats import ratio
@@ -74,21 +73,34 @@ def excluded(df: DataFrame, exclusions: DataFrame, key: list[str]) -> DataFrame:
     return df.join(exclusions.select(*key), key, "left_anti")
 
 
-def near_duplicates(sample: DataFrame, against: DataFrame, key: str, vector: str, at_least: float, bits: int = 8, tables: int = 16, seed: int = 5) -> DataFrame:
-    """(key, other, cosine): for each sampled row its most similar row of at least ``at_least`` cosine. Candidates share a sign pattern of one of
-    some random projections, so no pair outside of a bucket is formed; this detector stands in for image feature matching."""
-    first = sample.select(vector).head()
-    d = len(first[0]) if first else 1
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, d))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def buckets(vectors: pd.Series) -> pd.Series:
-        signs = np.einsum("nd,tbd->ntb", np.stack(vectors.to_list()), planes) > 0
-        return pd.Series([[f"{t}:{int(''.join('01'[int(x)] for x in row), 2)}" for t, row in enumerate(s)] for s in signs])
-
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    side = lambda df, n: df.select(F.col(key).alias(n), F.transform(vector, lambda x: x.cast("double")).alias(f"v_{n}")).withColumn("bucket", F.explode(buckets(F.col(f"v_{n}"))))
-    met = side(sample, "_x").join(side(against, "_y"), "bucket").where("_x <> _y").dropDuplicates(["_x", "_y"])
-    dot = F.aggregate(F.zip_with("v__x", "v__y", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    near = met.select("_x", "_y", (dot / (norm(F.col("v__x")) * norm(F.col("v__y")))).alias("cosine")).where(F.col("cosine") >= at_least)
-    return near.groupBy(F.col("_x").alias(key)).agg(F.max_by("_y", F.struct("cosine", -F.col("_y"))).alias("other"), F.max("cosine").alias("cosine"))
+def near_duplicates(sample: DataFrame, against: DataFrame, key: str, vector: str, at_least: float, block: int = 2000) -> DataFrame:
+    """(key, other, cosine): for each sampled row its most similar row of at least ``at_least`` cosine, the smallest key among equals. Exact: the sample's
+    product with all rows, in blocks of at most ``block`` by ``block``; this detector stands in for image feature matching."""
+    kind = sample.schema[key].dataType.simpleString()
+
+    def packed(df: DataFrame, n: str) -> DataFrame:
+        def pack(batches):  # noqa: ANN001, ANN202
+            for batch in batches:
+                batch = batch.dropna()
+                for lo in range(0, len(batch), block):
+                    part = batch.iloc[lo : lo + block]
+                    yield pd.DataFrame({f"k{n}": [part["k"].tolist()], f"v{n}": [np.stack(part["v"].to_list()).astype(float).tobytes()]})
+
+        return df.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInPandas(pack, f"k{n} array<{kind}>, v{n} binary")
+
+    def best(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for kx, vx, ky, vy in zip(batch["kx"], batch["vx"], batch["ky"], batch["vy"], strict=True):
+                x, y = (np.frombuffer(v).reshape(len(k), -1) for k, v in ((kx, vx), (ky, vy)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    x, y = (v / np.sqrt((v * v).sum(axis=1, keepdims=True)) for v in (x, y))
+                by = np.argsort(np.asarray(ky), kind="stable")
+                ky, cosine = np.asarray(ky)[by], np.round(np.nan_to_num(x @ y[by].T, nan=-2.0), 12)
+                cosine[np.asarray(kx)[:, None] == ky] = -2.0
+                at = cosine.argmax(axis=1)
+                top = cosine[np.arange(len(at)), at]
+                near = top >= at_least
+                yield pd.DataFrame({"x": np.asarray(kx)[near], "y": ky[at][near], "cosine": top[near]})
+
+    met = packed(sample, "x").crossJoin(packed(against, "y")).mapInPandas(best, f"x {kind}, y {kind}, cosine double")
+    return met.groupBy(F.col("x").alias(key)).agg(F.max_by("y", F.struct("cosine", -F.col("y"))).alias("other"), F.max("cosine").alias("cosine"))

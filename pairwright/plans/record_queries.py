@@ -134,7 +134,7 @@ def exclusions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_duplicate_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN25, TOPK7: each 100th vector's most similar one of at least 0.3 cosine (hashed candidates; another detector than image features)."""
+    """JOIN25, TOPK7: each 100th vector's most similar one of at least 0.3 cosine (exact; another detector than image features)."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     return _rounded(sets.near_duplicates(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.3))
 

@@ -240,6 +240,20 @@ def test_sets(spark):  # noqa: ANN001
     assert list(v) == ["reject", "needs_exclusion", "needs_exclusion", "independent", "independent"]
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_near_duplicates_are_the_nearest(spark, block):  # noqa: ANN001
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((300, 24))
+    v[10] = v[200] = v[20]
+    df = spark.createDataFrame([(i, [float(z) for z in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cosine, -2)
+    want = {(i, int(cosine[i].argmax()), round(cosine[i].max(), 6)) for i in range(0, 300, 10) if cosine[i].max() >= 0.3}
+    got = sets.near_duplicates(df.where("vec_id % 10 = 0"), df, "vec_id", "embedding", 0.3, block=block).collect()
+    assert {(r.vec_id, r.other, round(r.cosine, 6)) for r in got} == want and len(got) == len(want)
+
+
 def test_jsonl_is_strict(spark, tmp_path):  # noqa: ANN001
     schema = "a int, b string"
     from pyspark.sql.types import StructField, StructType, StringType, IntegerType
