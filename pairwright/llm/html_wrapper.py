@@ -316,8 +316,11 @@ def host_of(url: str):  # noqa: ANN201
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE, least: int = 4) -> DataFrame:
     """(host, wrapper as JSON) of each host with enough different pages."""
     own = pages.where(F.col(html).isNotNull() & (F.col(html) != "")).select(host_of(url).alias("host"), F.col(html).alias("html")).where("host <> ''")
-    place = F.row_number().over(W.partitionBy("host").orderBy(F.xxhash64("html")))
-    few = own.withColumn("place", place).where(F.col("place") <= sample)
+    own = own.withColumn("hash", F.xxhash64("html"))
+    # Places go to different pages: copies are dropped before the rank.
+    place = F.row_number().over(W.partitionBy("host").orderBy("hash"))
+    chosen = own.select("host", "hash").distinct().withColumn("place", place).where(F.col("place") <= sample)
+    few = own.join(chosen, ["host", "hash"]).groupBy("host", "place").agg(F.first("html").alias("html"))
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = induce(rows.sort_values("place")["html"].tolist(), least)

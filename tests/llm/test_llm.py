@@ -422,6 +422,14 @@ def test_pages(spark, tag, most):  # noqa: ANN001
     assert html_wrapper.extract_pages(pages.limit(0)).collect() == []
 
 
+def test_copies_take_one_place_of_a_sample(spark):  # noqa: ANN001
+    one = lambda i: PAGE.format(n=f"{i} {hashlib.sha1(str(i).encode()).hexdigest()}", tag="div")
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", one(i % 10)) for i in range(300)], "page_id long, url string, html string")
+    found = [r.wrapper for r in html_wrapper.wrappers(pages).collect()]
+    assert found == [r.wrapper for r in html_wrapper.wrappers(pages.where("page_id < 10")).collect()]
+    assert len(found) == 1 and "Fixed line of this host" in found[0]
+
+
 def test_tree_matching_counts():
     a, b = html_wrapper.Page("<div><p>a<p>b<ul><li>x</ul></div>"), html_wrapper.Page("<div><p>a<ul><li>x<li>y</ul></div>")
     assert len(html_wrapper.tree_match(a, b)) == 5
