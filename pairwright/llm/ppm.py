@@ -1,26 +1,21 @@
-"""LM scoring by prediction by partial matching (PPM) over bytes, pretrained on the corpus and adapting within each text.
-
-A text is its lower-cased (A-Z) words, each followed by a space symbol, then an end symbol. Three kinds of contexts predict it,
-longest first, each escaping to the next:
-
-1. The two words before, as in the same text before (adaptive): the word that followed them last time. Its escape is estimated
-   from how such predictions have fared so far in the text, by the number of successes in a row; on an escape that word is excluded.
-2. The whole word from its start (pretrained): the counts c of all words of the corpus, as (c - d)/N with the
-   absolute discount d = n1/(n1 + 2 n2); what is discounted is the escape.
-3. The byte-context trie (pretrained on the distinct words, so as a model of new ones): up to ``ORDER`` bytes back to the space before
-   the word. Escapes follow method D (a symbol seen c of n times has (2c-1)/2n, the escape q/2n for q distinct symbols),
-   and symbols of a longer context are excluded from the shorter one; at last all bytes not yet excluded are equal.
-
-Contexts 2 and 3 depend on the word alone and are worked out once for each distinct word.
-
-Counting covers every training document: words are counted by a shuffle, and each distinct word counts in all nodes of
-the trie on its way. A node is one 64-bit key: its order, then context and symbol bytes. No node or word is left out, however many there are:
-the trie is parted by the two bytes before the symbol (orders 0 and 1, at most 65,792 nodes, go to every part), and each symbol of a
-distinct word is scored in its part. A text's score is a sum over its words, so words meet their counts and scores by a join;
-those of the most frequent words, at most ``max_words``, are broadcast, which bears on speed alone.
-
-Defined results: null is the empty text (one end token); repeated rows are scored each; an empty training set gives every
-symbol 1/256 and every token 1/(0+0+1); an empty table stays empty.
+"""LM scoring by prediction by partial matching (PPM) over the running bytes of a corpus.
+
+A text is the byte stream of its lower-cased (A-Z) words with one space between them and an end symbol behind. Every symbol is
+predicted from the ``ORDER`` bytes before it, over spaces and words alike (before a text's first byte stand start symbols). In a byte-context
+trie of the training texts, a symbol counted c times among the n of its context has the probability (2c - 1)/2n, and the escape to the
+context without its oldest byte q/2n, for q distinct symbols (method D). Symbols of a longer context are excluded from the shorter one, from n and
+q alike; where all of them are excluded the escape costs nothing. Behind the empty context all bytes that never occur are equal.
+A text's score is the sum of its symbols' log10 probabilities.
+
+At scale. A symbol with its context is seven bytes, a gram, and one 64-bit key. The counts of the trie's shorter contexts are sums of its
+longest ones', so counting grams by a shuffle (added up within tasks first) gives the whole trie: no node is left out, however many there are.
+Grams are parted by the bytes just before the symbol: all longer contexts of a gram are in its part, the nodes of the shorter ones
+(bounded by the alphabet, and their number checked) are shared. Each distinct gram of all texts, learned from or not, is scored once in its part. A text
+meets the scores of its grams, and the base counts of its words, by joins; the most frequent of both, at most ``max_grams`` and ``max_words``, are
+broadcast, which bears on speed alone.
+
+Defined results: null is the empty text (one end token); repeated rows are scored each; with nothing to learn from, every
+symbol has 1/256 and every token 1/(0 + 0 + 1); an empty table stays empty; long texts are read in slices, whole. Columns other than the key are not returned.
 """
 
 from __future__ import annotations
@@ -34,122 +29,66 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, share
+from .common import forget, settled, share
 
 ORDER = 6
-SEP, END = 0x20, 0x0A
-FLUSH = 1_000_000
-REMEMBERED = 250_000
-#: Rows of the parted trie that a task holds at once, beside the nodes of one part.
-HELD = 500_000
-
-
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' bytes, each word behind a space and before one; which word each byte is of; the place of its leading space.
-    The end symbol comes as the word ``\\n``, with no space after it."""
-    buf = np.frombuffer(b"".join(b" " + w + (b"" if w == b"\n" else b" ") for w in words), np.uint8)
-    sizes = np.array([len(w) + (1 if w == b"\n" else 2) for w in words], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    return buf, np.repeat(np.arange(len(words)), sizes), np.repeat(starts, sizes)
-
-
-def _keys(buf: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order: the places that have so much context, and their node's key."""
-    at = np.flatnonzero(np.arange(len(buf)) != start)
-    key = buf[at].astype(np.int64)
-    yield 0, at, key
+END = b"\n"
+#: Distinct words and grams that a task counts before it hands them on, positions sorted at once, and bytes of a long text's slice.
+FLUSH, GRAMS, SORTED, SLICE = 1_000_000, 1_500_000, 4_000_000, 1 << 22
+#: Grams of the parted trie that a task holds at once, beside those of one part; and the most nodes of short contexts that are shared.
+HELD, MOST_SHARED = 500_000, 1_000_000
+ROWS = 256
+
+
+def normal(raw: bytes | None) -> bytes:
+    """The symbols of a text but the end."""
+    return b" ".join((raw or b"").lower().split())
+
+
+def slices(raw: bytes | None) -> Iterator[bytes]:
+    """A text in pieces that end behind a white space, so that words stay whole."""
+    raw = raw or b""
+    at = 0
+    while len(raw) - at > SLICE:
+        end = at + SLICE
+        while end < len(raw) and raw[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+def streams(raw: bytes | None) -> Iterator[bytes]:
+    """The symbols of a text, each piece behind the ``ORDER`` symbols before it; only the last piece holds the end."""
+    before, done = END * ORDER, False
+    parts = [*slices(raw)] if raw and len(raw) > SLICE else [raw]
+    for i, part in enumerate(parts):
+        own = normal(part)
+        if own and done:
+            own = b" " + own
+        done = done or bool(own)
+        if i == len(parts) - 1:
+            own += END
+        whole = before + own
+        if len(whole) > ORDER:
+            yield whole
+        before = whole[-ORDER:]
+
+
+def grams_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the gram of each symbol, which piece it is of) of pieces as ``streams`` gives them."""
+    buf = np.frombuffer(b"".join(pieces), np.uint8).astype(np.uint64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    key = buf[ORDER:].copy()
     for d in range(1, ORDER + 1):
-        fit = at - d >= start[at]
-        at, key = at[fit], key[fit] | buf[at[fit] - d].astype(np.int64) << (8 * d)
-        yield d, at, key | d << 56
-
-
-def node_counts(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of the trie's nodes for distinct words with counts, order by order."""
-    if not words:
-        return
-    buf, word, start = _symbols(words)
-    for _, at, key in _keys(buf, start):
-        nodes, which = np.unique(key, return_inverse=True)
-        yield nodes, np.bincount(which, counts[word[at]]).astype(np.int64)
-
-
-def places(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of the words: which word it is of, and the key of its longest context and itself."""
-    buf, word, start = _symbols(words)
-    place = np.zeros(len(buf), np.int64)
-    for _, at, key in _keys(buf, start):
-        place[at] = key
-    at = np.arange(len(buf)) != start
-    return word[at], place[at]
-
-
-class Trie:
-    """Nodes sorted by key, and what escapes from each context cost."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        by = np.argsort(keys)
-        self.key, count = keys[by].astype(np.int64), counts[by].astype(float)
-        self.context, first, own, q = np.unique(self.key >> 8, return_index=True, return_inverse=True, return_counts=True)
-        self.own = own.astype(np.int32)
-        n = np.add.reduceat(count, first) if len(first) else np.zeros(0)
-        self.log_count = np.log10(np.maximum(count - 0.5, 1e-9)).astype(np.float32)
-        self.log_n = np.log10(np.maximum(n, 1e-9))
-        self.escape = np.log10(q / 2) - self.log_n
-        # What is left of the next shorter context once this context's symbols are excluded.
-        deep = self.key >> 56 > 0
-        parent_key = self._shorter(self.key[deep], 8)
-        there = np.searchsorted(self.key, parent_key)
-        excluded = np.bincount(self.own[deep], count[there], len(n)) if len(n) else n
-        up = np.zeros(len(n), np.int64)
-        is_deep = self.context >> 48 > 0
-        up[is_deep] = np.searchsorted(self.context, self._shorter(self.context[is_deep], 0))
-        left, kinds = n[up] - excluded if len(n) else n, q[up] - q if len(n) else q
-        self.log_left = np.log10(np.maximum(left, 1e-9))
-        self.escape_left = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / 2) - self.log_left, 0.0)
-        self.unseen = 256 - (int(q[0]) if len(q) and self.context[0] == 0 else 0)
-
-    @staticmethod
-    def _shorter(key: np.ndarray, symbol_bits: int) -> np.ndarray:
-        """The same node or context without its oldest byte."""
-        order = key >> (48 + symbol_bits)
-        bits = symbol_bits + 8 * (order - 1)
-        return (order - 1) << (48 + symbol_bits) | key & ((np.int64(1) << bits) - 1)
-
-    def log10_places(self, place: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability, given by the key of its longest context."""
-        out, open_ = np.zeros(len(place)), np.ones(len(place), bool)
-        came = np.full(len(place), -1, np.int64)  # the context escaped from
-        last, last_context = len(self.key), len(self.context)
-        for d in range(ORDER, -1, -1):
-            at = np.flatnonzero(open_ & (place >> 56 >= d))
-            key = place[at] & ((np.int64(1) << 8 * (d + 1)) - 1) | d << 56
-            if not last:
-                break
-            node = np.minimum(np.searchsorted(self.key, key), last - 1)
-            hit = self.key[node] == key
-            found, node = at[hit], node[hit]
-            before = came[found]
-            out[found] += self.log_count[node] - np.where(before < 0, self.log_n[self.own[node]], self.log_left[before])
-            open_[found] = False
-            rest = at[~hit]
-            context = np.minimum(np.searchsorted(self.context, key[~hit] >> 8), last_context - 1)
-            known = self.context[context] == key[~hit] >> 8
-            rest, context = rest[known], context[known]
-            before = came[rest]
-            out[rest] += np.where(before < 0, self.escape[context], self.escape_left[before])
-            came[rest] = context
-        out[open_] -= np.log10(max(1, self.unseen))
-        return out
-
-    def log10_symbols(self, buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """log10 of each symbol's probability; 0 at leading spaces."""
-        place = np.zeros(len(buf), np.int64)
-        for _, at, key in _keys(buf, start):
-            place[at] = key
-        out, at = np.zeros(len(buf)), np.flatnonzero(np.arange(len(buf)) != start)
-        out[at] = self.log10_places(place[at])
-        return out
+        key |= buf[ORDER - d : len(buf) - d] << np.uint64(8 * d)
+    own = np.ones(len(buf), bool)
+    first = np.cumsum(sizes) - sizes
+    own[(first[:, None] + np.arange(ORDER)).ravel()] = False
+    return key[own[ORDER:]], np.repeat(np.arange(len(pieces)), sizes - ORDER)
+
+
+# ---- counting ----
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -165,219 +104,337 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                seen.update((raw or b"").lower().split())
-                if len(seen) > FLUSH:
-                    yield emit()
-            seen[b"\n"] += batch.num_rows
+                for part in slices(raw):
+                    seen.update(part.lower().split())
+                    if len(seen) > FLUSH:
+                        yield emit()
+            seen[END] += batch.num_rows
         yield emit()
 
     return docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def count_nodes(words: DataFrame) -> DataFrame:
-    """(key long, n long): the trie's nodes over distinct words."""
+def added_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Counts of sorted distinct keys, from lists of keys with counts."""
+    keys = np.concatenate([p[0] for p in parts])
+    if not len(keys):
+        return parts[0]
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[by], first) for k in (1, 2))
+
+
+def count_grams(docs: DataFrame, learn: Column, text: str = "text") -> DataFrame:
+    """(gram long, n long, met long) of all texts: how often it is in texts to learn from, and in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: list[tuple[np.ndarray, ...]] = []
+        waiting: list[list[bytes]] = [[], []]  # not to learn from, to learn from
+        size = [0, 0]
+
+        def count(which: int) -> None:
+            keys, n = np.unique(grams_of(waiting[which])[0], return_counts=True) if waiting[which] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            counted.append((keys, n * which, n))
+            waiting[which], size[which] = [], 0
+
+        def emit() -> pa.RecordBatch:
+            keys, n, met = added_up(counted)
+            counted.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(met.astype(np.int64))], ["gram", "n", "met"])
+
+        for batch in batches:
+            for raw, which in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in streams(raw):
+                    waiting[which].append(piece)
+                    size[which] += len(piece)
+                    if size[which] >= SORTED:
+                        count(which)
+                        if sum(len(c[0]) for c in counted) > 2 * GRAMS:
+                            counted[:] = [added_up(counted)]
+                            if len(counted[0][0]) > GRAMS:
+                                yield emit()
+        count(0)
+        count(1)
+        yield emit()
+
+    learned = F.coalesce(learn, F.lit(False)).cast("int").alias("l")
+    return docs.select(F.col(text).cast("binary").alias("t"), learned).mapInArrow(run, "gram long, n long, met long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+
+
+# ---- the trie ----
+
+
+def _mask(order: int) -> np.uint64:
+    return np.uint64((1 << 8 * (order + 1)) - 1)
+
+
+class Level:
+    """The trie's nodes of one order: contexts with their symbols and counts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, order: int) -> None:
+        self.order = order
+        self.key, inverse = np.unique(keys & _mask(order), return_inverse=True)
+        self.n = np.bincount(inverse, n, len(self.key))
+        self.context, self.of, self.kinds = np.unique(self.key >> np.uint64(8), return_inverse=True, return_counts=True)
+        self.total = np.bincount(self.of, self.n, len(self.context))
+        self.excluded = np.zeros(len(self.context))
+
+    def over(self, shorter: Level) -> Level:
+        """Work out what this order's symbols take from the shorter contexts."""
+        at = np.searchsorted(shorter.key, self.key & _mask(shorter.order))
+        self.excluded = np.bincount(self.of, shorter.n[at], len(self.context))
+        return self
+
+
+def levels(keys: np.ndarray, n: np.ndarray, orders: range, below: list[Level]) -> list[Level]:
+    """Nodes of the orders, from the counts of their longest contexts, behind those of the shorter orders."""
+    out, met = list(below), n > 0
+    for order in orders:
+        level = Level(keys[met], n[met], order)
+        out.append(level.over(out[-1]) if out else level)
+    return out
+
+
+def log10_grams(grams: np.ndarray, trie: list[Level]) -> np.ndarray:
+    """log10 of the probability of each gram's symbol in its context."""
+    out, todo = np.zeros(len(grams)), np.arange(len(grams))
+    came = np.full(len(grams), -1)  # the context of the next longer order, where there was one
+    for level in reversed(trie):
+        if not len(level.key) or not len(todo):
+            continue
+        key = grams[todo] & _mask(level.order)
+        context = np.minimum(np.searchsorted(level.context, key >> np.uint64(8)), len(level.context) - 1)
+        known = level.context[context] == key >> np.uint64(8)
+        own, key, context = todo[known], key[known], context[known]
+        before = came[own]
+        longer = before >= 0
+        total, kinds = level.total[context], level.kinds[context].astype(float)
+        if longer.any():
+            above = trie[level.order + 1]
+            total[longer] -= above.excluded[before[longer]]
+            kinds[longer] -= above.kinds[before[longer]]
+        node = np.minimum(np.searchsorted(level.key, key), len(level.key) - 1)
+        hit = level.key[node] == key
+        out[own[hit]] += np.log10((level.n[node[hit]] - 0.5) / total[hit])
+        escapes = ~hit & (kinds > 0)
+        out[own[escapes]] += np.log10(kinds[escapes] / 2 / total[escapes])
+        came[own] = context
+        open_ = np.ones(len(todo), bool)
+        open_[np.flatnonzero(known)[hit]] = False
+        todo = todo[open_]
+    unseen = 256 - (len(trie[0].key) if trie else 0)
+    out[todo] -= np.log10(max(1, unseen))
+    return out
+
+
+def score_grams(grams: DataFrame) -> DataFrame:
+    """(gram, met, log_p): the log10 probability of each gram's symbol, by the counts n of all of them."""
+    key = F.col("gram")
+    for split in (3, 2):  # bytes of a part's contexts
+        short = grams.where("n > 0").groupBy(key.bitwiseAND(F.lit((1 << 8 * split) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        if split == 2 or short.count() <= MOST_SHARED:  # split 2: at most 65,536
+            break
+    low = short.toArrow()
+    shared = share(grams.sparkSession, (low.column("gram").to_numpy().view(np.uint64), low.column("n").to_numpy()))
+    part = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * split) - 1)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group() -> Iterator[list[bytes]]:
-            words: list[bytes] = []
-            for batch in batches:
-                words += batch.column(0).to_pylist()
-                if len(words) >= 200_000:
-                    yield words
-                    words = []
-            yield words
+        below = levels(*shared.value, range(split), [])
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        for words in group():
-            for keys, n in node_counts(words, np.ones(len(words))):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+        def scored(table: pa.Table) -> pa.RecordBatch:
+            keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+            log_p = log10_grams(keys, levels(keys, n, range(split, ORDER + 1), below))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), table.column("met").combine_chunks(), pa.array(log_p)], ["gram", "met", "log_p"])
 
-    return words.select("word").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD:
+                table = pa.Table.from_batches(held)
+                group = table.column(0).to_numpy()
+                last = int(np.searchsorted(group, group[-1]))  # the last part may go on
+                if last:
+                    yield scored(table.slice(0, last))
+                held = table.slice(last).combine_chunks().to_batches()
+                size = len(group) - last
+        if held:
+            yield scored(pa.Table.from_batches(held))
+
+    ordered = grams.select(part.alias("part"), "gram", "n", "met").repartition("part").sortWithinPartitions("part")
+    return ordered.mapInArrow(run, "gram long, met long, log_p double")
+
+
+# ---- scoring ----
 
 
-def largest(counted: DataFrame, most: int) -> Column:
+def largest(counted: DataFrame, most: int, n: str = "n") -> Column:
     """The condition on n that keeps the largest counts, at most ``most`` rows of them: from a histogram of at most some
     hundred bins, one for each count up to 128, then eight for each doubling."""
-    bin_of = F.when(F.col("n") <= 128, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 8) + 1000.0)
+    bin_of = F.when(F.col(n) <= 128, F.col(n).cast("double")).otherwise(F.floor(F.log2(n) * 8) + 1000.0)
     kept, limit = 0, None
-    for r in counted.groupBy(bin_of.alias("b")).agg(F.count("*").alias("rows"), F.min("n").alias("low")).orderBy(F.desc("low")).collect():
+    for r in counted.groupBy(bin_of.alias("b")).agg(F.count("*").alias("rows"), F.min(n).alias("low")).orderBy(F.desc("low")).collect():
         kept += r.rows
         if kept > most:
             break
         limit = r.low
-    return F.lit(False) if limit is None else F.col("n") >= limit
-
-
-#: Successes and failures that stand in for experience, by the number of successes in a row before (the last: that or more).
-EXPECTED = ((0.3, 0.6), (1, 0.2), (2, 0.1), (3, 0.05), (3, 0.02))
-
-
-def adapting(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """How the word sequence ``at`` is predicted by its own two-word contexts: the log10 of what they predict and of their escapes, where the
-    pretrained model predicts (true or false for each place), and the places whose words are excluded from it on an escape."""
-    n = len(at) - 2
-    ours, none = np.ones(len(at), bool), np.zeros(0, np.int64)
-    if n < 1:
-        return 0.0, ours, none
-    context = at[1:-1] * (1 << 31) + at[:-2]
-    by = np.argsort(context, kind="stable")
-    same = context[by][1:] == context[by][:-1]
-    before = np.full(n, -1)
-    before[by[1:][same]] = by[:-1][same]
-    places = np.flatnonzero(before >= 0)
-    if not len(places):
-        return 0.0, ours, none
-    guessed = before[places] + 2
-    hit = at[guessed] == at[places + 2]
-    every = np.zeros(n, bool)
-    every[places] = hit
-    row = np.arange(n)
-    streak = row - np.maximum.accumulate(np.where(every, -1, row))
-    streak = np.concatenate([[0], streak[:-1]])[places].clip(max=len(EXPECTED) - 1)
-    chance = np.empty(len(places))
-    for k, (won, lost) in enumerate(EXPECTED):
-        of = streak == k
-        h = hit[of]
-        chance[of] = (np.cumsum(h) - h + won) / (np.arange(len(h)) + won + lost)
-    ours[places[hit] + 2] = False
-    return float(np.log10(np.where(hit, chance, 1 - chance)).sum()), ours, guessed[~hit]
-
-
-def left_of(log_p: np.ndarray) -> np.ndarray:
-    """log10 of what a word of log10 probability ``log_p`` leaves to all others."""
-    return np.log10(np.maximum(1 - 10**log_p, 1e-12))
-
-
-def adapted(at: np.ndarray, log_p: np.ndarray) -> float:
-    """log10 probability of the word sequence ``at`` with the text's own two-word contexts before the pretrained model's
-    probabilities, 10**log_p for each place."""
-    own, ours, excluded = adapting(at)
-    return float(own + log_p[ours].sum() - left_of(log_p[excluded]).sum())
-
-
-def spelled(vocabulary: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, spelled): the trie's log10 probability of each of the words (id, word)."""
-    order = F.shiftright("key", 56)
-    low = nodes.where(order < 2).toArrow()
-    shared = share(vocabulary.sparkSession, (low.column("key").to_numpy(), low.column("n").to_numpy()))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 50_000):
-                part = batch.slice(lo, 50_000)
-                word, place = places(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(word)), pa.array(place)], ["id", "key"])
+    return F.lit(False) if limit is None else F.col(n) >= limit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
-        nodes, asked, size = [], [], 0
 
-        def scored() -> pa.RecordBatch:
-            trie = Trie(np.concatenate([keys, *(k for k, _ in nodes)]), np.concatenate([counts, *(n for _, n in nodes)]))
-            ids, place = (np.concatenate([x[i] for x in asked] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            asked.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(trie.log10_places(place))], ["id", "log_p"])
+class Places(dict):
+    """Numbers of known words; -1 for all others."""
 
-        for batch in batches:
-            # A part's nodes come before the symbols asked for, so all of these that are held can be scored; the last part's nodes stay.
-            group, key, is_node = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            n, ids = (batch.column(i).fill_null(0).to_numpy() for i in (2, 3))
-            if not len(group):
-                continue
-            nodes.append((key[is_node], n[is_node]))
-            asked.append((ids[~is_node], key[~is_node]))
-            size += len(group)
-            if size >= HELD:
-                yield scored()
-                last = int(group[-1])
-                mine = [(k[of], n[of]) for k, n in nodes for of in [(k >> 8 & 0xFFFF) == last]]
-                nodes = [(np.concatenate([k for k, _ in mine]), np.concatenate([n for _, n in mine]))]
-                size = 0
-        if asked:
-            yield scored()
-
-    group = F.when(order >= 2, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).otherwise(F.lit(0)).cast("int")
-    symbols = vocabulary.select("id", "word").mapInArrow(ask, "id long, key long")
-    deep = nodes.where(order >= 2).select(group.alias("group"), "key", "n", F.lit(None).cast("long").alias("id"))
-    both = deep.union(symbols.select(group.alias("group"), "key", F.lit(None).cast("long").alias("n"), "id"))
-    ordered = both.repartition("group").sortWithinPartitions("group", F.col("n").asc_nulls_last())
-    return ordered.mapInArrow(run, "id long, log_p double").groupBy("id").agg(F.sum("log_p").alias("spelled"))
-
-
-def score(docs: DataFrame, words: DataFrame, max_words: int = 300_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``; ``words`` has the training counts."""
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+class Table:
+    """Grams' values, found by one look into a table of hashes; those crowded out (rarer ones) by a search."""
+
+    BITS = 22
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """``keys``: rare before frequent."""
+        slot = np.full(1 << self.BITS, -1, np.int32)
+        slot[self._place(keys)] = np.arange(len(keys), dtype=np.int32)
+        held = np.maximum(slot, 0)
+        self.key = np.where(slot >= 0, keys[held], np.uint64(0xFF << 56)) if len(keys) else np.full(1 << self.BITS, 0xFF << 56, np.uint64)
+        self.value = values[held].astype(np.float64) if len(keys) else np.zeros(1 << self.BITS)
+        rest = np.ones(len(keys), bool)
+        rest[slot[slot >= 0]] = False
+        by = np.argsort(keys[rest])
+        self.rest, self.rest_value = keys[rest][by], values[rest][by]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, 0 where there is none; whether there is one)."""
+        at = self._place(keys)
+        known = self.key[at] == keys
+        out = np.where(known, self.value[at], 0.0)
+        missed = np.flatnonzero(~known)
+        if len(self.rest) and len(missed):
+            own = keys[missed]
+            place = np.minimum(np.searchsorted(self.rest, own), len(self.rest) - 1)
+            hit = self.rest[place] == own
+            out[missed[hit]] = self.rest_value[place[hit]]
+            known[missed[hit]] = True
+        return out, known
+
+
+def score(docs: DataFrame, learn: Column, max_words: int = 300_000, max_grams: int = 1_500_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, learned, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``docs``; rows that meet ``learn`` are learned from."""
     spark = docs.sparkSession
-    words = settled(words)
-    once, twice = (F.count(F.when(F.col("n") == k, 1)) for k in (1, 2))
-    total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), once.alias("once"), twice.alias("twice")).first()
-    tokens, types = int(total.tokens or 0), int(total.types)
-    discount = min(0.9, max(0.1, total.once / max(1, total.once + 2 * total.twice)))
-    log_escape = float(np.log10(discount * types / tokens)) if tokens else 0.0
-    # Every distinct word of the texts, with its training count (null: none) and its log10 probabilities.
-    vocabulary = settled(count_words(docs, text).select("word").join(words, "word", "left").withColumn("id", F.monotonically_increasing_id()))
-    spelt = F.col("spelled") + F.lit(log_escape)
-    seen = F.log10(F.greatest((F.col("n") - F.lit(discount)) / F.lit(float(max(tokens, 1))) + F.pow(F.lit(10.0), spelt), F.lit(1e-300)))
-    base = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + types + 1)))
-    table = vocabulary.join(spelled(vocabulary, settled(count_nodes(words))), "id")
-    table = settled(table.select("word", "n", base.alias("base"), F.when(F.col("n").isNotNull(), seen).otherwise(spelt).alias("model")))
-    counted = table.where("n is not null")
-    is_frequent = largest(counted, max_words)
-    top = counted.where(is_frequent).toArrow()
-    shared = share(spark, (top.column("word").to_pylist(), top.column("base").to_numpy(), top.column("model").to_numpy()))
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"row long, `{key}` {kind}, word binary, k long, used long, excluded long, n_tokens long, n_known long, base double, model double"
+    words = settled(count_words(docs.where(learn), text))
+    total = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
+    tokens, types = int(total.tokens or 0), int(total.types)
+    grams = settled(count_grams(docs, learn, text))
+    scored = settled(score_grams(grams))
+    forget(spark, grams)
+    base = lambda n: F.log10((n + 1) / F.lit(float(tokens + types + 1)))
+
+    frequent_word, frequent_gram = largest(words, max_words), largest(scored, max_grams, "met")
+    top = words.where(frequent_word).select("word", base(F.col("n")).alias("base")).toArrow()
+    common = scored.where(frequent_gram).select("gram", "log_p", "met").toArrow()
+    by = np.argsort(common.column("met").to_numpy(), kind="stable")
+    shared = share(spark, (top.column("word").to_pylist(), top.column("base").to_numpy(), common.column("gram").to_numpy().view(np.uint64)[by], common.column("log_p").to_numpy()[by]))
+    schema = f"row long, `{key}` {kind}, learned boolean, n_tokens long, n_known long, base double, model double, word binary, gram long, k long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (frequent, base, model), row = shared.value, TaskContext.get().partitionId() << 40
-        left, known = left_of(model), len(frequent)
-        index = dict(zip(frequent, range(known), strict=True))
-        rare: list[bytes] = []  # words beyond the frequent ones, by number
+        words, base, grams, log_p = shared.value
+        row, table, index = TaskContext.get().partitionId() << 40, Table(grams, log_p), Places(zip(words, range(len(words)), strict=True))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [[*(raw or b"").lower().split(), b"\n"] for raw in part.column(1).to_pylist()]
-                wanted = set().union(*texts)
-                fresh = wanted.difference(index)
-                if len(rare) + len(fresh) > REMEMBERED:
-                    for w in rare:
-                        del index[w]
-                    rare = []
-                    fresh = wanted.difference(index)
-                index.update(zip(fresh, range(known + len(rare), known + len(rare) + len(fresh)), strict=True))
-                rare += fresh
-                heads: list[tuple] = []
-                rare_row, rare_word, rare_k = [], [], []
-                for i, t in enumerate(texts):
-                    at = np.fromiter(map(index.__getitem__, t), np.int64, len(t))
-                    log_p, ours, excluded = adapting(at)
-                    used, excluded = at[ours], at[excluded]
-                    here = at[at < known]
-                    log_p += model[used[used < known]].sum() - left[excluded[excluded < known]].sum()
-                    if len(here) < len(at):
-                        there, k = np.unique(at[at >= known], return_counts=True)
-                        n = [np.bincount(np.searchsorted(there, x[x >= known]), minlength=len(there)) for x in (used, excluded)]
-                        rare_row += [row + i] * len(there)
-                        rare_word += [rare[x] for x in (there - known).tolist()]
-                        rare_k.append(np.stack([k, *n]))
-                    heads.append((len(t), len(here), float(base[here].sum()), float(log_p)))
-                n, m = len(texts), len(rare_row)
-                none = [None] * m
-                columns = [*zip(*heads, strict=True)]
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                raws, n = part.column(2).to_pylist(), part.num_rows
+                n_tokens, n_known, base_sum, model = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                rare_words: Counter[tuple[int, bytes]] = Counter()
+                rare_grams: list[tuple[np.ndarray, np.ndarray]] = []
+
+                def of_words(tokens: list[bytes], doc: np.ndarray) -> None:
+                    at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+                    known = at >= 0
+                    n_tokens[:] += np.bincount(doc, minlength=n)
+                    n_known[:] += np.bincount(doc[known], minlength=n)
+                    base_sum[:] += np.bincount(doc[known], base[at[known]], n)
+                    for i in np.flatnonzero(~known).tolist():
+                        rare_words[int(doc[i]), tokens[i]] += 1
+
+                def of_pieces(pieces: list[bytes], doc: np.ndarray) -> None:
+                    own, which = grams_of(pieces)
+                    value, known = table.get(own)
+                    which = doc[which]
+                    model[:] += np.bincount(which, value, n)
+                    if not known.all():
+                        rare_grams.append(np.unique(which[~known].astype(np.uint64) << np.uint64(56) | own[~known], return_counts=True))
+
+                tokens: list[bytes] = []
+                pieces: list[bytes] = []
+                token_doc: list[int] = []
+                piece_doc: list[int] = []
+                size, counts = 0, []
+                for i, raw in enumerate(raws):
+                    for piece in slices(raw):
+                        more = piece.lower().split()
+                        tokens += more
+                        token_doc.append(i)
+                        counts.append(len(more))
+                        if len(tokens) > 1_000_000:
+                            of_words(tokens, np.repeat(token_doc, counts))
+                            tokens, token_doc, counts = [], [], []
+                    tokens.append(END)
+                    token_doc.append(i)
+                    counts.append(1)
+                    for piece in streams(raw):
+                        pieces.append(piece)
+                        piece_doc.append(i)
+                        size += len(piece)
+                        if size > SORTED:
+                            of_pieces(pieces, np.array(piece_doc))
+                            pieces, piece_doc, size = [], [], 0
+                of_words(tokens, np.repeat(token_doc, counts))
+                if pieces:
+                    of_pieces(pieces, np.array(piece_doc))
+                rows = np.arange(row, row + n)
+                word_of, word_k = [*rare_words], [*rare_words.values()]
+                keys = np.concatenate([k for k, _ in rare_grams]) if rare_grams else np.zeros(0, np.uint64)
+                gram_k = np.concatenate([c for _, c in rare_grams]) if rare_grams else np.zeros(0, np.int64)
+                m, g = len(word_of), len(keys)
+                none = lambda t, count: pa.nulls(count, t)
+                both = lambda values, t: pa.concat_arrays([pa.array(values, t), none(t, m + g)])
+                gram_row = row + (keys >> np.uint64(56)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*range(row, row + n), *rare_row], pa.int64()), pa.concat_arrays([part.column(0), pa.nulls(m, part.column(0).type)]), pa.array([*(b" %d" % x for x in range(row, row + n)), *rare_word], pa.binary())]
-                    + [pa.array(x, pa.int64()) for x in np.concatenate([np.zeros((3, n), np.int64), *rare_k], axis=1)]
-                    + [pa.array([*c, *none], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)],
-                    names=["row", key, "word", "k", "used", "excluded", "n_tokens", "n_known", "base", "model"],
+                    [
+                        pa.array(np.concatenate([rows, np.array([row + d for d, _ in word_of], np.int64), gram_row])),
+                        pa.concat_arrays([part.column(0), none(part.column(0).type, m + g)]),
+                        pa.concat_arrays([part.column(1), none(pa.bool_(), m + g)]),
+                        both(n_tokens, pa.int64()),
+                        both(n_known, pa.int64()),
+                        both(base_sum, pa.float64()),
+                        both(model, pa.float64()),
+                        pa.concat_arrays([none(pa.binary(), n), pa.array([w for _, w in word_of], pa.binary()), none(pa.binary(), g)]),
+                        pa.concat_arrays([none(pa.int64(), n + m), pa.array((keys & _mask(ORDER)).view(np.int64))]),
+                        pa.concat_arrays([none(pa.int64(), n), pa.array(word_k, pa.int64()), pa.array(gram_k.astype(np.int64))]),
+                    ],
+                    names=["row", key, "learned", "n_tokens", "n_known", "base", "model", "word", "gram", "k"],
                 )
                 row += n
 
-    parts = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
-    # A head's word starts with a space, so it meets no count; rare words are none of the broadcast ones.
-    rest = table.where(~F.coalesce(is_frequent, F.lit(False))).select("word", "n", F.col("base").alias("_base"), F.col("model").alias("_model"))
-    joined = parts.join(rest, "word", "left")
-    known = F.when(F.col("n").isNotNull(), F.col("k"))
-    of_rare = F.col("used") * F.col("_model") - F.col("excluded") * F.log10(F.greatest(1 - F.pow(F.lit(10.0), F.col("_model")), F.lit(1e-12)))
-    plus = lambda head, c: F.sum(head) + F.coalesce(F.sum(c), F.lit(0))
-    summed = joined.groupBy("row").agg(
-        F.max(key).alias(key), F.sum("n_tokens").alias("n_tokens"), plus("n_known", known).alias("n_known"), plus("base", F.col("k") * F.col("_base")).alias("base_score"), plus("model", of_rare).alias("score")
-    )
-    return summed.select(key, "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    learned = F.coalesce(learn, F.lit(False)).alias("learned")
+    # Settled, so that rows keep their numbers if a task has to run again.
+    parts = settled(docs.select(F.col(key), learned, F.col(text).cast("binary").alias("t")).mapInArrow(run, schema))
+    zero, whole = F.lit(0.0), F.lit(0).cast("long")
+    heads = parts.where("k is null").select("row", key, "learned", "n_tokens", "n_known", "base", "model")
+    none = (F.lit(None).cast(kind).alias(key), F.lit(None).cast("boolean").alias("learned"), whole.alias("n_tokens"))
+    rare_words = parts.where("word is not null").join(words.where(~F.coalesce(frequent_word, F.lit(False))), "word", "left")
+    of_words = rare_words.select("row", *none, F.when(F.col("n").isNotNull(), F.col("k")).otherwise(whole).alias("n_known"), (F.col("k") * base(F.coalesce("n", whole))).alias("base"), zero.alias("model"))
+    rare_grams = parts.where("gram is not null").select("row", "gram", "k").join(scored.where(~F.coalesce(frequent_gram, F.lit(False))).select("gram", "log_p"), "gram")
+    of_grams = rare_grams.select("row", *none, whole.alias("n_known"), zero.alias("base"), (F.col("k") * F.col("log_p")).alias("model"))
+    summed = heads.unionByName(of_words).unionByName(of_grams).groupBy("row").agg(
+        F.max(key).alias(key), F.max("learned").alias("learned"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score")
+    )
+    return summed.select(key, "learned", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
