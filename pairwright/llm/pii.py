@@ -1,18 +1,25 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds. Four kinds of entity are found exactly: email, ip, card (Luhn), phone. These spans always stay.
-
-Bootstrapping. The words around an entity are its lexical patterns: the word before, the two words before, the words before and after,
-each with the kind. Looser candidate shapes (an address without a dotted host or with ``(at)``, a number of card length that fails
-Luhn, a phone number without country code, an IPv6 or partial address) are met in the same texts with their own patterns. Spark scores
-the graph of patterns and instances in rounds: a pattern's reliability is the share of what it extracts that is reliable, smoothed; an
-instance's reliability is one for a seed, else the noisy-or of its patterns. After the last round the candidates that stand in a pattern
-of at least ``confident`` reliability, backed by at least ``min_seeds`` different seeds, are added as spans of that kind.
-
-Every step is an aggregation or join by pattern or instance; edges are added up before they are joined, and patterns without enough
-seeds go before the rounds begin, so a common context costs one row for each different instance.
-
-Defined results: null is the empty text; repeated rows are searched each; an empty table stays empty; other columns pass through.
+Seeds. Four kinds of entity are found exactly: email, ip, card (Luhn), phone. These base spans always stay. A fifth kind, secret, has
+seeds of its own: hexadecimal keys of 32 to 64 digits that are assigned to a name in quotes.
+
+Patterns. The lexical patterns of an entity are the words around it: the word before, the two words before, the word before with the
+word after. Words are lower-cased, digits become 0, punctuation at their ends goes; what is nothing but punctuation is passed over.
+
+Bootstrapping. The graph has an edge from a pattern of a kind to each identifier (a seed, or a word with a digit, an at sign or underscore)
+that stands in its slot, anywhere in the corpus. Spark scores it in rounds. A pattern's reliability is the reliability of all that stands
+in its slot, smoothed: every word in the slot counts, so that a second scan counts how often the patterns' contexts are met at all. An
+identifier's reliability for a kind is one for a seed, else the noisy-or of the kind's patterns it stands in, over its whole corpus. Identifiers that
+come to be trusted (``confident``) are seeds of the next round: their other contexts become patterns, which find identifiers of any shape.
+Instances are told apart by kind and surface. After the last round each identifier in the slot of a trusted pattern, backed by at
+least ``min_seeds`` different trusted identifiers, is added as a span of the pattern's kind, unless it meets a base span.
+
+At scale. Contexts that fewer than ``min_seeds`` different identifiers share are never patterns, so a shuffle (added up by pattern and
+surface first) leaves few; those are counted in the texts in blocks of at most ``block``, each broadcast. The rounds are joins and
+aggregations by pattern and by instance over edges with counts, so a common context costs one row for each different identifier.
+
+Defined results: null is the empty text; repeated rows are searched each; an empty table stays empty; other columns pass through, but for
+``base`` and ``spans``, which are replaced; texts and words are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -21,28 +28,30 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Memory, forget, settled, share
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can only start where a run of digits does: all starts within a run fare alike.
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?i)(?<=[=:]\x20[\"'])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?=[\"'])|(?<=[=:][\"'])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}(?=[\"'])")
 _DIGIT = re.compile("[0-9]")
-#: Shapes that a pattern may promote, looser than the seeds'.
-_LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[xX*](?![0-9A-Za-z])"),
-    "card": re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z.-])"),
-}
+#: An identifier of any shape: groups of digits, or what of a word holds a digit, an at sign or an underscore.
+_IDENTIFIER = re.compile(
+    r"(?P<groups>(?<![\w@.+-])[+(]?[0-9](?:[0-9()./-]|\x20(?=[0-9(]))*[0-9](?![\w@]))|(?<![^\s\"'<>()\[\]{},;|])[^\s\"'<>()\[\]{},;|0-9@_]*+[0-9@_][^\s\"'<>()\[\]{},;|]*+"
+)
 _TRIM = "\"'()[]{}<>,;:.!?*#$%&|=-"
+#: Longer words are told apart by their hash; words whose form is remembered by a worker; texts taken at once.
+LONGEST, REMEMBERED, ROWS = 40, 200_000, 500
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -84,106 +93,174 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def loose_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates (kind, start, end) that meet no exact entity."""
-    if not ("@" in text or "at" in text or _DIGIT.search(text)):
+def identifiers(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str | None, int, int]]:
+    """(kind, or null if it is none's seed; start; end) of all seeds and of all identifiers that meet no base span."""
+    out = [(k, a, b) for k in KINDS for a, b in base[k]]
+    if not out and not ("@" in text or "_" in text or _DIGIT.search(text)):
         return []
-    out = []
-    for kind in KINDS:
-        if kind == "email" and not ("@" in text or "(at)" in text or "[at]" in text):
-            continue
-        for m in _LOOSE[kind].finditer(text):
-            a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                out.append((kind, a, b))
+    taken, at = sorted((a, b) for _, a, b in out), 0
+    secrets = {m.span() for m in _SECRET.finditer(text)} if "=" in text or ":" in text else set()
+    reach = 0
+    for m in _IDENTIFIER.finditer(text):
+        a, b = m.span()
+        if not m["groups"]:
+            while a < b and text[a] in _TRIM:
+                a += 1
+            while a < b and text[b - 1] in _TRIM:
+                b -= 1
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if a < b and reach <= a:
+            out.append(("secret" if (a, b) in secrets else None, a, b))
     return out
 
 
-def _word(s: str) -> str:
-    s = s.strip(_TRIM).lower()
-    return re.sub("[0-9]", "0", s)[:40]
-
-
-def patterns(text: str, kind: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span, within its line."""
-    before = text[max(0, start - 80) : start].rpartition("\n")[2].split()
-    after = text[end : end + 40].partition("\n")[0].split()
-    left = [w for w in map(_word, before[-3:]) if w][-2:]
-    right = next((w for w in map(_word, after[:2]) if w), "")
-    if not left:
+def plain(word: str) -> str:
+    """The form of a word in a pattern; empty if there is nothing but punctuation."""
+    s = re.sub("[0-9]", "0", word.lower().strip(_TRIM))
+    return s if len(s) <= LONGEST else xxhash.xxh3_128_hexdigest(s)
+
+
+def _around(text: str, start: int, end: int, form: Memory) -> tuple[list[str], str]:
+    """The last two words before a span and the first behind it, whole, in plain form."""
+    size = 60
+    while True:
+        lo = max(0, start - size)
+        words = [w for w in map(form.__getitem__, text[lo:start].split()[1 if lo and not text[lo].isspace() and not text[lo - 1].isspace() else 0 :]) if w]
+        if len(words) >= 2 or not lo:
+            break
+        size *= 4
+    size = 40
+    while True:
+        hi = min(len(text), end + size)
+        pieces = text[end:hi].split()
+        if hi < len(text) and pieces and not text[hi - 1].isspace() and not text[hi].isspace():
+            pieces.pop()
+        after = next((w for w in map(form.__getitem__, pieces) if w), "")
+        if after or hi == len(text):
+            return words[-2:], after
+        size *= 4
+
+
+def contexts(before: list[str], after: str) -> list[str]:
+    """The patterns of a place, without a kind."""
+    if not before:
         return []
-    out = [f"{kind}|1|{left[-1]}"]
-    if len(left) == 2:
-        out.append(f"{kind}|2|{left[0]} {left[1]}")
-    if right:
-        out.append(f"{kind}|3|{left[-1]} _ {right}")
+    out = [f"1|{before[-1]}"]
+    if len(before) == 2:
+        out.append(f"2|{before[0]} {before[1]}")
+    if after:
+        out.append(f"3|{before[-1]} _ {after}")
     return out
 
 
 def _scan(at: int):  # noqa: ANN202
-    kind_of = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+    found_type = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("contexts", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row, form = TaskContext.get().partitionId() << 40, Memory(plain, REMEMBERED)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                all_found = []
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                all_base, all_found = [], []
                 for text in part.column(at).to_pylist():
-                    found = []
-                    if text:
-                        base = base_spans(text)
-                        for k in KINDS:
-                            found += [{"kind": k, "start": a, "end": b, "surface": text[a:b].lower(), "seed": True, "patterns": patterns(text, k, a, b)} for a, b in base[k]]
-                        taken = [(x["start"], x["end"]) for x in found]
-                        found += [{"kind": k, "start": a, "end": b, "surface": text[a:b].lower(), "seed": False, "patterns": patterns(text, k, a, b)} for k, a, b in loose_spans(text, taken)]
-                    all_found.append(found)
+                    base = base_spans(text) if text else {}
+                    found = identifiers(text, base) if text else []
+                    all_base.append([{"kind": k, "start": a, "end": b} for k in base for a, b in base[k]])
+                    all_found.append([{"kind": k, "start": a, "end": b, "surface": text[a:b].lower(), "contexts": contexts(*_around(text, a, b, form))} for k, a, b in found])
                 n = part.num_rows
                 rest = [c for i, c in enumerate(part.columns) if i != at]
                 names = [c for i, c in enumerate(part.schema.names) if i != at]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(range(row, row + n), pa.int64()), pa.array(all_found, pa.list_(kind_of))], names=[*names, "_row", "_found"])
+                base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(range(row, row + n), pa.int64()), pa.array(all_base, base_type), pa.array(all_found, pa.list_(found_type))], names=[*names, "_row", "base", "_found"])
                 row += n
 
     return run
 
 
-def promoted(occurrences: DataFrame, rounds: int = 3, confident: float = 0.8, min_seeds: int = 5, smooth: float = 2.0) -> DataFrame:
-    """The patterns (pattern, reliability) that may add spans, from (pattern, surface, seed) rows."""
-    edges = occurrences.groupBy("pattern", "surface").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    backed = edges.groupBy("pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.when(~F.col("seed"), 1)).alias("others")).where((F.col("seeds") >= min_seeds) & (F.col("others") > 0))
-    edges = settled(edges.join(backed.select("pattern"), "pattern"))
-    score = edges.groupBy("surface").agg(F.max(F.col("seed").cast("double")).alias("r"))
+def met(docs: DataFrame, text: str, wanted: list[str]) -> DataFrame:
+    """(context, slots): how many words, of any shape, stand in the slots of the wanted contexts in all texts."""
+    shared = share(docs.sparkSession, frozenset(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, form = shared.value, Memory(plain, REMEMBERED)
+        last = frozenset(c[2:].split(" ")[-1] if c[0] == "2" else c[2:].split(" ")[0] for c in known)
+        slots = dict.fromkeys(known, 0)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = [w for w in map(form.__getitem__, (text or "").split()) if w]
+                for i, w in enumerate(words[:-1]):
+                    if w in last:
+                        for c in contexts(words[max(0, i - 1) : i + 1], words[i + 2] if i + 2 < len(words) else ""):
+                            if c in slots:
+                                slots[c] += 1
+        kept = {c: n for c, n in slots.items() if n}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["context", "slots"])
+
+    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "context string, slots long").groupBy("context").agg(F.sum("slots").alias("slots"))
+
+
+def reliable(edges: DataFrame, slots: DataFrame, rounds: int, confident: float, min_seeds: int, smooth: float) -> DataFrame:
+    """The patterns (kind, context, reliability) that may add spans, from edges (context, surface, n, kind: of a seed or null) and slots."""
+    of_context = edges.groupBy("context").agg(F.sum("n").alias("own")).join(slots, "context", "left")
+    # Identifiers of several words are more than their slot's words.
+    size = of_context.select("context", F.greatest("own", F.coalesce("slots", F.lit(0))).alias("slots"))
+    seeds = settled(edges.where("kind is not null").select("kind", "surface").distinct().withColumn("r", F.lit(1.0)))
+    plain_edges = settled(edges.groupBy("context", "surface").agg(F.sum("n").alias("n")).join(size, "context"))
+    trusted, good = seeds, None
     for _ in range(rounds):
-        pattern = edges.join(score, "surface").groupBy("pattern").agg((F.sum(F.col("n") * F.col("r")) / (F.sum("n") + smooth)).alias("reliability"))
+        # Patterns come from all that is trusted so far; what else stands in their slots is scored by them.
+        backed = plain_edges.join(trusted, "surface").groupBy("kind", "context").agg((F.sum(F.col("n") * F.col("r")) / (F.first("slots") + smooth)).alias("reliability"), F.sum(F.when(F.col("r") >= confident, 1).otherwise(0)).alias("backing"))
+        if good is not None:
+            forget(edges.sparkSession, good)
+        good = settled(backed.where(F.col("backing") >= min_seeds))
         missed = F.exp(F.sum(F.log1p(-F.least("reliability", F.lit(0.999)))))
-        score = settled(edges.join(pattern, "pattern").groupBy("surface").agg(F.when(F.max("seed"), 1.0).otherwise(1 - missed).alias("r")))
-    pattern = edges.join(score, "surface").groupBy("pattern").agg((F.sum(F.col("n") * F.col("r")) / (F.sum("n") + smooth)).alias("reliability"))
-    return pattern.where(F.col("reliability") >= confident)
+        heard = plain_edges.join(good, "context").groupBy("kind", "surface").agg((1 - missed).alias("r"))
+        trusted = settled(heard.unionByName(seeds).groupBy("kind", "surface").agg(F.max("r").alias("r")))
+    return good.where(F.col("reliability") >= confident)
 
 
-def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, confident: float = 0.8, min_seeds: int = 5) -> DataFrame:
-    """All columns of ``docs`` but the text, plus base (the exact entities) and spans (with those found by pattern): arrays of
+def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, confident: float = 0.8, min_seeds: int = 5, smooth: float = 1.0, block: int = 200_000) -> DataFrame:
+    """All columns of ``docs`` but the text, plus base (the exact entities) and spans (with those that patterns found): arrays of
     struct<kind, start, end> in order of kind, then start; offsets are code points, ends exclusive."""
+    spark = docs.sparkSession
     docs = docs.drop("base", "spans", "_row", "_found", "_added")
     at = docs.columns.index(text)
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
-    item = "struct<kind:string,start:int,end:int,surface:string,seed:boolean,patterns:array<string>>"
-    scanned = settled(docs.mapInArrow(_scan(at), ", ".join([*rest, "_row long", f"_found array<{item}>"])))
+    item = "struct<kind:string,start:int,end:int,surface:string,contexts:array<string>>"
+    scanned = settled(docs.mapInArrow(_scan(at), ", ".join([*rest, "_row long", "base array<struct<kind:string,start:int,end:int>>", f"_found array<{item}>"])))
     each = scanned.select("_row", F.explode("_found").alias("x")).select("_row", "x.*")
-    occurrences = each.select(F.explode("patterns").alias("pattern"), "surface", "seed")
-    good = promoted(occurrences, rounds, confident, min_seeds)
-    span = F.struct("kind", "start", "end")
-    added = each.where(~F.col("seed")).select("_row", span.alias("span"), F.explode("patterns").alias("pattern")).join(good.select("pattern"), "pattern", "left_semi")
-    added = added.groupBy("_row").agg(F.collect_set("span").alias("_added"))
+    occurrences = each.select(F.explode("contexts").alias("context"), "surface", "kind")
+    all_edges = settled(occurrences.groupBy("context", "surface").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    shared_by = all_edges.groupBy("context").agg(F.count("*").alias("several")).where(F.col("several") >= min_seeds).select("context")
+    edges = settled(all_edges.join(shared_by, "context"))
+    wanted = settled(edges.select("context").distinct())
+    blocks = -(-wanted.count() // block)
+    slots = None
+    for b in range(blocks):
+        own = [r[0] for r in wanted.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).toLocalIterator()]
+        part = settled(met(docs, text, own))
+        slots = part if slots is None else slots.unionByName(part)
     bare = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    base = F.transform(F.filter("_found", lambda x: x["seed"]), bare)
-    joined = scanned.join(added, "_row", "left").withColumn("base", base)
-    ordered = F.transform(F.array_sort(F.transform(F.concat("base", F.coalesce("_added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))), lambda x: F.struct(rank_of(x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), bare)
-    return joined.withColumn("spans", ordered).drop("_row", "_found", "_added")
+    secrets = F.transform(F.filter("_found", lambda x: x["kind"] == "secret"), bare)
+    if slots is None:
+        joined = scanned.withColumn("_added", secrets)
+    else:
+        good = settled(reliable(edges, slots, rounds, confident, min_seeds, smooth).select(F.col("kind").alias("_kind"), "context"))
+        span = F.struct(F.col("_kind").alias("kind"), "start", "end")
+        slot = each.where("kind is null").select("_row", "start", "end", F.explode("contexts").alias("context")).join(good, "context")
+        # One kind for a span: the first as listed.
+        first = F.min_by("_kind", rank_of(F.col("_kind")))
+        added = slot.groupBy("_row", "start", "end").agg(first.alias("_kind")).groupBy("_row").agg(F.collect_list(span).alias("_more"))
+        joined = scanned.join(added, "_row", "left").withColumn("_added", F.concat(secrets, F.coalesce("_more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))).drop("_more")
+    placed = F.transform(F.concat("base", "_added"), lambda x: F.struct(rank_of(x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    forget(spark, all_edges)
+    return joined.withColumn("spans", F.transform(F.array_sort(placed), bare)).drop("_row", "_found", "_added")
 
 
 def rank_of(kind: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+    return F.array_position(F.array(*map(F.lit, ALL_KINDS)), kind)
 
 
 def written(spans: str) -> Column:

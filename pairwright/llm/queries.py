@@ -24,7 +24,7 @@ def tokenizer_path(name: str) -> str:
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_of("base", k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:

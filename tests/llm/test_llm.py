@@ -228,10 +228,48 @@ def test_pii_base(spark):  # noqa: ANN001
 
 
 def test_pii_patterns_find_unseen(spark):  # noqa: ANN001
-    seeds = [(i, f"please call my phone +1 (234) 555-{1000 + i} today") for i in range(30)]
-    more = [(100, "please call my phone (234) 555-7777 today"), (101, "the room 234 555-7777 is free"), (102, None)]
-    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_pii(frame(spark, seeds + more)).collect()}
-    assert got[100] == [("phone", 21, 35)] and got[101] == [] and got[102] == []
+    """A number of another shape in the slot of a trusted pattern is found; elsewhere, and in slots that hold all sorts of words, it is not."""
+    seeds = [(i, f"please call my phone +1 (234) 555-{1000 + i} today, in the +1 (234) 555-{2000 + i}") for i in range(30)]
+    more = [(100, "please call my phone (234) 555-7777 today"), (101, "the room 234 555-7777 is free"), (102, None), (103, "in the 4234 " * 3)]
+    words = [(200 + i, "in the house, in the end, in the way") for i in range(30)]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_pii(frame(spark, seeds + more + words)).collect()}
+    assert got[100] == [("phone", 21, 35)] and got[101] == [] and got[102] == [] and got[103] == [] and len(got[0]) == 2
+
+
+def test_pii_trusted_instances_induce_patterns(spark):  # noqa: ANN001
+    """Round one: cases in the slot of a seeded pattern are trusted. Round two: the other context they share is a pattern and finds more."""
+    long_word = "w" * 200
+    seeds = [(i, f"send it to {long_word} user{i}@mail.example.com now") for i in range(20)]
+    first = [(100 + i, f"send it to {long_word} Client_{i} now. our agent {long_word}x client_{i} said") for i in range(8)]
+    second = [(200, f"our agent {long_word}x Client_77 said"), (201, f"our agent {long_word} y9 said"), (202, "client_77 is another kind of slot")]
+    rows = pii.find_pii(frame(spark, seeds + first + second), confident=0.6).collect()
+    got = {r.doc_id: [x.kind for x in r.spans] for r in rows}
+    assert got[103] == ["email", "email"] and got[200] == ["email"] and got[202] == []
+    once = pii.find_pii(frame(spark, seeds + first + second), confident=0.6, rounds=1)
+    assert {r.doc_id: len(r.spans) for r in once.collect()}[200] == 0
+    blocks = pii.find_pii(frame(spark, seeds + first + second), confident=0.6, block=2)
+    assert {r.doc_id: r.spans for r in blocks.collect()} == {r.doc_id: r.spans for r in rows}
+
+
+def test_pii_secrets(spark):  # noqa: ANN001
+    key = [hashlib.sha1(bytes([i]), usedforsecurity=False).hexdigest() for i in range(20)]
+    rows = [(i, f'ab token = "{k}" cd') for i, k in enumerate(key)] + [(50, 'ab token = "Zx_9-unlike" cd'), (51, f"commit {key[0]} is no assignment"), (52, "token ring of 4")]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert got[0] == [("secret", 12, 52)] and got[50] == [("secret", 12, 23)] and got[51] == [] and got[52] == []
+
+
+def test_op1_against_brute_force(spark):  # noqa: ANN001
+    """The registered query: base counts and digest by brute force; base spans stay, and patterns and secrets add some on the test table."""
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op1_bootstrapped_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = base_by_hand(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
+    assert sum(r.n_spans for r in rows) > sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows)
 
 
 # ---- scoring ----
@@ -320,17 +358,22 @@ def test_ppm_distributions_sum_to_one():
 
 
 def test_op3_beats_its_base(spark):  # noqa: ANN001
-    """The registered query: every row once, base scores as SQL would have them, held-out texts more probable than under the base."""
-    rows = queries.op3_ppm_score(spark, "/root/testdata/sf0.01").collect()
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
-    train = [r.text for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
-    got = {r.doc_id: r for r in rows}
+    """The registered query: every row once, base scores by brute force, held-out texts more probable than under the base. (The base
+    gives every unseen word the same share however many there are, so it is no distribution and a small corpus flatters it.)"""
+    sf_dir = "/root/testdata/sf0.1"
+    rows = queries.op3_ppm_score(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
+    c = Counter(w for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in split(r.text))
+    total, got = c.total(), {r.doc_id: r for r in rows}
     assert len(rows) == len(docs)
     for r in docs[::97]:
-        base, n, known, total = base_by_words(train, r.text)
-        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_known, got[r.doc_id].train_tokens) == (n, known, total) and got[r.doc_id].base_score == pytest.approx(base, rel=1e-9)
+        words = split(r.text)
+        base = sum(np.log10((c[w] + 1) / (total + len(c) + 1)) for w in words)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_known, got[r.doc_id].train_tokens) == (len(words), sum(w in c for w in words), total)
+        assert got[r.doc_id].base_score == pytest.approx(base, rel=1e-9)
     held = [r for r in rows if r.held_out]
-    assert held and sum(r.score for r in held) > 0.99 * sum(r.base_score for r in held)
+    assert held and sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
 
 
 @pytest.mark.parametrize("block", [10_000, 3])
