@@ -1,18 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Induction. A bounded number of pages of each host (those of the smallest content hashes) are parsed into DOM trees and aligned with
-one of them by simple tree matching. A node that is matched in nearly all of the others, always with the same text, is template; a node
-whose text varies is a slot. The wrapper of a host is its template's texts by place, and the container whose slots hold the most text.
+Induction. Pages of a host with different contents are parsed into DOM trees and aligned with one of them by simple tree matching. An aligned node
+whose texts repeat from page to page is constant, one whose texts vary is a slot; the wrapper's container is the smallest element that
+holds nine tenths of the slots' text and every title (h1) among them. Which texts at which place are template is counted over all pages of the host: those found in at least
+a tenth (repeated) or a half (constant) of its different contents, and in ``least`` of them. Copies of a page count once: contents are told apart by their longest blocks.
 
-Extraction. Each page is parsed whole. Its main part is its largest article, else its main element, else the wrapper's container, else the
-container with the most paragraph text. Within it, what markup or class names tell to be menu, header, footer, sidebar, notice,
-advert, form or comment goes, as does the host's template; all other blocks stay, whole and in page order.
+Extraction. The wrapper's container, where the page has it, else the whole page, is searched for the article elements that no menu, sidebar or list of
+comments holds, else for a main element; without either the container itself is the main part, and on a page without a wrapper the smallest element
+that holds nine tenths of the paragraphs' text and the titles. All blocks of the main part stay, in page order, but for
 
-A host that holds a third of all pages costs one task no more than another: the sample comes from a rank that each task limits
-first, and wrappers meet pages by broadcast while they are few (``broadcast_bytes``), else by a join salted on the page's row.
+* constant texts of the host of three words or more that are no headings (where no markup names the article, repeated ones too);
+* what sits in elements for menus, asides, footers, forms or buttons, or of a class, role or id that is exactly one of ``INNER``.
 
-Defined results: null html is an empty page (empty text); a page without a host, or of a host with fewer than ``least`` different sample pages, is
-extracted without a template; equal pages count once for a template; repeated rows are extracted each; an empty table stays empty.
+Words within class names are hints for elements around the main part alone, and only where these hold less than half of the page's text.
+
+A host that holds a third of all pages costs one task no more than another: the sample (``sample`` pages a host, a bound of the alignment alone) comes
+from a rank that each task limits first, template counts are by place and text, and wrappers meet pages by broadcast while they are few
+(``broadcast_bytes``), else by a join salted on the page's row.
+
+Defined results: null html is an empty page (empty text); a page without a host, or of a host with fewer than ``least`` different contents, is
+extracted without a wrapper; repeated rows are extracted each; an empty table stays empty; columns named text and n_template are replaced;
+pages are taken whole, however long, deep or wide.
 """
 
 from __future__ import annotations
@@ -25,11 +33,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import settled, share
+from .common import Memory, settled, share
 
 # Tags by what the HTML standard makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,25 +51,32 @@ CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legen
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 HOLDS = frozenset("ul ol dl table menu article section div body".split())
 
-#: Tags, and words of class, id or role, that mark what is no part of an article.
+#: Tags, and words of class, id or role, that mark what is no part of an article; names that do so within one; classes of comments.
 OUTER_TAGS = frozenset("nav aside footer form dialog menu search button fieldset label input head".split())
 OUTER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer sidebar aside rail related recommended recommendations teaser share sharing social cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login register paywall search comment comments commentlist disqus discussion reply replies respond reviews toolbar pagination pager copyright skip complementary contentinfo".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion reply replies respond reviews".split())
+INNER = frozenset(
+    "ad ads advert adverts advertisement adsbygoogle ad-container ad-slot banner-ad sponsored sidebar comments comment-list commentlist comments-area comments-section comment-section comment-form comment-respond disqus_thread related-posts related-articles newsletter newsletter-signup share-buttons social-share social-links sharing breadcrumb breadcrumbs pagination cookie-banner cookie-notice cookie-consent cookie-bar gdpr-notice navigation complementary contentinfo".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption legend summary".split())
+PARAGRAPHS = frozenset("p pre blockquote li h1 h2 h3 td dd".split())
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile("[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Page:
-    """A parsed page: elements in order (tag, label, words, parent), and blocks of text (element, text)."""
+    """A parsed page: elements in order (tag, label, names and words of attributes, place as a hash of the labels from the root, parent),
+    and blocks of text (element, text)."""
 
-    __slots__ = ("blocks", "label", "parent", "tag", "words")
+    __slots__ = ("blocks", "label", "names", "parent", "place", "tag", "words")
 
     def __init__(self, source: str) -> None:
-        self.tag, self.label, self.words, self.parent = ["html"], ["html"], [frozenset()], [-1]
+        self.tag, self.label, self.names, self.words, self.parent, self.place = ["html"], ["html"], [frozenset()], [frozenset()], [-1], [0]
         self.blocks: list[tuple[int, str]] = []
         self._parse(source)
 
@@ -98,6 +114,8 @@ class Page:
                     del stack[depth:]
                 continue
             if name in RAW:
+                if name in ("svg", "math") and m.group(4).endswith("/"):
+                    continue
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
@@ -120,133 +138,187 @@ class Page:
                 continue
             if name in ("html", "body") and name in (tags[x] for x in stack):
                 continue
-            words, label = frozenset(), name
+            names, words, label = frozenset(), frozenset(), name
             if (attributes := m.group(4)) and "=" in attributes:
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
                 if found:
                     kind = found.get("class", "")
-                    label = f"{name}.{kind}" if kind else name
+                    label = f"{name}.{_NUMBER.sub('0', kind)}" if kind else name
+                    names = frozenset(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split()) | {f"role={found.get('role', '').lower()}"}
                     named = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop"))
-                    words = frozenset(_NAME.findall(_CAMEL.sub(" ", named).lower()))
+                    words = frozenset(_NAME.findall(_CAMEL.sub(" ", named.replace("articleBody", "articlebody")).lower()))
                     if found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-                        words |= {"popup"}
+                        words, names = words | {"popup"}, names | {"ad"}
             if name in BLOCK or name in OUTER_TAGS or words:
-                if name not in BLOCK and (name in OUTER_TAGS or words & OUTER_WORDS):
+                if name not in BLOCK and (name in OUTER_TAGS or names & INNER):
                     flush()
+                self.place.append(xxhash.xxh3_64_intdigest(f"{self.place[stack[-1]]}/{label}"))
                 self.tag.append(name)
                 self.label.append(label)
+                self.names.append(names)
                 self.words.append(words)
                 self.parent.append(stack[-1])
                 stack.append(len(self.tag) - 1)
         flush()
 
-    def path(self, node: int) -> str:
-        out = []
-        while node > 0:
-            out.append(self.label[node])
-            node = self.parent[node]
-        return "/".join(reversed(out))
-
-    def outer(self, node: int) -> bool:
-        """Whether this element itself is marked as no part of an article."""
-        return self.tag[node] in OUTER_TAGS or (self.tag[node] not in ("html", "body", "article", "main") and bool(self.words[node] & OUTER_WORDS)) or (self.tag[node] == "article" and bool(self.words[node] & COMMENT_WORDS))
-
-    def lineage(self, node: int) -> Iterator[int]:
-        while node >= 0:
-            yield node
-            node = self.parent[node]
-
-
-def main_root(page: Page, container: str | None) -> int:
-    """The element that holds the main part."""
-    size: Counter[int] = Counter()
-    paragraphs: Counter[int] = Counter()
-    for node, text in page.blocks:
-        line = list(page.lineage(node))
-        hard = any(page.tag[x] in OUTER_TAGS or page.words[x] & COMMENT_WORDS for x in line)
-        if hard:
-            continue
-        for x in line:
-            size[x] += len(text)
-        if page.tag[node] in ("p", "pre", "blockquote", "li", "h1", "h2", "h3") and not any(page.outer(x) for x in line):
-            holder = page.parent[node] if page.tag[node] != "li" else page.parent[max(page.parent[node], 0)]
-            paragraphs[max(holder, 0)] += len(text)
-    for kind in (lambda x: page.tag[x] == "article", lambda x: page.tag[x] == "main" or "articlebody" in page.words[x] or {"role", "main"} <= page.words[x]):
-        fit = [x for x in size if kind(x)]
-        if fit:
-            return max(fit, key=lambda x: (size[x], -x))
-    if container:
-        fit = [x for x in size if page.path(x) == container]
+    def key(self, node: int, text: str) -> int:
+        """A text at its place, as a signed number."""
+        return xxhash.xxh3_64_intdigest(f"{self.place[node]}\t{text}") - (1 << 63)
+
+    def signature(self) -> int:
+        """The content of a page: its longest blocks."""
+        longest = sorted((t for _, t in self.blocks), key=lambda t: (-len(t), t))[:3]
+        return xxhash.xxh3_64_intdigest("\n".join(longest)) - (1 << 63)
+
+    def sizes(self, of: Iterator[tuple[int, int]]) -> list[int]:
+        """Sums over subtrees."""
+        out = [0] * len(self.tag)
+        for node, n in of:
+            out[node] += n
+        for x in range(len(out) - 1, 0, -1):
+            out[self.parent[x]] += out[x]
+        return out
+
+    def around(self) -> list[bool]:
+        """For each element whether it, or one that holds it, is told to be around the main part."""
+        size = self.sizes((x, len(t)) for x, t in self.blocks)
+        mains = self.sizes((x, 1) for x in range(len(self.tag)) if is_main(self, x))
+        out = [False]
+        for x in range(1, len(self.tag)):
+            hint = self.tag[x] not in ("html", "body", "article", "main", "p") and self.tag[x] not in HEADINGS and not mains[x] and self.words[x] & OUTER_WORDS and 2 * size[x] < size[0]
+            comment = self.tag[x] == "article" and self.words[x] & COMMENT_WORDS
+            out.append(out[self.parent[x]] or self.tag[x] in OUTER_TAGS or bool(hint or comment))
+        return out
+
+    def smallest(self, size: list[int], titles: list[int], least: float = 0.9) -> int:
+        """The smallest element, no paragraph or heading itself, with that share of the sizes and all of the titles."""
+        children: dict[int, list[int]] = defaultdict(list)
+        held = self.sizes((x, 1) for x in titles)
+        for x in range(1, len(self.tag)):
+            if size[x] >= least * size[0] > 0 and held[x] == len(titles) and self.tag[x] not in PARAGRAPHS and self.tag[x] not in HEADINGS:
+                children[self.parent[x]].append(x)
+        x = 0
+        while children.get(x):
+            x = children[x][0]
+        return x
+
+
+def is_main(page: Page, x: int) -> bool:
+    return page.tag[x] == "main" or "articlebody" in page.words[x] or "role=main" in page.names[x]
+
+
+def main_roots(page: Page, container: int | None, known: frozenset) -> tuple[list[int], bool]:
+    """The elements that hold the main part, and whether markup tells so."""
+    around = page.around()
+    size = page.sizes((x, len(t)) for x, t in page.blocks if not around[x] and page.key(x, t) not in known)
+    found = [x for x in range(1, len(page.tag)) if container is not None and page.place[x] == container and size[x]]
+    most = max((size[x] for x in found), default=0)
+    found = [x for x in found if 5 * size[x] >= most]
+    # What encloses a container and is told to be the main part is the main part.
+    for i, x in enumerate(found):
+        up = x
+        while up > 0:
+            if (page.tag[up] == "article" or is_main(page, up)) and not around[up]:
+                found[i] = up
+            up = page.parent[up]
+    inside = [not found] * len(page.tag)
+    for x in range(len(page.tag)):
+        inside[x] = inside[x] or x in found or (x > 0 and inside[page.parent[x]])
+    for kind in (lambda x: page.tag[x] == "article", lambda x: is_main(page, x)):
+        held, fit = [False] * len(page.tag), []
+        for x in range(1, len(page.tag)):
+            held[x] = held[page.parent[x]]
+            if inside[x] and kind(x) and not around[x] and size[x]:
+                if not held[x]:
+                    fit.append(x)
+                held[x] = True
         if fit:
-            return max(fit, key=lambda x: (size[x], -x))
-    if paragraphs:
-        return max(paragraphs, key=lambda x: (paragraphs[x], -x))
-    return 0
-
-
-def main_blocks(page: Page, container: str | None = None) -> list[tuple[int, str]]:
-    """The blocks of the main part that no markup tells to be anything else."""
-    root = main_root(page, container)
-    inside, keep = {root: True}, []
-    for node, text in page.blocks:
-        line = []
-        x = node
-        while x not in inside and x >= 0:
-            line.append(x)
-            x = page.parent[x]
-        ok = inside.get(x, False)
-        for x in reversed(line):
-            ok = ok and not page.outer(x)
-            if page.tag[x] == "header":
-                ok = ok and page.tag[root] == "article"
-            inside[x] = ok
-        if ok and any(page.tag[y] == "header" for y in page.lineage(node)) and page.tag[node] not in ("h1", "h2", "h3", "hgroup"):
-            ok = False
-        if ok:
-            keep.append((node, text))
-    return keep
+            return fit, True
+    if found:
+        return sorted(set(found)), False
+    paragraphs = page.sizes((x, len(t)) for x, t in page.blocks if not around[x] and page.tag[x] in PARAGRAPHS)
+    titles = [x for x, _ in page.blocks if page.tag[x] == "h1" and not around[x]]
+    return [page.smallest(paragraphs if paragraphs[0] else size, titles)], False
 
 
-# ---- induction ----
+def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int]:
+    """The texts of the main part's blocks, and how many blocks the host's template took."""
+    wrapper = wrapper or {}
+    constant, repeated = wrapper.get("constant", frozenset()), wrapper.get("repeated", frozenset())
+    roots, marked = main_roots(page, wrapper.get("container"), constant | repeated)
+    gone = constant if marked else constant | repeated
+    state = [0] * len(page.tag)  # 1: in the main part
+    for x in roots:
+        state[x] = 1
+    around = None if marked else page.around()
+    for x in range(1, len(page.tag)):
+        if not state[x] and state[page.parent[x]]:
+            out = page.tag[x] in OUTER_TAGS or (page.tag[x] not in HEADINGS and page.names[x] & INNER) or (page.tag[x] == "article" and page.words[x] & COMMENT_WORDS)
+            state[x] = int(not out and not (around and around[x]))
+    keep, template = [], 0
+    for x, text in page.blocks:
+        if state[x]:
+            if gone and page.tag[x] not in HEADINGS and text.count(" ") >= 2 and page.key(x, text) in gone:
+                template += 1
+            else:
+                keep.append(text)
+        elif page.key(x, text) in constant or page.key(x, text) in repeated:
+            template += 1
+    return keep, template
 
-#: Bounds of the trees that are aligned, and the pages of a host that are.
-DEPTH, CHILDREN, SAMPLE = 40, 120, 12
 
+# ---- induction ----
 
-def _tree(page: Page) -> tuple[list[list[int]], dict[int, list[str]]]:
-    children: list[list[int]] = [[] for _ in page.tag]
-    depth = [0] * len(page.tag)
-    for x in range(1, len(page.tag)):
-        depth[x] = depth[page.parent[x]] + 1
-        if depth[x] <= DEPTH and len(children[page.parent[x]]) < CHILDREN:
-            children[page.parent[x]].append(x)
-    texts: dict[int, list[str]] = defaultdict(list)
-    for node, text in page.blocks:
-        texts[node].append(text)
-    return children, texts
+#: Pages of a host that are aligned; two lists of children of a larger product, and those at a greater depth, are matched in one pass.
+SAMPLE, PRODUCT, DEPTH = 12, 20_000, 80
+#: Shares of a host's contents at which a text at its place is repeated, and constant.
+REPEATED, CONSTANT = 0.1, 0.5
+
+
+def in_order(labels: list[str], others: list[str]) -> list[tuple[int, int]]:
+    """The k-th of a label with the other's k-th of it."""
+    at: dict[str, list[int]] = defaultdict(list)
+    for j, label in enumerate(others):
+        at[label].append(j)
+    seen: Counter[str] = Counter()
+    out = []
+    for i, label in enumerate(labels):
+        if seen[label] < len(at[label]):
+            out.append((i, at[label][seen[label]]))
+        seen[label] += 1
+    return out
 
 
 def tree_match(a: Page, b: Page) -> list[tuple[int, int]]:
     """Matched elements of two pages by simple tree matching (the largest order- and parent-preserving matching of equal labels)."""
-    kids_a, _ = _tree(a)
-    kids_b, _ = _tree(b)
+
+    def kids(page: Page) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in page.tag]
+        for x in range(1, len(page.tag)):
+            out[page.parent[x]].append(x)
+        return out
+
+    kids_a, kids_b = kids(a), kids(b)
     memory: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def match(x: int, y: int) -> tuple[int, list]:
+    def match(x: int, y: int, depth: int) -> int:
         if (x, y) in memory:
-            return memory[x, y]
+            return memory[x, y][0]
         if a.label[x] != b.label[y]:
-            memory[x, y] = (0, [])
-            return memory[x, y]
+            return 0
         p, q = kids_a[x], kids_b[y]
+        if depth > DEPTH or len(p) * len(q) > PRODUCT:
+            pairs = [(p[i], q[j]) for i, j in in_order([a.label[u] for u in p], [b.label[v] for v in q])]
+            total = sum(match(u, v, depth + 1) if depth <= DEPTH else 1 for u, v in pairs)
+            memory[x, y] = (total + 1, pairs)
+            return total + 1
         best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
         for i, u in enumerate(p):
             for j, v in enumerate(q):
-                w = match(u, v)[0]
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(u, v, depth + 1))
         pairs, i, j = [], len(p), len(q)
         while i and j:
-            w = match(p[i - 1], q[j - 1])[0]
+            w = match(p[i - 1], q[j - 1], depth + 1)
             if w and best[i][j] == best[i - 1][j - 1] + w:
                 pairs.append((p[i - 1], q[j - 1]))
                 i, j = i - 1, j - 1
@@ -255,89 +327,109 @@ def tree_match(a: Page, b: Page) -> list[tuple[int, int]]:
             else:
                 j -= 1
         memory[x, y] = (best[-1][-1] + 1, pairs)
-        return memory[x, y]
+        return best[-1][-1] + 1
 
-    match(0, 0)
+    match(0, 0, 0)
     out, todo = [], [(0, 0)]
     while todo:
         x, y = todo.pop()
         out.append((x, y))
+        if (x, y) not in memory:  # below the depth that is aligned by counts
+            memory[x, y] = (0, [(kids_a[x][i], kids_b[y][j]) for i, j in in_order([a.label[u] for u in kids_a[x]], [b.label[v] for v in kids_b[y]])])
         todo += memory[x, y][1]
     return out
 
 
 def induce(sources: list[str], least: int = 4) -> dict:
-    """The wrapper of pages of one host: template (texts by place) and container (the place whose slots hold the most text)."""
+    """What pages of one host tell by alignment: the container of the slots, and how many nodes are constant and how many slots."""
     pages = [Page(s) for s in dict.fromkeys(sources)]
     if len(pages) < least:
-        return {"template": [], "container": None}
+        return {"container": None, "constants": 0, "slots": 0}
     pages.sort(key=lambda p: len(p.tag))
     base = pages[len(pages) // 2]
-    _, own = _tree(base)
-    met, same = Counter(), Counter()
+
+    def texts(page: Page) -> dict[int, str]:
+        out: dict[int, str] = {}
+        for x, t in page.blocks:
+            out[x] = f"{out[x]}\n{t}" if x in out else t
+        return out
+
+    own = texts(base)
+    values: dict[int, Counter[str]] = {x: Counter([t]) for x, t in own.items()}
     for other in pages:
         if other is not base:
-            _, theirs = _tree(other)
+            theirs = texts(other)
             for x, y in tree_match(base, other):
-                if own.get(x):
-                    met[x] += 1
-                    same[x] += own[x] == theirs.get(y)
-    others = len(pages) - 1
-    constant = {x for x in own if met[x] >= 0.8 * others and same[x] == met[x]}
-    slots: Counter[str] = Counter()
-    for x, texts in own.items():
-        if x not in constant and x > 0 and not any(base.outer(y) for y in base.lineage(x)):
-            slots[base.path(base.parent[x])] += sum(map(len, texts))
-    # Where much of what would be kept is the same everywhere, the pages are copies of each other: no template there.
-    kept = main_blocks(base)
-    lost = sum(len(t) for x, t in kept if x in constant)
-    template = [] if lost > 0.3 * sum(len(t) for _, t in kept) else sorted({f"{base.path(x)}\t{t}" for x in constant for t in own[x]})
-    return {"template": template, "container": max(slots, key=lambda p: (slots[p], p)) if slots else None}
+                if x in own and y in theirs:
+                    values[x][theirs[y]] += 1
+    # A slot's texts vary: most of them are there once.
+    slots = {x for x, of in values.items() if 2 * sum(n for n in of.values() if n == 1) > of.total()}
+    around = base.around()
+    size = base.sizes((x, len(own[x])) for x in slots if not around[x])
+    held = base.smallest(size, [x for x in slots if base.tag[x] == "h1" and not around[x]]) if size[0] else 0
+    return {"container": base.place[held] if held else None, "constants": len(own) - len(slots), "slots": len(slots)}
 
 
 def extract(source: str | None, wrapper: dict | None = None) -> str:
     """The main text of one page."""
-    if not source:
-        return ""
-    page = Page(source)
-    wrapper = wrapper or {}
-    template = wrapper.get("template") or ()
-    blocks = main_blocks(page, wrapper.get("container"))
-    if template:
-        known = template if isinstance(template, (set, frozenset)) else frozenset(template)
-        blocks = [(x, t) for x, t in blocks if f"{page.path(x)}\t{t}" not in known]
-    return "\n\n".join(t for _, t in blocks)
+    return "\n\n".join(main_blocks(Page(source), wrapper)[0]) if source else ""
 
 
 def host_of(url: str):  # noqa: ANN201
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page its host, hash, content and texts at their places."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            pages = [Page(s) for s in part.column(2).to_pylist()]
+            keys = [list({p.key(x, t) for x, t in p.blocks}) for p in pages]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.signature() for p in pages], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "hash", "content", "keys"])
+
+
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE, least: int = 4) -> DataFrame:
-    """(host, wrapper as JSON) of each host with enough different pages."""
+    """(host, wrapper as JSON) of each host with enough different contents: container, constants, slots (of the alignment), constant and
+    repeated (texts at their places, of all pages)."""
     own = pages.where(F.col(html).isNotNull() & (F.col(html) != "")).select(host_of(url).alias("host"), F.col(html).alias("html")).where("host <> ''")
-    own = own.withColumn("hash", F.xxhash64("html"))
-    # Places go to different pages: copies are dropped before the rank.
-    place = F.row_number().over(W.partitionBy("host").orderBy("hash"))
-    chosen = own.select("host", "hash").distinct().withColumn("place", place).where(F.col("place") <= sample)
+    own = own.select("host", F.xxhash64("html").alias("hash"), "html")
+    evidence = settled(own.mapInArrow(_evidence, "host string, hash long, content long, keys array<long>"))
+    contents = evidence.groupBy("host", "content").agg(F.min("hash").alias("hash"))
+    of_host = contents.groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= least)
+
+    place = F.row_number().over(W.partitionBy("host").orderBy("content"))
+    chosen = contents.withColumn("place", place).where(F.col("place") <= sample).select("host", "hash", "place")
     few = own.join(chosen, ["host", "hash"]).groupBy("host", "place").agg(F.first("html").alias("html"))
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = induce(rows.sort_values("place")["html"].tolist(), least)
-        some = bool(found["template"] or found["container"])
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found)]}) if some else pd.DataFrame({"host": [], "wrapper": []}, dtype=object)
+        return pd.DataFrame({"host": [key[0]], "aligned": [json.dumps(induce(rows.sort_values("place")["html"].tolist(), least))]})
+
+    aligned = few.groupBy("host").applyInPandas(learn, "host string, aligned string")
+    found = evidence.select("host", "content", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    found = found.where(F.col("n") >= least).join(of_host, "host").where(F.col("n") >= F.col("contents") * REPEATED)
+    is_constant = F.col("n") >= F.col("contents") * CONSTANT
+    template = found.groupBy("host").agg(F.collect_list(F.when(is_constant, F.col("key"))).alias("constant"), F.collect_list(F.when(~is_constant, F.col("key"))).alias("repeated"))
+    both = of_host.join(aligned, "host").join(template, "host", "left")
+    none = F.array().cast("array<bigint>")
+    return both.select("host", F.to_json(F.struct("aligned", F.coalesce("constant", none).alias("constant"), F.coalesce("repeated", none).alias("repeated"))).alias("wrapper"))
 
-    return few.groupBy("host").applyInPandas(learn, "host string, wrapper string")
+
+def read_wrapper(raw: str | None) -> dict:
+    if raw is None:
+        return {}
+    found = json.loads(raw)
+    return json.loads(found["aligned"]) | {k: frozenset(found[k]) for k in ("constant", "repeated")}
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", broadcast_bytes: int = 16_000_000, salts: int = 64) -> DataFrame:
-    """All columns of ``pages`` but the html, plus text. A column named text is replaced."""
+    """All columns of ``pages`` but the html, plus text, and n_template: blocks that the host's wrapper knows as template and that went."""
     spark = pages.sparkSession
-    pages = pages.drop("text", "_html", "_host", "_wrapper", "_salt")
+    pages = pages.drop("text", "n_template", "_html", "_host", "_wrapper", "_salt")
     learned = settled(wrappers(pages, url, html))
     size = learned.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     rest = [f for f in pages.schema if f.name != html]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string", "n_template long"])
     named = pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(html).alias("_html"), host_of(url).alias("_host"))
     known = None
     if size <= broadcast_bytes:
@@ -351,23 +443,13 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", broadc
     keep = [columns.index(f.name) for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[str, dict] = {}
-
-        def wrapper(raw: str | None) -> dict | None:
-            if raw is None:
-                return None
-            if raw not in memory:
-                if len(memory) > 2000:
-                    memory.clear()
-                found = json.loads(raw)
-                memory[raw] = {"template": frozenset(found["template"]), "container": found["container"]}
-            return memory[raw]
-
+        memory = Memory(read_wrapper, 2000)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 raw = [known.value.get(h) for h in part.column(at_host).to_pylist()] if known is not None else part.column(at_wrapper).to_pylist()
-                texts = [extract(s, wrapper(w)) for s, w in zip(part.column(at_html).to_pylist(), raw, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(texts, pa.string())], names=[*(f.name for f in rest), "text"])
+                found = [main_blocks(Page(s), memory[w]) if s else ([], 0) for s, w in zip(part.column(at_html).to_pylist(), raw, strict=True)]
+                texts = ["\n\n".join(t) for t, _ in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(texts, pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*(f.name for f in rest), "text", "n_template"])
 
     return named.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_wrapper.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
