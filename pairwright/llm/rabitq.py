@@ -1,19 +1,22 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
 Index. Every vector is scaled to length one, rotated by a fixed random orthogonal matrix and kept as the signs of its
-components, packed, with one correction scalar: the inner product of the vector and its code. Nothing is fitted.
+components, packed, with one correction scalar: the inner product of the vector and its code. Nothing is fitted. The index is a stored
+table, made once: queries of all blocks read its codes.
 
-Search. The inner product of a query and a code, divided by the correction scalar, estimates the cosine without bias; its
-error stays within ``bound * sqrt((1 - c^2) / c^2 / (d - 1))`` for a correction scalar c, but for a chance that falls with the bound
-as that of a normal deviate. A vector whose upper bound reaches the k-th best found so far has its exact cosine computed, in double
-precision on the original vectors; all others are never looked at again.
+Search. A query is rotated likewise and kept in ``PLANES`` bit planes (components rounded to 2^PLANES steps), so that its inner product with a code
+is a weighted sum of the bits that code and plane have in common, counted on packed words. Divided by the correction scalar, it estimates
+the cosine; the error stays within ``BOUND`` times the root of (1 - c^2) / c^2 / (d - 1), for a correction scalar c, and of the variance
+of the rounding, but for a chance that falls with the bound as that of a normal deviate. A vector whose upper bound reaches the k-th best found so far
+(at first, the k-th best lower bound of different ids) has its exact cosine computed, in double precision on the original vectors; all others are never looked at again.
 
-Queries are taken in blocks of at most about ``block`` vectors, each broadcast in turn; every task keeps k rows a query, and these are
-merged by query. Each block reads the codes once.
+Queries are taken in blocks of at most about ``block`` vectors, each broadcast in turn; every task keeps k ids a query, and these are
+merged by query. A block's results are stored before the next block is sent, and its broadcast goes.
 
 Defined results: vectors that are null, zero, of another length than most queries, or that hold null or non-finite components take no
-part, as query or candidate; with fewer candidates than k, all are found; ties go to the smaller id; rows of the same id
-are one vector to search for (a query's own id is never found, and an id is found once, at its best score); no rows: no result.
+part, as query or candidate, nor do rows without an id; with fewer candidates than k, all are found; ties go to the smaller id; rows of the
+same id are one vector to search for and to be found (a query's own id is never found, an id is found once, and two ids' nearness is the best of their rows);
+lengths far from one do no harm (components are scaled by a power of two first); no rows: no result. Other columns are not returned.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import share
+from .common import forget, settled, share
 
-BOUND = 4.0
+BOUND, PLANES = 4.0, 4
 ROWS = 2048
 
 
@@ -53,23 +56,48 @@ def _matrix(column: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
     return fit[good], values[good]
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """The vectors with their largest component near one, by an exact factor, so that no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None]) if len(v) else v
+
+
 def _lengths(v: np.ndarray) -> np.ndarray:
     return np.sqrt((v * v).sum(axis=1))
 
 
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits in 64-bit words."""
+    packed = np.packbits(bits, axis=-1)
+    return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, -packed.shape[-1] % 8)])).view(np.uint64)
+
+
 def codes(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed signs, correction scalars) of vectors."""
+    """(signs in 64-bit words, correction scalars) of vectors."""
+    v = scaled(v)
     unit = (v / _lengths(v)[:, None]) @ turn
-    return np.packbits(unit > 0, axis=1), np.abs(unit).sum(axis=1) / np.sqrt(v.shape[1])
+    return _words(unit > 0), np.abs(unit).sum(axis=1) / np.sqrt(v.shape[1])
+
+
+def planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Turned unit queries as (bit planes in words, lowest value, step, sum of the rounded values)."""
+    low = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - low, 1e-12) / (2**PLANES - 1)
+    rounded = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+    bits = (rounded[:, None, :] >> np.arange(PLANES)[None, :, None]) & 1
+    return _words(bits.astype(bool)), low, step, low * turned.shape[1] + step * rounded.sum(axis=1)
 
 
-def estimates(packed: np.ndarray, correction: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated cosines of code rows and turned unit queries, error for a bound of one)."""
-    d = turned.shape[1]
-    signs = np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
-    inner = signs @ turned.T.astype(np.float32) / np.float32(np.sqrt(d))
-    error = np.sqrt(np.maximum(0, 1 - correction**2) / correction**2 / max(1, d - 1))
-    return inner / correction[:, None], error
+def estimates(words: np.ndarray, correction: np.ndarray, queries: tuple, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosines of code rows and queries, their standard errors)."""
+    plane, low, step, total = queries
+    common = np.zeros((len(words), len(low)), np.int32)
+    for j in range(PLANES):
+        for w in range(words.shape[1]):
+            common += np.bitwise_count(words[:, w, None] & plane[None, :, j, w]).astype(np.int32) << j
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    inner = (2 * (step * common + low * ones[:, None]) - total) / np.sqrt(d)
+    spread = np.maximum(0, 1 - correction**2) / max(1, d - 1)
+    return inner / correction[:, None], np.sqrt(spread[:, None] + step**2 / 12) / correction[:, None]
 
 
 def index(vectors: DataFrame, d: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -80,23 +108,25 @@ def index(vectors: DataFrame, d: int, key: str = "vec_id", vector: str = "embedd
         turn = rotation(d)
         for batch in batches:
             rows, v = _matrix(batch.column(1), d)
-            packed, correction = codes(v, turn)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(correction)], names=[key, "embedding", "code", "correction"])
+            words, correction = codes(v, turn)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array([x.tobytes() for x in words], pa.binary()), pa.array(correction)], names=[key, "embedding", "code", "correction"])
 
     return vectors.where(F.col(key).isNotNull()).select(key, F.col(vector).alias("embedding")).mapInArrow(run, f"`{key}` {kind}, embedding array<double>, code binary, correction double")
 
 
 def _block(indexed: DataFrame, ids: list, queries: np.ndarray, k: int, key: str) -> DataFrame:
-    """Each task's k best of each query of one block, exact scores."""
+    """Each task's k best ids of each query row of one block, exact scores."""
     d = queries.shape[1]
     kind = indexed.schema[key].dataType.simpleString()
-    turned = (queries / _lengths(queries)[:, None]) @ rotation(d)
-    sent = share(indexed.sparkSession, (ids, queries, turned))
+    queries = scaled(queries)
+    sent = share(indexed.sparkSession, (ids, queries, planes((queries / _lengths(queries)[:, None]) @ rotation(d))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, turned = sent.value
+        ids, queries, coded = sent.value
         size = _lengths(queries)
-        place = {x: i for i, x in enumerate(ids)}
+        asking: dict = {}  # the query rows of an id
+        for i, x in enumerate(ids):
+            asking.setdefault(x, []).append(i)
         best: list[dict] = [{} for _ in ids]
         reach = np.full(len(ids), -np.inf)  # the k-th best so far
         arrow_kind = pa.int64()
@@ -105,17 +135,20 @@ def _block(indexed: DataFrame, ids: list, queries: np.ndarray, k: int, key: str)
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 own = part.column(0).to_pylist()
-                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d)
-                packed = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(own), -1)
-                guess, error = estimates(packed, part.column(3).to_numpy(), turned)
-                upper = guess + BOUND * error[:, None] + 1e-4
-                if np.isinf(reach).any():  # start from the best lower bounds of these rows
-                    lower = guess - BOUND * error[:, None]
-                    at = max(0, len(own) - k - 1)
-                    first = np.partition(lower, at, axis=0)[at] if len(own) > k + 1 else np.full(len(ids), -np.inf)
-                    near = upper >= np.maximum(reach, first)
+                v = scaled(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), d))
+                words = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(len(own), -1)
+                guess, error = estimates(words, part.column(3).to_numpy(), coded, d)
+                error = BOUND * error + 1e-9
+                once = np.fromiter({x: r for r, x in enumerate(own)}.values(), np.int64)  # a row of each id
+                if len(once) > k and np.isinf(reach).any():  # start from the k-th best lower bound of different ids, the query's own aside
+                    lower = (guess - error)[once]
+                    for r, x in enumerate(own[i] for i in once.tolist()):
+                        if x in asking:
+                            lower[r, asking[x]] = -np.inf
+                    first = np.partition(lower, len(once) - k, axis=0)[len(once) - k]
+                    near = guess + error >= np.maximum(reach, first)
                 else:
-                    near = upper >= reach
+                    near = guess + error >= reach
                 row, query = np.nonzero(near)
                 length = _lengths(v)
                 score = np.empty(len(row))
@@ -132,9 +165,7 @@ def _block(indexed: DataFrame, ids: list, queries: np.ndarray, k: int, key: str)
                     held = best[q]
                     for r, s in zip(row[start:end].tolist(), score[start:end].tolist(), strict=True):
                         x = own[r]
-                        if s < reach[q] and len(held) >= k:
-                            break
-                        if place.get(x) != q and s > held.get(x, -2.0):
+                        if x != ids[q] and s > held.get(x, -2.0):
                             held[x] = s
                     if len(held) >= k:
                         top = sorted(held.items(), key=lambda p: (-p[1], p[0]))[:k]
@@ -145,35 +176,34 @@ def _block(indexed: DataFrame, ids: list, queries: np.ndarray, k: int, key: str)
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, arrow_kind), pa.array(b, arrow_kind), pa.array(c, pa.float64())], names=["query_id", key, "score"])
 
-    return indexed.mapInArrow(run, f"query_id {kind}, `{key}` {kind}, score double")
+    merged = indexed.mapInArrow(run, f"query_id {kind}, `{key}` {kind}, score double").groupBy("query_id", key).agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
+    found = settled(merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", key, "score"))
+    sent.unpersist()
+    return found
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = 10_000) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest by cosine of every row that meets ``is_query``, among all rows of other ids."""
+    """(query_id, rank, key, score): the k nearest by cosine of every id of a row that meets ``is_query``, among all rows of other ids."""
     spark = vectors.sparkSession
-    asked = vectors.where(is_query & F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).alias("embedding"))
+    asked = vectors.where(is_query & F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).alias("embedding")).distinct()
     sizes = Counter({r[0]: r[1] for r in asked.groupBy(F.size("embedding")).count().collect() if r[0] > 0})
     kind = vectors.schema[key].dataType.simpleString()
-    if not sizes:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, score double")
-    d = max(sizes, key=lambda n: (sizes[n], n))
-    blocks = -(-sum(sizes.values()) // block)
-    indexed = index(vectors, d, key, vector)
-    parts = []
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow() if blocks > 1 else asked.toArrow()
-        rows, v = _matrix(own.column(1), d)
-        ids = own.column(0).take(pa.array(rows)).to_pylist()
-        first = {}
-        for i, x in enumerate(ids):
-            first.setdefault(x, i)
-        if first:
-            parts.append(_block(indexed, list(first), v[list(first.values())], k, key))
+    parts, indexed = [], None
+    if sizes:
+        d = max(sizes, key=lambda n: (sizes[n], n))
+        blocks = -(-sum(sizes.values()) // block)
+        indexed = settled(index(vectors, d, key, vector))
+        for b in range(blocks):
+            # Rows of one id are in one block.
+            own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow() if blocks > 1 else asked.toArrow()
+            rows, v = _matrix(own.column(1), d)
+            if len(rows):
+                parts.append(_block(indexed, own.column(0).take(pa.array(rows)).to_pylist(), v, k, key))
     if not parts:
         return spark.createDataFrame([], f"query_id {kind}, rank int, `{key}` {kind}, score double")
+    forget(spark, indexed)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    merged = found.groupBy("query_id", key).agg(F.max("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return merged.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return found
