@@ -3,13 +3,14 @@
 Induction. Pages of a host with different contents are parsed into DOM trees and aligned with one of them by simple tree matching. An aligned node
 whose texts repeat from page to page is constant, one whose texts vary is a slot; the wrapper's container is the smallest element that
 holds nine tenths of the slots' text and every title (h1) among them. Which texts at which place are template is counted over all pages of the host: those found in at least
-a tenth (repeated) or a half (constant) of its different contents, and in ``least`` of them. Copies of a page count once: contents are told apart by their longest blocks.
+a tenth (repeated) or a half (constant) of its different contents, and in ``least`` of them. A place where half of the texts come again on
+other pages holds a pool of template texts. Copies of a page count once: contents are told apart by their longest blocks.
 
 Extraction. The wrapper's container, where the page has it, else the whole page, is searched for the article elements that no menu, sidebar or list of
 comments holds, else for a main element; without either the container itself is the main part, and on a page without a wrapper the smallest element
 that holds nine tenths of the paragraphs' text and the titles. All blocks of the main part stay, in page order, but for
 
-* constant texts of the host of three words or more that are no headings (where no markup names the article, repeated ones too);
+* constant texts of the host of three words or more that are no headings (where no markup names the article, repeated ones too, and texts of pools outside paragraphs);
 * what sits in elements for menus, asides, footers, forms or buttons, or of a class, role or id that is exactly one of ``INNER``.
 
 Words within class names are hints for elements around the main part alone, and only where these hold less than half of the page's text.
@@ -207,10 +208,10 @@ def is_main(page: Page, x: int) -> bool:
     return page.tag[x] == "main" or "articlebody" in page.words[x] or "role=main" in page.names[x]
 
 
-def main_roots(page: Page, container: int | None, known: frozenset) -> tuple[list[int], bool]:
+def main_roots(page: Page, container: int | None, template: list[bool]) -> tuple[list[int], bool]:
     """The elements that hold the main part, and whether markup tells so."""
     around = page.around()
-    size = page.sizes((x, len(t)) for x, t in page.blocks if not around[x] and page.key(x, t) not in known)
+    size = page.sizes((x, len(t)) for (x, t), known in zip(page.blocks, template, strict=True) if not around[x] and not known)
     found = [x for x in range(1, len(page.tag)) if container is not None and page.place[x] == container and size[x]]
     most = max((size[x] for x in found), default=0)
     found = [x for x in found if 5 * size[x] >= most]
@@ -242,11 +243,13 @@ def main_roots(page: Page, container: int | None, known: frozenset) -> tuple[lis
 
 
 def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int]:
-    """The texts of the main part's blocks, and how many blocks the host's template took."""
+    """The texts of the main part's blocks, and how many blocks that the host's wrapper knows as template went."""
     wrapper = wrapper or {}
-    constant, repeated = wrapper.get("constant", frozenset()), wrapper.get("repeated", frozenset())
-    roots, marked = main_roots(page, wrapper.get("container"), constant | repeated)
-    gone = constant if marked else constant | repeated
+    constant, repeated, pools = (wrapper.get(k, frozenset()) for k in ("constant", "repeated", "pools"))
+    prose = lambda x: page.tag[x] in PARAGRAPHS or page.tag[x] in HEADINGS
+    keys = [page.key(x, t) if constant or repeated else 0 for x, t in page.blocks]
+    template = [k in constant or k in repeated or (page.place[x] in pools and not prose(x)) for k, (x, _) in zip(keys, page.blocks, strict=True)]
+    roots, marked = main_roots(page, wrapper.get("container"), template)
     state = [0] * len(page.tag)  # 1: in the main part
     for x in roots:
         state[x] = 1
@@ -255,16 +258,14 @@ def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int
         if not state[x] and state[page.parent[x]]:
             out = page.tag[x] in OUTER_TAGS or (page.tag[x] not in HEADINGS and page.names[x] & INNER) or (page.tag[x] == "article" and page.words[x] & COMMENT_WORDS)
             state[x] = int(not out and not (around and around[x]))
-    keep, template = [], 0
-    for x, text in page.blocks:
-        if state[x]:
-            if gone and page.tag[x] not in HEADINGS and text.count(" ") >= 2 and page.key(x, text) in gone:
-                template += 1
-            else:
-                keep.append(text)
-        elif page.key(x, text) in constant or page.key(x, text) in repeated:
-            template += 1
-    return keep, template
+    keep, gone = [], 0
+    for (x, text), key, known in zip(page.blocks, keys, template, strict=True):
+        goes = known and page.tag[x] not in HEADINGS and text.count(" ") >= 2 and (key in constant or not marked)
+        if state[x] and not goes:
+            keep.append(text)
+        else:
+            gone += known
+    return keep, gone
 
 
 # ---- induction ----
@@ -385,16 +386,16 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
             pages = [Page(s) for s in part.column(2).to_pylist()]
-            keys = [list({p.key(x, t) for x, t in p.blocks}) for p in pages]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.signature() for p in pages], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "hash", "content", "keys"])
+            keys = [[{"key": k, "place": str(y)} for k, y in {(p.key(x, t), p.place[x]) for x, t in p.blocks}] for p in pages]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([p.signature() for p in pages], pa.int64()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("place", pa.string())])))], names=["host", "hash", "content", "keys"])
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE, least: int = 4) -> DataFrame:
-    """(host, wrapper as JSON) of each host with enough different contents: container, constants, slots (of the alignment), constant and
-    repeated (texts at their places, of all pages)."""
+    """(host, wrapper as JSON) of each host with enough different contents: container, constants, slots (of the alignment); constant and
+    repeated (texts at their places) and pools (places of changing template texts), counted over all pages."""
     own = pages.where(F.col(html).isNotNull() & (F.col(html) != "")).select(host_of(url).alias("host"), F.col(html).alias("html")).where("host <> ''")
     own = own.select("host", F.xxhash64("html").alias("hash"), "html")
-    evidence = settled(own.mapInArrow(_evidence, "host string, hash long, content long, keys array<long>"))
+    evidence = settled(own.mapInArrow(_evidence, "host string, hash long, content long, keys array<struct<key:long,place:string>>"))
     contents = evidence.groupBy("host", "content").agg(F.min("hash").alias("hash"))
     of_host = contents.groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= least)
 
@@ -406,20 +407,24 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int
         return pd.DataFrame({"host": [key[0]], "aligned": [json.dumps(induce(rows.sort_values("place")["html"].tolist(), least))]})
 
     aligned = few.groupBy("host").applyInPandas(learn, "host string, aligned string")
-    found = evidence.select("host", "content", F.explode("keys").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
-    found = found.where(F.col("n") >= least).join(of_host, "host").where(F.col("n") >= F.col("contents") * REPEATED)
+    found = evidence.select("host", "content", F.explode("keys").alias("k")).select("host", "content", "k.*").distinct().groupBy("host", "place", "key").agg(F.count("*").alias("n"))
+    found = settled(found.join(of_host, "host"))
+    texts = found.where((F.col("n") >= least) & (F.col("n") >= F.col("contents") * REPEATED))
     is_constant = F.col("n") >= F.col("contents") * CONSTANT
-    template = found.groupBy("host").agg(F.collect_list(F.when(is_constant, F.col("key"))).alias("constant"), F.collect_list(F.when(~is_constant, F.col("key"))).alias("repeated"))
-    both = of_host.join(aligned, "host").join(template, "host", "left")
-    none = F.array().cast("array<bigint>")
-    return both.select("host", F.to_json(F.struct("aligned", F.coalesce("constant", none).alias("constant"), F.coalesce("repeated", none).alias("repeated"))).alias("wrapper"))
+    template = texts.groupBy("host").agg(F.collect_list(F.when(is_constant, F.col("key"))).alias("constant"), F.collect_list(F.when(~is_constant, F.col("key"))).alias("repeated"))
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    pools = found.groupBy("host", "place").agg((again / F.sum("n")).alias("again"), F.sum("n").alias("met"), F.first("contents").alias("contents"))
+    pools = pools.where((F.col("again") >= CONSTANT) & (F.col("met") >= least) & (F.col("met") >= F.col("contents") * REPEATED)).groupBy("host").agg(F.collect_list("place").alias("pools"))
+    both = of_host.join(aligned, "host").join(template, "host", "left").join(pools, "host", "left")
+    held = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return both.select("host", F.to_json(F.struct("aligned", held("constant", "bigint"), held("repeated", "bigint"), held("pools", "string"))).alias("wrapper"))
 
 
 def read_wrapper(raw: str | None) -> dict:
     if raw is None:
         return {}
     found = json.loads(raw)
-    return json.loads(found["aligned"]) | {k: frozenset(found[k]) for k in ("constant", "repeated")}
+    return json.loads(found["aligned"]) | {k: frozenset(found[k]) for k in ("constant", "repeated")} | {"pools": frozenset(map(int, found["pools"]))}
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", broadcast_bytes: int = 16_000_000, salts: int = 64) -> DataFrame:
