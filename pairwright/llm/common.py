@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,12 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, if all tasks run on this machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    path = sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/checkpoints"
+    sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

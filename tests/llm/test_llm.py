@@ -499,6 +499,23 @@ def test_ngram_links_within_components(spark, tile, monkeypatch):  # noqa: ANN00
     assert got == want and max(want.values()) > 30
 
 
+def test_ngram_join_odd_ids(spark):  # noqa: ANN001
+    """An id with two texts is one document; rows without an id link, and take the smallest id of their group."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(5, a), (5, b), (6, b + " end"), (3, a + " end"), (None, b), (None, c), (7, ""), (5, None), (8, c)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.links) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 46, 3, 1), (5, 46, 3, 2), (6, 47, 3, 2), (3, 47, 3, 1), (None, 46, 3, 2), (None, 46, 8, 1), (7, 0, 7, 0), (5, 0, 5, 0), (8, 46, 8, 1)], key=str)
+    nobody = ngram_join.jaccard_components(frame(spark, [(None, a), (None, a)])).collect()
+    assert [(r.component_id, r.links) for r in nobody] == [(None, 1)] * 2
+
+
+def test_op10_against_brute_force(spark):  # noqa: ANN001
+    sf_dir = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = queries.op10_ngram_jaccard(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups_by_hand(rows)
+
+
 def test_common_ngrams_are_counted():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 9000, int(rng.integers(1, 400))).astype(np.uint64)) for _ in range(250)]
@@ -591,8 +608,8 @@ def test_op2_against_brute_force(spark):  # noqa: ANN001
     assert {r.page_id: r.text for r in rows} == want and all(r.n_chars == len(r.text) for r in rows) and len(rows) == len(want)
     more = queries.op2_wrapper_induction(spark, "/root/testdata/sf0.1").collect()
     found = [html_wrapper.read_wrapper(r.wrapper) for r in html_wrapper.wrappers(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()]
-    assert len(found) > 50 and sum(bool(w["constant"] or w["repeated"]) for w in found) > 30 and all(w["container"] is not None for w in found)
-    assert sum(r.n_template > 0 for r in more) > 1500
+    assert len(found) > 50 and sum(bool(w["pools"]) for w in found) > 20 and all(w["container"] is not None for w in found)
+    assert sum(r.n_template > 0 for r in more) > 1000
 
 
 def test_tree_matching_counts():
