@@ -5,7 +5,8 @@ all its segmentations into pieces (forward algorithm); a text's score for a lang
 Probabilities are learned by expectation-maximisation (the backward algorithm gives expected piece counts) on the word
 counts of a bounded sample of labelled documents: at most about ``docs_per_language`` a language, picked by a hash of the id.
 
-Words are maximal runs of letters, lower-cased, behind a word mark. Runs over ``MAX_WORD`` letters are cut there.
+Words are maximal runs of letters, lower-cased, behind a word mark, scored whole however long; what is learned from a run over ``MAX_WORD``
+letters is learned from its parts.
 Work is done once for each distinct word that a worker meets, for many words at once in numpy.
 
 Defined results: null text or no letter: ``und``, score 0; no labelled rows at all: every text is ``und``; ties go to
@@ -28,7 +29,8 @@ from .common import pieces, share
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
-MAX_WORD, MAX_PIECE = 40, 16
+#: Longer words are scored one by one, with forward vectors that are scaled up as they go.
+MAX_WORD = 40
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,7 +43,7 @@ def vocabulary(path: str) -> list[str]:
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
-    fit = (p for p in pieces if len(p) <= MAX_PIECE and p == p.lower() and MARK not in p[1:])
+    fit = (p for p in pieces if p == p.lower() and MARK not in p[1:])
     return sorted(p for p in fit if p == MARK or p.removeprefix(MARK).isalpha())
 
 
@@ -65,6 +67,7 @@ class PieceModel:
             by_length[len(p)].append(p)
         keys = np.concatenate([_hashed(_codes(x)) for _, x in sorted(by_length.items())]) if pieces else np.zeros(0, np.uint64)
         self.keys = np.sort(keys)
+        self.longest = max(by_length, default=1)
         self.languages = languages
         self.prob = np.full((len(self.keys) + 1, len(languages)), 1.0 / (len(self.keys) + 1))
         self.prob[-1] = UNKNOWN
@@ -87,7 +90,7 @@ class PieceModel:
         n, last = codes.shape[1], len(self.keys)
         for i in range(n):
             h = np.zeros(len(codes), np.uint64)
-            for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
                 h = h * _BASE + codes[:, j - 1] + np.uint64(1)
                 at = np.searchsorted(self.keys, h)
                 at[at == last] = last - 1
@@ -117,6 +120,30 @@ class PieceModel:
                 out[part] = np.log(np.maximum(alpha[n + 1], 1e-300))
         return out
 
+    def log_long(self, word: str) -> np.ndarray:
+        """The same for one word of any length."""
+        codes = _codes([MARK + word])[0]
+        n, last = len(codes), len(self.keys)
+        piece = np.full((min(self.longest, n), n), -1)  # by length and place
+        h = np.zeros(n, np.uint64)
+        for k in range(len(piece)):
+            h = h[: n - k] * _BASE + codes[k:] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.keys, h), max(0, last - 1))
+            known = self.keys[at] == h if last else np.zeros(len(h), bool)
+            piece[k, : n - k] = np.where(known, at, last if k == 0 else -1)
+        alpha, scale = np.zeros((n + 1, len(self.languages))), np.zeros(len(self.languages))
+        alpha[0] = 1
+        for j in range(1, n + 1):
+            lo = max(0, j - len(piece))
+            own = piece[np.arange(j - lo - 1, -1, -1), np.arange(lo, j)]
+            hit = own >= 0
+            alpha[j] = (alpha[lo:j][hit] * self.prob[own[hit]]).sum(axis=0)
+            if alpha[j].min() < 1e-100:
+                factor = np.maximum(alpha[lo : j + 1].max(axis=0), 1e-300)
+                alpha[lo : j + 1] /= factor
+                scale += np.log(factor)
+        return np.log(np.maximum(alpha[n], 1e-300)) + scale
+
     def fit(self, counts: list[Counter], rounds: int = 3, smooth: float = 0.05) -> None:
         """Expectation-maximisation from equal probabilities, one language after the other."""
         for lang, words in enumerate(counts):
@@ -156,12 +183,11 @@ class PieceModel:
             grown = np.zeros((int(1.3 * (first + len(new))), len(self.languages)))
             grown[:first] = self.rows[:first]
             self.rows = grown
-        parts, owner = [], []
+        short = [k for k, w in enumerate(new) if len(w) <= MAX_WORD]
+        self.rows[first + np.array(short, int)] = self.log_words([new[k] for k in short])
         for k, w in enumerate(new):
-            for lo in range(0, len(w), MAX_WORD):
-                parts.append(w[lo : lo + MAX_WORD])
-                owner.append(first + k)
-        np.add.at(self.rows[: first + len(new)], np.array(owner, int), self.log_words(parts))
+            if len(w) > MAX_WORD:
+                self.rows[first + k] = self.log_long(w)
         self.seen.update(zip(new, range(first, first + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
