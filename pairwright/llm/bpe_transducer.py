@@ -17,9 +17,7 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
-import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CUT, Memory, by_pieces, has_any, pieces
+from .common import CUT, Memory, by_pieces, has_any, pieces, write_shared
 
 #: Pieces that a worker remembers before it starts anew.
 REMEMBERED = 500_000
@@ -298,7 +296,8 @@ def _encoder(path: str, lexicon: str | None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(word binary, n long): how often each word occurs, counted in every text."""
+    """(word binary, n long): how often each word occurs. Runs that a task has met less than ``PROPOSED`` times when it hands on its counts
+    are left out: this only decides which words the lexicon holds, so it bears on speed alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, runs = spec_of(path), Counter()
@@ -328,12 +327,9 @@ def build_lexicon(docs: DataFrame, path: str, size: int = 200_000, text: str = "
     spec = spec_of(path)
     top = frequent_words(docs, path, text).orderBy(F.desc("n"), "word").limit(size)
     words = {bytes(r.word): spec.merger.ids(bytes(r.word)) for r in top.select("word").toLocalIterator()}
-    name = f"lexicon-{uuid.uuid4().hex}.dawg"
-    at = os.path.join(tempfile.mkdtemp(), name)
-    with open(at, "wb") as f:
-        f.write(compile_transducer(words))
+    at = write_shared(docs.sparkSession, "lexicon", compile_transducer(words))
     docs.sparkSession.sparkContext.addFile(at)
-    return name
+    return at.rpartition("/")[2]
 
 
 def decoded(token: list[str], ids: np.ndarray, ends: np.ndarray) -> list[str]:

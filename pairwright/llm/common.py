@@ -58,6 +58,16 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_shared(spark: SparkSession, what: str, data: bytes) -> str:
+    """Write a file of the driver's to the shared folder; its path."""
+    at = fresh_path(spark, what)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+    return at
+
+
 def crc_of_id(name: str = "doc_id") -> Column:
     """crc32 of the id as text; what the contracts split documents by."""
     return F.crc32(F.col(name).cast("string").cast("binary"))
