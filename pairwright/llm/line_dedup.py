@@ -91,7 +91,7 @@ def _rebuild(batch: pa.RecordBatch, column: str, dropped) -> pa.RecordBatch:  #
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", broadcast_keys: int = 2_000_000) -> DataFrame:
     """All columns of ``docs`` plus kept_text, n_lines (before) and n_dropped. Columns of these names are replaced."""
-    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_own", "_gone")
+    docs = docs.drop("kept_text", "n_lines", "n_dropped", "_own", "_gone", "_salt")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept_text string, n_lines long, n_dropped long"])
     frequent = settled(frequent_lines(docs, min_docs, min_chars, text))
     if frequent.count() <= broadcast_keys:
@@ -126,8 +126,18 @@ def _by_shuffle(docs: DataFrame, frequent: DataFrame, min_chars: int, text: str,
     texts = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(lines, "own binary, pos int, key binary, salt int")
     salted = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     gone = texts.join(salted, ["key", "salt"]).groupBy("own").agg(F.collect_set("pos").alias("_gone"))
-    digest = F.udf(lambda s: _hash((s or "").encode()), "binary")
-    marked = docs.withColumn("_own", digest(F.col(text))).join(gone.withColumnRenamed("own", "_own"), "_own", "left").drop("_own")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            own = [_hash((t or "").encode()) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "_own"])
+
+    # Copies of one text are dealt to all salts.
+    own_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_own binary"])
+    dealt = docs.mapInArrow(named, own_schema).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    gone = gone.select(F.col("own").alias("_own"), "_gone", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    marked = dealt.join(gone, ["_own", "_salt"], "left").drop("_own", "_salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
