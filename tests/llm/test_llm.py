@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import os
@@ -72,6 +73,44 @@ def test_language_forward_sums_all_segmentations():
 
     for w in ("a", "ab", "abab", "bba"):
         assert np.isclose(np.exp(model.log_words([w])[0, 0]), total("▁" + w))
+        assert np.isclose(np.exp(model.log_long(w)[0]), total("▁" + w))
+    long, cut = "ab" * 400, "ab" * 40
+    assert np.isclose(model.log_words([cut])[0, 0], model.log_long(cut)[0])
+    # Each "ab" more multiplies the sum by nearly the same factor: nothing under- or overflows on the way.
+    steps = [model.log_long("ab" * k)[0] for k in (398, 399, 400)]
+    assert np.isclose(steps[2] - steps[1], steps[1] - steps[0]) and np.isfinite(model.log_long(long)[0])
+
+
+def test_op8_against_brute_force(spark):  # noqa: ANN001
+    """The registered query's predictions and scores from the model's probabilities, summed over segmentations letter by letter."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = queries.language_model(spark, docs)
+    place = {int(h): i for i, h in enumerate(model.keys)}
+
+    @functools.cache
+    def word(w):  # noqa: ANN001, ANN202
+        s, alpha = "▁" + w, [np.ones(len(model.languages))]
+        for j in range(1, len(s) + 1):
+            total = np.zeros(len(model.languages))
+            for i in range(max(0, j - model.longest), j):
+                at = place.get(int(language_id._hashed(language_id._codes([s[i:j]]))[0]), -1 if j - i == 1 else None)
+                if at is not None:
+                    total = total + alpha[i] * model.prob[at]
+            alpha.append(total)
+        return np.log(alpha[-1])
+
+    got = {r.doc_id: r for r in queries.op8_language_id(spark, sf_dir).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows[::4]:
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(map(word, words)) + model.prior
+        assert got[r.doc_id].lang_pred == model.languages[int(total.argmax())]
+        assert got[r.doc_id].score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-6)
 
 
 def test_language_held_out_accuracy(spark):  # noqa: ANN001
@@ -120,6 +159,11 @@ def test_decontamination(spark, slice_chars):  # noqa: ANN001
         if r.doc_id == 0:
             assert texts[0][r.spans[0].start : r.spans[0].end] == "A, b. c d e f g h i j"
     assert all(r.n_hit == 0 for r in decontaminate.decontaminate(odd(spark), bench.limit(0)).collect())
+    # Several passes over the documents, items parted into overlapping ranges of windows.
+    passes = decontaminate.decontaminate(docs, bench, slice_chars=slice_chars, broadcast_chars=30).collect()
+    assert len(passes) == len(texts)
+    for r in passes:
+        assert (r.n_words, r.n_hit, r.item_ids) == hits_by_hand(texts[r.doc_id], items)
     assert decontaminate.decontaminate(frame(spark, []), bench).collect() == []
 
 
