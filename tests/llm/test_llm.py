@@ -510,9 +510,10 @@ def groups_by_hand(rows, percent=80, width=5):  # noqa: ANN001, ANN201
     return sorted((i, len(s), top(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("tile", [1000, 4])
-def test_ngram_join(spark, tile, monkeypatch):  # noqa: ANN001
+@pytest.mark.parametrize(("tile", "crowd"), [(1000, 64), (4, 2)])
+def test_ngram_join(spark, tile, crowd, monkeypatch):  # noqa: ANN001
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(3000)]
     rows, at = [], 0
