@@ -6,6 +6,8 @@ duplicate (``max_by``/``min_by`` combine map-side), so no row is sorted; joins a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -112,7 +114,7 @@ def by_dimension(df: DataFrame, dimensions: list[str]) -> DataFrame:
     """The flagship for each rating dimension, on rows that have them all."""
     whole = complete_case(df, dimensions)
     parts = [score_shift(whole, d).withColumn("dimension", F.lit(d)) for d in dimensions]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]) if len(parts) == 3 else parts[0]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def admitted_judges(df: DataFrame, roster: list[str] | None = None, least: float = 0.5) -> DataFrame:

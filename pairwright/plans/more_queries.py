@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import Window as W
 from pairwright.functions import geometry, judge, raster, resample, stats
 from pairwright.operators import agreement, sampling, scoring
 from pairwright.plans.pairwise_queries import _GRADED, _SD, _items
-from pairwright.plans.record_queries import _MCN, _VAL, _validations
+from pairwright.plans.record_queries import _MCN, _VAL, _shared, _validations
 from pairwright.plans.scoring_queries import _S, _rounded
 from pairwright.plans.views import POOL, VERDICTS, pool, r6, sql, table, verdicts
 from pairwright.sources import files
@@ -65,7 +64,7 @@ def unblinded(spark: SparkSession, d: str) -> DataFrame:
 
 def violations(spark: SparkSession, d: str) -> DataFrame:
     """FLT11, SRC16, AGG45: boxes of an audit exploded, the share of each region that a box covers, violating rows and their fraction's quantiles."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    li = table(spark, d, "lineitem")
     box = lambda x, y, w, h: geometry.rect(x, y, x + w, y + h)
     q = F.col("l_quantity").cast("int")
     region, sticker = box(q, q, F.lit(40), F.lit(30)), box((F.col("l_partkey") % 100).cast("int"), (F.col("l_suppkey") % 60).cast("int"), F.lit(20), F.lit(20))
@@ -90,7 +89,7 @@ def area_fractions(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_source(spark: SparkSession, d: str) -> DataFrame:
     """SRC7, SRC13: a JSON listing and a stem-matched tree: expected files of categories and editors, missing ones counted."""
-    at = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints'}/tree-{uuid.uuid4().hex}"
+    at = _shared(spark, "tree")
     n = table(spark, d, "nation")
     listing = n.where("n_nationkey % 5 <> 0").select(F.concat(F.lit("editor/"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, ".png").otherwise(".jpg")).alias("path"), F.lit("file").alias("type"), (F.col("n_nationkey") * 10).cast("long").alias("size"))
     files.write_jsonl(listing, at)
@@ -101,7 +100,7 @@ def tree_source(spark: SparkSession, d: str) -> DataFrame:
 
 def typed_reread(spark: SparkSession, d: str) -> DataFrame:
     """SRC19: a metric table written as text and read back with types; sums agree."""
-    at = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints'}/metrics-{uuid.uuid4().hex}"
+    at = _shared(spark, "metrics")
     own = scoring.score_shift(verdicts(spark, d), "fine").select("judge", "cue", "n", r6(F.col("mean_shift")).alias("mean_shift"))
     files.write_csv(own, at)
     back = files.read_csv(spark, at, ["judge", "cue"], {"n": "long", "mean_shift": "double"})
@@ -273,7 +272,7 @@ ORACLES = {
     "trusted_types": f"SELECT coalesce(CASE WHEN k % 3 = 0 THEN k % 2 = 0 END, NOT CASE WHEN k % 5 = 0 THEN k % 7 = 0 END, CASE WHEN event_type = 'error' THEN false END, true) AS trusted, k % 2 = 1 AND (CASE WHEN k % 4 = 0 THEN 'breadth' WHEN k % 4 = 1 THEN 'anchor' END) IS DISTINCT FROM 'breadth' AS anchor_only, count(*) AS n FROM (SELECT {_K} AS k, event_type FROM events) GROUP BY ALL",
     "endorsed_sides": "SELECT coalesce(s, t) AS side, coalesce(s <> t, false) AS contradicts, 'main' AS collection, 'sham' AS reference, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END END AS s, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS t FROM events) GROUP BY ALL",
     "unblinded": sql(POOL, "k AS (SELECT source, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || source || ':0:' || sample_id), sample_id) AS n FROM pool) WHERE n <= 20)", "s AS (SELECT source, row_number() OVER (ORDER BY md5('42:sheet:' || sample_id)) AS i FROM k)", body="SELECT source, CASE WHEN i % 3 = 0 THEN 'Yes' ELSE 'No' END AS label, count(*) AS n FROM s GROUP BY ALL"),
-    "violations": "WITH b AS (SELECT l_returnflag, CAST(l_quantity AS INT) AS q, CAST(l_partkey % 100 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y FROM lineitem WHERE l_linenumber <= 2), f AS (SELECT l_returnflag, greatest(0, least(q + 40, x + 20) - greatest(q, x)) * greatest(0, least(q + 30, y + 20) - greatest(q, y)) / 400.0::DOUBLE AS f FROM b) SELECT l_returnflag, count(*) AS n, count(*) FILTER (f > 0) AS violating, round(quantile_cont(f, 0.5) FILTER (f > 0), 6) AS median, round(max(f), 6) AS most FROM f GROUP BY 1",
+    "violations": "WITH b AS (SELECT l_returnflag, CAST(l_quantity AS INT) AS q, CAST(l_partkey % 100 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y FROM lineitem), f AS (SELECT l_returnflag, greatest(0, least(q + 40, x + 20) - greatest(q, x)) * greatest(0, least(q + 30, y + 20) - greatest(q, y)) / 400.0::DOUBLE AS f FROM b) SELECT l_returnflag, count(*) AS n, count(*) FILTER (f > 0) AS violating, round(quantile_cont(f, 0.5) FILTER (f > 0), 6) AS median, round(max(f), 6) AS most FROM f GROUP BY 1",
     "two_pass_ingest": "SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, min(page_id) AS page_id, substr(sha1(arg_min(html, page_id)), 1, 12) AS name FROM pages GROUP BY 1",
     "area_fractions": f"SELECT CASE WHEN k < 30 THEN 'mask' WHEN k < 90 THEN 'diff' ELSE 'fallback' END AS method, count(*) AS n, round(avg(k / 100.0::DOUBLE), 6) AS mean_area FROM (SELECT {_K} AS k FROM events WHERE event_type = 'click') GROUP BY 1",
     "tree_source": "SELECT n_regionkey, count(*) FILTER (n_nationkey % 5 <> 0) AS found, count(*) FILTER (n_nationkey % 5 = 0) AS missing FROM nation GROUP BY 1",

@@ -18,7 +18,13 @@ from pairwright.streaming import log
 
 def _shared(spark: SparkSession, what: str) -> str:
     """A fresh place in the folder that driver and executors share."""
-    return f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/checkpoints'}/{what}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+        top = "/tmp/checkpoints"  # all tasks run on this machine
+    return f"{top}/{what}-{uuid.uuid4().hex}"
 
 
 def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +169,7 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def cell_grid(spark: SparkSession, d: str) -> DataFrame:
     """AGG12, AGG44: a dense grid of counts."""
-    return validation.coverage_grid(table(spark, d, "documents").where("length(text) < 300"), "source", "lang")
+    return validation.coverage_grid(table(spark, d, "documents"), "source", "lang")
 
 
 def rater_kappas(spark: SparkSession, d: str) -> DataFrame:
@@ -349,7 +355,7 @@ ORACLES = {
     "neighbour_cosine": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "duplicate_documents": "SELECT size, first, dup_group, substr(h, 1, 12) AS name FROM (SELECT sha1(text) AS h, count(*) AS size, min(doc_id) AS first, row_number() OVER (ORDER BY sha1(text)) - 1 AS dup_group FROM documents GROUP BY 1) WHERE size > 1",
     "fingerprints": sql(POOL, body="SELECT source, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, CASE source WHEN 'A' THEN 'EXTRA' WHEN 'N' THEN 'DIFFERS' ELSE 'OK' END AS status FROM (SELECT source, sample_id || ',' || clean AS line FROM pool) GROUP BY source"),
-    "cell_grid": "WITH d AS (SELECT source, lang FROM documents WHERE length(text) < 300), s AS (SELECT DISTINCT source FROM d), l AS (SELECT DISTINCT lang FROM d) SELECT s.source, l.lang, count(d.source) AS n FROM s, l LEFT JOIN d ON d.source = s.source AND d.lang = l.lang GROUP BY ALL",
+    "cell_grid": "WITH d AS (SELECT source, lang FROM documents), s AS (SELECT DISTINCT source FROM d), l AS (SELECT DISTINCT lang FROM d) SELECT s.source, l.lang, count(d.source) AS n FROM s, l LEFT JOIN d ON d.source = s.source AND d.lang = l.lang GROUP BY ALL",
     "rater_kappas": sql(
         RATERS, "m AS (SELECT lang, count(*) AS n, avg((first = second)::INT) AS po, avg((first = 0)::INT) AS a0, avg((first = 1)::INT) AS a1, avg((second = 0)::INT) AS b0, avg((second = 1)::INT) AS b1 FROM raters WHERE first IS NOT NULL AND second IS NOT NULL GROUP BY lang)",
         "k AS (SELECT *, a0 * b0 + a1 * b1 AS pe, least(a0, b0) + least(a1, b1) AS pm, ((a0 + b0) / 2) ** 2 + ((a1 + b1) / 2) ** 2 AS pp, (a0 + b0) / 2 * (1 - (a0 + b0) / 2) + (a1 + b1) / 2 * (1 - (a1 + b1) / 2) AS pg FROM m)",

@@ -289,3 +289,12 @@ def test_csv(spark, tmp_path):  # noqa: ANN001
 def test_fingerprints_ignore_order(spark):  # noqa: ANN001
     a = spark.createDataFrame([("g", "1"), ("g", "2")], "k string, line string")
     assert files.fingerprint(a, ["k"], "line").first().digest == files.fingerprint(a.orderBy(F.desc("line")), ["k"], "line").first().digest
+
+
+def test_by_dimension_keeps_every_dimension(spark):  # noqa: ANN001
+    from pairwright.operators import scoring
+    from pairwright.plans.views import verdicts
+
+    v = verdicts(spark, "/root/testdata/sf0.001").withColumn("coarse", F.col("fine") / 2)
+    for names in (["fine"], ["fine", "coarse"], ["fine", "coarse", "d1", "d2"]):
+        assert {r.dimension for r in scoring.by_dimension(v, names).select("dimension").distinct().collect()} == set(names)
