@@ -1,7 +1,7 @@
 """Resampling and exact tests in Arrow batches: one group of a cell at a time, vectorised inside it.
 
 Two ways to draw: ``numpy`` (a seeded PCG64 index matrix) and ``hash`` (index = md5 of seed, draw and place, modulo n), which SQL can
-repeat. A group is one cell of a table; its values travel once.
+repeat. Where a cell's rows could be many, they are counted by distinct value first.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from pairwright.functions.stats import with_average_rank
 
 
 def hash_index(seed: int, draw: int, place: int, n: int) -> int:
@@ -26,26 +29,32 @@ def draws(n: int, n_boot: int, seed: int, rng: str) -> np.ndarray:
 
 
 def bootstrap_mean(df: DataFrame, by: list[str], value: str, order: list[str], n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, rng: str = "numpy") -> DataFrame:
-    """(by, n, mean, ci_low, ci_high): percentile bootstrap of the mean; null below two values. Values stand in ``order``."""
+    """(by, n, mean, ci_low, ci_high): percentile bootstrap of the mean; null below two values. ``numpy`` draws from counts by distinct value (how often
+    each value is drawn is multinomial), so a cell weighs as many rows as it has values; ``hash`` takes the rows in ``order``, for cells that SQL repeats."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by)
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values(order)[value].dropna().to_numpy(float)
-        low = high = None
-        if len(v) >= 2:
-            means = v[draws(len(v), n_boot, seed, rng)].mean(axis=1) if len(v) * n_boot <= 50_000_000 else _in_parts(v, n_boot, seed, rng)
-            low, high = np.quantile(means, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([[*key, len(v), v.mean() if len(v) else None, low, high]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
+        if rng == "hash":
+            v = rows.sort_values(order)[value].dropna().to_numpy(float)
+            n, mean = len(v), v.mean() if len(v) else None
+            means = v[draws(n, n_boot, seed, rng)].mean(axis=1) if n >= 2 else None
+        else:
+            rows = rows[rows["_n"] > 0].sort_values(value)
+            v, c = rows[value].to_numpy(float), rows["_n"].to_numpy(np.int64)
+            n, mean = int(c.sum()), float(v @ c / c.sum()) if len(v) else None
+            means = multinomial_means(v, c, n_boot, seed) if n >= 2 else None
+        low, high = (None, None) if means is None else np.quantile(means, [alpha / 2, 1 - alpha / 2])
+        return pd.DataFrame([[*key, n, mean, low, high]], columns=[*by, "n", "mean", "ci_low", "ci_high"])
 
-    return df.select(*dict.fromkeys([*by, *order, value])).groupBy(*by).applyInPandas(cell, f"{fields}, n long, mean double, ci_low double, ci_high double")
+    own = df.select(*dict.fromkeys([*by, *order, value])) if rng == "hash" else df.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    return own.groupBy(*by).applyInPandas(cell, f"{fields}, n long, mean double, ci_low double, ci_high double")
 
 
-def _in_parts(v: np.ndarray, n_boot: int, seed: int, rng: str) -> np.ndarray:
-    """For large cells: rows of the index matrix one after the other, from the same stream."""
-    if rng != "numpy":
-        return np.array([v[[hash_index(seed, b, i, len(v)) for i in range(len(v))]].mean() for b in range(n_boot)])
-    g = np.random.default_rng(seed)
-    return np.array([v[g.integers(0, len(v), size=len(v))].mean() for _ in range(n_boot)])
+def multinomial_means(v: np.ndarray, c: np.ndarray, n_boot: int, seed: int, most: int = 20_000_000) -> np.ndarray:
+    """Means of ``n_boot`` resamples of values ``v`` that are there ``c`` times, a bounded number of counts at a time from one stream."""
+    g, n = np.random.default_rng(seed), int(c.sum())
+    step = max(1, most // len(v))
+    return np.concatenate([g.multinomial(n, c / n, size=min(step, n_boot - i)) @ v / n for i in range(0, n_boot, step)])
 
 
 def cluster_accuracy_bootstrap(turns: DataFrame, by: list[str], good: str, total: str, order: list[str], n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -70,13 +79,33 @@ def log_choose(n: int, k: int) -> float:
 
 
 def fisher_p(a: int, b: int, c: int, d: int) -> float | None:
-    """Two-sided Fisher p of a 2 by 2 table: all tables with these margins that are no likelier; None where a row is empty."""
+    """Two-sided Fisher p of a 2 by 2 table: all tables with these margins that are no likelier; None where a row is empty. Likelihoods fall on
+    both sides of the mode, so each side is walked outwards from its first table that counts until terms no longer matter."""
     if a + b == 0 or c + d == 0:
         return None
     row, column, n = a + b, a + c, a + b + c + d
-    tables = range(max(0, row + column - n), min(row, column) + 1)
-    logs = {k: log_choose(row, k) + log_choose(n - row, column - k) - log_choose(n, column) for k in tables}
-    return min(1.0, sum(math.exp(x) for x in logs.values() if x <= logs[a] + 1e-7))
+    low, high = max(0, row + column - n), min(row, column)
+    log = lambda k: log_choose(row, k) + log_choose(n - row, column - k) - log_choose(n, column)
+    mode = min(high, max(low, (row + 1) * (column + 1) // (n + 2)))
+    bound = log(a) + 1e-7
+    if log(mode) <= bound:
+        return 1.0
+    p = 0.0
+    for end, step in ((low, -1), (high, 1)):
+        if log(end) > bound:
+            continue
+        near, far = mode, end  # near is likelier than the table, far is not: halve the way between them
+        while abs(far - near) > 1:
+            k = (near + far) // 2
+            near, far = (k, far) if log(k) > bound else (near, k)
+        term, k = math.exp(log(far)), far
+        side = term
+        while k != end and term > side * 1e-18:
+            up = (row - k) * (column - k) / ((k + 1) * (n - row - column + k + 1)) if step > 0 else k * (n - row - column + k) / ((row - k + 1) * (column - k + 1))
+            term, k = term * up, k + step
+            side += term
+        p += side
+    return min(1.0, p)
 
 
 def with_fisher(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -> DataFrame:
@@ -89,101 +118,123 @@ def with_fisher(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -
     return df.withColumn(out, p(a, b, c, d))
 
 
-def wilcoxon_p(shifts: np.ndarray, zero: str = "wilcox") -> float | None:
-    """Two-sided signed-rank p: exact for up to 50 shifts without ties or zeros, else the normal approximation. zero: ``wilcox``
-    drops zeros, ``pratt`` ranks them and drops their ranks."""
+def wilcoxon_p(shifts: np.ndarray, zero: str = "wilcox", counts: np.ndarray | None = None) -> float | None:
+    """Two-sided signed-rank p of shifts (each there once, or ``counts`` times): exact for up to 50 shifts without ties or zeros, else the normal
+    approximation. zero: ``wilcox`` drops zeros, ``pratt`` ranks them and drops their ranks."""
     d = np.asarray(shifts, float)
-    d = d[np.isfinite(d)]
-    zeros = int((d == 0).sum())
-    if zero == "wilcox":
-        d = d[d != 0]
-    n = len(d)
-    if n == 0 or n == zeros:
+    times = np.ones(len(d)) if counts is None else np.asarray(counts, float)
+    use = np.isfinite(d) & ((d != 0) | (zero != "wilcox"))
+    d, times = d[use], times[use]
+    n, zeros = float(times.sum()), float(times[d == 0].sum())
+    if n == zeros:
         return None
-    size = np.abs(d)
-    _, inverse, counts = np.unique(size, return_inverse=True, return_counts=True)
-    last = np.cumsum(counts)
-    ranks = (last - (counts - 1) / 2)[inverse]
-    plus, minus = ranks[d > 0].sum(), ranks[d < 0].sum()
+    size, inverse = np.unique(np.abs(d), return_inverse=True)
+    ties = np.bincount(inverse, times)
+    ranks = (np.cumsum(ties) - (ties - 1) / 2)[inverse]
+    plus, minus = (times * ranks)[d > 0].sum(), (times * ranks)[d < 0].sum()
     t = min(plus, minus)
-    if n <= 50 and (counts == 1).all() and not (zero == "pratt" and zeros):
-        ways = np.zeros(n * (n + 1) // 2 + 1)
+    if n <= 50 and (ties == 1).all() and not zeros:
+        ways = np.zeros(int(n * (n + 1) // 2) + 1)
         ways[0] = 1
-        for r in range(1, n + 1):
+        for r in range(1, int(n) + 1):
             ways[r:] = ways[r:] + ways[:-r]
         return float(min(1.0, 2 * ways[: int(t) + 1].sum() / 2.0**n))
     mean, variance = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
-    if zero == "pratt" and zeros:
+    if zeros:
         mean -= zeros * (zeros + 1) / 4
         variance -= zeros * (zeros + 1) * (2 * zeros + 1) / 24
-        counts = np.unique(size[size > 0], return_counts=True)[1]
-    variance -= (counts.astype(float) ** 3 - counts).sum() / 48
+        ties = ties[size > 0]
+    variance -= (ties**3 - ties).sum() / 48
     return float(math.erfc(abs(t - mean) / math.sqrt(2 * variance))) if variance > 0 else None
 
 
 def wilcoxon(df: DataFrame, by: list[str], shift: str, zero: str = "wilcox", out: str = "p") -> DataFrame:
-    """(by, p) of each cell."""
+    """(by, p) of each cell, from counts by distinct shift."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by)
 
     def cell(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, wilcoxon_p(rows[shift].to_numpy(float), zero)]], columns=[*by, out])
+        return pd.DataFrame([[*key, wilcoxon_p(rows[shift].to_numpy(float), zero, rows["_n"].to_numpy(float))]], columns=[*by, out])
+
+    return df.groupBy(*by, shift).agg(F.count("*").alias("_n")).groupBy(*by).applyInPandas(cell, f"{fields}, {out} double")
 
-    return df.select(*by, shift).groupBy(*by).applyInPandas(cell, f"{fields}, {out} double")
 
+def _relabelled(keys: np.ndarray, draw: int, k: int) -> np.ndarray:
+    """An order of k labels for each key, by a hash of key, draw and label (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = keys[:, None] + np.uint64(draw + 1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, k + 1, dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.argsort(x ^ (x >> np.uint64(31)), axis=1)
 
-def permutation_worst_cue(cells: DataFrame, judge: str, item: str, human: str, cues: list[str], n_perm: int = 10_000, seed: int = 42, parts: int = 16) -> DataFrame:
+
+def permutation_worst_cue(cells: DataFrame, judge: str, item: str, human: str, cues: list[str], n_perm: int = 10_000, seed: int = 42, flush: int = 16_000_000) -> DataFrame:
     """(statistic, cue, observed, p_label, p_selected): is one cue the worst of its judges more often than relabelling cues within items
-    would have it? ``cells`` has a row for each judge and item with the human score, ``baseline`` and one score a cue; only complete
-    rows count. The cells of a design are few thousand rows; they are checked, then sent to every task, which walks its own draws.
-    """
-    complete = cells.dropna(subset=[human, "baseline", *cues])
-    size = complete.count()
-    if size > 2_000_000:
-        raise ValueError(f"{size} cells are more than a task should hold")
-    table = complete.toPandas().sort_values([judge, item])
-    items = sorted(set.intersection(*(set(g[item]) for _, g in table.groupby(judge)))) if size else []
+    would have it? ``cells`` has a row for each judge and item with the human score, ``baseline`` and one score a cue; only complete rows of items
+    that every judge has count.
+
+    A rank correlation needs, of each score, only how many items have it and the sum of their human ranks. So each task relabels its own items by a
+    hash of item and draw (alike for all judges) and hands on those two sums by judge, draw, cue and score, holding about ``flush`` sums at a time; what is left is of the
+    size draws by cues by scores. No task and no driver holds the items."""
     spark = cells.sparkSession
     schema = "statistic string, cue string, observed double, p_label double, p_selected double"
+    complete = cells.dropna(subset=[human, "baseline", *cues])
+    judges = complete.agg(F.count_distinct(judge)).first()[0]
+    shared = complete.groupBy(item).agg(F.count_distinct(judge).alias("_j"), F.min_by(human, judge).alias("_h")).where(F.col("_j") == judges)
+    ranked = with_average_rank(shared, [], "_h", "_rank").select(item, "_rank")
+    items, spread = ranked.agg(F.count("*"), F.stddev_pop("_rank")).first()
     if not items:
         return spark.createDataFrame([], schema)
-    table = table[table[item].isin(items)]
-    scores = np.stack([g.set_index(item).loc[items, cues].to_numpy(float) for _, g in table.groupby(judge)])
-    base = np.stack([g.set_index(item).loc[items, "baseline"].to_numpy(float) for _, g in table.groupby(judge)])
-    people = table.groupby(item)[human].first().loc[items].to_numpy(float)
-    held = spark.sparkContext.broadcast((scores, base, people))
-
-    def statistics(scores: np.ndarray, base: np.ndarray, people: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        delta = np.array([[_rho(scores[j, :, k], people) - _rho(base[j], people) for k in range(scores.shape[2])] for j in range(len(scores))])
-        worst = np.array([int(np.nanargmin(d)) if np.isfinite(d).any() else -1 for d in delta])
-        return np.bincount(worst[worst >= 0], minlength=scores.shape[2]), np.nanmean(delta, axis=0)
-
-    def walk(batches):  # noqa: ANN001, ANN202
-        scores, base, people = held.value
+    names = ["_base", *cues]
+    rows = complete.join(ranked, item).select(
+        F.col(judge).cast("string").alias("judge"), F.xxhash64(F.col(item), F.lit(seed)).alias("key"), "_rank", F.array(F.col("baseline").cast("double"), *[F.col(c).cast("double") for c in cues]).alias("scores")
+    )
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # by judge: scores met, and (2, draws, cues, scores) of counts and rank sums
+
+        def out():  # noqa: ANN202
+            for j, (values, t) in held.items():
+                draw, cue, v = np.nonzero(t[0])
+                yield pd.DataFrame({"judge": j, "draw": draw - 1, "cue": cue.astype(np.int32), "v": values[v], "n": t[0][draw, cue, v].astype(np.int64), "s": t[1][draw, cue, v]})
+            held.clear()
+
         for batch in batches:
-            out = []
-            for b in batch["id"]:
-                g = np.random.default_rng([seed, int(b)])
-                order = g.permuted(np.tile(np.arange(scores.shape[2]), (scores.shape[1], 1)), axis=1)
-                out.append((b, *statistics(np.take_along_axis(scores, order[None], axis=2), base, people)))
-            yield pd.DataFrame({"draw": [x[0] for x in out], "worst": [x[1].tolist() for x in out], "delta": [x[2].tolist() for x in out]})
-
-    null = spark.range(0, n_perm, 1, parts).mapInPandas(walk, "draw long, worst array<long>, delta array<double>")
-    worst, delta = statistics(scores, base, people)
-    rows = null.toPandas()
-    w, d = np.array(rows["worst"].tolist()), np.array(rows["delta"].tolist())
+            for j, own in batch.groupby("judge"):
+                scores, keys, rank = np.stack(own["scores"].to_numpy()), own["key"].to_numpy(np.int64).view(np.uint64), own["_rank"].to_numpy(float)
+                values = np.unique(scores)
+                if j in held:
+                    values = np.union1d(held[j][0], values)
+                if j not in held or len(values) > len(held[j][0]):
+                    t = np.zeros((2, n_perm + 1, len(names), len(values)))
+                    if j in held:
+                        t[..., np.searchsorted(values, held[j][0])] = held[j][1]
+                    held[j] = (values, t)
+                t, m = held[j][1], len(values)
+                codes = np.searchsorted(values, scores)
+                for draw in range(-1, n_perm):
+                    # draw -1 is what was observed, the baseline with it
+                    seen = codes if draw < 0 else np.take_along_axis(codes[:, 1:], _relabelled(keys, draw, len(cues)), axis=1)
+                    at = (seen + np.arange(seen.shape[1]) * m + (0 if draw < 0 else m)).ravel()
+                    t[0, draw + 1] += np.bincount(at, minlength=m * len(names)).reshape(-1, m)
+                    t[1, draw + 1] += np.bincount(at, np.repeat(rank, seen.shape[1]), minlength=m * len(names)).reshape(-1, m)
+            if sum(t.size for _, t in held.values()) > flush:
+                yield from out()
+        yield from out()
+
+    parts = rows.mapInPandas(sums, "judge string, draw long, cue int, v double, n long, s double").groupBy("judge", "draw", "cue", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    own = W.partitionBy("judge", "draw", "cue").orderBy("v")
+    rank = parts.withColumn("r", F.sum("n").over(own) - (F.col("n") - 1) / 2.0)
+    mean = (items + 1) / 2.0
+    var = F.greatest(F.sum(F.col("n") * F.col("r") * F.col("r")) / items - mean * mean, F.lit(0.0))
+    rho = rank.groupBy("judge", "draw", "cue").agg(F.when((var > 1e-12) & F.lit(spread > 0), (F.sum(F.col("r") * F.col("s")) / items - mean * mean) / (F.sqrt(var) * spread)).alias("rho"))
+    base = rho.where("draw = -1 and cue = 0").select("judge", F.col("rho").alias("before"))
+    delta = rho.where("cue > 0").join(base, "judge").withColumn("delta", F.round(F.col("rho") - F.col("before"), 12))
+    worst = delta.where("delta is not null").groupBy("judge", "draw").agg(F.min_by("cue", F.struct("delta", "cue")).alias("cue")).groupBy("draw", "cue").agg(F.count("*").alias("worst"))
+    rows = delta.groupBy("draw", "cue").agg(F.avg("delta").alias("delta")).join(worst, ["draw", "cue"], "left").toPandas().sort_values(["draw", "cue"])
+    w, d = (rows.pivot(index="draw", columns="cue", values=c) for c in ("worst", "delta"))
+    seen_w, seen_d, w, d = w.loc[-1].fillna(0).to_numpy(), d.loc[-1].to_numpy(float), w.drop(index=-1).fillna(0).to_numpy(), d.drop(index=-1).to_numpy(float)
     out = []
     for k, cue in enumerate(cues):
-        out.append(("worst_count", cue, float(worst[k]), float((1 + (w >= worst[k]).sum()) / (1 + w.size)), float((1 + (w.max(axis=1) >= worst[k]).sum()) / (1 + len(w)))))
-        out.append(("mean_delta_rho", cue, float(delta[k]), float((1 + (d <= delta[k]).sum()) / (1 + d.size)), float((1 + (d.min(axis=1) <= delta[k]).sum()) / (1 + len(d)))))
+        out.append(("worst_count", cue, float(seen_w[k]), float((1 + (w >= seen_w[k]).sum()) / (1 + w.size)), float((1 + (w.max(axis=1) >= seen_w[k]).sum()) / (1 + len(w)))))
+        out.append(("mean_delta_rho", cue, float(seen_d[k]), float((1 + (d <= seen_d[k]).sum()) / (1 + d.size)), float((1 + (d.min(axis=1) <= seen_d[k]).sum()) / (1 + len(d)))))
     return spark.createDataFrame(out, schema)
-
-
-def _rho(x: np.ndarray, y: np.ndarray) -> float:
-    rx, ry = (_ranks(v) for v in (x, y))
-    sx, sy = rx.std(), ry.std()
-    return float(((rx - rx.mean()) * (ry - ry.mean())).mean() / (sx * sy)) if sx and sy else math.nan
-
-
-def _ranks(v: np.ndarray) -> np.ndarray:
-    _, inverse, counts = np.unique(v, return_inverse=True, return_counts=True)
-    return (np.cumsum(counts) - (counts - 1) / 2)[inverse]

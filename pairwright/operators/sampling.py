@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pairwright.functions.stats import cumulated
 from pairwright.functions.text import seeded_key
 
 
@@ -32,24 +33,30 @@ def whole_turns(df: DataFrame, stratum: str, turns: int, editors: int, seed: int
 
 
 def evenly_spaced(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """n rows of each group, evenly spread over its order: those at floor(i * size / n)."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_size", F.count("*").over(w))
+    """n rows of each group, evenly spread over its order: those at floor(i * size / n). The order begins with a
+    number; rows that tie in all of it stand in any order."""
+    ranked = cumulated(df.withColumns({"_v": F.struct(*order), "_one": F.lit(1)}), by, "_v", "_one", head=order[0]).withColumn("_i", F.col("_upto") - 1)
     # the i-th pick is at floor(i * size / n): a row is a pick if some i lands on it
     i = F.ceil(F.col("_i") * n / F.col("_size"))
     hit = (F.col("_size") <= n) | ((i < n) & (F.floor(i * F.col("_size") / n) == F.col("_i")))
-    return ranked.where(hit).drop("_i", "_size")
+    return ranked.where(hit).drop("_i", "_size", "_upto", "_v", "_one")
+
+
+def value_at(df: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(by, a column a place): the values at places (from 0) of each group's sorted values, from counts by value. A place may use ``_size``, the
+    group's rows; null values are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    at = lambda p: (F.col("_upto") > p) & (F.col("_upto") - F.col("_n") <= p)
+    return cumulated(counts, by, value, "_n").groupBy(*by).agg(*[F.max(F.when(at(p), F.col(value))).alias(c) for c, p in places.items()])
 
 
 def value_tertiles(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Adds ``tertile`` (low, mid, high) by the cut values at places n/3 and 2n/3 of the sorted values of each group; equal values stay together."""
-    w = W.partitionBy(by)
-    place = F.row_number().over(w.orderBy(value)) - 1
-    n = F.count("*").over(w)
-    cuts = df.withColumn("_p", place).withColumn("_n", n).groupBy(by).agg(
-        F.max(F.when(F.col("_p") == F.floor(F.col("_n") / 3), F.col(value))).alias("_c1"), F.max(F.when(F.col("_p") == F.floor(2 * F.col("_n") / 3), F.col(value))).alias("_c2")
-    )
-    return df.join(cuts, by).withColumn("tertile", F.when(F.col(value) < F.col("_c1"), "low").when(F.col(value) < F.col("_c2"), "mid").otherwise("high")).drop("_c1", "_c2")
+    """Adds ``tertile`` (low, mid, high) by the cut values at places n/3 and 2n/3 of the sorted values of each group; equal values stay together, null
+    has none."""
+    cuts = value_at(df, [by], value, {"_c1": F.floor(F.col("_size") / 3), "_c2": F.floor(2 * F.col("_size") / 3)})
+    v = F.col(value)
+    tertile = F.when(v < F.col("_c1"), "low").when(v < F.col("_c2"), "mid").when(v.isNotNull(), "high")
+    return df.join(cuts, by).withColumn("tertile", tertile).drop("_c1", "_c2")
 
 
 def derangement(names: DataFrame, name: str, seed: int = 42) -> DataFrame:

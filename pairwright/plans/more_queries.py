@@ -181,10 +181,9 @@ def severity_ladder(spark: SparkSession, d: str) -> DataFrame:
 def region_dose(spark: SparkSession, d: str) -> DataFrame:
     """AGG49: distribution of region areas: mean, index-truncated median and 5 % point, counts below thresholds."""
     li = table(spark, d, "lineitem").select("l_returnflag", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1000 / 1000.0).alias("area"))
-    w = W.partitionBy("l_returnflag")
-    placed = li.withColumn("i", F.row_number().over(w.orderBy("area")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("i") == F.floor(F.col("n") * q), F.col("area")))
-    return _rounded(placed.groupBy("l_returnflag").agg(F.avg("area").alias("mean"), at(0.5).alias("median"), at(0.05).alias("p05"), stats.count_if(F.col("area") < 0.01).alias("below_1"), stats.count_if(F.col("area") < 0.1).alias("below_10")))
+    shares = li.groupBy("l_returnflag").agg(F.avg("area").alias("mean"), stats.count_if(F.col("area") < 0.01).alias("below_1"), stats.count_if(F.col("area") < 0.1).alias("below_10"))
+    places = sampling.value_at(li, ["l_returnflag"], "area", {"median": F.floor(F.col("_size") * 0.5), "p05": F.floor(F.col("_size") * 0.05)})
+    return _rounded(shares.join(places, "l_returnflag"))
 
 
 def degenerate_matches(spark: SparkSession, d: str) -> DataFrame:

@@ -354,7 +354,7 @@ ORACLES = {
     "exclusions": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)) GROUP BY 1",
     "neighbour_cosine": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "duplicate_documents": "SELECT size, first, dup_group, substr(h, 1, 12) AS name FROM (SELECT sha1(text) AS h, count(*) AS size, min(doc_id) AS first, row_number() OVER (ORDER BY sha1(text)) - 1 AS dup_group FROM documents GROUP BY 1) WHERE size > 1",
-    "fingerprints": sql(POOL, body="SELECT source, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, CASE source WHEN 'A' THEN 'EXTRA' WHEN 'N' THEN 'DIFFERS' ELSE 'OK' END AS status FROM (SELECT source, sample_id || ',' || clean AS line FROM pool) GROUP BY source"),
+    "fingerprints": sql(POOL, body="SELECT source, count(*) AS n, sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT) || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT) || ':' || sum(('0x' || substr(h, 31, 15))::BIGINT) || ':' || sum(('0x' || substr(h, 46, 15))::BIGINT)) AS digest, CASE source WHEN 'A' THEN 'EXTRA' WHEN 'N' THEN 'DIFFERS' ELSE 'OK' END AS status FROM (SELECT source, sha256(sample_id || ',' || clean) AS h FROM pool) GROUP BY source"),
     "cell_grid": "WITH d AS (SELECT source, lang FROM documents), s AS (SELECT DISTINCT source FROM d), l AS (SELECT DISTINCT lang FROM d) SELECT s.source, l.lang, count(d.source) AS n FROM s, l LEFT JOIN d ON d.source = s.source AND d.lang = l.lang GROUP BY ALL",
     "rater_kappas": sql(
         RATERS, "m AS (SELECT lang, count(*) AS n, avg((first = second)::INT) AS po, avg((first = 0)::INT) AS a0, avg((first = 1)::INT) AS a1, avg((second = 0)::INT) AS b0, avg((second = 1)::INT) AS b1 FROM raters WHERE first IS NOT NULL AND second IS NOT NULL GROUP BY lang)",

@@ -151,8 +151,12 @@ def content_name(content: Column, n: int = 12) -> Column:
 
 
 def fingerprint(df: DataFrame, by: list[str], line: str) -> DataFrame:
-    """(by, n, digest): SHA-256 over a group's sorted lines; the order of rows does not matter."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("digest"))
+    """(by, n, digest): SHA-256 over the number of a group's lines and the sums of four 60-bit words of each line's SHA-256. Neither the order of
+    rows nor their partition matters, repeated lines count, and the sums are combined before the shuffle. Null lines do not count."""
+    own = df.where(F.col(line).isNotNull()).select(*by, F.sha2(line, 256).alias("_h"))
+    words = [F.sum(F.conv(F.substring("_h", i, 15), 16, 10).cast("decimal(28,0)")).alias(f"_w{i}") for i in (1, 16, 31, 46)]
+    summed = own.groupBy(*by).agg(F.count("*").alias("n"), *words)
+    return summed.select(*by, "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"_w{i}").cast("string") for i in (1, 16, 31, 46)]), 256).alias("digest"))
 
 
 def compare_fingerprints(found: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
