@@ -298,3 +298,38 @@ def test_by_dimension_keeps_every_dimension(spark):  # noqa: ANN001
     v = verdicts(spark, "/root/testdata/sf0.001").withColumn("coarse", F.col("fine") / 2)
     for names in (["fine"], ["fine", "coarse"], ["fine", "coarse", "d1", "d2"]):
         assert {r.dimension for r in scoring.by_dimension(v, names).select("dimension").distinct().collect()} == set(names)
+
+
+def test_ranks_and_places_match_numpy(spark):  # noqa: ANN001
+    values = [0.0, -2.5, 3.25, 3.25, 1e12, -1e9, float("inf"), 0.1, 0.1004, 7.0] * 3 + [float(x) for x in range(40)]
+    data = [(g, i, v) for g in ("a", None) for i, v in enumerate(values)] + [("a", 99, None), ("b", 0, 5.0)]
+    d = spark.createDataFrame(data, "g string, i int, v double")
+    for down in (False, True):
+        got = {(r.g, r.i): r.r for r in stats.with_average_rank(d, ["g"], "v", "r", down).collect()}
+        assert len(got) == len(data) and got["a", 99] is None and got["b", 0] == 1.0
+        for i, v in enumerate(values):
+            before = sum(w > v if down else w < v for w in values)
+            assert got["a", i] == got[None, i] == before + (values.count(v) + 1) / 2
+    cut = {r.g: r.m for r in sampling.value_at(d, ["g"], "v", {"m": F.floor(F.col("_size") / 3)}).collect()}
+    assert cut["a"] == sorted(values)[len(values) // 3] and cut["b"] == 5.0
+
+
+def test_exact_tests_of_large_counts(spark):  # noqa: ANN001
+    b, c = 500_200_000, 500_100_000
+    p = spark.range(1).select(stats.mcnemar_exact(F.lit(b), F.lit(c))).first()[0]
+    z = (b - c - 1) / math.sqrt(b + c)
+    assert abs(p - math.erfc(z / math.sqrt(2))) < 1e-4
+    for t in ((8, 2, 1, 5), (3, 3, 3, 3), (0, 7, 9, 1), (40, 10, 22, 31), (12, 0, 0, 12), (1, 0, 0, 1)):
+        row, column, n = t[0] + t[1], t[0] + t[2], sum(t)
+        w = {k: math.comb(row, k) * math.comb(n - row, column - k) for k in range(max(0, row + column - n), min(row, column) + 1)}
+        assert abs(resample.fisher_p(*t) - sum(x for x in w.values() if x <= w[t[0]]) / sum(w.values())) < 1e-9, t
+    assert 0 < resample.fisher_p(10**6, 10**6 + 3000, 10**6, 10**6) < 1
+
+
+def test_counts_stand_for_rows():
+    rng = np.random.default_rng(3)
+    v = rng.integers(-4, 5, 300).astype(float)
+    for zero in ("wilcox", "pratt"):
+        assert abs(resample.wilcoxon_p(v, zero) - resample.wilcoxon_p(*np.unique(v, return_counts=True)[:1], zero, np.unique(v, return_counts=True)[1])) < 1e-12
+    m = resample.multinomial_means(*np.unique(v, return_counts=True), 4000, 1, most=1000)
+    assert len(m) == 4000 and abs(m.mean() - v.mean()) < 0.02 and abs(m.std() - v.std() / math.sqrt(300)) < 0.01
