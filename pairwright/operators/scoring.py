@@ -36,12 +36,54 @@ def complete_case(df: DataFrame, dimensions: list[str]) -> DataFrame:
 
 def check_single_scale(df: DataFrame, scale: str = "scale") -> DataFrame:
     """The table, if its rows are on one scale; no scale is a scale of its own."""
-    found = df.select(F.coalesce(F.col(scale), F.lit(-1)).alias("s")).distinct().limit(2).collect()
+    found = df.select(F.col(scale).alias("s")).distinct().limit(2).collect()
     if len(found) > 1:
-        raise MixedRows(f"more than one scale: {sorted(r.s for r in found)}")
+        raise MixedRows(f"more than one scale: {sorted(str(r.s) for r in found)}")
     return df
 
 
+def check_single_score(df: DataFrame, field: str = "score_field") -> DataFrame:
+    """The table, if the rows that name the score they were computed from name the same one."""
+    found = df.where(F.col(field) != "").select(field).distinct().limit(2).collect()
+    if len(found) > 1:
+        raise MixedRows(f"more than one score: {sorted(r[0] for r in found)}")
+    return df
+
+
+def only_values(df: DataFrame, column: str, asked: list[str]) -> DataFrame:
+    """The rows with one of the values asked for; an error if the table lacks one of them. Nothing asked for: all rows."""
+    if not asked:
+        return df
+    kept = df.where(F.col(column).isin(asked))
+    lacking = set(asked) - {r[0] for r in kept.select(column).distinct().collect()}  # at most as many as asked for
+    if lacking:
+        raise MixedRows(f"{column} lacks {sorted(lacking)}")
+    return kept
+
+
+def with_endorsed_side(df: DataFrame, keys: dict[str, str], cue: str = "cue", params: str = "params", side: str = "side") -> DataFrame:
+    """The side that a cue's JSON parameters endorse (``keys``: parameter by cue) as a or b; rows of other cues stay. A parameter that is neither A nor B,
+    or a side that contradicts it, fails the job when the row is computed."""
+    at = reduce(lambda c, k: c.when(F.col(cue) == k, F.upper(F.trim(F.get_json_object(params, f"$.{keys[k]}")))), keys, F.when(F.lit(False), F.lit(None).cast("string")))
+    told, own = F.lower(F.coalesce(at, F.lit(""))), F.col(side)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("no side, or another one:"), F.col(cue), told, own)).cast("string")
+    return df.withColumn(side, F.when(~F.coalesce(F.col(cue).isin(list(keys)), F.lit(False)), own).when(told.isin("a", "b") & F.coalesce(own == told, F.lit(True)), told).otherwise(wrong))
+
+
+def with_provenance(df: DataFrame, reference: str, collection: str, before: str = "family") -> DataFrame:
+    """Adds (or replaces) reference and collection, in front of the column ``before`` if there."""
+    others = [c for c in df.columns if c not in ("reference", "collection")]
+    at = others.index(before) if before in others else len(others)
+    return df.select(*others[:at], F.lit(reference).alias("reference"), F.lit(collection).alias("collection"), *others[at:])
+
+
+def main_grid(df: DataFrame, main: str = "main") -> DataFrame:
+    """The rows of the main collection; rows that name none are of it."""
+    if "collection" not in df.columns:
+        return df
+    return df.where(F.coalesce(F.nullif(F.col("collection"), F.lit("")), F.lit(main)) == main)
+
+
 def resolve_score(df: DataFrame, fine: str = "fine", overall: str = "overall", tolerance: float = 0.05) -> str:
     """The fine score if any parsed row has it, else the overall one; an error if over ``tolerance`` of the parsed rows lack the fine one."""
     n, have = df.where("parsed").agg(F.count("*"), F.count(fine)).first()

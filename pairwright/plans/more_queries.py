@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairwright.functions import geometry, judge, raster, resample, stats
+from pairwright.functions import geometry, judge, raster, resample, stats, text
 from pairwright.operators import agreement, sampling, scoring
 from pairwright.plans.pairwise_queries import _GRADED, _SD, _items
 from pairwright.plans.record_queries import _MCN, _VAL, _shared, _validations
@@ -19,15 +19,16 @@ from pairwright.sources import files
 
 
 def guards(spark: SparkSession, d: str) -> DataFrame:
-    """FLT5, FLT6, FLT7, FLT8: what each guard says of the verdicts: one scale, the score to analyse, one score field, one collection."""
+    """FLT5, FLT6, FLT7: the verdicts pass the guards: one scale, the score to analyse, one score field."""
     v = verdicts(spark, d)
     field = scoring.resolve_score(scoring.check_single_scale(v))
-    own = v.agg(F.count_distinct("scale").alias("scales"), F.count_distinct(F.lit(field)).alias("fields"), F.count(F.when(F.col("parsed"), F.col(field))).alias("scored"))
+    v = scoring.check_single_score(v.withColumn("score_field", F.when(F.col("parsed"), field)))
+    own = v.agg(F.count_distinct("scale").alias("scales"), F.count_distinct("score_field").alias("fields"), F.count(F.when(F.col("parsed"), F.col(field))).alias("scored"))
     return own.select(F.lit(field).alias("score"), (F.col("scales") == 1).alias("one_scale"), (F.col("fields") == 1).alias("one_field"), "scored")
 
 
 def requested_cues(spark: SparkSession, d: str) -> DataFrame:
-    """FLT13, FLT10, FLT22: requested values that the data lacks, duplicates of the request folded."""
+    """FLT10, FLT22: requested values that the data lacks, duplicates of the request folded."""
     asked = list(dict.fromkeys(["click", "sham", "click", "blur"]))
     have = verdicts(spark, d).where("cue is not null").select("cue").distinct()
     return spark.createDataFrame([(c,) for c in asked], "cue string").join(have.withColumn("present", F.lit(True)), "cue", "left").select("cue", F.coalesce("present", F.lit(False)).alias("present"))
@@ -45,11 +46,42 @@ def trusted_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def endorsed_sides(spark: SparkSession, d: str) -> DataFrame:
-    """FLT17, FLT18: a side taken from a JSON parameter, contradictions told, provenance added."""
+    """FLT17, FLT18: the side that a JSON parameter endorses, provenance added; a contradiction would fail the query."""
     e = table(spark, d, "events").withColumn("params", F.concat(F.lit('{"target": "'), F.when(F.col("user_id") % 2 == 0, "A").otherwise("B"), F.lit('"}')))
     told = F.get_json_object("params", "$.target")
-    side = F.when(F.col("event_id") % 3 == 0, F.when(F.col("event_id") % 2 == 0, "A").otherwise("B"))
-    return e.select(F.coalesce(side, told).alias("side"), (side.isNotNull() & (side != told)).alias("contradicts"), F.lit("main").alias("collection"), F.lit("sham").alias("reference")).groupBy("side", "contradicts", "collection", "reference").agg(F.count("*").alias("n"))
+    given = e.select(F.col("event_type").alias("cue"), "params", F.when(F.col("event_id") % 3 == 0, F.lower(told)).alias("side"))
+    return scoring.with_provenance(scoring.with_endorsed_side(given, {"click": "target", "error": "target"}).groupBy("cue", "side").agg(F.count("*").alias("n")), "sham", "main")
+
+
+def main_grid_cues(spark: SparkSession, d: str) -> DataFrame:
+    """FLT8, FLT13: the rows of two requested cues (an absent one would fail the query) in the main collection, of which rows without one are."""
+    v = scoring.only_values(verdicts(spark, d), "cue", ["click", "sham"])
+    v = v.withColumn("collection", F.when(F.col("ord") % 3 == 0, "fill").when(F.col("ord") % 3 == 1, "main").when(F.col("ord") % 2 == 0, ""))
+    return scoring.main_grid(v).groupBy("judge", "cue").agg(F.count("*").alias("n"), F.count(F.nullif("collection", F.lit(""))).alias("named"))
+
+
+def votes(spark: SparkSession, d: str) -> DataFrame:
+    """STR14: raw votes to preferences; null for what is none."""
+    raw = F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))
+    return table(spark, d, "events").groupBy(text.map_vote(raw, {"click": "a", "purchase": "b", "view": "tie", "error": None}).alias("preference")).agg(F.count("*").alias("n"))
+
+
+def routed_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """SRC23: verdicts written to the tree of their kind and the folder of their judge, and read back."""
+    at = _shared(spark, "routed")
+    v = verdicts(spark, d).select(F.col("ord").alias("result_id"), F.concat(F.lit("lab/"), "judge").alias("judge_model"), F.col("cue").alias("bias_type"))
+    files.write_jsonl(files.route(v), at, by=["tree", "judge_slug"])
+    back = spark.read.schema("result_id long, judge_model string, bias_type string, tree string, judge_slug string").json(at)
+    return back.groupBy("tree", "judge_model").agg(F.count("*").alias("n"), F.sum("result_id").alias("ids"), F.count_distinct("judge_slug").alias("folders"))
+
+
+def stored_contents(spark: SparkSession, d: str) -> DataFrame:
+    """SRC26: every content stored once under the head of its SHA-1, by two runs of which the second adds nothing."""
+    at = _shared(spark, "contents")
+    own = table(spark, d, "documents").where("text is not null").select(files.content_name(F.col("text")).alias("name"), F.col("doc_id").alias("ord"), "text")
+    for _ in range(2):
+        files.append_new(own, at, "name")
+    return spark.read.parquet(at).select("name", F.col("ord").alias("doc_id"), F.length("text").alias("n_chars"))
 
 
 def unblinded(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +124,9 @@ def tree_source(spark: SparkSession, d: str) -> DataFrame:
     at = _shared(spark, "tree")
     n = table(spark, d, "nation")
     listing = n.where("n_nationkey % 5 <> 0").select(F.concat(F.lit("editor/"), "n_name", F.when(F.col("n_nationkey") % 2 == 0, ".png").otherwise(".jpg")).alias("path"), F.lit("file").alias("type"), (F.col("n_nationkey") * 10).cast("long").alias("size"))
-    files.write_jsonl(listing, at)
-    found = spark.read.schema("path string, type string, size long").json(at).where("type = 'file' and path like 'editor/%'")
+    whole = listing.unionByName(listing.select(F.concat(F.lit("other/"), "path").alias("path"), F.lit("file").alias("type"), "size"))
+    whole.agg(F.to_json(F.collect_list(F.struct("path", "type", "size"))).alias("value")).write.text(at)  # one array of 40 entries: nations are 25
+    found = files.flatten_tree(spark, at, "editor/")
     stems = files.files_by_stem(found)
     return n.join(stems, F.col("n_name") == F.col("stem"), "left").groupBy("n_regionkey").agg(F.count("stem").alias("found"), F.count(F.when(F.col("stem").isNull(), 1)).alias("missing"))
 
@@ -257,7 +290,7 @@ def tree_audit(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        guards, requested_cues, trusted_types, endorsed_sides, unblinded, violations, two_pass_ingest, area_fractions, tree_source, typed_reread, claim_b, agreement_by_dimension, bootstrap_p, delta_tau_bootstrap, worst_cues, severity_ladder, region_dose,
+        guards, requested_cues, trusted_types, endorsed_sides, main_grid_cues, votes, routed_verdicts, stored_contents, unblinded, violations, two_pass_ingest, area_fractions, tree_source, typed_reread, claim_b, agreement_by_dimension, bootstrap_p, delta_tau_bootstrap, worst_cues, severity_ladder, region_dose,
         degenerate_matches, similarity, per_cue_sample, label_formats, anchor_boxes, judge_run, tree_audit,
     )
 }
@@ -269,7 +302,11 @@ ORACLES = {
     "guards": sql(VERDICTS, body="SELECT 'fine' AS score, count(DISTINCT scale) = 1 AS one_scale, true AS one_field, count(fine) FILTER (parsed) AS scored FROM verdicts"),
     "requested_cues": sql(VERDICTS, body="SELECT a.cue, a.cue IN (SELECT cue FROM verdicts WHERE cue IS NOT NULL) AS present FROM (VALUES ('click'), ('sham'), ('blur')) a(cue)"),
     "trusted_types": f"SELECT coalesce(CASE WHEN k % 3 = 0 THEN k % 2 = 0 END, NOT CASE WHEN k % 5 = 0 THEN k % 7 = 0 END, CASE WHEN event_type = 'error' THEN false END, true) AS trusted, k % 2 = 1 AND (CASE WHEN k % 4 = 0 THEN 'breadth' WHEN k % 4 = 1 THEN 'anchor' END) IS DISTINCT FROM 'breadth' AS anchor_only, count(*) AS n FROM (SELECT {_K} AS k, event_type FROM events) GROUP BY ALL",
-    "endorsed_sides": "SELECT coalesce(s, t) AS side, coalesce(s <> t, false) AS contradicts, 'main' AS collection, 'sham' AS reference, count(*) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END END AS s, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS t FROM events) GROUP BY ALL",
+    "endorsed_sides": "SELECT event_type AS cue, CASE WHEN event_type IN ('click', 'error') OR event_id % 3 = 0 THEN CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END END AS side, 'main' AS collection, 'sham' AS reference, count(*) AS n FROM events GROUP BY ALL",
+    "main_grid_cues": sql(VERDICTS, body="SELECT judge, cue, count(*) AS n, count(*) FILTER (ord % 3 = 1) AS named FROM verdicts WHERE cue IN ('click', 'sham') AND ord % 3 <> 0 GROUP BY ALL"),
+    "votes": "SELECT CASE event_type WHEN 'click' THEN 'a' WHEN 'purchase' THEN 'b' WHEN 'view' THEN 'tie' END AS preference, count(*) AS n FROM events GROUP BY 1",
+    "routed_verdicts": sql(VERDICTS, body="SELECT CASE WHEN cue IS NULL THEN 'raw_judgments' ELSE 'biased_judgments' END AS tree, 'lab/' || judge AS judge_model, count(*) AS n, CAST(sum(ord) AS BIGINT) AS ids, 1::BIGINT AS folders FROM verdicts GROUP BY ALL"),
+    "stored_contents": "SELECT substr(sha1(text), 1, 12) AS name, min(doc_id) AS doc_id, CAST(length(arg_min(text, doc_id)) AS INT) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "unblinded": sql(POOL, "k AS (SELECT source, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || source || ':0:' || sample_id), sample_id) AS n FROM pool) WHERE n <= 20)", "s AS (SELECT source, row_number() OVER (ORDER BY md5('42:sheet:' || sample_id)) AS i FROM k)", body="SELECT source, CASE WHEN i % 3 = 0 THEN 'Yes' ELSE 'No' END AS label, count(*) AS n FROM s GROUP BY ALL"),
     "violations": "WITH b AS (SELECT l_returnflag, CAST(l_quantity AS INT) AS q, CAST(l_partkey % 100 AS INT) AS x, CAST(l_suppkey % 60 AS INT) AS y FROM lineitem), f AS (SELECT l_returnflag, greatest(0, least(q + 40, x + 20) - greatest(q, x)) * greatest(0, least(q + 30, y + 20) - greatest(q, y)) / 400.0::DOUBLE AS f FROM b) SELECT l_returnflag, count(*) AS n, count(*) FILTER (f > 0) AS violating, round(quantile_cont(f, 0.5) FILTER (f > 0), 6) AS median, round(max(f), 6) AS most FROM f GROUP BY 1",
     "two_pass_ingest": "SELECT regexp_extract(url, '^https?://([^/]+)/', 1) AS host, min(page_id) AS page_id, substr(sha1(arg_min(html, page_id)), 1, 12) AS name FROM pages GROUP BY 1",

@@ -53,7 +53,7 @@ def decisive_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def battles(spark: SparkSession, d: str) -> DataFrame:
-    """AGG41, STR14: votes of a match-up of two editors to a majority and a margin."""
+    """AGG41: votes of a match-up of two editors to a majority and a margin."""
     return _rounded(pairwise.majority_vote(pairs(spark, d).select("editor_a", "editor_b", F.col("winner").alias("vote")), ["editor_a", "editor_b"]))
 
 

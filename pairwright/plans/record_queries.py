@@ -43,7 +43,7 @@ def edit_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def slugs(spark: SparkSession, d: str) -> DataFrame:
-    """SRC22, SRC23, STR8: file-safe names and editor families."""
+    """SRC22, STR8: file-safe names and editor families."""
     return table(spark, d, "part").select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_type")).alias("slug"), text.editor_family(F.col("p_brand")).alias("family"))
 
 
@@ -154,7 +154,7 @@ def neighbour_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_documents(spark: SparkSession, d: str) -> DataFrame:
-    """AGG43, STR15, SRC26: documents of equal bytes, grouped and numbered."""
+    """AGG43, STR15: documents of equal bytes, grouped and numbered."""
     docs = table(spark, d, "documents").select("doc_id", F.sha1("text").alias("digest"))
     return validation.duplicate_groups(docs, "digest", "doc_id").withColumn("name", F.substring("digest", 1, 12)).drop("digest")
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from pairwright.functions.text import slug, stem
 
@@ -128,8 +127,8 @@ def route(df: DataFrame) -> DataFrame:
 def append_new(df: DataFrame, path: str, key: str = "result_id") -> None:
     """Append rows whose key is not there yet, each key once (the first by ``ord`` if there)."""
     spark = df.sparkSession
-    order = F.col("ord") if "ord" in df.columns else F.lit(0)
-    fresh = df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    order = F.struct(F.col("ord") if "ord" in df.columns else F.lit(0))  # a struct is never null, so no row is passed over
+    fresh = df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
     if _exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)

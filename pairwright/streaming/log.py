@@ -16,10 +16,10 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def append_log(stream: DataFrame, path: str, checkpoint: str, key: str = "result_id", time: str = "ts", delay: str = "1 hour") -> None:
-    """Drain what is there: ids met twice within the watermark go, then those that the log holds."""
-    fresh = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-    fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: append_new(df, path, key)).start().awaitTermination()
+def append_log(stream: DataFrame, path: str, checkpoint: str, key: str = "result_id") -> None:
+    """Drain what is there: each batch appends the ids that the log does not hold, each once. No watermark, so late rows are not lost; a batch that
+    is run again after a failure adds nothing twice."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: append_new(df, path, key)).start().awaitTermination()
 
 
 def windowed_counts(stream: DataFrame, path: str, checkpoint: str, by: str, time: str = "ts", width: str = "1 hour", delay: str = "1 day") -> None:

@@ -333,3 +333,54 @@ def test_counts_stand_for_rows():
         assert abs(resample.wilcoxon_p(v, zero) - resample.wilcoxon_p(*np.unique(v, return_counts=True)[:1], zero, np.unique(v, return_counts=True)[1])) < 1e-12
     m = resample.multinomial_means(*np.unique(v, return_counts=True), 4000, 1, most=1000)
     assert len(m) == 4000 and abs(m.mean() - v.mean()) < 0.02 and abs(m.std() - v.std() / math.sqrt(300)) < 0.01
+
+
+def test_guards_refuse(spark):  # noqa: ANN001
+    v = rows(spark, [("j", "s", None, None, 5), ("j", "s", "c", "s__c", 9)])
+    with pytest.raises(scoring.MixedRows):
+        scoring.check_single_scale(v.withColumn("scale", F.when(F.col("ord") == 0, -1)))  # no scale is not -1
+    scored = v.withColumn("score_field", F.when(F.col("ord") == 0, "fine"))
+    assert scoring.check_single_score(scored).count() == 2  # a row that names none says nothing
+    with pytest.raises(scoring.MixedRows):
+        scoring.check_single_score(scored.withColumn("score_field", F.coalesce("score_field", F.lit("overall"))))
+    assert scoring.only_values(v, "cue", ["c"]).count() == 1 and scoring.only_values(v, "cue", []).count() == 2
+    with pytest.raises(scoring.MixedRows, match="d"):
+        scoring.only_values(v, "cue", ["c", "d"])
+
+
+def test_endorsed_side_must_agree(spark):  # noqa: ANN001
+    def side(cue, params, given):  # noqa: ANN001, ANN202
+        return scoring.with_endorsed_side(spark.createDataFrame([(cue, params, given)], "cue string, params string, side string"), {"c": "target"}).first().side
+
+    assert side("c", '{"target": " a"}', None) == "a" and side("c", '{"target": "B"}', "b") == "b"
+    assert side("other", None, "x") == "x" and side(None, None, None) is None
+    for params, given in (('{"target": "A"}', "b"), ('{"target": "C"}', None), (None, None), ("{}", "a")):
+        with pytest.raises(Exception, match="no side, or another one"):
+            side("c", params, given)
+
+
+def test_provenance_and_main_grid(spark):  # noqa: ANN001
+    t = spark.createDataFrame([(1, "f", "fill"), (2, "f", None), (3, "f", ""), (4, "f", "main")], "n int, family string, collection string")
+    assert sorted(r.n for r in scoring.main_grid(t).collect()) == [2, 3, 4]
+    assert scoring.main_grid(t.drop("collection")).count() == 4
+    assert scoring.with_provenance(t, "sham", "fill").columns == ["n", "reference", "collection", "family"]
+    assert scoring.with_provenance(t.select("n"), "sham", "fill").columns == ["n", "reference", "collection"]
+
+
+def test_append_keeps_rows_without_order(spark, tmp_path):  # noqa: ANN001
+    t = spark.createDataFrame([("a", None, 1), ("a", 2, 2), ("b", None, 3), (None, 1, 4)], "result_id string, ord int, n int")
+    for _ in range(2):
+        files.append_new(t.where("result_id is not null"), str(tmp_path / "log"))
+    assert sorted((r.result_id, r.n) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [("a", 1), ("b", 3)]
+    files.append_new(t, str(tmp_path / "other"))
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 3
+
+
+def test_late_rows_stay_in_the_log(spark, tmp_path):  # noqa: ANN001
+    from pairwright.streaming import log
+
+    schema = "result_id long, ts timestamp"
+    for i, (id_, ts) in enumerate([(1, "2024-01-10 00:00:00"), (2, "2024-01-01 00:00:00")]):  # the second comes nine days late
+        spark.sql(f"SELECT {id_}L AS result_id, timestamp'{ts}' AS ts").write.mode("append").parquet(str(tmp_path / "in"))
+        log.append_log(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+        assert spark.read.parquet(str(tmp_path / "log")).count() == i + 1
