@@ -48,7 +48,7 @@ def warm_contrast(a: np.ndarray, contrast: float = CONTRAST, shift: int = WARMTH
 
 def region_box(a: np.ndarray, box: tuple[int, int, int, int], width: int = 3, color: tuple[int, int, int] = (255, 0, 0)) -> np.ndarray:
     left, top, right, bottom = box
-    out = a.copy()
+    out, width = a.copy(), max(0, min(width, bottom - top, right - left))
     for ys, xs in ((slice(top, top + width), slice(left, right)), (slice(bottom - width, bottom), slice(left, right)), (slice(top, bottom), slice(left, left + width)), (slice(top, bottom), slice(right - width, right))):
         out[ys, xs] = color
     return out
@@ -158,3 +158,24 @@ def inject(rasters: DataFrame, cues: list[str]) -> DataFrame:
                 yield pd.DataFrame([(*o, hashlib.sha1(o[-1], usedforsecurity=False).hexdigest()) for o in out], columns=["biased_id", "base_sample_id", "bias_type", "width", "height", "pixels", "sha1"])
 
     return rasters.select("sample_id", "width", "height", "pixels").mapInPandas(run, "biased_id string, base_sample_id string, bias_type string, width int, height int, pixels binary, sha1 string")
+
+
+def region_cues(rasters: DataFrame, severities: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
+    """(sample_id, left, top, right, bottom, method, bias_type, severity, sha1) of every raster (sample_id, width, height, pixels, original): the region that
+    the edit changed, its outline drawn (region_annotation), and its pixels taken back towards the original (edit_damage, by severity; none without an
+    original of the same size). A null raster gives no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+                same = r.original is not None and len(r.original) == len(r.pixels)
+                o = np.frombuffer(r.original, np.uint8).reshape(a.shape) if same else None
+                box, method = edit_region(a, o)
+                made = [("region_annotation", None, region_box(a, box))] + [("edit_damage", s, revert(a, o, box, s)) for s in severities if o is not None]
+                out += [(r.sample_id, *box, method, c, s, hashlib.sha1(x.tobytes(), usedforsecurity=False).hexdigest()) for c, s, x in made]
+            yield pd.DataFrame(out, columns=["sample_id", "left", "top", "right", "bottom", "method", "bias_type", "severity", "sha1"])
+
+    schema = "sample_id string, left int, top int, right int, bottom int, method string, bias_type string, severity double, sha1 string"
+    return rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original").mapInPandas(run, schema)

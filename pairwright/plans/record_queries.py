@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,15 +242,27 @@ def sticker_slots(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy(best["name"].alias("slot")).agg(F.count("*").alias("n"), F.sum(best["overlap"]).alias("overlap"), r6(F.avg(share)).alias("area_share"), r6(F.avg(iou)).alias("iou"))
 
 
+def _rasters(spark: SparkSession, d: str) -> DataFrame:
+    """Rasters made of the vectors' bytes (4 by 16 pixels)."""
+
+    def pixels(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            yield vectors.map(lambda v: None if v is None else np.resize((np.asarray(v, float) * 97).astype(np.int64) % 256, 192).astype(np.uint8).tobytes())
+
+    made = F.pandas_udf(pixels, "binary")
+    return table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("sample_id"), F.lit(16).alias("width"), F.lit(4).alias("height"), made("embedding").alias("pixels"))
+
+
 def raster_cues(spark: SparkSession, d: str) -> DataFrame:
-    """IMG1-4, IMG10, IMG12, IMG13, IMG16: cues on rasters made of the vectors' bytes (4 by 16 pixels)."""
+    """IMG1-4, IMG16: cues on rasters."""
+    return raster.inject(_rasters(spark, d), ["brightness", "saturation", "padding", "aesthetic_filter"]).select("biased_id", "bias_type", "width", "height", "sha1")
 
-    def pixels(v: list[float]) -> bytes:
-        return bytes(np.resize((np.array(v) * 97).astype(np.int64) % 256, 192).astype(np.uint8))
 
-    made = F.udf(pixels, "binary")
-    r = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.lit(16).alias("width"), F.lit(4).alias("height"), made("embedding").alias("pixels"))
-    return raster.inject(r, ["brightness", "saturation", "padding", "aesthetic_filter"]).select("biased_id", "bias_type", "width", "height", "sha1")
+def raster_regions(spark: SparkSession, d: str) -> DataFrame:
+    """IMG10 (box form), IMG12, IMG13: the region in which a raster differs from the one before it, outlined and taken back."""
+    r = _rasters(spark, d)
+    before = r.select((F.col("vec_id") + 1).alias("vec_id"), F.col("pixels").alias("original"))
+    return raster.region_cues(r.join(before, "vec_id", "left"))
 
 
 def rating_table(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +311,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalized_texts, content_categories, edit_types, slugs, keywords, prompts, mock_scores, mock_winners, answer_repair, page_attributes, uids, document_overlap, overlap_examples, union_first_wins, dangling_references, audit_ids, exclusions,
-        near_duplicate_vectors, neighbour_cosine, duplicate_documents, fingerprints, cell_grid, rater_kappas, validator_kappas, cue_label_rates, cue_label_tests, quality_summary, validator_sensitivity, prompt_ablation, sticker_slots, raster_cues,
+        near_duplicate_vectors, neighbour_cosine, duplicate_documents, fingerprints, cell_grid, rater_kappas, validator_kappas, cue_label_rates, cue_label_tests, quality_summary, validator_sensitivity, prompt_ablation, sticker_slots, raster_cues, raster_regions,
         rating_table, dimension_labels, json_round_trip, stream_append, stream_counts,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -384,3 +385,19 @@ def test_late_rows_stay_in_the_log(spark, tmp_path):  # noqa: ANN001
         spark.sql(f"SELECT {id_}L AS result_id, timestamp'{ts}' AS ts").write.mode("append").parquet(str(tmp_path / "in"))
         log.append_log(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "checkpoint"))
         assert spark.read.parquet(str(tmp_path / "log")).count() == i + 1
+
+
+def test_region_cues(spark):  # noqa: ANN001
+    a = np.full((40, 60, 3), 50, np.uint8)
+    b = a.copy()
+    b[10:20, 5:25] = 200
+    t = spark.createDataFrame([("x", 60, 40, bytearray(b.tobytes()), bytearray(a.tobytes())), ("y", 60, 40, bytearray(b.tobytes()), None), ("z", 60, 40, None, None)], "sample_id string, width int, height int, pixels binary, original binary")
+    got = raster.region_cues(t, (0.5, 1.0)).collect()
+    box, how = raster.edit_region(b, a)
+    x = [r for r in got if r.sample_id == "x"]
+    assert {(r.left, r.top, r.right, r.bottom, r.method) for r in x} == {(*box, how)} and how == "diff"
+    sha = lambda v: hashlib.sha1(v.tobytes()).hexdigest()  # noqa: E731, S324
+    assert {(r.bias_type, r.severity): r.sha1 for r in x} == {("region_annotation", None): sha(raster.region_box(b, box)), ("edit_damage", 0.5): sha(raster.revert(b, a, box, 0.5)), ("edit_damage", 1.0): sha(raster.revert(b, a, box))}
+    assert [(r.sample_id, r.bias_type, r.method) for r in got if r.sample_id != "x"] == [("y", "region_annotation", "fallback")]
+    small = raster.region_box(a, (0, 0, 60, 2))  # a box flatter than its line
+    assert (small[:2] == (255, 0, 0)).all() and (small[2:] == 50).all()
