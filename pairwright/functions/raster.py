@@ -1,7 +1,7 @@
 """Cues on rasters (height, width, 3) of bytes: pure numpy, mapped over Arrow batches.
 
-Built: brightness, saturation, padding, warm contrast, region box, revert damage, edit-region estimation, change measures, SSIM. Not built, for want
-of fonts and codecs: text and caption cues, JPEG round trip, resampled insets, blur.
+Built: brightness, saturation, padding, warm contrast, region box, revert damage, edit-region estimation, change measures, SSIM (also over the offsets that an
+extended canvas may have). Insets and arrows are in ``draw``, PNG in ``png``. Not built, for want of fonts: text and caption cues; JPEG round trip, blur.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pairwright.functions import draw
+
 # Default strengths.
 BRIGHTNESS, SATURATION, PADDING, CONTRAST, WARMTH, THRESHOLD = 1.2, 1.2, 0.10, 1.1, 8, 15
 LUMA = (0.299, 0.587, 0.114)
@@ -125,20 +127,68 @@ def _changed(edited: np.ndarray, original: np.ndarray | None) -> np.ndarray | No
     return labels == np.bincount(labels[labels > 0]).argmax() if labels.any() else None
 
 
+def _sums(v: np.ndarray) -> np.ndarray:
+    """Integral images of a stack (n, h, w)."""
+    return np.pad(v.cumsum(-2).cumsum(-1), ((0, 0), (1, 0), (1, 0)))
+
+
+def _means(s: np.ndarray, k: int) -> np.ndarray:
+    return (s[:, k:, k:] - s[:, :-k, k:] - s[:, k:, :-k] + s[:, :-k, :-k]) / (k * k)
+
+
+def _crop(v: np.ndarray, top: int, left: int, h: int, w: int) -> np.ndarray:
+    return v[:, top : top + h, left : left + w]
+
+
+def ssim_stack(x: np.ndarray, y: np.ndarray, window: int = 7) -> np.ndarray:
+    """Best mean structural similarity of each pair of two stacks of gray rasters (n, h, w) and (n, H, W): the smaller is compared with the larger at every
+    one of the offsets start, middle and end of the surplus along both axes; if neither holds the other, their centres are. The larger stack's window sums are
+    taken once for all offsets."""
+    if any(a < b for a, b in zip(y.shape[1:], x.shape[1:], strict=True)):
+        x, y = y, x
+    if any(a < b for a, b in zip(y.shape[1:], x.shape[1:], strict=True)):
+        h, w = (min(a, b) for a, b in zip(x.shape[1:], y.shape[1:], strict=True))
+        x, y = (_crop(v, (v.shape[1] - h) // 2, (v.shape[2] - w) // 2, h, w) for v in (x, y))
+    (h, w), k = x.shape[1:], window
+    mx, mxx = _means(_sums(x), k), _means(_sums(x * x), k)
+    sy, syy = _sums(y), _sums(y * y)
+    more, c1, c2 = k * k / (k * k - 1), (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    best = np.full(len(x), -1.0)
+    for top in sorted({0, (y.shape[1] - h) // 2, y.shape[1] - h}):
+        for left in sorted({0, (y.shape[2] - w) // 2, y.shape[2] - w}):
+            my, myy = (_means(_crop(s, top, left, h + 1, w + 1), k) for s in (sy, syy))
+            mxy = _means(_sums(x * _crop(y, top, left, h, w)), k)
+            vx, vy, vxy = ((a - b) * more for a, b in ((mxx, mx * mx), (myy, my * my), (mxy, mx * my)))
+            score = ((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+            best = np.maximum(best, score.mean(axis=(1, 2)))
+    return best
+
+
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity of two gray rasters of one shape."""
-    x, y = gray(a), gray(b)
+    """Mean structural similarity of two rasters (h, w, 3)."""
+    return float(ssim_stack(gray(a)[None], gray(b)[None], window)[0])
 
-    def mean(v: np.ndarray) -> np.ndarray:
-        s = np.pad(v.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        k = window
-        return (s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]) / (k * k)
 
-    n = window * window
-    mx, my = mean(x), mean(y)
-    vx, vy, vxy = ((mean(p * q) - mean(p) * mean(q)) * n / (n - 1) for p, q in ((x, x), (y, y), (x, y)))
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+def similarities(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, ssim, changed_share) of pairs of rasters (width, height, pixels, other_width, other_height, other), of three channels; pairs of the same shapes in a batch are one stack. The share of
+    changed pixels is null where the shapes differ; pairs with a null or with a raster narrower than the window have nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            out = pd.DataFrame({key: batch[key], "ssim": None, "changed_share": None}).astype({"ssim": float, "changed_share": float})
+            whole = batch[batch.pixels.notna() & batch.other.notna()]
+            for (w, h, v, u), g in whole.groupby(["width", "height", "other_width", "other_height"]):
+                x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(g), *shape, 3) for c, shape in ((g.pixels, (h, w)), (g.other, (u, v))))
+                if min(w, h, v, u) >= 7:
+                    out.loc[g.index, "ssim"] = ssim_stack(gray(x), gray(y))
+                if (w, h) == (v, u):
+                    out.loc[g.index, "changed_share"] = (np.abs(x.astype(int) - y).max(axis=3) > THRESHOLD).mean(axis=(1, 2))
+            yield out
+
+    columns = [key, "width", "height", "pixels", "other_width", "other_height", "other"]
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(columns).mapInPandas(run, f"{key} {kind}, ssim double, changed_share double")
 
 
 CUES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"brightness": brightness, "saturation": saturation, "padding": padding, "aesthetic_filter": warm_contrast}
@@ -179,3 +229,24 @@ def region_cues(rasters: DataFrame, severities: tuple[float, ...] = (0.25, 0.5,
 
     schema = "sample_id string, left int, top int, right int, bottom int, method string, bias_type string, severity double, sha1 string"
     return rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original").mapInPandas(run, schema)
+
+
+def drawn_cues(rasters: DataFrame) -> DataFrame:
+    """(sample_id, left, top, right, bottom, method, bias_type, corner, x, y, inset_width, inset_height, pixels) of every raster (sample_id, width, height, pixels, original): the
+    region that the edit changed, magnified into a corner (zoom_inset, with its place) and pointed at (region_arrow, places null). A null raster gives no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+                same = r.original is not None and len(r.original) == len(r.pixels)
+                box, method = edit_region(a, np.frombuffer(r.original, np.uint8).reshape(a.shape) if same else None)
+                p = draw.inset_plan(r.width, r.height, box)
+                out.append((r.sample_id, *box, method, "zoom_inset", p["corner"], p["x"], p["y"], p["width"] + 2 * p["edge"], p["height"] + 2 * p["edge"], draw.zoom_inset(a, box).tobytes()))
+                out.append((r.sample_id, *box, method, "region_arrow", None, None, None, None, None, draw.region_arrow(a, box).tobytes()))
+            names = [x.split()[0] for x in schema.split(", ")]
+            yield pd.DataFrame(out, columns=names).astype({k: "Int32" for k in ("x", "y", "inset_width", "inset_height")})
+
+    schema = "sample_id string, left int, top int, right int, bottom int, method string, bias_type string, corner string, x int, y int, inset_width int, inset_height int, pixels binary"
+    return rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original").mapInPandas(run, schema)

@@ -226,21 +226,6 @@ def degenerate_matches(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-def similarity(spark: SparkSession, d: str) -> DataFrame:
-    """STAT19, AGG45: SSIM and change measures of rasters made of two neighbouring vectors (8 by 8 pixels)."""
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            out = []
-            for i, x, y in zip(b["vec_id"], b["v"], b["w"], strict=True):
-                p, q = (np.repeat((np.abs(np.array(z)) * 200 % 256).astype(np.uint8).reshape(8, 8, 1), 3, axis=2) for z in (x, y))
-                out.append((i, round(raster.ssim(p, q), 6), round(raster.change(p, q)["changed_share"], 6)))
-            yield pd.DataFrame(out, columns=["vec_id", "ssim", "changed_share"])
-
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").mapInPandas(run, "vec_id long, ssim double, changed_share double")
-
-
 def per_cue_sample(spark: SparkSession, d: str) -> DataFrame:
     """TOPK5: ten cued items of each cue in seeded order (a sampling operator)."""
     ids = verdicts(spark, d).where("biased_id is not null").select("cue", "biased_id").distinct()
@@ -291,7 +276,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         guards, requested_cues, trusted_types, endorsed_sides, main_grid_cues, votes, routed_verdicts, stored_contents, unblinded, violations, two_pass_ingest, area_fractions, tree_source, typed_reread, claim_b, agreement_by_dimension, bootstrap_p, delta_tau_bootstrap, worst_cues, severity_ladder, region_dose,
-        degenerate_matches, similarity, per_cue_sample, label_formats, anchor_boxes, judge_run, tree_audit,
+        degenerate_matches, per_cue_sample, label_formats, anchor_boxes, judge_run, tree_audit,
     )
 }
 
