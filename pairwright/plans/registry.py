@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scoring_queries", "pairwise_queries", "record_queries", "more_queries", "image_queries")
+MODULES = ("scoring_queries", "pairwise_queries", "record_queries", "more_queries", "image_queries", "source_queries", "temporal_queries")
 
 
 def queries() -> dict[str, Query]:
