@@ -68,6 +68,18 @@ def write_shared(spark: SparkSession, what: str, data: bytes) -> str:
     return at
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def crc_of_id(name: str = "doc_id") -> Column:
     """crc32 of the id as text; what the contracts split documents by."""
     return F.crc32(F.col(name).cast("string").cast("binary"))

@@ -2,7 +2,7 @@
 
 Induction. Pages of a host with different contents are parsed into DOM trees and aligned with one of them by simple tree matching. An aligned node
 whose texts repeat from page to page is constant, one whose texts vary is a slot; the wrapper's container is the smallest element that
-holds nine tenths of the slots' text and every title (h1) among them. Which texts at which place are template is counted over all pages of the host: those found in at least
+holds nine tenths of the text of slots that are paragraphs (of all slots, where there are none) and every title (h1) among them. Which texts at which place are template is counted over all pages of the host: those found in at least
 a tenth (repeated) or a half (constant) of its different contents, and in ``least`` of them. A place where half of the texts come again on
 other pages holds a pool of template texts. Copies of a page count once: contents are told apart by their longest blocks.
 
@@ -10,10 +10,14 @@ Extraction. The wrapper's container, where the page has it, else the whole page,
 comments holds, else for a main element; without either the container itself is the main part, and on a page without a wrapper the smallest element
 that holds nine tenths of the paragraphs' text and the titles. All blocks of the main part stay, in page order, but for
 
-* constant texts of the host of three words or more that are no headings (where no markup names the article, repeated ones too, and texts of pools outside paragraphs);
-* what sits in elements for menus, asides, footers, forms or buttons, or of a class, role or id that is exactly one of ``INNER``.
+* template texts of the host of three words or more that are no headings: constant ones, repeated ones, and texts of pools outside paragraphs. A paragraph beside varying ones (under one parent) stays
+  if it stands between two of them, however often it recurs, and wherever it stands if it is not constant;
+* what sits in elements for menus, asides, footers, forms or buttons, or of a class, role or id that is exactly one of ``INNER``, inline or not: text around an inline one stays one block.
 
-Words within class names are hints for elements around the main part alone, and only where these hold less than half of the page's text.
+No tag decides more than where the main part is: with or without an article element the same texts of it are template.
+
+Words within class names are hints for elements around the main part alone. A name that ends in a word for content is none; nor is one of an element that holds the title and a paragraph, or all paragraphs and
+another hinted element; where hints would take everything, there are none. Sizes play no part.
 
 A host that holds a third of all pages costs one task no more than another: the sample (``sample`` pages a host, a bound of the alignment alone) comes
 from a rank that each task limits first, template counts are by place and text, and wrappers meet pages by broadcast while they are few
@@ -39,11 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Memory, settled, share
+from .common import Memory, free_names, settled, share
 
 # Tags by what the HTML standard makes of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object select noframes annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -58,11 +62,15 @@ OUTER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs masthead topbar footer sidebar aside rail related recommended recommendations teaser share sharing social cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login register paywall search comment comments commentlist disqus discussion reply replies respond reviews toolbar pagination pager copyright skip complementary contentinfo".split()
 )
 INNER = frozenset(
-    "ad ads advert adverts advertisement adsbygoogle ad-container ad-slot banner-ad sponsored sidebar comments comment-list commentlist comments-area comments-section comment-section comment-form comment-respond disqus_thread related-posts related-articles newsletter newsletter-signup share-buttons social-share social-links sharing breadcrumb breadcrumbs pagination cookie-banner cookie-notice cookie-consent cookie-bar gdpr-notice navigation complementary contentinfo".split()
+    "nav navbar menu responses replies reader-comments ad ads advert adverts advertisement adsbygoogle ad-container ad-slot banner-ad sponsored sidebar comments comment-list commentlist comments-area comments-section comment-section comment-form comment-respond disqus_thread related-posts related-articles newsletter newsletter-signup share-buttons social-share social-links sharing breadcrumb breadcrumbs pagination cookie-banner cookie-notice cookie-consent cookie-bar gdpr-notice navigation complementary contentinfo".split()
 )
+#: Words that end a name of content, and words that say nothing at a name's end.
+CONTENT_WORDS = frozenset("article story entry post prose longread".split())
+GENERIC = frozenset("area list wrapper wrap inner outer container box section block content body main item items group row col column left right top bottom".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption legend summary".split())
 PARAGRAPHS = frozenset("p pre blockquote li h1 h2 h3 td dd".split())
+PROSE = frozenset("p pre blockquote".split())
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
@@ -82,22 +90,34 @@ class Page:
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        stack, text, at, end = [0], [], 0, len(source)
+        # Text is gathered for the innermost element that parts it from what is around: the block at hand, or an inline element that has to go.
+        stack, gathered, at, end = [0], [(0, [])], 0, len(source)
         tags, find = self.tag, _TAG.search
 
         def flush() -> None:
+            text = gathered[-1][1]
             if text:
                 whole = " ".join("".join(text).split())
                 text.clear()
                 if whole:
                     self.blocks.append((stack[-1], whole))
 
+        def end_at(depth: int, block: bool) -> None:
+            """The elements from ``depth`` on the stack end; ``block``: so does the block at hand."""
+            ending = set(stack[depth:])
+            while gathered[-1][0] in ending:
+                flush()
+                del stack[stack.index(gathered.pop()[0]) :]
+            if block:
+                flush()
+            del stack[depth:]
+
         while at < end:
             m = find(source, at)
             stop = m.start() if m else end
             if stop > at:
                 piece = source[at:stop]
-                text.append(entities.unescape(piece) if "&" in piece else piece)
+                gathered[-1][1].append(entities.unescape(piece) if "&" in piece else piece)
             if not m:
                 break
             at = m.end()
@@ -110,9 +130,7 @@ class Page:
                     continue
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == name), 0)
                 if depth:
-                    if name in BLOCK or any(tags[x] in BLOCK for x in stack[depth:]):
-                        flush()
-                    del stack[depth:]
+                    end_at(depth, name in BLOCK or any(tags[x] in BLOCK for x in stack[depth:]))
                 continue
             if name in RAW:
                 if name in ("svg", "math") and m.group(4).endswith("/"):
@@ -121,18 +139,22 @@ class Page:
                 at = close.end() if close else end
                 continue
             if name == "br":
-                text.append(" ")
+                gathered[-1][1].append(" ")
                 continue
             if name in BLOCK:
                 flush()
+                if "head" in (tags[x] for x in stack[:3]):  # nothing of a head is a block
+                    end_at(next(i for i, x in enumerate(stack) if tags[x] == "head"), True)
                 if name in CLOSES_P:
                     p = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] in ("p", "button")), 0)
                     if p and tags[stack[p]] == "p" and not any(tags[x] in ("table", "ul", "ol", "dl") for x in stack[p:]):
-                        del stack[p:]
+                        end_at(p, True)
                 if name in ENDS:
                     for i in range(len(stack) - 1, 0, -1):
+                        if i >= len(stack):
+                            continue
                         if tags[stack[i]] in ENDS[name]:
-                            del stack[i:]
+                            end_at(i, True)
                         elif tags[stack[i]] in HOLDS:
                             break
             if name in VOID:
@@ -151,8 +173,6 @@ class Page:
                     if found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
                         words, names = words | {"popup"}, names | {"ad"}
             if name in BLOCK or name in OUTER_TAGS or words:
-                if name not in BLOCK and (name in OUTER_TAGS or names & INNER):
-                    flush()
                 self.place.append(xxhash.xxh3_64_intdigest(f"{self.place[stack[-1]]}/{label}"))
                 self.tag.append(name)
                 self.label.append(label)
@@ -160,7 +180,9 @@ class Page:
                 self.words.append(words)
                 self.parent.append(stack[-1])
                 stack.append(len(self.tag) - 1)
-        flush()
+                if name not in BLOCK and (name in OUTER_TAGS or names & INNER):
+                    gathered.append((stack[-1], []))
+        end_at(1, True)
 
     def key(self, node: int, text: str) -> int:
         """A text at its place, as a signed number."""
@@ -182,14 +204,38 @@ class Page:
 
     def around(self) -> list[bool]:
         """For each element whether it, or one that holds it, is told to be around the main part."""
-        size = self.sizes((x, len(t)) for x, t in self.blocks)
-        mains = self.sizes((x, 1) for x in range(len(self.tag)) if is_main(self, x))
-        out = [False]
-        for x in range(1, len(self.tag)):
-            hint = self.tag[x] not in ("html", "body", "article", "main", "p") and self.tag[x] not in HEADINGS and not mains[x] and self.words[x] & OUTER_WORDS and 2 * size[x] < size[0]
-            comment = self.tag[x] == "article" and self.words[x] & COMMENT_WORDS
-            out.append(out[self.parent[x]] or self.tag[x] in OUTER_TAGS or bool(hint or comment))
-        return out
+        n, outer = len(self.tag), [False] * len(self.tag)
+        for x in range(1, n):
+            outer[x] = outer[self.parent[x]] or self.tag[x] in OUTER_TAGS or bool(self.tag[x] == "article" and self.words[x] & COMMENT_WORDS)
+        mains = self.sizes((x, 1) for x in range(n) if is_main(self, x))
+        titles = self.sizes((x, 1) for x, _ in self.blocks if self.tag[x] == "h1" and not outer[x])
+        prose = self.sizes((x, 1) for x, _ in self.blocks if self.tag[x] in PROSE and not outer[x])
+        hinted = [x for x in range(1, n) if self.tag[x] not in ("html", "body", "article", "main", "p") and self.tag[x] not in HEADINGS and not mains[x] and self.hinted(x)]
+        inner = self.sizes((x, 1) for x in hinted)
+        hints = {x for x in hinted if not (titles[x] and prose[x]) and not (prose[x] and prose[x] == prose[0] and inner[x] > 1)}
+
+        def spread(hints: set[int]) -> list[bool]:
+            out = list(outer)
+            for x in range(1, n):
+                out[x] = out[x] or x in hints or out[self.parent[x]]
+            return out
+
+        out = spread(hints)
+        left = any(not out[x] for x, _ in self.blocks)
+        return out if left or not hints else outer
+
+    def hinted(self, x: int) -> bool:
+        """Whether a name of the element has a word for what is around an article, and is no name of content by its last word."""
+        if not self.words[x] & OUTER_WORDS:
+            return False
+        for name in self.names[x]:
+            parts = _NAME.findall(name)
+            if OUTER_WORDS.intersection(parts):
+                while len(parts) > 1 and parts[-1] in GENERIC:
+                    parts.pop()
+                if parts[-1] in CONTENT_WORDS:
+                    return False
+        return True
 
     def smallest(self, size: list[int], titles: list[int], least: float = 0.9) -> int:
         """The smallest element, no paragraph or heading itself, with that share of the sizes and all of the titles."""
@@ -213,8 +259,11 @@ def main_roots(page: Page, container: int | None, template: list[bool]) -> tuple
     around = page.around()
     size = page.sizes((x, len(t)) for (x, t), known in zip(page.blocks, template, strict=True) if not around[x] and not known)
     found = [x for x in range(1, len(page.tag)) if container is not None and page.place[x] == container and size[x]]
-    most = max((size[x] for x in found), default=0)
-    found = [x for x in found if 5 * size[x] >= most]
+    # Of several elements at the container's place those that hold paragraphs count, by their length.
+    told = page.sizes((x, len(t)) for (x, t), known in zip(page.blocks, template, strict=True) if page.tag[x] in PROSE and not around[x] and not known)
+    told = told if any(told[x] for x in found) else size
+    most = max((told[x] for x in found), default=0)
+    found = [x for x in found if told[x] and 5 * told[x] >= most]
     # What encloses a container and is told to be the main part is the main part.
     for i, x in enumerate(found):
         up = x
@@ -243,7 +292,7 @@ def main_roots(page: Page, container: int | None, template: list[bool]) -> tuple
 
 
 def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int]:
-    """The texts of the main part's blocks, and how many blocks that the host's wrapper knows as template went."""
+    """The texts of the main part's blocks, and how many of its blocks went as template of the host."""
     wrapper = wrapper or {}
     constant, repeated, pools = (wrapper.get(k, frozenset()) for k in ("constant", "repeated", "pools"))
     prose = lambda x: page.tag[x] in PARAGRAPHS or page.tag[x] in HEADINGS
@@ -258,13 +307,21 @@ def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int
         if not state[x] and state[page.parent[x]]:
             out = page.tag[x] in OUTER_TAGS or (page.tag[x] not in HEADINGS and page.names[x] & INNER) or (page.tag[x] == "article" and page.words[x] & COMMENT_WORDS)
             state[x] = int(not out and not (around and around[x]))
+    # Where the varying texts under one parent begin and end.
+    span: dict[int, list[int]] = {}
+    for i, ((x, _), known) in enumerate(zip(page.blocks, template, strict=True)):
+        if state[x] and not known and prose(x):
+            span.setdefault(page.parent[x], [i, i])[1] = i
     keep, gone = [], 0
-    for (x, text), key, known in zip(page.blocks, keys, template, strict=True):
-        goes = known and page.tag[x] not in HEADINGS and text.count(" ") >= 2 and (key in constant or not marked)
-        if state[x] and not goes:
-            keep.append(text)
+    for i, ((x, text), key, known) in enumerate(zip(page.blocks, keys, template, strict=True)):
+        if not state[x]:
+            continue
+        beside = span.get(page.parent[x]) if prose(x) else None
+        stays = beside and (beside[0] < i < beside[1] or key not in constant)
+        if known and not stays and page.tag[x] not in HEADINGS and text.count(" ") >= 2:
+            gone += 1
         else:
-            gone += known
+            keep.append(text)
     return keep, gone
 
 
@@ -272,6 +329,8 @@ def main_blocks(page: Page, wrapper: dict | None = None) -> tuple[list[str], int
 
 #: Pages of a host that are aligned; two lists of children of a larger product, and those at a greater depth, are matched in one pass.
 SAMPLE, PRODUCT, DEPTH = 12, 20_000, 80
+#: Parts of a host's contents that are ranked apart; sampled pages whose keys are broadcast (some 60 bytes each), more are joined.
+PARTS, MOST_CHOSEN = 64, 200_000
 #: Shares of a host's contents at which a text at its place is repeated, and constant.
 REPEATED, CONSTANT = 0.1, 0.5
 
@@ -366,7 +425,8 @@ def induce(sources: list[str], least: int = 4) -> dict:
     # A slot's texts vary: most of them are there once.
     slots = {x for x, of in values.items() if 2 * sum(n for n in of.values() if n == 1) > of.total()}
     around = base.around()
-    size = base.sizes((x, len(own[x])) for x in slots if not around[x])
+    prose = [x for x in slots if base.tag[x] in PROSE and not around[x]]
+    size = base.sizes((x, len(own[x])) for x in prose or slots if not around[x])
     held = base.smallest(size, [x for x in slots if base.tag[x] == "h1" and not around[x]]) if size[0] else 0
     return {"container": base.place[held] if held else None, "constants": len(own) - len(slots), "slots": len(slots)}
 
@@ -399,9 +459,11 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int
     contents = evidence.groupBy("host", "content").agg(F.min("hash").alias("hash"))
     of_host = contents.groupBy("host").agg(F.count("*").alias("contents")).where(F.col("contents") >= least)
 
-    place = F.row_number().over(W.partitionBy("host").orderBy("content"))
-    chosen = contents.withColumn("place", place).where(F.col("place") <= sample).select("host", "hash", "place")
-    few = own.join(chosen, ["host", "hash"]).groupBy("host", "place").agg(F.first("html").alias("html"))
+    # The smallest contents of a host: of each of its parts first, so that no task ranks more than a part of a host and ``sample`` rows a part.
+    part = F.pmod("content", F.lit(PARTS))
+    of_part = contents.withColumn("part", part).withColumn("place", F.row_number().over(W.partitionBy("host", "part").orderBy("content"))).where(F.col("place") <= sample)
+    chosen = settled(of_part.withColumn("place", F.row_number().over(W.partitionBy("host").orderBy("content"))).where(F.col("place") <= sample).select("host", "hash", "place"))
+    few = own.join(F.broadcast(chosen) if chosen.count() <= MOST_CHOSEN else chosen, ["host", "hash"]).groupBy("host", "place").agg(F.first("html").alias("html"))
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "aligned": [json.dumps(induce(rows.sort_values("place")["html"].tolist(), least))]})
@@ -428,23 +490,24 @@ def read_wrapper(raw: str | None) -> dict:
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", broadcast_bytes: int = 16_000_000, salts: int = 64) -> DataFrame:
-    """All columns of ``pages`` but the html, plus text, and n_template: blocks that the host's wrapper knows as template and that went."""
+    """All columns of ``pages`` but the html, plus text, and n_template: blocks of the main part that went as template of the host."""
     spark = pages.sparkSession
-    pages = pages.drop("text", "n_template", "_html", "_host", "_wrapper", "_salt")
+    pages = pages.drop("text", "n_template")
+    c_html, c_host, c_wrapper, c_salt = free_names(pages, "html", "host", "wrapper", "salt")
     learned = settled(wrappers(pages, url, html))
     size = learned.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     rest = [f for f in pages.schema if f.name != html]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string", "n_template long"])
-    named = pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(html).alias("_html"), host_of(url).alias("_host"))
+    named = pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(html).alias(c_html), host_of(url).alias(c_host))
     known = None
     if size <= broadcast_bytes:
         known = share(spark, {r.host: r.wrapper for r in learned.toLocalIterator()})
     else:
-        salted = learned.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        named = named.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(salts)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
+        salted = learned.select(F.col("host").alias(c_host), F.col("wrapper").alias(c_wrapper), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(c_salt))
+        named = named.withColumn(c_salt, F.pmod(F.xxhash64(c_html), F.lit(salts)).cast("int")).join(salted, [c_host, c_salt], "left").drop(c_salt)
     columns = named.columns
-    at_html, at_host = columns.index("_html"), columns.index("_host")
-    at_wrapper = columns.index("_wrapper") if known is None else None
+    at_html, at_host = columns.index(c_html), columns.index(c_host)
+    at_wrapper = columns.index(c_wrapper) if known is None else None
     keep = [columns.index(f.name) for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
