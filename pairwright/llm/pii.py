@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds. Four kinds of entity are found exactly: email, ip, card (Luhn), phone. These base spans always stay. A fifth kind, secret, has
-seeds of its own: hexadecimal keys of 32 to 64 digits that are assigned to a name in quotes.
+seeds of its own: hexadecimal keys of 32 to 64 digits that are assigned to a name in quotes. Such a key may as well be a checksum, so it is evidence alone: a span of
+kind secret is what stands in the slot of a trusted pattern, be it a seed or of any other shape, and a key in a place like no other is none.
 
 Patterns. The lexical patterns of an entity are the words around it: the word before, the two words before, the word before with the
 word after. Words are lower-cased, digits become 0, punctuation at their ends goes; what is nothing but punctuation is passed over.
@@ -14,8 +15,8 @@ come to be trusted (``confident``) are seeds of the next round: their other cont
 Instances are told apart by kind and surface. After the last round each identifier in the slot of a trusted pattern, backed by at
 least ``min_seeds`` different trusted identifiers, is added as a span of the pattern's kind, unless it meets a base span.
 
-At scale. Contexts that fewer than ``min_seeds`` different identifiers share are never patterns, so a shuffle (added up by pattern and
-surface first) leaves few; those are counted in the texts in blocks of at most ``block``, each broadcast. The rounds are joins and
+At scale. Only contexts that ``min_seeds`` different trusted identifiers share can be patterns. Each round looks for such contexts by a join of edges with what is trusted, and counts the new ones' slots in one scan
+of the texts (in blocks of at most ``block`` contexts, each broadcast); a round without new ones scans nothing. The rounds are joins and
 aggregations by pattern and by instance over edges with counts, so a common context costs one row for each different identifier.
 
 Defined results: null is the empty text; repeated rows are searched each; an empty table stays empty; other columns pass through, but for
@@ -25,7 +26,8 @@ Defined results: null is the empty text; repeated rows are searched each; an emp
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, forget, settled, share
+from .common import Memory, forget, free_names, settled, share
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -155,7 +157,7 @@ def contexts(before: list[str], after: str) -> list[str]:
     return out
 
 
-def _scan(at: int):  # noqa: ANN202
+def _scan(at: int, names_of: list[str]):  # noqa: ANN202
     found_type = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("contexts", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +175,7 @@ def _scan(at: int):  # noqa: ANN202
                 rest = [c for i, c in enumerate(part.columns) if i != at]
                 names = [c for i, c in enumerate(part.schema.names) if i != at]
                 base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(range(row, row + n), pa.int64()), pa.array(all_base, base_type), pa.array(all_found, pa.list_(found_type))], names=[*names, "_row", "base", "_found"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(range(row, row + n), pa.int64()), pa.array(all_base, base_type), pa.array(all_found, pa.list_(found_type))], names=[*names, *names_of])
                 row += n
 
     return run
@@ -201,23 +203,34 @@ def met(docs: DataFrame, text: str, wanted: list[str]) -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "context string, slots long").groupBy("context").agg(F.sum("slots").alias("slots"))
 
 
-def reliable(edges: DataFrame, slots: DataFrame, rounds: int, confident: float, min_seeds: int, smooth: float) -> DataFrame:
-    """The patterns (kind, context, reliability) that may add spans, from edges (context, surface, n, kind: of a seed or null) and slots."""
-    of_context = edges.groupBy("context").agg(F.sum("n").alias("own")).join(slots, "context", "left")
-    # Identifiers of several words are more than their slot's words.
-    size = of_context.select("context", F.greatest("own", F.coalesce("slots", F.lit(0))).alias("slots"))
+def reliable(edges: DataFrame, count: Callable[[DataFrame], DataFrame], rounds: int, confident: float, min_seeds: int, smooth: float) -> DataFrame:
+    """The patterns (kind, context, reliability) that may add spans, from edges (context, surface, n, kind: of a seed or null). ``count`` gives (context, slots) for a table of contexts."""
+    spark = edges.sparkSession
     seeds = settled(edges.where("kind is not null").select("kind", "surface").distinct().withColumn("r", F.lit(1.0)))
-    plain_edges = settled(edges.groupBy("context", "surface").agg(F.sum("n").alias("n")).join(size, "context"))
-    trusted, good = seeds, None
+    trusted, good, sizes = seeds, None, None
+    plain_edges = edges.groupBy("context", "surface").agg(F.sum("n").alias("n"))
     for _ in range(rounds):
         # Patterns come from all that is trusted so far; what else stands in their slots is scored by them.
-        backed = plain_edges.join(trusted, "surface").groupBy("kind", "context").agg((F.sum(F.col("n") * F.col("r")) / (F.first("slots") + smooth)).alias("reliability"), F.sum(F.when(F.col("r") >= confident, 1).otherwise(0)).alias("backing"))
+        sure = trusted.where(F.col("r") >= confident)
+        backed = settled(plain_edges.join(sure, "surface").groupBy("kind", "context").agg(F.count("*").alias("backing")).where(F.col("backing") >= min_seeds).select("kind", "context"))
+        new = backed.select("context").distinct()
+        new = settled(new if sizes is None else new.join(sizes, "context", "left_anti"))
+        if not new.isEmpty():
+            # Identifiers of several words are more than their slot's words.
+            own = plain_edges.join(new, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("own")).join(count(new), "context", "left")
+            more = settled(own.select("context", F.greatest("own", F.coalesce("slots", F.lit(0))).alias("slots")))
+            sizes = more if sizes is None else settled(sizes.unionByName(more))
+        elif sizes is None:
+            return spark.createDataFrame([], "kind string, context string, reliability double")
+        weighed = plain_edges.join(backed, "context").join(trusted, ["kind", "surface"]).groupBy("kind", "context").agg(F.sum(F.col("n") * F.col("r")).alias("held"))
         if good is not None:
-            forget(edges.sparkSession, good)
-        good = settled(backed.where(F.col("backing") >= min_seeds))
+            forget(spark, good)
+        good = settled(weighed.join(sizes, "context").select("kind", "context", (F.col("held") / (F.col("slots") + smooth)).alias("reliability")))
         missed = F.exp(F.sum(F.log1p(-F.least("reliability", F.lit(0.999)))))
         heard = plain_edges.join(good, "context").groupBy("kind", "surface").agg((1 - missed).alias("r"))
         trusted = settled(heard.unionByName(seeds).groupBy("kind", "surface").agg(F.max("r").alias("r")))
+        for done in (backed, new):
+            forget(spark, done)
     return good.where(F.col("reliability") >= confident)
 
 
@@ -225,38 +238,39 @@ def find_pii(docs: DataFrame, text: str = "text", rounds: int = 3, confident: fl
     """All columns of ``docs`` but the text, plus base (the exact entities) and spans (with those that patterns found): arrays of
     struct<kind, start, end> in order of kind, then start; offsets are code points, ends exclusive."""
     spark = docs.sparkSession
-    docs = docs.drop("base", "spans", "_row", "_found", "_added")
+    docs = docs.drop("base", "spans")
+    c_row, c_found, c_more = free_names(docs, "row", "found", "more")
     at = docs.columns.index(text)
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     item = "struct<kind:string,start:int,end:int,surface:string,contexts:array<string>>"
-    scanned = settled(docs.mapInArrow(_scan(at), ", ".join([*rest, "_row long", "base array<struct<kind:string,start:int,end:int>>", f"_found array<{item}>"])))
-    each = scanned.select("_row", F.explode("_found").alias("x")).select("_row", "x.*")
+    span_type = "array<struct<kind:string,start:int,end:int>>"
+    scanned = settled(docs.mapInArrow(_scan(at, [c_row, "base", c_found]), ", ".join([*rest, f"`{c_row}` long, base {span_type}, `{c_found}` array<{item}>"])))
+    each = scanned.select(F.col(c_row).alias("row"), F.explode(c_found).alias("x")).select("row", "x.*")
     occurrences = each.select(F.explode("contexts").alias("context"), "surface", "kind")
     all_edges = settled(occurrences.groupBy("context", "surface").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
     shared_by = all_edges.groupBy("context").agg(F.count("*").alias("several")).where(F.col("several") >= min_seeds).select("context")
     edges = settled(all_edges.join(shared_by, "context"))
-    wanted = settled(edges.select("context").distinct())
-    blocks = -(-wanted.count() // block)
-    slots = None
-    for b in range(blocks):
-        own = [r[0] for r in wanted.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).toLocalIterator()]
-        part = settled(met(docs, text, own))
-        slots = part if slots is None else slots.unionByName(part)
+
+    def count(wanted: DataFrame) -> DataFrame:
+        blocks, slots = -(-wanted.count() // block), []
+        for b in range(blocks):
+            own = [r[0] for r in wanted.where(F.pmod(F.xxhash64("context"), F.lit(blocks)) == b).toLocalIterator()]
+            slots.append(settled(met(docs, text, own)))
+        return reduce(DataFrame.unionByName, slots)
+
+    good = settled(reliable(edges, count, rounds, confident, min_seeds, smooth).select(F.col("kind").alias("by"), "context"))
+    span = F.struct(F.col("by").alias("kind"), "start", "end")
+    # What may be added: identifiers that are no base entity.
+    slot = each.where("kind is null or kind = 'secret'").select("row", "start", "end", F.explode("contexts").alias("context")).join(good, "context")
+    # One kind for a span: the first as listed.
+    first = F.min_by("by", rank_of(F.col("by")))
+    added = slot.groupBy("row", "start", "end").agg(first.alias("by")).groupBy(F.col("row").alias(c_row)).agg(F.collect_list(span).alias(c_more))
+    joined = scanned.join(added, c_row, "left")
+    placed = F.transform(F.concat("base", F.coalesce(c_more, F.array().cast(span_type))), lambda x: F.struct(rank_of(x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     bare = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    secrets = F.transform(F.filter("_found", lambda x: x["kind"] == "secret"), bare)
-    if slots is None:
-        joined = scanned.withColumn("_added", secrets)
-    else:
-        good = settled(reliable(edges, slots, rounds, confident, min_seeds, smooth).select(F.col("kind").alias("_kind"), "context"))
-        span = F.struct(F.col("_kind").alias("kind"), "start", "end")
-        slot = each.where("kind is null").select("_row", "start", "end", F.explode("contexts").alias("context")).join(good, "context")
-        # One kind for a span: the first as listed.
-        first = F.min_by("_kind", rank_of(F.col("_kind")))
-        added = slot.groupBy("_row", "start", "end").agg(first.alias("_kind")).groupBy("_row").agg(F.collect_list(span).alias("_more"))
-        joined = scanned.join(added, "_row", "left").withColumn("_added", F.concat(secrets, F.coalesce("_more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))).drop("_more")
-    placed = F.transform(F.concat("base", "_added"), lambda x: F.struct(rank_of(x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    forget(spark, all_edges)
-    return joined.withColumn("spans", F.transform(F.array_sort(placed), bare)).drop("_row", "_found", "_added")
+    for done in (all_edges, edges):
+        forget(spark, done)
+    return joined.withColumn("spans", F.transform(F.array_sort(placed), bare)).drop(c_row, c_found, c_more)
 
 
 def rank_of(kind: Column) -> Column:
