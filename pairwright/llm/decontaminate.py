@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, pieces, settled, share
+from .common import forget, free_names, pieces, settled, share
 
 #: Bytes that words are made of map to themselves (A-Z to lower case), all others to a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -121,7 +121,8 @@ def ranges(hit: np.ndarray) -> list[int]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", slice_chars: int = 8_000_000, broadcast_chars: int = 64_000_000) -> DataFrame:
     """All columns of ``docs`` plus n_words, n_hit, item_ids (sorted array) and spans (offsets of hit runs in the text)."""
-    docs = docs.drop("n_words", "n_hit", "item_ids", "spans", "_ranges", "_items")
+    docs = docs.drop("n_words", "n_hit", "item_ids", "spans")
+    own_names = free_names(docs, "ranges", "items")
     spark = docs.sparkSession
     own = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null").orderBy("i", "t")
     parts = slices(((r.i, r.t) for r in own.toLocalIterator()), width, slice_chars)
@@ -130,22 +131,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, text:
     for part in parts:
         chars = sum(len(t) for _, t in part)
         if held and size + chars > broadcast_chars:
-            marked = settled(_scanned(docs, held, width, text, last=False))
+            marked = settled(_scanned(docs, held, width, text, own_names, last=False))
             if before is not None:
                 forget(spark, before)
             docs = before = marked
             held, size = [], 0
         held.append(part)
         size += chars
-    return _scanned(docs, held, width, text, last=True)
+    return _scanned(docs, held, width, text, own_names, last=True)
 
 
-def _scanned(docs: DataFrame, slices_: list[list[tuple[str, str]]], width: int, text: str, last: bool) -> DataFrame:
-    """``docs`` with the slices' hits added to those of former passes (_ranges of words, _items), or after the last pass the result."""
-    at, names = docs.columns.index(text), docs.columns
-    rest = [i for i, c in enumerate(names) if c not in ("_ranges", "_items")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("_ranges", "_items"))
-    found_type = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>" if last else "_ranges array<int>, _items array<string>"
+def _scanned(docs: DataFrame, slices_: list[list[tuple[str, str]]], width: int, text: str, own_names: list[str], last: bool) -> DataFrame:
+    """``docs`` with the slices' hits added to those of former passes (ranges of words, items, under names of our own), or after the last pass the result."""
+    at, names, (c_ranges, c_items) = docs.columns.index(text), docs.columns, own_names
+    rest = [i for i, c in enumerate(names) if c not in own_names]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in own_names)
+    found_type = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>" if last else f"`{c_ranges}` array<int>, `{c_items}` array<string>"
     kept = share(docs.sparkSession, slices_)
     name = f"scanner-{uuid.uuid4().hex}"
 
@@ -156,9 +157,9 @@ def _scanned(docs: DataFrame, slices_: list[list[tuple[str, str]]], width: int,
             many = [words_of(t) for t in texts]
             hits: list[np.ndarray | None] = [None] * len(many)
             items: list[set[str]] = [set() for _ in many]
-            if "_ranges" in names:
-                items = [set(x) for x in batch.column(names.index("_items")).to_pylist()]
-                for row, r in enumerate(batch.column(names.index("_ranges")).to_pylist()):
+            if c_ranges in names:
+                items = [set(x) for x in batch.column(names.index(c_items)).to_pylist()]
+                for row, r in enumerate(batch.column(names.index(c_ranges)).to_pylist()):
                     if r:
                         hits[row] = np.zeros(len(many[row]), bool)
                         for a, b in zip(r[::2], r[1::2], strict=True):
@@ -176,7 +177,7 @@ def _scanned(docs: DataFrame, slices_: list[list[tuple[str, str]]], width: int,
                 columns += [pa.array([len(w) for w in many], pa.int64()), pa.array(n_hit, pa.int64()), item_lists, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             else:
                 columns += [pa.array([[] if h is None else ranges(h) for h in hits], pa.list_(pa.int32())), item_lists]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(names[i] for i in rest), *(["n_words", "n_hit", "item_ids", "spans"] if last else ["_ranges", "_items"])])
+            yield pa.RecordBatch.from_arrays(columns, names=[*(names[i] for i in rest), *(["n_words", "n_hit", "item_ids", "spans"] if last else own_names)])
 
     return docs.mapInArrow(run, f"{schema}, {found_type}")
 

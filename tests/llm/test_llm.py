@@ -56,6 +56,25 @@ def test_line_dedup(spark, most):  # noqa: ANN001
     assert [got[i] for i in range(len(texts))] == lines_by_hand(texts, 3)
     assert line_dedup.dedup_lines(odd(spark), min_docs=2, broadcast_keys=most).count() == 8
     assert line_dedup.dedup_lines(frame(spark, []), broadcast_keys=most).collect() == []
+    # Columns of the user's that look like ours pass.
+    own = spark.createDataFrame([(i, t, i, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, _own long, _gone string, _salt int")
+    assert sorted((r.doc_id, r._own, r._gone, r._salt) for r in line_dedup.dedup_lines(own, min_docs=3, broadcast_keys=most).collect()) == [(i, i, "x", 7) for i in range(len(texts))]
+
+
+def test_keys_of_one_first_half():
+    raw = [bytes(8) + bytes([0] * 7 + [i]) for i in (0, 3, 5)] + [b"\xff" * 16, b"a" * 16]
+    assert line_dedup.Keys(raw).has([*raw, bytes(8) + b"\0" * 7 + b"\4", b"b" * 16, b"\xff" * 8 + bytes(8)]).tolist() == [True] * 5 + [False] * 3
+    assert line_dedup.Keys([]).has([b"a" * 16]).tolist() == [False] and line_dedup.Keys(raw).has([]).tolist() == []
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1_000_000])
+def test_frequent_lines_beyond_the_broadcast(spark, monkeypatch, hot):  # noqa: ANN001
+    """Lines of very different frequencies, told by broadcast from a share on, joined below it."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    dice = np.random.default_rng(hot)
+    texts = ["\n".join(f"line {int(k)}" for k in dice.zipf(1.4, 12) if k < 60) + ("\nin all" if i % 2 else "") for i in range(150)] + ["copy\nin all"] * 60
+    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, list(enumerate(texts))), min_docs=5, broadcast_keys=0).collect()}
+    assert [got[i] for i in range(len(texts))] == lines_by_hand(texts, 5)
 
 
 # ---- language ----
@@ -679,6 +698,14 @@ def test_connected_chain(spark):  # noqa: ANN001
     assert {(r.node, r.component) for r in connected(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_decontaminated_columns_of_the_user_pass(spark):  # noqa: ANN001
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)), 5, "x")], "doc_id long, text string, _ranges int, _items string")
+    bench = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(3 * k, 3 * k + 12))) for k in range(5)], "item_id long, text string")
+    for most in (64_000_000, 1):
+        r = decontaminate.decontaminate(docs, bench, slice_chars=40, broadcast_chars=most).first()
+        assert (r._ranges, r._items, r.n_hit, r.item_ids) == (5, "x", 24, ["0", "1", "2", "3", "4"])
+
+
 # ---- pages ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="</p>";</script></head><body>
