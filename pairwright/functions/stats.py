@@ -102,6 +102,15 @@ def with_average_rank(df: DataFrame, by: list[str], value: str, out: str, descen
     return _matched(df, average_ranks(df, by, value, out, descending), [*by, value], "left")
 
 
+def board_rank(df: DataFrame, by: list[str], value: str, out: str, descending: bool = False) -> DataFrame:
+    """Adds average ranks (1 first) of ``value``, to twelve digits, within groups that are small by nature, such as the editors of a board: one window. Null values are unranked."""
+    v = F.round(F.col(value).cast("double"), 12)
+    own = W.partitionBy(*by)
+    rank = F.rank().over(own.orderBy(v.desc_nulls_last() if descending else v.asc_nulls_last()))
+    alike = F.count("*").over(W.partitionBy(*by, v))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), rank + (alike - 1) / 2.0))
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
     """One row for each of ``by``: n and Spearman's coefficient with average ranks; null below three rows or with a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
@@ -137,14 +146,15 @@ def with_bh(df: DataFrame, p: str, family: list[str], q: str = "q", alpha: float
 def signed_rank(df: DataFrame, by: list[str], shift: str) -> DataFrame:
     """For each of ``by``: n of non-zero shifts, W+, the tie term and z of Wilcoxon's signed-rank statistic (no continuity
     correction)."""
-    own = df.where((F.col(shift) != 0) & F.col(shift).isNotNull()).withColumn("_abs", F.abs(shift))
-    ranked = with_average_rank(own, by, "_abs", "_rank")
-    ties = ranked.groupBy(*by, "_abs").agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("tie_term"))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n_nonzero"), F.sum(F.when(F.col(shift) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"))
+    own = df.where((F.col(shift) != 0) & F.col(shift).isNotNull())
+    # Counts by size carry all there is to know; rows are not ranked.
+    counts = own.groupBy(*by, F.abs(shift).alias("_abs")).agg(F.count("*").alias("_n"), count_if(F.col(shift) > 0).alias("_plus"))
+    ranked = cumulated(counts, by, "_abs", "_n").withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    sums = ranked.groupBy(*by).agg(F.sum("_n").alias("n_nonzero"), F.sum(F.col("_plus") * F.col("_rank")).alias("w_plus"), F.sum(F.col("_n") * F.col("_n") * F.col("_n") - F.col("_n")).alias("tie_term"))
     n = F.col("n_nonzero").cast("double")
     low = F.least(F.col("w_plus"), n * (n + 1) / 2 - F.col("w_plus"))
     sigma = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2.0) / 24)
-    return sums.join(ties, by).withColumn("z", F.when(sigma > 0, (low - n * (n + 1) / 4) / sigma))
+    return sums.withColumn("z", F.when(sigma > 0, (low - n * (n + 1) / 4) / sigma))
 
 
 def two_sided(z: Column) -> Column:

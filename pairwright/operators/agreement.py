@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pairwright.functions.stats import count_if, kendall_tau_b, share, with_average_rank
+from pairwright.functions.stats import board_rank, count_if, kendall_tau_b, share
 
 MIN_EFFECT = 0.5
 
@@ -81,22 +81,31 @@ def turn_centred_means(scores: DataFrame, by: list[str], score: str) -> DataFram
 
 def leaderboard(scores: DataFrame, by: list[str], score: str) -> DataFrame:
     """Editors of a board with their turn-centred mean and rank (1 best, ties share the average rank)."""
-    return with_average_rank(turn_centred_means(scores, by, score), by, "mean", "rank", descending=True)
+    return board_rank(turn_centred_means(scores, by, score), by, "mean", "rank", descending=True)
 
 
-def cued_boards(scores: DataFrame, by: list[str], clean: str, cued: str) -> DataFrame:
-    """Scenarios: every editor cued, and one editor cued at a time (target). A missing cued score is dropped, never replaced by the clean one."""
-    every = scores.withColumn("scenario", F.lit("all")).withColumn("target", F.lit(None).cast("int")).withColumn("played", F.col(cued))
-    targets = scores.select(*by, F.col("editor").alias("target")).distinct()
-    single = scores.join(targets, by).withColumn("scenario", F.lit("single")).withColumn("played", F.when(F.col("editor") == F.col("target"), F.col(cued)).otherwise(F.col(clean)))
-    return every.unionByName(single)
+def single_boards(scores: DataFrame, by: list[str], clean: str, cued: str) -> DataFrame:
+    """(by, target, editor, mean): boards on which one editor at a time, the target, is cued. Only turns that the target plays in differ from the clean board, so those alone are
+    met with their targets; sums and counts of all others come from the clean board. A missing cued score is dropped, never replaced by the clean one."""
+    turn, met = W.partitionBy(*by, "turn"), W.partitionBy(*by, "turn", "target")
+    own = scores.select(*by, "turn", "editor", F.col(clean).alias("_clean"), F.col(cued).alias("_cued"))
+    own = own.withColumn("_c0", F.when(F.count("_clean").over(turn) >= 2, F.col("_clean") - F.avg("_clean").over(turn)))
+    clean_sums = own.groupBy(*by, "editor").agg(F.coalesce(F.sum("_c0"), F.lit(0.0)).alias("_s"), F.count("_c0").alias("_n"))
+    with_target = own.join(own.select(*by, "turn", F.col("editor").alias("target")).distinct(), [*by, "turn"])
+    played = F.when(F.col("editor") == F.col("target"), F.col("_cued")).otherwise(F.col("_clean"))
+    changed = with_target.withColumn("_p", played).withColumn("_c1", F.when(F.count("_p").over(met) >= 2, F.col("_p") - F.avg("_p").over(met)))
+    moved = changed.groupBy(*by, "target", "editor").agg((F.coalesce(F.sum("_c1"), F.lit(0.0)) - F.coalesce(F.sum("_c0"), F.lit(0.0))).alias("_ds"), (F.count("_c1") - F.count("_c0")).alias("_dn"))
+    every = clean_sums.join(clean_sums.select(*by, F.col("editor").alias("target")), by)  # a board has few editors
+    whole = every.join(moved, [*by, "target", "editor"], "left").fillna(0, ["_ds", "_dn"])
+    return whole.where("_n + _dn > 0").select(*by, "target", "editor", ((F.col("_s") + F.col("_ds")) / (F.col("_n") + F.col("_dn"))).alias("mean"))
 
 
 def rank_moves(scores: DataFrame, by: list[str], clean: str = "clean", cued: str = "tint") -> DataFrame:
     """For each board and scenario: editors, largest and mean move, and whether the first place changes."""
     before = leaderboard(scores, by, clean).select(*by, "editor", F.col("rank").alias("rank_clean"))
-    boards = cued_boards(scores, by, clean, cued).withColumn("target", F.coalesce("target", F.lit(-1)))
-    after = leaderboard(boards, [*by, "scenario", "target"], "played").select(*by, "scenario", "target", "editor", F.col("rank").alias("rank_cued"))
+    every = turn_centred_means(scores, by, cued).select(*by, F.lit("all").alias("scenario"), F.lit(-1).alias("target"), "editor", "mean")
+    single = single_boards(scores, by, clean, cued).select(*by, F.lit("single").alias("scenario"), "target", "editor", "mean")
+    after = board_rank(every.unionByName(single), [*by, "scenario", "target"], "mean", "rank_cued", descending=True).drop("mean")
     moved = after.join(before, [*by, "editor"])
     own = F.col("scenario") == "single"
     shown = F.when(own & (F.col("editor") != F.col("target")), None).otherwise(F.col("rank_clean") - F.col("rank_cued"))

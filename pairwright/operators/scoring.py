@@ -50,6 +50,13 @@ def check_single_score(df: DataFrame, field: str = "score_field") -> DataFrame:
     return df
 
 
+def score_fields(df: DataFrame, fine: str = "fine", overall: str = "overall", tolerance: float = 0.05) -> DataFrame:
+    """(judge, score_field, parsed, scored): the score that each judge's parsed rows are to be analysed by: the fine one if all but ``tolerance`` of them have it, else the overall one."""
+    own = df.where("parsed").groupBy("judge").agg(F.count("*").alias("parsed"), F.count(fine).alias("_fine"), F.count(overall).alias("_overall"))
+    has = F.col("parsed") - F.col("_fine") <= tolerance * F.col("parsed")
+    return own.select("judge", F.when(has, fine).otherwise(overall).alias("score_field"), "parsed", F.when(has, F.col("_fine")).otherwise(F.col("_overall")).alias("scored"))
+
+
 def only_values(df: DataFrame, column: str, asked: list[str]) -> DataFrame:
     """The rows with one of the values asked for; an error if the table lacks one of them. Nothing asked for: all rows."""
     if not asked:

@@ -235,6 +235,14 @@ ORACLES = {
         body="SELECT source, count(*) AS n, round(corr(r_human, r_clean), 6) AS rho_before, round(corr(r_human, r_inset), 6) AS rho_after, round(corr(r_human, r_inset) - corr(r_human, r_clean), 6) AS delta_rho FROM r GROUP BY source",
     ),
     "leaderboard": sql(POOL, _MEANS.format(n="m", k="source", s="clean", t="pool"), body=f"SELECT source, editor, round(mean, 6) AS mean, turns, {_RANK.format(k='source')} AS rank FROM m"),
+    "leaderboard_moves": sql(
+        POOL,
+        "s AS (SELECT source, turn, editor, 'clean' AS scenario, -1 AS target, CAST(clean AS DOUBLE) AS x FROM pool UNION ALL SELECT source, turn, editor, 'all', -1, tint FROM pool UNION ALL SELECT p.source, turn, p.editor, 'single', t.editor, CASE WHEN p.editor = t.editor THEN tint ELSE clean END FROM pool p JOIN (SELECT DISTINCT source, editor FROM pool) t USING (source))",
+        "c AS (SELECT source, scenario, target, editor, x - avg(x) OVER w AS c, count(*) OVER w AS m FROM s WHERE x IS NOT NULL WINDOW w AS (PARTITION BY source, scenario, target, turn))",
+        "m AS (SELECT source, scenario, target, editor, round(avg(c), 12) AS mean FROM c WHERE m >= 2 GROUP BY ALL)", f"r AS (SELECT *, {_RANK.format(k='source, scenario, target')} AS rank FROM m)",
+        "b AS (SELECT a.source, a.scenario, a.target, a.editor, a.rank AS ra, k.rank AS rk FROM r a JOIN r k ON a.source = k.source AND a.editor = k.editor AND k.scenario = 'clean' WHERE a.scenario <> 'clean')",
+        body="SELECT source, scenario, CAST(target AS INT) AS target, count(*) AS editors, max(abs(rk - ra)) AS max_move, round(avg(CASE WHEN scenario = 'single' AND editor <> target THEN NULL ELSE rk - ra END), 6) AS mean_gain, arg_min(editor, (rk, editor)) <> arg_min(editor, (ra, editor)) AS top_changes FROM b GROUP BY source, scenario, target",
+    ),
     "leaderboard_tau": sql(
         POOL, _MEANS.format(n="x", k="source", s="clean", t="pool"), _MEANS.format(n="y", k="source", s="human", t="pool"), "b AS (SELECT x.source, x.editor, x.mean AS mx, y.mean AS my FROM x JOIN y USING (source, editor))",
         body="SELECT source, (SELECT count(*) FROM b q WHERE q.source = p.source) AS n, round(sum(sign(p.mx - r.mx) * sign(p.my - r.my)) / sqrt(CAST(count(*) FILTER (p.mx <> r.mx) AS DOUBLE) * count(*) FILTER (p.my <> r.my)), 6) AS tau FROM b p JOIN b r USING (source) WHERE p.editor < r.editor GROUP BY source",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,30 @@ def score_shift_qc(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(scoring.score_shift(v, "fine", scoring.passed_by_all(validations)))
 
 
+def shift_of_passed(spark: SparkSession, d: str) -> DataFrame:
+    """AGG16, JOIN14: the shift on cued items that every one of three validators passed; each fails some, and one has not seen all."""
+    v = verdicts(spark, d)
+    seen = v.where("biased_id is not null").select("biased_id", F.substring("sample", 2, 9).cast("int").alias("n")).distinct()
+    told = [("v1", F.col("n") % 4 != 0, F.lit(True)), ("v2", F.col("n") % 5 != 0, F.lit(True)), ("v3", F.lit(True), F.col("n") % 11 != 0)]
+    validations = reduce(DataFrame.unionByName, [seen.where(has).select("biased_id", F.lit(k).alias("validator"), passed.alias("passed")) for k, passed, has in told])
+    return _rounded(scoring.score_shift(v, "fine", scoring.passed_by_all(validations)))
+
+
+def score_fields(spark: SparkSession, d: str) -> DataFrame:
+    """FLT7: the score that each judge's rows are analysed by, one judge having but the overall one; a table of all judges is refused, one of the others is not."""
+    v = verdicts(spark, d).withColumn("fine", F.when((F.col("judge") == "j4") & (F.col("ord") % 3 != 0), None).otherwise(F.col("fine")))
+    fields = scoring.score_fields(v)
+
+    def refused(rows: DataFrame) -> bool:
+        try:
+            scoring.check_single_score(rows)
+        except scoring.MixedRows:
+            return True
+        return False
+
+    return fields.withColumns({"refused_whole": F.lit(refused(fields)), "refused_rest": F.lit(refused(fields.where("judge <> 'j4'")))})
+
+
 def placebo_contrast(spark: SparkSession, d: str) -> DataFrame:
     """JOIN2: each cue against the control cue."""
     return _rounded(scoring.placebo_contrast(verdicts(spark, d)))
@@ -69,13 +95,13 @@ def positive_control(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_a(spark: SparkSession, d: str) -> DataFrame:
-    """AGG27, STAT4, STAT7: shift, contrast with the control, the signed-rank statistic and its q within the family (control left out)."""
+    """AGG27, STAT4, STAT7: shift, contrast with the control, the signed-rank statistic with its p, and its q within the family (control left out)."""
     v = verdicts(spark, d)
     pairs = scoring.shift_pairs(v, "fine")
     z = stats.signed_rank(pairs, ["judge", "cue"], "shift")
     table = scoring.shift_stats(pairs, ["judge", "cue"]).join(scoring.placebo_contrast(v).select("judge", "cue", F.col("mean_shift").alias("contrast")), ["judge", "cue"], "left").join(z, ["judge", "cue"], "left")
     table = table.withColumn("p", F.round(stats.two_sided(F.col("z")), 6)).withColumn("family", F.when(F.col("cue") != "sham", "claim_A").otherwise("control"))
-    return _rounded(stats.with_bh(table, "p", ["family"]).select("judge", "cue", "n", "mean_shift", "contrast", "n_nonzero", "w_plus", "tie_term", "z", "family"))
+    return _rounded(stats.with_bh(table, "p", ["family"]).select("judge", "cue", "n", "mean_shift", "contrast", "n_nonzero", "w_plus", "tie_term", "z", "p", "q", "significant", "family"))
 
 
 def claim_a_q(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +255,7 @@ def collection_drift(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        score_shift, score_shift_qc, placebo_contrast, retest, shift_by_dimension, shift_by_group, positive_control, claim_a, claim_a_q, zero_policy, shift_bootstrap, hash_bootstrap, noise_floor, ensemble_median, z_ensemble, judges_admitted, coverage,
+        score_shift, score_shift_qc, shift_of_passed, score_fields, placebo_contrast, retest, shift_by_dimension, shift_by_group, positive_control, claim_a, claim_a_q, zero_policy, shift_bootstrap, hash_bootstrap, noise_floor, ensemble_median, z_ensemble, judges_admitted, coverage,
         filters, mos_strata, exclusion_levels, layer_scalars, cue_order, judge_cue_matrix, cue_summary, collection_drift,
     )
 }
@@ -244,6 +270,14 @@ _CUED_ALL = CUED.replace("{s} AS after", "d1, d2, d3").replace("{s},", "d1, d2,
 
 ORACLES = {
     "score_shift": sql(*_S, body=f"SELECT judge, cue, {STATS} FROM shifts GROUP BY judge, cue"),
+    "shift_of_passed": sql(
+        *_S, "kept AS (SELECT * FROM shifts WHERE biased_id IS NOT NULL AND CAST(substr(sample, 2) AS INT) % 4 <> 0 AND CAST(substr(sample, 2) AS INT) % 5 <> 0 AND CAST(substr(sample, 2) AS INT) % 11 <> 0)",
+        body=f"SELECT judge, cue, {STATS} FROM kept GROUP BY judge, cue",
+    ),
+    "score_fields": sql(
+        VERDICTS, "f AS (SELECT judge, parsed, CASE WHEN judge = 'j4' AND ord % 3 <> 0 THEN NULL ELSE fine END AS fine, overall FROM verdicts WHERE parsed)",
+        body="SELECT judge, CASE WHEN count(fine) >= 0.95 * count(*) THEN 'fine' ELSE 'overall' END AS score_field, count(*) AS parsed, CASE WHEN count(fine) >= 0.95 * count(*) THEN count(fine) ELSE count(overall) END AS scored, true AS refused_whole, false AS refused_rest FROM f GROUP BY judge",
+    ),
     "score_shift_qc": sql(
         *_S, "good AS (SELECT biased_id FROM verdicts WHERE biased_id IS NOT NULL GROUP BY biased_id HAVING max(d2) < 10 AND max(d3) < 10)", body=f"SELECT judge, cue, {STATS} FROM shifts WHERE biased_id IN (SELECT biased_id FROM good) GROUP BY judge, cue"
     ),
@@ -257,10 +291,17 @@ ORACLES = {
         "ranked AS (SELECT judge, cue, shift, rank() OVER (PARTITION BY judge, cue ORDER BY abs(shift)) + (count(*) OVER (PARTITION BY judge, cue, abs(shift)) - 1) / 2.0 AS r FROM shifts WHERE shift <> 0)",
         "ties AS (SELECT judge, cue, sum(t * t * t - t) AS tie_term FROM (SELECT judge, cue, abs(shift), count(*) AS t FROM ranked GROUP BY ALL) GROUP BY judge, cue)",
         "w AS (SELECT judge, cue, count(*) AS n_nonzero, sum(CASE WHEN shift > 0 THEN r ELSE 0.0 END) AS w_plus FROM ranked GROUP BY judge, cue)",
-        body="""SELECT per.judge, per.cue, per.n, per.mean_shift, contrast, n_nonzero, round(w_plus, 6) AS w_plus, CAST(tie_term AS BIGINT) AS tie_term,
-  round((least(w_plus, n_nonzero * (n_nonzero + 1) / 2.0 - w_plus) - n_nonzero * (n_nonzero + 1) / 4.0) / sqrt((CAST(n_nonzero AS DOUBLE) * (n_nonzero + 1) * (2 * n_nonzero + 1) - tie_term / 2.0) / 24), 6) AS z,
+        """z AS (SELECT per.judge, per.cue, per.n, per.mean_shift, contrast, n_nonzero, round(w_plus, 6) AS w_plus, CAST(tie_term AS BIGINT) AS tie_term,
+  (least(w_plus, n_nonzero * (n_nonzero + 1) / 2.0 - w_plus) - n_nonzero * (n_nonzero + 1) / 4.0) / sqrt((CAST(n_nonzero AS DOUBLE) * (n_nonzero + 1) * (2 * n_nonzero + 1) - tie_term / 2.0) / 24) AS z,
   CASE WHEN per.cue <> 'sham' THEN 'claim_A' ELSE 'control' END AS family
-FROM per LEFT JOIN contrast USING (judge, cue) LEFT JOIN w USING (judge, cue) LEFT JOIN ties USING (judge, cue)""",
+FROM per LEFT JOIN contrast USING (judge, cue) LEFT JOIN w USING (judge, cue) LEFT JOIN ties USING (judge, cue))""",
+        # The normal tail: the error function's series for small x, its continued fraction for large ones.
+        "x AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z)",
+        """p AS (SELECT *, round(CASE WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * x * list_sum(list_transform(range(0, 61), lambda i: pow(-1, i) * pow(x, 2 * i) / gamma(i + 1) / (2 * i + 1)))
+  WHEN x >= 2.5 THEN exp(-x * x) / sqrt(pi()) / (x + list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(60, 0, -1), lambda i: i::DOUBLE)), lambda a, i: i / 2 / (x + a))) END, 6) AS p FROM x)""",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST) AS up, count(p) OVER (PARTITION BY family) AS k FROM p)",
+        "q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * k / up) OVER (PARTITION BY family ORDER BY up DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM r)",
+        body="SELECT judge, cue, n, mean_shift, contrast, n_nonzero, w_plus, tie_term, round(z, 6) AS z, p, round(q, 6) AS q, coalesce(q < 0.05, false) AS significant, family FROM q",
     ),
     "hash_bootstrap": sql(
         VERDICTS, _RETEST.format(s="d1"), "v AS (SELECT judge, delta, row_number() OVER (PARTITION BY judge ORDER BY sample, delta) - 1 AS i, count(*) OVER (PARTITION BY judge) AS n FROM deltas)",
