@@ -350,6 +350,12 @@ def _kappas(pe: str, po: str = "po") -> str:
 _CASES = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{n}'" for n, p in rules.rules(rules.CONTENT_PATTERNS)) + " ELSE 'global' END"
 _HALF = "CAST(substr(source, 4) AS INT) % 2 = 0"
 
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+_CLAMPED = "g AS (SELECT *, greatest(0, least(l, w - 1)) AS x0, greatest(0, least(t, h - 1)) AS y0 FROM f), c AS (SELECT *, greatest(x0 + 1, least(r, w)) AS x1, greatest(y0 + 1, least(b, h)) AS y1 FROM g)"
+
 ORACLES = {
     "normalized_texts": f"SELECT doc_id, md5({_NORM}) AS digest FROM documents",
     "content_categories": f"SELECT {_CASES} AS category, count(*) AS n FROM (SELECT {_NORM} AS t FROM documents) GROUP BY 1",
@@ -379,10 +385,37 @@ ORACLES = {
         RATERS, "r AS (SELECT lang, source, (first = 0)::INT AS h, (second = 1)::INT AS v FROM raters)", "g AS (SELECT lang, coalesce(source, 'ALL') AS source, count(*) AS n, sum(h) AS h, sum(v) AS v, sum(h * v) AS b, avg((h = v)::INT) AS po FROM r GROUP BY GROUPING SETS ((lang, source), (lang)))", "k AS (SELECT *, (h / n) * (v / n) + (1 - h / n) * (1 - v / n) AS pe FROM g)",
         body=f"SELECT lang, source, n, CAST(h AS BIGINT) AS human_fails, CAST(v AS BIGINT) AS validator_fails, CAST(b AS BIGINT) AS both_fail, round(h * v / n, 6) AS expected_both, round(po, 6) AS agreement, {_kappas('pe')} AS kappa FROM k",
     ),
+    "keywords": f"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([A-Za-z][A-Za-z''-]*)', 1) AS w, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')[1:12] AS f FROM documents),
+        c AS (SELECT *, list_filter(w, lambda x: lower(x) NOT IN {_listed(text.STOPWORDS + text.EDIT_VERBS)}) AS k,
+              list_reduce(list_transform(f, lambda x: {{'done': 1::BIGINT, 'n': length(x)::BIGINT}}), lambda a, b: CASE WHEN a.n + 1 + b.n <= 20 THEN {{'done': a.done, 'n': a.n + 1 + b.n}} ELSE {{'done': a.done + 1, 'n': b.n}} END) AS l FROM t WHERE len(f) > 0
+              UNION ALL SELECT *, list_filter(w, lambda x: lower(x) NOT IN {_listed(text.STOPWORDS + text.EDIT_VERBS)}), NULL FROM t WHERE len(f) = 0)
+        SELECT doc_id, coalesce(k[-1], w[-1], '') AS keyword, coalesce(l.done, 0) AS lines FROM c""",
+    "sticker_slots": f"""
+        WITH p AS (SELECT CAST(200 + l_partkey % 300 AS INT) AS w, CAST(150 + l_suppkey * 3 AS INT) AS h, l_orderkey AS o, l_partkey AS k, l_quantity AS q FROM lineitem),
+        f AS (SELECT *, CAST(o % w AS INT) AS l, CAST(k % h AS INT) AS t, CAST(o % w AS INT) + CAST(floor(q * 5) AS INT) AS r, CAST(k % h AS INT) + 60 AS b FROM p), {_CLAMPED},
+        s AS (SELECT *, least(greatest(8, CAST(floor(sqrt(w * h * 0.04::DOUBLE)) AS INT)), w // 2, h // 2) AS s, greatest(1, CAST(floor(least(w, h) * 0.02::DOUBLE) AS INT)) AS m, CAST(round_even(w * 0.6::DOUBLE, 0) AS INT) AS cw, CAST(round_even(h * 0.6::DOUBLE, 0) AS INT) AS ch FROM c),
+        n AS (SELECT *, row_number() OVER () AS i, w - s - m AS sr, h - s - m AS sb, (w - s) // 2 AS mx, (h - s) // 2 AS my, (w - cw) // 2 AS cl, (h - ch) // 2 AS ct FROM s),
+        u AS (SELECT i, unnest([{{'n': 'top-left', 'x': m, 'y': m}}, {{'n': 'top-right', 'x': sr, 'y': m}}, {{'n': 'bottom-left', 'x': m, 'y': sb}}, {{'n': 'bottom-right', 'x': sr, 'y': sb}}, {{'n': 'top-mid', 'x': mx, 'y': m}}, {{'n': 'bottom-mid', 'x': mx, 'y': sb}}, {{'n': 'left-mid', 'x': m, 'y': my}}, {{'n': 'right-mid', 'x': sr, 'y': my}}]) AS a FROM n),
+        v AS (SELECT i, min({{'o': greatest(0, least(a.x + s, x1) - greatest(a.x, x0)) * greatest(0, least(a.y + s, y1) - greatest(a.y, y0)), 'n': a.n}}) AS best FROM u JOIN n USING (i) GROUP BY i),
+        e AS (SELECT n.*, best, (x1 - x0) * (y1 - y0) AS area, greatest(0, least(x1, cl + cw) - greatest(x0, cl)) * greatest(0, least(y1, ct + ch) - greatest(y0, ct)) AS shared FROM n JOIN v USING (i))
+        SELECT best.n AS slot, count(*) AS n, CAST(sum(best.o) AS BIGINT) AS overlap, round(avg(area / (w * h)::DOUBLE), 6) AS area_share, round(avg(CASE WHEN shared = 0 THEN 0.0::DOUBLE ELSE shared / (area + cw * ch - shared)::DOUBLE END), 6) AS iou FROM e GROUP BY 1""",
+    "near_duplicate_vectors": """
+        WITH p AS (SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other) AS n FROM p WHERE cosine >= 0.3) SELECT vec_id, other, round(cosine, 6) AS cosine FROM r WHERE n = 1""",
     "cue_label_rates": sql(
         RATERS, "l AS (SELECT CASE WHEN lang = 'en' THEN 'sham' ELSE lang END AS cue, CASE WHEN first = 0 THEN 'Yes' WHEN second = 1 THEN 'Slightly' ELSE 'No' END AS label FROM raters)", "c AS (SELECT cue, 'strict' AS threshold, count(*) AS n, count(*) FILTER (label = 'Yes') AS hits FROM l GROUP BY cue UNION ALL SELECT cue, 'loose', count(*), count(*) FILTER (label IN ('Yes', 'Slightly')) FROM l GROUP BY cue)",
         body=f"SELECT c.cue, c.threshold, c.n, c.hits, p.n AS placebo_n, p.hits AS placebo_hits, round(c.hits / c.n, 6) AS rate, {_wilson('c.hits', 'c.n')[0]} AS ci_low, {_wilson('c.hits', 'c.n')[1]} AS ci_high FROM c LEFT JOIN c p ON p.cue = 'sham' AND p.threshold = c.threshold",
     ),
+    "cue_label_tests": sql(
+        RATERS, "l AS (SELECT CASE WHEN lang = 'en' THEN 'sham' ELSE lang END AS cue, CASE WHEN first = 0 THEN 'Yes' WHEN second = 1 THEN 'Slightly' ELSE 'No' END AS label FROM raters)", "c AS (SELECT cue, 'strict' AS threshold, count(*) AS n, count(*) FILTER (label = 'Yes') AS hits FROM l GROUP BY cue UNION ALL SELECT cue, 'loose', count(*), count(*) FILTER (label IN ('Yes', 'Slightly')) FROM l GROUP BY cue)",
+        "t AS (SELECT c.cue, c.threshold, c.hits AS a, c.n AS n1, p.hits AS pa, p.n AS n2, c.hits + p.hits AS k FROM c JOIN c p ON p.cue = 'sham' AND p.threshold = c.threshold WHERE c.cue <> 'sham')",
+        # The hypergeometric chance of each table of the same margins; those no likelier than the one found are summed.
+        "h AS (SELECT *, list_transform(range(greatest(0, k - n2), least(k, n1) + 1), lambda i: exp(lgamma(n1 + 1) - lgamma(i + 1) - lgamma(n1 - i + 1) + lgamma(n2 + 1) - lgamma(k - i + 1) - lgamma(n2 - k + i + 1) - lgamma(n1 + n2 + 1) + lgamma(k + 1) + lgamma(n1 + n2 - k + 1))) AS chances FROM t)",
+        "p AS (SELECT *, least(1.0, list_sum(list_filter(chances, lambda v: v <= chances[a - greatest(0, k - n2) + 1] * (1 + 1e-7)))) AS p FROM h)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY threshold ORDER BY p) AS up, count(*) OVER (PARTITION BY threshold) AS m FROM p)", "q AS (SELECT *, least(1.0, min(p * m / up) OVER (PARTITION BY threshold ORDER BY up DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r)",
+        body="SELECT cue, threshold, a AS hits, pa AS placebo_hits, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM q",
+    ),
     "quality_summary": sql(
         VERDICTS, _VAL, "s AS (SELECT validator, cue, count(*) AS n, round(avg(passed::INT), 6) AS pass_rate, round(avg(ssim), 6) AS mean_ssim, round(min(ssim), 6) AS min_ssim FROM val GROUP BY ALL)",
         "m AS (SELECT a.validator, a.cue, round(avg(c.passed::INT), 6) AS floor_rate, count(*) FILTER (c.passed AND NOT a.passed) AS lost, count(*) FILTER (NOT c.passed AND a.passed) AS gained FROM val a JOIN val c ON c.cue = 'sham' AND a.cue <> 'sham' AND a.validator = c.validator AND a.base = c.base GROUP BY ALL)",

@@ -117,7 +117,7 @@ def zero_policy(spark: SparkSession, d: str) -> DataFrame:
     a, b = (resample.wilcoxon(pairs, ["judge", "cue"], "shift", z, f"p_{z}") for z in ("wilcox", "pratt"))
     both = a.join(b, ["judge", "cue"]).withColumn("family", F.lit("all"))
     both = stats.with_bh(stats.with_bh(both, "p_wilcox", ["family"], "q_wilcox", significant="sig_wilcox"), "p_pratt", ["family"], "q_pratt", significant="sig_pratt")
-    return both.withColumn("changes", F.col("sig_wilcox") != F.col("sig_pratt")).drop("family")
+    return _rounded(both.withColumn("changes", F.col("sig_wilcox") != F.col("sig_pratt")).drop("family"))
 
 
 def shift_bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +268,33 @@ _PER = f"per AS (SELECT judge, cue, {STATS} FROM shifts GROUP BY judge, cue)"
 _DIM = "SELECT judge, cue, {st}, '{s}' AS dimension FROM (SELECT cued.*, before, after - before AS shift FROM (SELECT judge, sample, cue, {s} AS after FROM cued) cued JOIN (SELECT judge, sample, arg_max({s}, ord) AS before FROM verdicts WHERE cue IS NULL AND parsed AND repeat_index = 1 GROUP BY judge, sample) USING (judge, sample)) GROUP BY judge, cue"
 _CUED_ALL = CUED.replace("{s} AS after", "d1, d2, d3").replace("{s},", "d1, d2, d3,")
 
+#: Twice the normal tail at sqrt(2) x: the error function's series for small x, its continued fraction for large ones.
+_TAIL = """CASE WHEN {x} < 2.5 THEN 1 - 2 / sqrt(pi()) * {x} * list_sum(list_transform(range(0, 61), lambda i: pow(-1, i) * pow({x}, 2 * i) / gamma(i + 1) / (2 * i + 1)))
+  WHEN {x} >= 2.5 THEN exp(-{x} * {x}) / sqrt(pi()) / ({x} + list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(60, 0, -1), lambda i: i::DOUBLE)), lambda a, i: i / 2 / ({x} + a))) END"""
+_BH = "least(1.0, min({p} * {k} / {up}) OVER (ORDER BY {up} DESC ROWS UNBOUNDED PRECEDING))"
+
+
+def _signed(zeros: bool, name: str) -> list[str]:
+    """Views that end in ``name`` (judge, cue, x): |z| / sqrt(2) of the signed-rank statistic of shifts, zeros ranked and their ranks dropped, or left out."""
+    keep = "" if zeros else " WHERE shift <> 0"
+    return [
+        f"{name}_r AS (SELECT judge, cue, shift, rank() OVER (PARTITION BY judge, cue ORDER BY abs(shift)) + (count(*) OVER (PARTITION BY judge, cue, abs(shift)) - 1) / 2.0 AS r FROM shifts{keep})",
+        f"{name}_t AS (SELECT judge, cue, sum(t * t * t - t) AS ties FROM (SELECT judge, cue, abs(shift), count(*) AS t FROM {name}_r WHERE shift <> 0 GROUP BY ALL) GROUP BY ALL)",
+        f"{name}_w AS (SELECT judge, cue, count(*)::DOUBLE AS n, count(*) FILTER (shift = 0)::DOUBLE AS z, least(sum(r) FILTER (shift > 0), sum(r) FILTER (shift < 0)) AS t FROM {name}_r GROUP BY ALL)",
+        f"{name} AS (SELECT judge, cue, abs(t - n * (n + 1) / 4 + z * (z + 1) / 4) / sqrt(2 * (n * (n + 1) * (2 * n + 1) / 24 - z * (z + 1) * (2 * z + 1) / 24 - coalesce(ties, 0) / 48.0)) AS x FROM {name}_w LEFT JOIN {name}_t USING (judge, cue))",
+    ]
+
+
 ORACLES = {
+    "claim_a_q": sql(
+        *_S, *_signed(False, "x"), f"p AS (SELECT judge, cue, round({_TAIL.format(x='x')}, 6) AS p FROM x)", "r AS (SELECT *, row_number() OVER (ORDER BY p) AS up, count(*) OVER () AS k FROM p)", f"q AS (SELECT *, {_BH.format(p='p', k='k', up='up')} AS q FROM r)",
+        body="SELECT judge, cue, p, 'claim_A' AS family, q, q < 0.05 AS significant FROM q",
+    ),
+    "zero_policy": sql(
+        VERDICTS, BASE.format(s="d1"), CUED.format(s="d1"), SHIFTS, *_signed(False, "a"), *_signed(True, "b"), f"p AS (SELECT judge, cue, {_TAIL.format(x='a.x')} AS pw, {_TAIL.format(x='b.x')} AS pp FROM a JOIN b USING (judge, cue))",
+        "r AS (SELECT *, row_number() OVER (ORDER BY pw) AS uw, row_number() OVER (ORDER BY pp) AS up, count(*) OVER () AS k FROM p)", f"q AS (SELECT *, {_BH.format(p='pw', k='k', up='uw')} AS qw, {_BH.format(p='pp', k='k', up='up')} AS qp FROM r)",
+        body="SELECT judge, cue, round(pw, 6) AS p_wilcox, round(pp, 6) AS p_pratt, round(qw, 6) AS q_wilcox, round(qp, 6) AS q_pratt, qw < 0.05 AS sig_wilcox, qp < 0.05 AS sig_pratt, (qw < 0.05) <> (qp < 0.05) AS changes FROM q",
+    ),
     "score_shift": sql(*_S, body=f"SELECT judge, cue, {STATS} FROM shifts GROUP BY judge, cue"),
     "shift_of_passed": sql(
         *_S, "kept AS (SELECT * FROM shifts WHERE biased_id IS NOT NULL AND CAST(substr(sample, 2) AS INT) % 4 <> 0 AND CAST(substr(sample, 2) AS INT) % 5 <> 0 AND CAST(substr(sample, 2) AS INT) % 11 <> 0)",
@@ -297,8 +323,7 @@ ORACLES = {
 FROM per LEFT JOIN contrast USING (judge, cue) LEFT JOIN w USING (judge, cue) LEFT JOIN ties USING (judge, cue))""",
         # The normal tail: the error function's series for small x, its continued fraction for large ones.
         "x AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x FROM z)",
-        """p AS (SELECT *, round(CASE WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * x * list_sum(list_transform(range(0, 61), lambda i: pow(-1, i) * pow(x, 2 * i) / gamma(i + 1) / (2 * i + 1)))
-  WHEN x >= 2.5 THEN exp(-x * x) / sqrt(pi()) / (x + list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(60, 0, -1), lambda i: i::DOUBLE)), lambda a, i: i / 2 / (x + a))) END, 6) AS p FROM x)""",
+        f"p AS (SELECT *, round({_TAIL.format(x='x')}, 6) AS p FROM x)",
         "r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p NULLS LAST) AS up, count(p) OVER (PARTITION BY family) AS k FROM p)",
         "q AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * k / up) OVER (PARTITION BY family ORDER BY up DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM r)",
         body="SELECT judge, cue, n, mean_shift, contrast, n_nonzero, w_plus, tie_term, round(z, 6) AS z, p, round(q, 6) AS q, coalesce(q < 0.05, false) AS significant, family FROM q",

@@ -125,12 +125,12 @@ def route(df: DataFrame) -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, key: str = "result_id") -> None:
-    """Append rows whose key is not there yet, each key once (the first by ``ord`` if there)."""
+    """Append rows whose key is not there yet, each key once (the first by ``ord`` if there). A null key is a key like any other."""
     spark = df.sparkSession
     order = F.struct(F.col("ord") if "ord" in df.columns else F.lit(0))  # a struct is never null, so no row is passed over
     fresh = df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
     if _exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+        fresh = fresh.join(spark.read.parquet(path).select(F.col(key).alias("_held")), F.col(key).eqNullSafe(F.col("_held")), "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
