@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions import resample, stats
-from pairwright.operators import agreement, pairwise, sampling
+from pairwright.operators import agreement, hashed, pairwise, sampling
 from pairwright.plans.views import PAIRS, POOL, pairs, pool, r6, sql
 from pairwright.plans.scoring_queries import _rounded
 
@@ -82,6 +82,23 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return resample.cluster_accuracy_bootstrap(agreement.net_discordance(graded, ["source"]), ["source"], "good", "n", ["turn"], n_boot=200)
 
 
+def hashed_cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """STAT2: accuracy with its cluster bootstrap, by draws that add up over tasks."""
+    graded = agreement.derived_pairs(_items(spark, d), agreement.human_sd(pool(spark, d)))
+    return _rounded(hashed.cluster_accuracy(agreement.net_discordance(graded, ["source"]), ["source"], "good", "n", "turn", n_boot=100))
+
+
+def hashed_mean_test(spark: SparkSession, d: str) -> DataFrame:
+    """STAT1, STAT3: bounds and two-sided bootstrap p of the shift of each source's editors under a cue, by draws that add up."""
+    p = pool(spark, d).where("inset is not null").withColumn("shift", F.col("inset") - F.col("clean"))
+    return _rounded(hashed.mean_test(p, ["source", "editor"], "shift", F.col("sample_id"), n_boot=100))
+
+
+def hashed_tau_change(spark: SparkSession, d: str) -> DataFrame:
+    """STAT13: change of tau with the human board, turns drawn by hash."""
+    return _rounded(hashed.tau_change(pool(spark, d), ["source"], "human", "clean", "inset", n_boot=60))
+
+
 def spearman_agreement(spark: SparkSession, d: str) -> DataFrame:
     """STAT10, STAT11: rank correlation with humans before and after, on paired items."""
     items = _items(spark, d).where("after is not null")
@@ -183,7 +200,7 @@ def targets(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        position_flips, position_joint, sticky_equals_strict, pairwise_consistency, one_sided, swap_average, decisive_tiers, battles, agreement_accuracy, net_discordance, cluster_bootstrap, spearman_agreement, leaderboard, leaderboard_moves, leaderboard_tau,
+        position_flips, position_joint, sticky_equals_strict, pairwise_consistency, one_sided, swap_average, decisive_tiers, battles, agreement_accuracy, net_discordance, cluster_bootstrap, hashed_cluster_bootstrap, hashed_mean_test, hashed_tau_change, spearman_agreement, leaderboard, leaderboard_moves, leaderboard_tau,
         rank_inversions, editor_pairs, pair_preference, area_bands, permutation, stratified_sample, whole_turn_sample, even_spread, tertiles, derangement, blind_sheet, targets,
     )
 }
@@ -202,6 +219,15 @@ _MEANS = "{n} AS (SELECT {k}, editor, avg(c) AS mean, count(*) AS turns FROM (SE
 _RANK = "rank() OVER (PARTITION BY {k} ORDER BY mean DESC) + (count(*) OVER (PARTITION BY {k}, mean) - 1) / 2.0"
 _BOOT_PAIRS = "first AS (SELECT source, turn, editor, min(sample_id) AS sample_id FROM pool GROUP BY ALL), ranked AS (SELECT a.source, a.turn, a.sample_id AS sample_id_a, b.sample_id AS sample_id_b, row_number() OVER (PARTITION BY a.source, a.turn ORDER BY md5('42:' || a.sample_id || ':' || b.sample_id)) AS place FROM first a JOIN first b ON a.source = b.source AND a.turn = b.turn AND a.editor < b.editor), ep AS (SELECT *, source || '_' || turn || '_' || lpad(CAST(place AS VARCHAR), 2, '0') AS pair_id FROM ranked)"
 
+def _drawn(view: str, columns: str, unit: str, n_boot: int) -> str:
+    """A view of the rows of another with draw and weight: Poisson counts by hashed words, four draws to a word."""
+    steps = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in hashed.STEPS)
+    return (
+        f"{view}_w AS (SELECT {columns}, word * 4 + j AS draw, CAST('0x' || substr(md5('42:' || word || ':' || CAST({unit} AS VARCHAR)), 8 * j + 1, 8) AS BIGINT) AS u FROM {view}, range({-(-n_boot // 4)}) w(word), range(4) j(j)), "
+        f"{view}_d AS (SELECT * FROM (SELECT {columns}, draw, {steps} AS weight FROM {view}_w WHERE draw < {n_boot}) WHERE weight > 0)"
+    )
+
+
 ORACLES = {
     "position_flips": sql(
         *_V, f"f AS (SELECT judge, count(*) AS n, {_AVG.format(f'winner = {_BACK}')} AS rr, {_AVG.format(f'winner IN (' + chr(39) + 'A' + chr(39) + ',' + chr(39) + 'B' + chr(39) + f') AND {_BACK} <> ' + chr(39) + 'Tie' + chr(39) + f' AND winner <> {_BACK}')} AS strict_flip_rate, {_AVG.format(f'winner <> {_BACK}')} AS soft_flip_rate, "
@@ -230,6 +256,23 @@ ORACLES = {
         body=f"SELECT source, n_pairs, round(x, 6) AS acc_before, round(y, 6) AS acc_after, round(t1, 6) AS tie_before, round(t2, 6) AS tie_after, fixed, broken, {_MCN.format(b='fixed', c='broken')} AS p_mcnemar FROM a",
     ),
     "net_discordance": sql(POOL, _SD, _GRADED, body="SELECT source, CAST(net AS BIGINT) AS net, count(*) AS turns FROM (SELECT source, turn, sum(ra::INT - rb::INT) AS net FROM graded GROUP BY ALL) GROUP BY ALL"),
+    "hashed_cluster_bootstrap": sql(
+        POOL, _SD, _GRADED, "t AS (SELECT source, turn, sum(rb::INT) AS good, count(*) AS n FROM graded GROUP BY ALL)", _drawn("t", "source, turn, good, n", "turn", 100),
+        "v AS (SELECT source, draw, sum(weight * weight * good) / sum(weight * weight * n)::DOUBLE AS v FROM t_d GROUP BY ALL)",
+        body="SELECT source, count(*) AS turns, round(sum(good) / sum(n)::DOUBLE, 6) AS accuracy, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high FROM t JOIN (SELECT source, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v GROUP BY source) USING (source) GROUP BY source",
+    ),
+    "hashed_mean_test": sql(
+        POOL, "s AS (SELECT source, editor, sample_id, (inset - clean)::DOUBLE AS x FROM pool WHERE inset IS NOT NULL)", _drawn("s", "source, editor, x", "sample_id", 100), "m AS (SELECT source, editor, draw, sum(weight * x) / sum(weight) AS m FROM s_d GROUP BY ALL)",
+        "q AS (SELECT source, editor, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, least(1.0, 2 * (least(count(*) FILTER (m <= 0), count(*) FILTER (m >= 0)) + 1) / (count(*) + 1)::DOUBLE) AS p FROM m GROUP BY ALL)",
+        body="SELECT source, editor, count(*) AS n, round(avg(x), 6) AS mean, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high, round(any_value(p), 6) AS p FROM s LEFT JOIN q USING (source, editor) GROUP BY source, editor",
+    ),
+    "hashed_tau_change": sql(
+        POOL, "c AS (SELECT source, turn, editor, human - avg(human) OVER w AS h, clean - avg(clean) OVER w AS b, inset - avg(inset) OVER w AS a, count(*) OVER w AS n FROM pool WHERE inset IS NOT NULL WINDOW w AS (PARTITION BY source, turn))", "o AS (SELECT * FROM c WHERE n >= 2)",
+        _drawn("o", "source, turn, editor, h, b, a", "turn", 60), "m AS (SELECT source, draw, editor, round(sum(weight * h) / sum(weight), 12) AS h, round(sum(weight * b) / sum(weight), 12) AS b, round(sum(weight * a) / sum(weight), 12) AS a FROM o_d GROUP BY ALL)",
+        "t AS (SELECT x.source, x.draw, sum(sign(x.b - y.b) * sign(x.h - y.h)) / sqrt(count(*) FILTER (x.b <> y.b)::DOUBLE * count(*) FILTER (x.h <> y.h)) AS tb, sum(sign(x.a - y.a) * sign(x.h - y.h)) / sqrt(count(*) FILTER (x.a <> y.a)::DOUBLE * count(*) FILTER (x.h <> y.h)) AS ta FROM m x JOIN m y ON x.source = y.source AND x.draw = y.draw AND x.editor < y.editor GROUP BY ALL)",
+        "q AS (SELECT source, quantile_cont(ta - tb, 0.025) AS lo, quantile_cont(ta - tb, 0.975) AS hi FROM t GROUP BY source)",
+        body="SELECT source, count(DISTINCT turn) AS turns, round(any_value(lo), 6) AS ci_low, round(any_value(hi), 6) AS ci_high, any_value(lo) > 0 OR any_value(hi) < 0 AS excludes_zero FROM o JOIN q USING (source) GROUP BY source",
+    ),
     "spearman_agreement": sql(
         POOL, "i AS (SELECT * FROM pool WHERE inset IS NOT NULL)", "r AS (SELECT source, " + ", ".join(f"rank() OVER (PARTITION BY source ORDER BY {c}) + (count(*) OVER (PARTITION BY source, {c}) - 1) / 2.0 AS r_{c}" for c in ("human", "clean", "inset")) + " FROM i)",
         body="SELECT source, count(*) AS n, round(corr(r_human, r_clean), 6) AS rho_before, round(corr(r_human, r_inset), 6) AS rho_after, round(corr(r_human, r_inset) - corr(r_human, r_clean), 6) AS delta_rho FROM r GROUP BY source",
