@@ -53,10 +53,10 @@ def mean_test(rows: DataFrame, by: list[str], value: str, unit: Column, n_boot:
 def tau_change(scores: DataFrame, by: list[str], human: str, before: str, after: str, n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(by, turns, ci_low, ci_high, excludes_zero): bounds of the change of Kendall's tau with the human board, turns of two editors or more being the units. Means count to twelve digits."""
     turn = W.partitionBy(*by, "turn")
-    names = {human: "_h", before: "_b", after: "_a"}
+    names = [(human, "_h"), (before, "_b"), (after, "_a")]
     own = scores.dropna(subset=[human, before, after])
-    own = own.withColumn("_n", F.count("*").over(turn)).select(*by, "turn", "editor", "_n", *[(F.col(c) - F.avg(c).over(turn)).alias(n) for c, n in names.items()]).where("_n >= 2").drop("_n")
-    means = [F.round(F.sum(F.col("weight") * F.col(n)) / F.sum("weight"), 12).alias(n) for n in names.values()]
+    own = own.withColumn("_n", F.count("*").over(turn)).select(*by, "turn", "editor", "_n", *[(F.col(c) - F.avg(c).over(turn)).alias(n) for c, n in names]).where("_n >= 2").drop("_n")
+    means = [F.round(F.sum(F.col("weight") * F.col(n)) / F.sum("weight"), 12).alias(n) for _, n in names]
     boards = weights(own, F.col("turn"), n_boot, seed).groupBy(*by, "draw", "editor").agg(*means)
     old, new = (kendall_tau_b(boards, [*by, "draw"], "editor", x, "_h").select(*by, "draw", F.col("tau").alias(f"_t{x}")) for x in ("_b", "_a"))
     drawn = old.join(new, [*by, "draw"]).withColumn("_v", F.col("_t_a") - F.col("_t_b")).where("_v is not null")
