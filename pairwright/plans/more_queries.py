@@ -313,6 +313,11 @@ ORACLES = {
     "degenerate_matches": "SELECT CASE WHEN value / 500 < 0.05 THEN 'hull' WHEN abs(value - 30) < 0.01 OR abs(value - 30) > 100 THEN 'determinant' WHEN event_id % 40 < 15 THEN 'inliers' ELSE 'none' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "per_cue_sample": sql(VERDICTS, "i AS (SELECT DISTINCT cue, biased_id FROM verdicts WHERE biased_id IS NOT NULL)", body="SELECT cue, biased_id, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cue ORDER BY md5('7:' || cue || ':0:' || biased_id), biased_id) AS INT) AS place FROM i) WHERE place <= 10"),
     "label_formats": sql(VERDICTS, _VAL, "r AS (SELECT cue, avg(passed::INT) AS rate FROM val GROUP BY cue)", body="SELECT cue, CASE WHEN rate < 0.001 THEN '<0.001' ELSE printf('%.3f', round(rate, 3)) END AS shown, CASE WHEN rate > 0.9 THEN 'yes' WHEN rate > 0.5 THEN 'mostly' ELSE 'no' END AS word FROM r"),
+    "anchor_boxes": """
+        WITH p AS (SELECT CAST(200 + p_size * 8 AS INT) AS w, CAST(160 + p_partkey % 200 AS INT) AS h FROM part), s AS (SELECT w, h, CAST(floor(least(w, h) * 0.4::DOUBLE) AS INT) AS s, greatest(1, CAST(floor(least(w, h) * 0.02::DOUBLE) AS INT)) AS m, row_number() OVER () AS i FROM p),
+        u AS (SELECT i, w, h, s, unnest([{'n': 'top-left', 'x': m, 'y': m}, {'n': 'top-right', 'x': w - s - m, 'y': m}, {'n': 'bottom-left', 'x': m, 'y': h - s - m}, {'n': 'bottom-right', 'x': w - s - m, 'y': h - s - m}]) AS a FROM s),
+        v AS (SELECT i, any_value(w) AS w, any_value(h) AS h, min({'o': greatest(0, least(a.x + s, w) - greatest(a.x, w // 2)) * greatest(0, least(a.y + s, h) - greatest(a.y, h // 2)), 'n': a.n}) AS best FROM u GROUP BY i)
+        SELECT best.n AS corner, count(*) AS n, CAST(sum(greatest(1, CAST(round_even(least(w, h) * 3::DOUBLE / 512, 0) AS INT))) AS BIGINT) AS border FROM v GROUP BY 1""",
     "judge_run": "SELECT CASE WHEN length(text) % 2 = 1 THEN 'A' ELSE 'B' END AS winner, count(*) AS n FROM conversations WHERE text IS NOT NULL AND length(text) % 3 <> 0 GROUP BY 1",
     "tree_audit": "WITH l AS (SELECT event_id % 9000 AS id, event_id % 101 = 0 AS torn, event_id % 101 <> 0 AND event_id % 103 = 0 AS bare FROM events) SELECT 'not an object' AS problem, 1::BIGINT AS ids, count(*) AS rows FROM l WHERE torn UNION ALL SELECT 'no id', 1, count(*) FROM l WHERE bare UNION ALL SELECT 'met again', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT id, count(*) AS n FROM l WHERE NOT torn AND NOT bare GROUP BY id HAVING count(*) > 1)",
 }
