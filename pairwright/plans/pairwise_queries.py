@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import resample, stats
 from pairwright.operators import agreement, hashed, pairwise, sampling
 from pairwright.plans.views import PAIRS, POOL, pairs, pool, r6, sql
+from pairwright.plans.record_queries import _shared
 from pairwright.plans.scoring_queries import _rounded
 
 
@@ -57,6 +58,13 @@ def battles(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(pairwise.majority_vote(pairs(spark, d).select("editor_a", "editor_b", F.col("winner").alias("vote")), ["editor_a", "editor_b"]))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder, for plans that read them several times."""
+    at = _shared(df.sparkSession, "stored")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     """JOIN7: samples with a human score, baseline and cued score."""
     p = pool(spark, d)
@@ -101,7 +109,7 @@ def hashed_tau_change(spark: SparkSession, d: str) -> DataFrame:
 
 def spearman_agreement(spark: SparkSession, d: str) -> DataFrame:
     """STAT10, STAT11: rank correlation with humans before and after, on paired items."""
-    items = _items(spark, d).where("after is not null")
+    items = _stored(_items(spark, d).where("after is not null").select("source", "human", "before", "after"))
     a, b = stats.spearman(items, ["source"], "human", "before", "rho_before"), stats.spearman(items, ["source"], "human", "after", "rho_after")
     return _rounded(a.join(b.drop("n"), "source").withColumn("delta_rho", F.col("rho_after") - F.col("rho_before")))
 
@@ -113,7 +121,7 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 def leaderboard_moves(spark: SparkSession, d: str) -> DataFrame:
     """AGG40: ranks when all or one editor is cued."""
-    return _rounded(agreement.rank_moves(pool(spark, d), ["source"]))
+    return _rounded(agreement.rank_moves(_stored(pool(spark, d).select("source", "turn", "editor", "clean", "tint")), ["source"]))
 
 
 def leaderboard_tau(spark: SparkSession, d: str) -> DataFrame:
