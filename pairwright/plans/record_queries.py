@@ -40,7 +40,7 @@ def content_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edit_types(spark: SparkSession, d: str) -> DataFrame:
-    """STR5: edit type of every document's text, counted (lookahead patterns have no SQL here)."""
+    """STR5: edit type of every document's text, counted."""
     return table(spark, d, "documents").select(rules.edit_type(F.col("text")).alias("edit_type")).groupBy("edit_type").agg(F.count("*").alias("n"))
 
 
@@ -350,6 +350,35 @@ def _kappas(pe: str, po: str = "po") -> str:
 _CASES = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{n}'" for n, p in rules.rules(rules.CONTENT_PATTERNS)) + " ELSE 'global' END"
 _HALF = "CAST(substr(source, 4) AS INT) % 2 = 0"
 
+def _edit_type_sql(t: str) -> str:
+    """The first rule found, in RE2, which looks nowhere ahead: what must not follow is taken out with the match and compared. Equal to the rules where their places do not overlap."""
+    color = rf"^(?i)(?:{rules.COLOR})\b"
+    has = lambda pattern: f"regexp_matches({t}, {_quoted('(?i)' + pattern)})"
+    not_before = lambda pattern, rest, taken: f"len(list_filter(regexp_extract_all({t}, {_quoted('(?i)' + pattern + rest)}, 1), lambda x: NOT regexp_matches(x, {_quoted(taken)}))) > 0"
+    runs: list[tuple[str, list[str], list[str]]] = []
+    for line in rules.EDIT_TYPE_PATTERNS.strip().splitlines():
+        name, _, pattern = line.partition(" ")
+        pattern = pattern.strip().replace("<COLOR>", rules.COLOR).replace("<SCENE>", rules.SCENE).replace("<MATERIAL>", rules.MATERIAL)
+        if not runs or runs[-1][0] != name:
+            runs.append((name, [], []))
+        if "(?=" in pattern:
+            pattern = pattern.replace("(?=", "(?:")
+        if pattern.endswith("(?!ing)"):
+            pattern = pattern.removesuffix("(?!ing)")
+        if "(?!" not in pattern:
+            runs[-1][1].append(pattern)
+            continue
+        head, _, ahead = pattern.partition("(?!")
+        if head.endswith(r"\s+"):  # white space may be given back, so two signs of it are enough
+            head = head.removesuffix(r"\s+")
+            runs[-1][1].append(head + r"\s\s")
+            runs[-1][2].append(not_before(head, r"\s([^\s]{0,20})", color))
+        else:
+            runs[-1][2].append(not_before(head, r"(\s*[a-z]*)", "^(?i)" + ahead.removesuffix(")")))
+    tests = [(name, " OR ".join([has("(?:" + "|".join(plain) + ")"), *odd])) for name, plain, odd in runs]
+    return "CASE " + " ".join(f"WHEN {c} THEN '{name}'" for name, c in tests) + " END"
+
+
 def _listed(words: list[str]) -> str:
     return "(" + ", ".join(map(_quoted, words)) + ")"
 
@@ -385,6 +414,7 @@ ORACLES = {
         RATERS, "r AS (SELECT lang, source, (first = 0)::INT AS h, (second = 1)::INT AS v FROM raters)", "g AS (SELECT lang, coalesce(source, 'ALL') AS source, count(*) AS n, sum(h) AS h, sum(v) AS v, sum(h * v) AS b, avg((h = v)::INT) AS po FROM r GROUP BY GROUPING SETS ((lang, source), (lang)))", "k AS (SELECT *, (h / n) * (v / n) + (1 - h / n) * (1 - v / n) AS pe FROM g)",
         body=f"SELECT lang, source, n, CAST(h AS BIGINT) AS human_fails, CAST(v AS BIGINT) AS validator_fails, CAST(b AS BIGINT) AS both_fail, round(h * v / n, 6) AS expected_both, round(po, 6) AS agreement, {_kappas('pe')} AS kappa FROM k",
     ),
+    "edit_types": f"SELECT CASE WHEN t <> '' THEN {_edit_type_sql('t')} END AS edit_type, count(*) AS n FROM (SELECT trim(coalesce(text, '')) AS t FROM documents) GROUP BY 1",
     "keywords": f"""
         WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '([A-Za-z][A-Za-z''-]*)', 1) AS w, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')[1:12] AS f FROM documents),
         c AS (SELECT *, list_filter(w, lambda x: lower(x) NOT IN {_listed(text.STOPWORDS + text.EDIT_VERBS)}) AS k,
