@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairwright.functions import metadata, unfold
 from pairwright.plans.record_queries import _shared
 from pairwright.plans.views import table
-from pairwright.sources import reports, tree
+from pairwright.sources import files, reports, tree
 
 
 def _k():  # noqa: ANN202
@@ -28,6 +28,20 @@ def label_sheets(spark: SparkSession, d: str) -> DataFrame:
     return reports.fold_sheets(read, seen)
 
 
+def record_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC1, SRC2, SRC3, SRC4, SRC20: all sales written as JSON lines and as CSV, in parts, read back by declared schemas; an absent file is an empty table; rows, ids and totals by status."""
+    at = _shared(spark, "records")
+    sales = table(spark, d, "sales").select("sale_id", "client_id", "status", "total", "priority")
+    files.write_jsonl(sales, f"{at}/json")
+    sales.write.option("header", True).csv(f"{at}/csv")
+    back = files.read_required(spark, f"{at}/json", sales.schema)
+    typed = files.read_csv(spark, f"{at}/csv", ["sale_id", "status", "total"], {"sale_id": "long", "client_id": "long", "total": "double", "priority": "int"})
+    none = files.read_or_empty(spark, f"{at}/none", sales.schema)
+    rows = back.withColumn("kind", F.lit("json")).unionByName(typed.withColumn("kind", F.lit("csv"))).unionByName(none.withColumn("kind", F.lit("none")))
+    own = [F.count("*").alias("n"), F.count_distinct("sale_id").alias("ids"), F.count("client_id").alias("named"), F.round(F.sum("total"), 2).alias("total"), F.sum("priority").alias("priorities")]
+    return rows.groupBy("kind", "status").agg(*own)
+
+
 def second_rater(spark: SparkSession, d: str) -> DataFrame:
     """SRC18: an unblinded sheet and a renumbered second one with its key, joined by what they label; how often the raters agree by cue."""
     at = _shared(spark, "raters")
@@ -125,11 +139,12 @@ def instruction_cells(spark: SparkSession, d: str) -> DataFrame:
     return told.groupBy("bracketed").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text") == "").alias("empty"), F.sum("number").alias("numbers"), F.count_if("yes").alias("yes"), F.count_if(~F.col("yes")).alias("no"))
 
 
-QUERIES = {f.__name__: f for f in (label_sheets, second_rater, audit_boxes, verdict_files, raw_answers, unfolded_lines, audit_regions, open_filters, instruction_cells)}
+QUERIES = {f.__name__: f for f in (record_files, label_sheets, second_rater, audit_boxes, verdict_files, raw_answers, unfolded_lines, audit_regions, open_filters, instruction_cells)}
 
 _KS = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 ORACLES = {
+    "record_files": "SELECT kind, status, count(*) AS n, count(DISTINCT sale_id) AS ids, count(client_id) AS named, round(sum(total), 2) AS total, CAST(sum(priority) AS BIGINT) AS priorities FROM sales, (VALUES ('json'), ('csv')) k(kind) GROUP BY ALL",
     "label_sheets": """
         WITH r AS (SELECT doc_id AS i, 'c' || (doc_id % 5) AS bias_type, CASE WHEN doc_id % 4 <> 0 THEN doc_id END AS id, CASE WHEN doc_id % 2 = 0 THEN 'pilot' ELSE 'second' END AS package FROM labels WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0)
         SELECT bias_type, count(*) AS n_human, string_agg(DISTINCT package, ',' ORDER BY package) AS packages, count(DISTINCT id) AS n_ids, count(DISTINCT id) FILTER (i % 3 = 0) AS n_human_matched FROM r GROUP BY 1""",
