@@ -10,9 +10,10 @@ from pairwright.sources.files import append_new
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream of the parquet files of a table that stands in a folder as ``name``.parquet."""
+    """A stream of a table that stands in a folder as ``name``.parquet, be that one file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A plain path has to be a folder for a stream; a pattern may match a file or a folder.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
     return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,12 @@ def test_repeated_asks_over_batches(spark, tmp_path):  # noqa: ANN001
 
 def test_stream_of_reads_times(spark):  # noqa: ANN001
     assert dict(log.stream_of(spark, "/root/testdata/sf0.001", "clicks").dtypes)["ts"] == "timestamp"
+
+
+def test_stream_of_a_file_and_of_a_folder(spark, tmp_path):  # noqa: ANN001
+    """A table may be one parquet file or a folder of them; neither takes in its neighbours."""
+    pd.DataFrame({"i": range(5)}).to_parquet(tmp_path / "one.parquet")
+    spark.range(7).withColumnRenamed("id", "i").repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    for name, n in (("one", 5), ("many", 7)):
+        state.drain(log.stream_of(spark, str(tmp_path), name), str(tmp_path / f"out-{name}"), str(tmp_path / f"at-{name}"))
+        assert sorted(r.i for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()) == list(range(n))
