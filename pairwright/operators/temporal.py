@@ -4,7 +4,7 @@ As of: time is cut into spans. Both sides meet by (key, span), so a key that hol
 need from before it, one row, is carried in from a table of the last row of each (key, span), which is small. Rows within a span are merged by a window.
 
 Overlap: an interval belongs to the level whose bins are at least as long as it is, where it touches two bins at most; it also stands in every coarser level, so a pair
-meets at the coarser one's level and nowhere else, in the first bin they share, once.
+meets at the coarser one's level and nowhere else, in the first bin they share, once. Only levels at which some interval of the other side is at home are stood in.
 """
 
 from __future__ import annotations
@@ -48,22 +48,35 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
 LEVELS = 40
 
 
-def _placed(df: DataFrame, by: str, start: str, end: str, width: int, side: str) -> DataFrame:
+def _levelled(df: DataFrame, by: str, start: str, end: str, width: int, side: str) -> DataFrame:
+    """(side, k, from, to, own): intervals with the level at which they are at home."""
     a, b = F.col(start).cast("long"), F.col(end).cast("long")
     rows = df.where(F.col(by).isNotNull() & (b > a)).select(F.struct(*df.columns).alias(side), F.col(by).alias("k"), a.alias("from"), b.alias("to"))
     own = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2((F.col("to") - F.col("from")) / width)))).cast("int")
-    levels = rows.withColumn("own", own).withColumn("level", F.explode(F.sequence("own", F.lit(LEVELS))))
+    return rows.withColumn("own", own)
+
+
+def _placed(rows: DataFrame, width: int, side: str, levels: Column) -> DataFrame:
+    """A row for each interval, level of an array and bin that it touches there."""
     size = F.lit(width).cast("double") * F.pow(F.lit(2.0), F.col("level"))
     first, last = F.floor(F.col("from") / size).cast("long"), F.floor((F.col("to") - 1) / size).cast("long")
-    return levels.select(side, "k", "level", (F.col("level") == F.col("own")).alias(f"home_{side}"), first.alias(f"first_{side}"), F.col("from").alias(f"from_{side}"), F.col("to").alias(f"to_{side}"), F.explode(F.sequence(first, last)).alias("bin"))
+    return rows.withColumn("level", F.explode(levels)).select(side, "k", "level", first.alias(f"first_{side}"), F.col("from").alias(f"from_{side}"), F.col("to").alias(f"to_{side}"), F.explode(F.sequence(first, last)).alias("bin"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, by: str, start: str, end: str, width: int) -> DataFrame:
     """(a, b, shared): each pair of half-open intervals of one key that share a point, once, and how long they share. ``width`` is the length of the finest bins. Null keys, null ends and intervals of no
-    length meet nothing. Only levels at which some interval is at home are joined."""
-    x, y = _placed(a, by, start, end, width, "a"), _placed(b, by, start, end, width, "b")
-    met = x.join(y, ["k", "level", "bin"]).where((F.col("home_a") | F.col("home_b")) & (F.col("bin") == F.greatest("first_a", "first_b")) & (F.col("from_a") < F.col("to_b")) & (F.col("from_b") < F.col("to_a")))
-    return met.select("a", "b", (F.least("to_a", "to_b") - F.greatest("from_a", "from_b")).alias("shared"))
+    length meet nothing. Intervals at home on a level meet those of the other side that stand there, which are copied to such levels alone; so two intervals that are both finer than a level never meet on it."""
+    x, y = _levelled(a, by, start, end, width, "a"), _levelled(b, by, start, end, width, "b")
+    homes = {"a": [], "b": []}  # at most LEVELS + 1 each
+    for side, level in x.select(F.lit("a"), "own").union(y.select(F.lit("b"), "own")).distinct().collect():
+        homes[side].append(level)
+    at_home = F.array("own")
+    above = lambda side, least: F.filter(F.array(*[F.lit(v) for v in sorted(homes[side])]).cast("array<int>"), lambda v: v >= least)
+    parts = [(at_home, above("a", F.col("own"))), (above("b", F.col("own") + 1), at_home)]
+    # Copies are more than the planner sees in the files, so none is broadcast.
+    met = [_placed(x, width, "a", p).join(_placed(y, width, "b", q).hint("merge"), ["k", "level", "bin"]) for p, q in parts]
+    own = met[0].unionByName(met[1]).where((F.col("bin") == F.greatest("first_a", "first_b")) & (F.col("from_a") < F.col("to_b")) & (F.col("from_b") < F.col("to_a")))
+    return own.select("a", "b", (F.least("to_a", "to_b") - F.greatest("from_a", "from_b")).alias("shared"))
 
 
 def seconds(ts: str | Column) -> Column:

@@ -149,3 +149,18 @@ def test_stream_of_a_file_and_of_a_folder(spark, tmp_path):  # noqa: ANN001
     for name, n in (("one", 5), ("many", 7)):
         state.drain(log.stream_of(spark, str(tmp_path), name), str(tmp_path / f"out-{name}"), str(tmp_path / f"at-{name}"))
         assert sorted(r.i for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()) == list(range(n))
+
+
+def test_overlaps_pairs_no_fine_intervals_on_coarse_levels(spark):  # noqa: ANN001
+    """One long interval brings coarse levels; short ones of a key do not meet each other there, and levels at which none is at home are not stood in."""
+    short = [("k", 100 * i, 100 * i + 5, i) for i in range(400)]
+    a = spark.createDataFrame([*short, ("k", 0, 40_000, 900)], "k string, s long, e long, i int")
+    b = spark.createDataFrame([(k, s + 3, e + 3, i) for k, s, e, i in short], "k string, s long, e long, i int")
+    met = temporal.overlaps(a, b, "k", "s", "e", 8)
+    met.collect()
+    assert met.count() == 800
+    joined = met.agg(F.count("*"))
+    joined.collect()
+    x, y = (temporal._levelled(t, "k", "s", "e", 8, side) for t, side in ((a, "a"), (b, "b")))
+    assert {r.own for r in x.select("own").distinct().collect()} == {0, 13} and {r.own for r in y.select("own").distinct().collect()} == {0}
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
