@@ -69,3 +69,20 @@ def test_tau_change(spark):  # noqa: ANN001
     r = hashed.tau_change(df, ["board"], "human", "clean", "cued", n_boot=40).first()
     same = hashed.tau_change(df, ["board"], "human", "clean", "clean", n_boot=40).first()
     assert (r.turns, r.excludes_zero) == (40, True) and r.ci_high < -1 and (same.ci_low, same.ci_high, same.excludes_zero) == (0.0, 0.0, False)
+
+
+def test_totals_need_no_row_a_draw(spark):  # noqa: ANN001
+    """Sums by hand of null keys and units, squares, infinite numbers and a task that hands on often; no plan makes a row for each unit and draw."""
+    rows = [("a", i, float(i)) for i in range(60)] + [(None, i, 1.0) for i in range(9)] + [("b", None, 2.0), ("c", 1, math.inf)]
+    df = spark.createDataFrame(rows, "cell string, unit int, x double").repartition(3)
+    for squared in (False, True):
+        got = hashed.totals(df.withColumn("_w", hashed.words(F.col("unit"), 10, 42)), ["cell"], "_w", ["x"], 10, squared, most=20)
+        want: dict = {}
+        told = {(r.cell, r.unit, r.draw): r.weight for r in hashed.weights(df, F.col("unit"), 10, 42).collect()}
+        for (cell, unit, x), d in ((row, d) for row in rows for d in range(10)):
+            if w := told.get((cell, unit, d), 0) ** (2 if squared else 1):
+                n, s = want.get((cell, d), (0, 0.0))
+                want[cell, d] = (n + w, s + w * x)
+        assert {(r.cell, r.draw): (r.weight, r.x) for r in got.collect()} == want
+    for made in (hashed.mean_test(df, ["cell"], "x", F.col("unit")), hashed.cluster_accuracy(df, ["cell"], "x", "x", "unit")):
+        assert "explode" not in made._jdf.queryExecution().optimizedPlan().toString()
