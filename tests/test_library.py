@@ -401,3 +401,21 @@ def test_region_cues(spark):  # noqa: ANN001
     assert [(r.sample_id, r.bias_type, r.method) for r in got if r.sample_id != "x"] == [("y", "region_annotation", "fallback")]
     small = raster.region_box(a, (0, 0, 60, 2))  # a box flatter than its line
     assert (small[:2] == (255, 0, 0)).all() and (small[2:] == 50).all()
+
+
+def test_cluster_bootstrap_in_chunks(spark):  # noqa: ANN001
+    """A cell of one chunk is drawn from as ever; chunks of a larger one make whole resamples of the same law, and no task holds more than a chunk of it."""
+    dice = np.random.default_rng(3)
+    rows = [(c, i, int(g), 4) for c, size in (("a", 40), ("b", 3000), (None, 2)) for i, g in enumerate(dice.integers(0, 5, size))] + [("none", 1, 0, 0)]
+    t = spark.createDataFrame(rows, "cell string, turn int, good long, n long").repartition(5)
+    whole, parts = ({r.cell: r for r in resample.cluster_accuracy_bootstrap(t, ["cell"], "good", "n", ["turn"], n_boot=400, most=m).collect()} for m in (65_536, 100))
+    for cell in ("a", "b"):
+        g = np.array([x for c, _, x, _ in rows if c == cell], float)
+        m = np.stack([np.bincount(p, minlength=len(g)) for p in np.random.default_rng(42).integers(0, len(g), size=(400, len(g)))]).astype(float) ** 2
+        assert np.allclose([whole[cell].ci_low, whole[cell].ci_high], np.quantile(m @ g / (m.sum(axis=1) * 4), [0.025, 0.975]))
+    assert whole["a"] == parts["a"] and whole[None] == parts[None] and (parts["none"].accuracy, parts["none"].ci_low) == (None, None)
+    assert parts["b"].accuracy == whole["b"].accuracy and parts["b"].ci_low != whole["b"].ci_low
+    assert abs(parts["b"].ci_low - whole["b"].ci_low) < 0.01 and abs(parts["b"].ci_high - whole["b"].ci_high) < 0.01
+    placed, plan = resample.dealt(t, ["cell"], "turn", 50, 42, most=100)
+    assert placed.count() == len(rows) and placed.groupBy("cell", "_chunk").count().agg(F.max("count")).first()[0] <= 100
+    assert {r.cell: [sum(d) for d in zip(*r.d, strict=True)] for r in plan.groupBy("cell").agg(F.collect_list("_drawn").alias("d")).collect()}["b"] == [3000] * 50
