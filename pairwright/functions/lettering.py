@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions import draw
+from pairwright.functions.raster import map_slices
 
 #: Rows of the grid, units between glyphs, width of a space.
 ROWS, GAP, SPACE = 9, 2, 1
@@ -254,4 +255,4 @@ def text_cues(rasters: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["sample_id", "bias_type", "width", "height", "lines", "pixels"]).astype({"lines": "Int32"})
 
     own = rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "instruction")
-    return own.mapInPandas(run, "sample_id string, bias_type string, width int, height int, lines int, pixels binary")
+    return map_slices(own, run, "sample_id string, bias_type string, width int, height int, lines int, pixels binary")

@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairwright.functions import draw
 
@@ -20,6 +22,25 @@ BRIGHTNESS, SATURATION, PADDING, CONTRAST, WARMTH, THRESHOLD = 1.2, 1.2, 0.10, 1
 LUMA = (0.299, 0.587, 0.114)
 
 
+#: Rows of rasters that a task turns into pandas at a time.
+ROWS = 64
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = ROWS) -> DataFrame:
+    """``mapInPandas`` over a few rows at a time, for rows as wide as rasters: Arrow batches count rows, so a whole one with what is made of it may be gigabytes. What ``run`` yields goes on at once."""
+    kind = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(batch.to_pandas() for batch in slices(batches, rows)):
+            yield pa.RecordBatch.from_pandas(frame, kind, preserve_index=False)
+
+    return df.mapInArrow(sliced, schema)
+
+
 def _bytes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
@@ -188,7 +209,7 @@ def similarities(pairs: DataFrame, key: str) -> DataFrame:
 
     columns = [key, "width", "height", "pixels", "other_width", "other_height", "other"]
     kind = pairs.schema[key].dataType.simpleString()
-    return pairs.select(columns).mapInPandas(run, f"{key} {kind}, ssim double, changed_share double")
+    return map_slices(pairs.select(columns), run, f"{key} {kind}, ssim double, changed_share double")
 
 
 CUES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"brightness": brightness, "saturation": saturation, "padding": padding, "aesthetic_filter": warm_contrast}
@@ -207,7 +228,7 @@ def inject(rasters: DataFrame, cues: list[str]) -> DataFrame:
                 out = [(f"{r.sample_id}__{c}", r.sample_id, c, x.shape[1], x.shape[0], x.tobytes()) for c in cues for x in [CUES[c](a)]]
                 yield pd.DataFrame([(*o, hashlib.sha1(o[-1], usedforsecurity=False).hexdigest()) for o in out], columns=["biased_id", "base_sample_id", "bias_type", "width", "height", "pixels", "sha1"])
 
-    return rasters.select("sample_id", "width", "height", "pixels").mapInPandas(run, "biased_id string, base_sample_id string, bias_type string, width int, height int, pixels binary, sha1 string")
+    return map_slices(rasters.select("sample_id", "width", "height", "pixels"), run, "biased_id string, base_sample_id string, bias_type string, width int, height int, pixels binary, sha1 string")
 
 
 def region_cues(rasters: DataFrame, severities: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:
@@ -228,7 +249,7 @@ def region_cues(rasters: DataFrame, severities: tuple[float, ...] = (0.25, 0.5,
             yield pd.DataFrame(out, columns=["sample_id", "left", "top", "right", "bottom", "method", "bias_type", "severity", "sha1"])
 
     schema = "sample_id string, left int, top int, right int, bottom int, method string, bias_type string, severity double, sha1 string"
-    return rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original").mapInPandas(run, schema)
+    return map_slices(rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original"), run, schema)
 
 
 def drawn_cues(rasters: DataFrame) -> DataFrame:
@@ -249,4 +270,4 @@ def drawn_cues(rasters: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=names).astype({k: "Int32" for k in ("x", "y", "inset_width", "inset_height")})
 
     schema = "sample_id string, left int, top int, right int, bottom int, method string, bias_type string, corner string, x int, y int, inset_width int, inset_height int, pixels binary"
-    return rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original").mapInPandas(run, schema)
+    return map_slices(rasters.where("pixels is not null").select("sample_id", "width", "height", "pixels", "original"), run, schema)

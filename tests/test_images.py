@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,14 @@ def test_contents_and_stems(spark, tmp_path):  # noqa: ANN001
     assert got == {("c", "s", "e1"): ("c/input/s.png", "c/e1/s"), ("c", "s", "e2"): ("c/input/s.png", "c/e2/s.jpg"), ("c", "t", "e1"): ("c/input/t.png", None), ("c", "t", "e2"): ("c/input/t.png", "c/e2/t.x.png")}
     with pytest.raises(Exception, match="leaves the tree"):
         tree.write_contents(spark.createDataFrame([("../x", b"1")], "path string, content binary"), str(tmp_path)).collect()
+
+
+def test_rasters_are_taken_a_few_at_a_time(spark):  # noqa: ANN001
+    """One Arrow batch holds all rows; no call sees more than a few of them, and pixels that null rows lack stay null."""
+
+    def seen(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            yield pd.DataFrame({"i": f["id"], "rows": len(f), "p": [None if i % 2 else b"x" for i in f["id"]]})
+
+    got = raster.map_slices(spark.range(0, 500, 1, 1), seen, "i long, rows int, p binary").collect()
+    assert sorted(r.i for r in got) == list(range(500)) and max(r.rows for r in got) <= raster.ROWS and all((r.p is None) == (r.i % 2 == 1) for r in got)
