@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from pairwright.functions import features
+from pairwright.functions import features, resample
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -15,3 +15,15 @@ def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
         h, kept = features.homography(a, a + 3.0, 7)
         assert kept.all() and np.allclose(h, [[1, 0, 3], [0, 1, 3], [0, 0, 1]], atol=1e-6)
     assert solved[0] <= 24 and solved[1] <= 360 and solved[3] == 500
+
+
+def test_hashed_draws_are_dealt_out_in_blocks(spark, monkeypatch):  # noqa: ANN001
+    for n, first, end in ((7, 0, 5), (123, 95, 123), (10**6, 9_998, 10_003)):
+        assert resample.hash_indices(7, 31, first, end, n).tolist() == [resample.hash_index(7, 31, i, n) for i in range(first, end)]
+    monkeypatch.setattr(resample, "PLACES", 64)
+    rows = [("a", f"s{i % 7}", float(i % 11 - 5)) for i in range(301)] + [("b", "s", 1.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "judge string, sample string, delta double")
+    got = {(r["judge"], r["draw"]): r["m"] for r in resample.hashed_draws(df, ["judge"], "delta", ["sample", "delta"], 12, 7).collect()}
+    v = np.array([x[2] for x in sorted(rows[:301], key=lambda x: x[1:])])
+    want = {("a", b): np.mean([v[resample.hash_index(7, b, i, 301)] for i in range(301)]) for b in range(12)} | {("b", b): 1.0 for b in range(12)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
