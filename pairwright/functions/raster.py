@@ -190,45 +190,50 @@ def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
     return float(ssim_stack(gray(a)[None], gray(b)[None], window)[0])
 
 
-def similarities(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, ssim, changed_share) of pairs of rasters (width, height, pixels, other_width, other_height, other), of three channels; pairs of the same shapes in a batch are one stack. The share of
-    changed pixels is null where the shapes differ; pairs with a null or with a raster narrower than the window have nulls."""
+def compared(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """(key, ssim, changed_share) of frames of pairs of rasters; pairs of the same shapes in a frame are one stack."""
+    for batch in frames:
+        batch = batch.reset_index(drop=True)
+        out = pd.DataFrame({key: batch[key], "ssim": None, "changed_share": None}).astype({"ssim": float, "changed_share": float})
+        whole = batch[batch.pixels.notna() & batch.other.notna()]
+        for (w, h, v, u), g in whole.groupby(["width", "height", "other_width", "other_height"]):
+            x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(g), *shape, 3) for c, shape in ((g.pixels, (h, w)), (g.other, (u, v))))
+            if min(w, h, v, u) >= 7:
+                out.loc[g.index, "ssim"] = ssim_stack(gray(x), gray(y))
+            if (w, h) == (v, u):
+                out.loc[g.index, "changed_share"] = (np.abs(x.astype(int) - y).max(axis=3) > THRESHOLD).mean(axis=(1, 2))
+        yield out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.reset_index(drop=True)
-            out = pd.DataFrame({key: batch[key], "ssim": None, "changed_share": None}).astype({"ssim": float, "changed_share": float})
-            whole = batch[batch.pixels.notna() & batch.other.notna()]
-            for (w, h, v, u), g in whole.groupby(["width", "height", "other_width", "other_height"]):
-                x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(g), *shape, 3) for c, shape in ((g.pixels, (h, w)), (g.other, (u, v))))
-                if min(w, h, v, u) >= 7:
-                    out.loc[g.index, "ssim"] = ssim_stack(gray(x), gray(y))
-                if (w, h) == (v, u):
-                    out.loc[g.index, "changed_share"] = (np.abs(x.astype(int) - y).max(axis=3) > THRESHOLD).mean(axis=(1, 2))
-            yield out
 
+def similarities(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, ssim, changed_share) of pairs of rasters (width, height, pixels, other_width, other_height, other), of three channels. The share of
+    changed pixels is null where the shapes differ; pairs with a null or with a raster narrower than the window have nulls."""
     columns = [key, "width", "height", "pixels", "other_width", "other_height", "other"]
     kind = pairs.schema[key].dataType.simpleString()
-    return map_slices(pairs.select(columns), run, f"{key} {kind}, ssim double, changed_share double")
+    return map_slices(pairs.select(columns), lambda frames: compared(frames, key), f"{key} {kind}, ssim double, changed_share double")
 
 
 CUES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"brightness": brightness, "saturation": saturation, "padding": padding, "aesthetic_filter": warm_contrast}
 
 
+INJECTED = "biased_id string, base_sample_id string, bias_type string, width int, height int, pixels binary, sha1 string"
+
+
+def injected(frames: Iterator[pd.DataFrame], cues: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of ``inject``, a raster at a time, for steps that make the rasters in the same pass: rasters that go from one step to the next as rows are there in whole Arrow batches."""
+    for batch in frames:
+        for r in batch.itertuples():
+            a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+            out = [(f"{r.sample_id}__{c}", r.sample_id, c, x.shape[1], x.shape[0], x.tobytes()) for c in cues for x in [CUES[c](a)]]
+            yield pd.DataFrame([(*o, hashlib.sha1(o[-1], usedforsecurity=False).hexdigest()) for o in out], columns=[x.split()[0] for x in INJECTED.split(", ")])
+
+
 def inject(rasters: DataFrame, cues: list[str]) -> DataFrame:
     """(biased_id, base_sample_id, bias_type, width, height, pixels, sha1) of every raster (sample_id, width, height, pixels) and cue."""
     unknown = set(cues) - set(CUES)
     if unknown:
         raise ValueError(f"no such cue: {sorted(unknown)}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                a = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
-                out = [(f"{r.sample_id}__{c}", r.sample_id, c, x.shape[1], x.shape[0], x.tobytes()) for c in cues for x in [CUES[c](a)]]
-                yield pd.DataFrame([(*o, hashlib.sha1(o[-1], usedforsecurity=False).hexdigest()) for o in out], columns=["biased_id", "base_sample_id", "bias_type", "width", "height", "pixels", "sha1"])
-
-    return map_slices(rasters.select("sample_id", "width", "height", "pixels"), run, "biased_id string, base_sample_id string, bias_type string, width int, height int, pixels binary, sha1 string")
+    return map_slices(rasters.select("sample_id", "width", "height", "pixels"), lambda frames: injected(frames, cues), INJECTED)
 
 
 def region_cues(rasters: DataFrame, severities: tuple[float, ...] = (0.25, 0.5, 1.0)) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from pairwright.functions import features, resample
+from pairwright.plans import image_queries
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -27,3 +28,9 @@ def test_hashed_draws_are_dealt_out_in_blocks(spark, monkeypatch):  # noqa: ANN0
     v = np.array([x[2] for x in sorted(rows[:301], key=lambda x: x[1:])])
     want = {("a", b): np.mean([v[resample.hash_index(7, b, i, 301)] for i in range(301)]) for b in range(12)} | {("b", b): 1.0 for b in range(12)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_rasters_are_made_and_cued_in_one_pass(spark):  # noqa: ANN001
+    for query in (image_queries.exact_cues, image_queries.aligned_similarity):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
