@@ -34,3 +34,21 @@ def test_rasters_are_made_and_cued_in_one_pass(spark):  # noqa: ANN001
     for query in (image_queries.exact_cues, image_queries.aligned_similarity):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_labels_take_the_places_of_their_hashes():
+    keys = np.random.default_rng(3).integers(0, 2**63, 500).astype(np.uint64)
+    for draw, k in ((0, 3), (199, 3), (5, 6)):
+        places = resample._places(keys, draw, k)
+        order = np.argsort(np.stack([resample._mixed(keys, draw, i) for i in range(k)], axis=1), axis=1)
+        assert (np.take_along_axis(places.T, order, axis=1) == np.arange(k)).all()
+
+
+def test_permutations_are_drawn_once(spark, monkeypatch):  # noqa: ANN001
+    plans, frame = [], type(spark.range(1))
+    plain = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    rows = [(j, f"i{i}", float(i), i % 5, i * 7 % 5, i * 3 % 4, (i + 1) % 5) for j in ("a", "b") for i in range(40)]
+    cells = spark.createDataFrame(rows, "judge string, item string, human double, baseline int, x int, y int, z int")
+    assert resample.permutation_worst_cue(cells, "judge", "item", "human", ["x", "y", "z"], n_perm=9).count() == 6
+    assert len(plans) == 1 and plans[0].count("MapInPandas") == 1
