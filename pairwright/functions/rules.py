@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -108,9 +109,28 @@ def rules(patterns: str) -> list[tuple[str, str]]:
     return [(name, "|".join(parts)) for name, parts in out]
 
 
+def alternatives(pattern: str) -> list[str]:
+    """A pattern cut at the bars outside of brackets."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(pattern):
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+    return [*out, pattern[at:]]
+
+
+def at_words(pattern: str) -> str:
+    """The same pattern, which asks once at each place whether a word begins there, if all its alternatives do."""
+    parts = alternatives(pattern)
+    if not all(re.match(r"\\b(?:\(\?:)?[a-z]", p) for p in parts):
+        return pattern
+    return r"\b(?=\w)(?:" + "|".join(p[2:] for p in parts) + ")"
+
+
 def first_match(text: Column, patterns: str, default: Column) -> Column:
     """The class of the first rule found in the text."""
-    found = [(text.rlike(f"(?i){p}"), name) for name, p in rules(patterns)]
+    found = [(text.rlike(f"(?i){at_words(p)}"), name) for name, p in rules(patterns)]
     head, *rest = found
     return reduce(lambda c, r: c.when(r[0], F.lit(r[1])), rest, F.when(head[0], F.lit(head[1]))).otherwise(default)
 
