@@ -78,3 +78,10 @@ def expand_targets(samples: DataFrame, cues: list[str | None], repeats: int = 1)
     cue = F.explode(F.array(*[F.lit(c) for c in cues])).alias("cue")
     jobs = samples.select("*", cue).withColumn("repeat_index", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     return jobs.withColumn("result_id", F.concat_ws("__", "sample_id", F.coalesce("cue", F.lit("base")), F.concat(F.lit("r"), F.col("repeat_index"))))
+
+
+def outstanding(samples: DataFrame, cues: list[str | None], repeats: int, done: DataFrame) -> DataFrame:
+    """The jobs of ``expand_targets`` less those whose (sample_id, result_id) is in ``done``: a sample meets its finished jobs before it is expanded, so that a row a sample is shuffled, not one a job."""
+    own = done.groupBy("sample_id").agg(F.collect_set("result_id").alias("_done"))
+    jobs = expand_targets(samples.join(own, "sample_id", "left"), cues, repeats)
+    return jobs.where(F.col("_done").isNull() | ~F.array_contains("_done", F.col("result_id"))).drop("_done")

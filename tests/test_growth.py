@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from pairwright.functions import features, resample
+from pairwright.functions import features, resample, rules
+from pairwright.operators import sampling
 from pairwright.plans import image_queries
 
 
@@ -52,3 +53,17 @@ def test_permutations_are_drawn_once(spark, monkeypatch):  # noqa: ANN001
     cells = spark.createDataFrame(rows, "judge string, item string, human double, baseline int, x int, y int, z int")
     assert resample.permutation_worst_cue(cells, "judge", "item", "human", ["x", "y", "z"], n_perm=9).count() == 6
     assert len(plans) == 1 and plans[0].count("MapInPandas") == 1
+
+
+def test_rules_ask_once_where_a_word_begins():
+    for patterns in (rules.EDIT_TYPE_PATTERNS, rules.CONTENT_PATTERNS):
+        for _, p in rules.rules(patterns):
+            assert rules.at_words(p).count(r"(?=\w)") == 1 and "|\\b" not in rules.at_words(p).replace(r"\b(?:", "")
+    assert rules.at_words(r"\ba|x\b") == r"\ba|x\b" and rules.alternatives("a(b|c)|[|]d") == ["a(b|c)", "[|]d"]
+
+
+def test_finished_jobs_meet_samples_not_jobs(spark):  # noqa: ANN001
+    samples = spark.createDataFrame([("s1",), ("s2",)], "sample_id string")
+    done = spark.createDataFrame([("s1", "s1__tint__r1"), ("s1", "s1__tint__r1"), ("s2", "s2__base__r2"), ("s9", "s9__base__r1")], "sample_id string, result_id string")
+    left = {r[0] for r in sampling.outstanding(samples, [None, "tint"], 2, done).select("result_id").collect()}
+    assert left == {f"{s}__{c}__r{i}" for s in ("s1", "s2") for c in ("base", "tint") for i in (1, 2)} - {"s1__tint__r1", "s2__base__r2"}
