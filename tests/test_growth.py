@@ -6,7 +6,7 @@ import numpy as np
 
 from pairwright.functions import features, resample, rules
 from pairwright.operators import sampling
-from pairwright.plans import image_queries
+from pairwright.plans import image_queries, more_queries
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -67,3 +67,8 @@ def test_finished_jobs_meet_samples_not_jobs(spark):  # noqa: ANN001
     done = spark.createDataFrame([("s1", "s1__tint__r1"), ("s1", "s1__tint__r1"), ("s2", "s2__base__r2"), ("s9", "s9__base__r1")], "sample_id string, result_id string")
     left = {r[0] for r in sampling.outstanding(samples, [None, "tint"], 2, done).select("result_id").collect()}
     assert left == {f"{s}__{c}__r{i}" for s in ("s1", "s2") for c in ("base", "tint") for i in (1, 2)} - {"s1__tint__r1", "s2__base__r2"}
+
+
+def test_tau_bootstrap_deals_turns_into_chunks(spark):  # noqa: ANN001
+    plan = more_queries.delta_tau_bootstrap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
