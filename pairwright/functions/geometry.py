@@ -64,6 +64,7 @@ def sticker_slots(w: Column, h: Column, side: Column, margin: float = STICKER_MA
     return F.array(*[F.struct(F.lit(k).alias("name"), rect(x, y, x + side, y + side).alias("box")) for k, (x, y) in places.items()])
 
 
-def least_overlap(slots: Column, region: Column) -> Column:
-    """(overlap, name) of the slot that meets the region least; of equal ones the first by name."""
-    return F.array_min(F.transform(slots, lambda s: F.struct(overlap(s["box"], region).alias("overlap"), s["name"].alias("name"))))
+def least_overlap(slots: Column, region: Column, n: int | None = None) -> Column:
+    """(overlap, name) of the slot that meets the region least; of equal ones the first by name. Where all rows have ``n`` slots they are written out: compiled code is faster than a lambda."""
+    met = lambda s: F.struct(overlap(s["box"], region).alias("overlap"), s["name"].alias("name"))
+    return F.array_min(F.transform(slots, met)) if n is None else F.least(*[met(slots[i]) for i in range(n)])

@@ -6,7 +6,7 @@ import numpy as np
 
 from pairwright.functions import features, resample, rules
 from pairwright.operators import sampling
-from pairwright.plans import image_queries, more_queries
+from pairwright.plans import image_queries, more_queries, record_queries
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -72,3 +72,7 @@ def test_finished_jobs_meet_samples_not_jobs(spark):  # noqa: ANN001
 def test_tau_bootstrap_deals_turns_into_chunks(spark):  # noqa: ANN001
     plan = more_queries.delta_tau_bootstrap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_sticker_slots_need_no_lambda(spark):  # noqa: ANN001
+    assert "lambda" not in record_queries.sticker_slots(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
