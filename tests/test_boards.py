@@ -57,6 +57,17 @@ def test_single_boards(spark):  # noqa: ANN001
         assert moves["all", -1].max_move == max(abs(before[e] - after[e]) for e in after)
 
 
+def test_rows_without_a_turn_are_one_turn_of_single_boards(spark):  # noqa: ANN001
+    rows = [(None, 1, 2, 5), (None, 2, 3, 1), (None, 3, 1, None), (4, 1, 1, 4), (4, 2, 2, 2), (4, 2, 5, 3), (5, 3, 4, 4)]
+    df = spark.createDataFrame([("b", *r) for r in rows], "board string, turn int, editor int, clean int, tint int")
+    got = defaultdict(dict)
+    for r in agreement.single_boards(df, ["board"], "clean", "tint").collect():
+        got[r.target][r.editor] = r["mean"]
+    for target in (1, 2, 3):
+        want = boards_by_hand(rows, target)
+        assert got[target].keys() == want.keys() and all(abs(got[target][e] - m) < 1e-12 for e, m in want.items()), target
+
+
 def test_signed_rank_from_counts(spark):  # noqa: ANN001
     dice = np.random.default_rng(1)
     rows = [("a", float(x)) for x in dice.integers(-5, 9, 300)] + [("b", float(x)) for x in dice.normal(0.1, 1, 80)] + [("c", 0.0), ("c", None), (None, 2.0)]

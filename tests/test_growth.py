@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 from pairwright.functions import features, resample, rules
-from pairwright.operators import sampling
-from pairwright.plans import image_queries, more_queries, record_queries
+from pairwright.operators import agreement, sampling
+from pairwright.plans import image_queries, more_queries, record_queries, views
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -76,3 +76,13 @@ def test_tau_bootstrap_deals_turns_into_chunks(spark):  # noqa: ANN001
 
 def test_sticker_slots_need_no_lambda(spark):  # noqa: ANN001
     assert "lambda" not in record_queries.sticker_slots(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boards_neither_meet_rows_with_targets_nor_sort_them_before_a_shuffle(spark, monkeypatch):  # noqa: ANN001
+    pool = views.pool(spark, "/root/testdata/sf0.001")
+    plan = agreement.single_boards(pool, ["source"], "clean", "tint")._jdf.queryExecution().optimizedPlan().toString()
+    assert "turn" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    dealt = pool._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Repartition" in line for line in dealt[[i for i, line in enumerate(dealt) if "Window" in line][-1] :])
+    monkeypatch.setattr(views, "PART_ROWS", 500)  # about 6,000 rows, the session has 4 parts
+    assert views.pool(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
