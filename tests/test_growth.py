@@ -6,7 +6,7 @@ import numpy as np
 
 from pairwright.functions import features, resample, rules
 from pairwright.operators import agreement, sampling
-from pairwright.plans import image_queries, more_queries, record_queries, views
+from pairwright.plans import image_queries, more_queries, pairwise_queries, record_queries, views
 
 
 def test_equal_draws_of_few_points_are_solved_once(monkeypatch):  # noqa: ANN001
@@ -86,3 +86,9 @@ def test_boards_neither_meet_rows_with_targets_nor_sort_them_before_a_shuffle(sp
     assert any("Repartition" in line for line in dealt[[i for i, line in enumerate(dealt) if "Window" in line][-1] :])
     monkeypatch.setattr(views, "PART_ROWS", 500)  # about 6,000 rows, the session has 4 parts
     assert views.pool(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
+
+
+def test_rank_correlations_read_their_rows_once(spark):  # noqa: ANN001
+    for query in (more_queries.agreement_by_dimension, pairwise_queries.spearman_agreement):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1
