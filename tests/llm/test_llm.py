@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from pairwright.llm import bpe_transducer, decontaminate, html_wrapper, language_id, line_dedup, ngram_join, pii, ppm, queries, rabitq, token_store
-from pairwright.llm.common import fresh_path
+from pairwright.llm.common import CLEANUP, fresh_path, settled
 from pairwright.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, score string, n string, word string, _row int, key string, ids string, base int, name string"
@@ -679,6 +679,34 @@ def test_ngram_join_odd_ids(spark):  # noqa: ANN001
     assert [(r.component_id, r.links) for r in nobody] == [(None, 1)] * 2
 
 
+def _local_files(spark, start: str) -> int:  # noqa: ANN001
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.startswith(start) for d in dirs for _, _, files in os.walk(d) for f in files)
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):  # noqa: ANN001
+    before = _local_files(spark, "shuffle_")
+    out = settled(spark.range(5000).groupBy(F.col("id") % 7).count().repartition(3))
+    assert _local_files(spark, "shuffle_") <= before and spark.conf.get(CLEANUP) == "false"
+    assert out.count() == 7
+
+
+def test_ngram_columns_are_met_in_slices(spark, monkeypatch):  # noqa: ANN001
+    """Few cells a slice and few documents told to all tasks give the same components; no table with texts stays, and only wanted texts are shuffled."""
+    monkeypatch.setattr(ngram_join, "CELLS", 100)
+    monkeypatch.setattr(ngram_join, "WANTED", 3)
+    rng, tables = np.random.default_rng(5), []
+    monkeypatch.setattr(ngram_join, "settled", lambda df: tables.append(settled(df)) or tables[-1])
+    rows = [(i, " ".join([f"g{i % 9}w{k}" for k in range(40)] + [f"x{int(x)}" for x in rng.integers(0, 99, i % 4)])) for i in range(60)]
+    docs = frame(spark, rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()) == groups_by_hand(rows)
+    texts = [t for t in tables if "raw" in t.columns]
+    assert texts and not any(os.path.exists(re.sub("^file:/+", "/", f)) for t in texts for f in t.inputFiles())
+    assert sum("columns" in t.columns for t in tables) == 1 and sum(set(t.columns) == {"doc_id", "component", "n", "column", "leader"} for t in tables) == ngram_join.SLICES
+    monkeypatch.undo()
+    assert ngram_join._of(frame(spark, rows).select("doc_id", F.col("text").alias("raw")), spark.range(4, 6)).count() == 2
+
+
 def test_op10_against_brute_force(spark):  # noqa: ANN001
     sf_dir = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
