@@ -726,6 +726,17 @@ def test_connected_chain(spark):  # noqa: ANN001
     assert {(r.node, r.component) for r in connected(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_pipeline_keeps_the_last_stored_stage_only(spark, monkeypatch):  # noqa: ANN001
+    import corpus_pipeline
+
+    tables, there = [], lambda t: all(os.path.exists(re.sub("^file:/+", "/", f)) for f in t.inputFiles())
+    monkeypatch.setattr(corpus_pipeline, "settled", lambda df: tables.append(settled(df)) or tables[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda spark, docs, d: docs) for n in "abcd"])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == docs.count() and there(docs)
+    assert [there(t) for t in tables] == [False, False, True]
+
+
 def test_decontaminated_columns_of_the_user_pass(spark):  # noqa: ANN001
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)), 5, "x")], "doc_id long, text string, _ranges int, _items string")
     bench = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(3 * k, 3 * k + 12))) for k in range(5)], "item_id long, text string")
