@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pairwright.functions import features, resample, rules
-from pairwright.operators import agreement, sampling
+from pairwright.operators import agreement, images, sampling
 from pairwright.plans import image_queries, more_queries, pairwise_queries, record_queries, views
 
 
@@ -92,3 +93,10 @@ def test_rank_correlations_read_their_rows_once(spark):  # noqa: ANN001
     for query in (more_queries.agreement_by_dimension, pairwise_queries.spearman_agreement):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == 1
+
+
+def test_what_is_broadcast_of_a_sample_is_its_keypoints_not_their_bands(spark):  # noqa: ANN001
+    made = image_queries._mosaics(spark, "/root/testdata/sf0.001", 12).withColumn("image_id", F.col("vec_id").cast("string"))
+    every = images.find_keypoints(made.select("image_id", "width", "height", "pixels"))
+    plan = images.hamming_matches(every.where("image_id < '2'"), every)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("posexplode") == 0 and images.BROADCAST_ROWS * 100 <= 25_000_000
