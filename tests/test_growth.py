@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import permutations, product
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pairwright.functions import features, resample, rules
@@ -100,3 +103,48 @@ def test_what_is_broadcast_of_a_sample_is_its_keypoints_not_their_bands(spark):
     every = images.find_keypoints(made.select("image_id", "width", "height", "pixels"))
     plan = images.hamming_matches(every.where("image_id < '2'"), every)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("posexplode") == 0 and images.BROADCAST_ROWS * 100 <= 25_000_000
+
+
+def test_permutation_reads_the_pool_once(spark, monkeypatch):  # noqa: ANN001
+    stored, plain, read = [], pairwise_queries._stored, []
+    monkeypatch.setattr(pairwise_queries, "_stored", lambda df: stored.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    frame = type(spark.range(1))
+    pandas = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda df: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or pandas(df))
+    assert pairwise_queries.permutation(spark, "/root/testdata/sf0.001").count() == 6
+    assert ["l_orderkey" in x for x in stored] == [True, False, False] and len(read) == 1 and "l_orderkey" not in read[0]
+
+
+def test_relabelling_counts_as_item_by_item():
+    dice = np.random.default_rng(6)
+    for k, scores, few in ((3, 2, True), (3, 400, False), (1, 3, True), (7, 3, False)):
+        keys, codes, rank = dice.integers(0, 2**63, 900).astype(np.uint64), dice.integers(0, scores, (900, 2, k)), dice.random(900)
+        got = np.concatenate(list(resample._relabelled(keys, rank, codes, scores, 20)), axis=1)
+        table = np.array(list(permutations(range(k)))) if k <= resample.LISTED else None
+        want = np.zeros((2, 20, 2, k, scores))
+        for draw, order in enumerate(resample._orders(keys, 20, k) if table is not None else range(20)):
+            places = table[order] if table is not None else resample._places(keys, draw, k).T
+            for j in range(2):
+                np.add.at(want[0, draw, j], (places, codes[:, j]), 1)
+                np.add.at(want[1, draw, j], (places, codes[:, j]), np.repeat(rank[:, None], k, axis=1))
+        assert np.allclose(got, want) and (len(np.unique(codes.reshape(900, -1), axis=0)) * 6 <= 1800) == few
+    orders = np.array(list(resample._orders(dice.integers(0, 2**63, 5000).astype(np.uint64), 60, 3)))
+    counts = np.array([np.bincount(o, minlength=6) for o in orders])
+    assert (abs(counts - 5000 / 6) < 150).all() and abs(np.corrcoef(orders) - np.eye(60)).max() < 0.08
+
+
+def test_null_of_relabelling_is_that_of_all_orders(spark):  # noqa: ANN001
+    """Five items, one judge: shares of 4,000 draws against all 6^5 relabellings; with few sums held at a time too, and whether one judge has a row twice."""
+    human, scores = [1.0, 2.0, 3.0, 4.0, 5.0], [(3, 1, 2, 5), (1, 2, 2, 4), (4, 5, 1, 1), (2, 3, 4, 2), (5, 4, 4, 1)]
+    rows = [("j", f"i{i}", h, *s) for i, (h, s) in enumerate(zip(human, scores, strict=True))]
+    rho = lambda v: np.corrcoef(pd.Series(v).rank(), human)[0, 1]
+    base, table = rho([s[0] for s in scores]), list(permutations(range(3)))
+    null = np.array([[rho([scores[i][1 + table[o][c]] for i, o in enumerate(os_)]) - base for c in range(3)] for os_ in product(range(6), repeat=5)])
+    seen = [rho([s[1 + c] for s in scores]) - base for c in range(3)]
+    cells = spark.createDataFrame([*rows, rows[0]], "judge string, item string, human double, baseline int, x int, y int, z int")
+    for flush in (16_000_000, 1):
+        got = {(r.statistic, r.cue): r for r in resample.permutation_worst_cue(cells, "judge", "item", "human", ["x", "y", "z"], n_perm=4000, flush=flush).collect()}
+        for c, cue in enumerate("xyz"):
+            r = got["mean_delta_rho", cue]
+            assert abs(r.observed - seen[c]) < 1e-9
+            assert abs(r.p_label - (null <= seen[c] + 1e-9).mean()) < 0.03 and abs(r.p_selected - (np.nanmin(null, axis=1) <= seen[c] + 1e-9).mean()) < 0.03
