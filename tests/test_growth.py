@@ -148,3 +148,9 @@ def test_null_of_relabelling_is_that_of_all_orders(spark):  # noqa: ANN001
             r = got["mean_delta_rho", cue]
             assert abs(r.observed - seen[c]) < 1e-9
             assert abs(r.p_label - (null <= seen[c] + 1e-9).mean()) < 0.03 and abs(r.p_selected - (np.nanmin(null, axis=1) <= seen[c] + 1e-9).mean()) < 0.03
+
+
+def test_permutation_makes_all_its_draws(spark):  # noqa: ANN001
+    for r in pairwise_queries.permutation(spark, "/root/testdata/sf0.001").collect():
+        draws = (r.p_selected * 10_001, r.p_label * 30_001)
+        assert all(abs(x - round(x)) < 1e-6 and round(x) >= 1 for x in draws)
